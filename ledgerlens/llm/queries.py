@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, language_id, license_scan, mixing, ngram_join, token_files, url_filter, warc
+from . import decontaminate, embed_dedup, language_id, license_scan, mixing, ngram_join, token_files, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents")).drop("copies")
 
@@ -55,5 +59,5 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mix_sources, op3_ngram_join, op4_warc, op5_license_scan, op6_token_files, op7_url_filter, op9_embed_dedup, op10_language_id, language_id_pages)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_join, op4_warc, op5_license_scan, op6_token_files, op7_url_filter, op9_embed_dedup, op10_language_id, language_id_pages)
 }

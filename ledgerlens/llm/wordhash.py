@@ -21,6 +21,10 @@ _bytes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint
 _bytes[65:91] = _bytes[97:123]
 _space = np.zeros(256, bool)
 _space[[32, *range(9, 14)]] = True
+#: Separators under which words are runs of letters, digits and non-ASCII characters.
+MARKS = np.zeros(256, bool)
+MARKS[:128] = True
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 _powers = [np.ones(1, _WIDE), np.ones(1, _WIDE)]
 
 
@@ -70,14 +74,14 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         first = last
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all words, the first word of each text (one entry more than texts), and each word's byte span."""
     n = len(data)
     counts = np.zeros(len(offsets), np.int64)
     if n == 0:
         none = np.zeros(0, np.int64)
         return np.zeros(0, _WIDE), counts, none, none
-    inside = ~_space[data]
+    inside = ~space[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     ends = inside.copy()
