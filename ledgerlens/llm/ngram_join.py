@@ -31,7 +31,8 @@ from .graph import components
 from .shared import drop_table, shuffle_partitions, small, write_table
 from .wordhash import mix, shingle_sets, text_chunks
 
-BITS = 1024
+#: Bits of a bitmap for each n-gram of the text (rounded up to a power of two), and the least and most bits.
+BITS_PER_GRAM, LEAST_BITS, MOST_BITS = 2, 256, 1 << 17
 #: N-grams whose counts are kept for the order, at most, and the least count.
 HOT_ROWS, HOT_COUNT = 1_000_000, 32
 #: Hashes whose repeats are counted at once in a task.
@@ -53,6 +54,10 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
+def bitmap_bits(n: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << max(0, int(BITS_PER_GRAM * n - 1)).bit_length()))
+
+
 def _describe(size: int):
     """Per text: size, fingerprint and bitmap of its set (kind 0); per window: repeated n-grams with their count (kind 1)."""
 
@@ -72,9 +77,10 @@ def _describe(size: int):
             again = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(spread ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)))
             bits = []
             for i in range(k):
-                mask = np.zeros(BITS, bool)
-                mask[(sets[begin[i] : begin[i + 1]] & np.uint64(BITS - 1)).astype(np.int64)] = True
-                bits.append(np.packbits(mask).tobytes())
+                wide = bitmap_bits(begin[i + 1] - begin[i])
+                mask = np.zeros(wide, bool)
+                mask[(sets[begin[i] : begin[i + 1]] & np.uint64(wide - 1)).astype(np.int64)] = True
+                bits.append(np.packbits(mask, bitorder="little").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.zeros(k, np.int32)), ids, pa.array(np.diff(begin).astype(np.int32)), _long(sums[begin[1:]] - sums[begin[:-1]]), _long(again[begin[1:]] - again[begin[:-1]]), pa.array(bits, pa.binary())], names
             )
@@ -90,7 +96,7 @@ def _describe(size: int):
 
 
 def _prefixes(size: int, percent: int, hot):
-    """(key, salt, id, n) of each text's leading n-grams; salt is -1, or a part of a key with over SPLIT_ROWS texts."""
+    """(key, salt, id, n, pos) of each text's leading n-grams; pos: n-grams before it in the order; salt is -1, or a part of a key with over SPLIT_ROWS texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts = hot.value
@@ -112,11 +118,12 @@ def _prefixes(size: int, percent: int, hot):
                 sets[own], count[own] = sets[own][order], count[own][order]
             lead[n == 0] = 0
             text = np.repeat(np.arange(len(n)), n)
-            take = np.arange(len(sets)) - begin[text] < lead[text]
+            place = np.arange(len(sets)) - begin[text]
+            take = place < lead[text]
             keys, owner, often = sets[take], ids.to_numpy()[text[take]], count[take]
             parts = -(-often // SPLIT_ROWS)
             salt = np.where(often > SPLIT_ROWS, (mix(owner.view(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)).astype(np.int64), -1)
-            yield pa.RecordBatch.from_arrays([_long(keys), pa.array(salt.astype(np.int32)), pa.array(owner), pa.array(n[text[take]].astype(np.int32))], ["key", "salt", "id", "n"])
+            yield pa.RecordBatch.from_arrays([_long(keys), pa.array(salt.astype(np.int32)), pa.array(owner), pa.array(n[text[take]].astype(np.int32)), pa.array(place[take].astype(np.int32))], ["key", "salt", "id", "n", "pos"])
 
     return run
 
@@ -126,66 +133,113 @@ def _columns(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     return pa.Table.from_batches(found).combine_chunks() if found else None
 
 
+def _enough(overlap, low_a, low_b, percent: int):
+    return (100 + percent) * overlap >= percent * (low_a + low_b)
+
+
 def _shared(percent: int):
-    """Keeps the rows of keys that texts of matching sizes share, with the group's rows (-1: a part of a large group)."""
+    """Keeps the rows of keys that texts of matching sizes and positions share, with the group's rows (-1: part of a large group).
+
+    Two texts whose first common n-gram is this one have no more in common than what follows it in either, itself included.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _columns(batches)
         if table is None:
             return
-        key, salt, owner, n = (table.column(c).to_numpy() for c in ("key", "salt", "id", "n"))
+        key, salt, owner, n, pos = (table.column(c).to_numpy() for c in ("key", "salt", "id", "n", "pos"))
         order = np.lexsort((n, key))
-        key, salt, owner, n = key[order], salt[order], owner[order], n[order].astype(np.int64)
-        same = np.concatenate(([False], key[1:] == key[:-1]))
-        near = np.concatenate(([False], 100 * n[:-1] >= percent * n[1:])) & same
-        keep = near | np.concatenate((near[1:], [False])) | (salt >= 0)
-        starts = np.flatnonzero(~same)
-        rows = np.repeat(np.diff(np.concatenate((starts, [len(key)]))), np.diff(np.concatenate((starts, [len(key)]))))
+        key, salt, owner, n, rest = key[order], salt[order], owner[order], n[order].astype(np.int64), (n - pos)[order].astype(np.int64)
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.concatenate((starts, [len(key)])))
+        rows = np.repeat(sizes, sizes)
+        keep = (rows > LEAF) | (salt >= 0)
+        for shift in range(1, LEAF):
+            i = np.flatnonzero((rows[:-shift] > shift) & (rows[:-shift] <= LEAF) & (key[shift:] == key[:-shift]))
+            j = i + shift
+            i, j = (x[(100 * n[i] >= percent * n[j]) & _enough(np.minimum(rest[i], rest[j]), n[i], n[j], percent)] for x in (i, j))
+            keep[i] = keep[j] = True
         rows = np.where(salt >= 0, -1, rows)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(owner[keep]), pa.array(n[keep].astype(np.int32)), pa.array(rows[keep].astype(np.int32))], ["key", "id", "n", "rows"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(owner[keep]), pa.array(n[keep].astype(np.int32)), pa.array(rest[keep].astype(np.int32)), pa.array(rows[keep].astype(np.int32))], ["key", "id", "n", "rest", "rows"])
 
     return run
 
 
-def _possible(bits_a, bits_b, n_a, n_b, spare_a, spare_b, percent: int) -> np.ndarray:
-    """Whether pairs (of texts or tree nodes) may link: sizes (low, high) and the largest overlap that the bitmaps leave.
-
-    spare: by how many n-grams a set may exceed its bits at most.
+class Bitmaps:
+    """Bitmaps of different widths (powers of two), compared at the narrower one's after folding the wider."""
+
+    def __init__(self, raw: list[bytes], n: np.ndarray):
+        self.raw, self.n = raw, n
+        self.width = np.array([8 * len(x) for x in raw], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def at(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows at a width, each text's row (texts of less width have none) and by how many n-grams a set exceeds its bits."""
+        if width not in self.folded:
+            place, parts, done = np.full(len(self.raw), -1, np.int64), [], 0
+            for wide in np.unique(self.width[self.width >= width]):
+                own = np.flatnonzero(self.width == wide)
+                words = np.frombuffer(b"".join(self.raw[k] for k in own), np.uint64).reshape(len(own), wide // width, width // 64)
+                parts.append(np.bitwise_or.reduce(words, axis=1))
+                place[own] = done + np.arange(len(own))
+                done += len(own)
+            rows = np.concatenate(parts)
+            spare = np.zeros(len(self.raw), np.int64)
+            there = place >= 0
+            spare[there] = self.n[there] - np.bitwise_count(rows).sum(axis=1).astype(np.int64)[place[there]]
+            self.folded[width] = rows, place, spare
+        return self.folded[width]
+
+    def overlap(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The largest overlap that the bitmaps leave to pairs of texts."""
+        found, narrow = np.zeros(len(i), np.int64), np.minimum(self.width[i], self.width[j])
+        for width in np.unique(narrow):
+            own = np.flatnonzero(narrow == width)
+            rows, place, spare = self.at(int(width))
+            for part in np.array_split(own, max(1, len(own) * int(width) >> 27)):
+                a, b = i[part], j[part]
+                found[part] = np.bitwise_count(rows[place[a]] & rows[place[b]]).sum(axis=1).astype(np.int64) + np.minimum(spare[a], spare[b])
+        return found
+
+
+def _pairs_left(maps: Bitmaps, rest: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of texts may link, by sizes, positions and then bitmaps."""
+    n = maps.n
+    ok = (100 * n[i] >= percent * n[j]) & (100 * n[j] >= percent * n[i]) & _enough(np.minimum(rest[i], rest[j]), n[i], n[j], percent)
+    left = np.flatnonzero(ok)
+    ok[left] = _enough(maps.overlap(i[left], j[left]), n[i[left]], n[j[left]], percent)
+    return ok
+
+
+def tree_forest(maps: Bitmaps, rest: np.ndarray, own: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs among texts own that sizes, positions and bitmaps do not rule out.
+
+    A signature tree over own (in the order of sizes) is traversed against itself: node pairs stay while their size ranges
+    and the common bits of their OR-combined bitmaps allow some pair to link. Pairs within one component are skipped.
     """
-    low_a, high_a = n_a
-    low_b, high_b = n_b
-    fits = (100 * high_a >= percent * low_b) & (100 * high_b >= percent * low_a)
-    overlap = np.bitwise_count(bits_a & bits_b).sum(axis=1).astype(np.int64) + np.minimum(spare_a, spare_b)
-    overlap = np.minimum(overlap, np.minimum(high_a, high_b))
-    return fits & ((100 + percent) * overlap >= percent * (low_a + low_b))
-
-
-def tree_forest(bits: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that bitmaps and sizes do not rule out, by dual traversal of a signature tree.
-
-    bits: rows of 64-bit words, in the order of n. Node pairs that lie in one component already are skipped.
-    """
-    rows = len(n)
-    spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    rows, n, rest_of = len(own), maps.n[own], rest[own]
+    bits, place, spare = maps.at(int(maps.width[own].min()))
+    bits, spare = bits[place[own]], spare[own]
     levels, width = [], LEAF
     while True:
         cuts = np.arange(0, rows, width)
-        levels.append((width, np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(n, cuts), np.maximum.reduceat(n, cuts), np.maximum.reduceat(spare, cuts)))
+        levels.append((width, np.bitwise_or.reduceat(bits, cuts), np.minimum.reduceat(n, cuts), *(np.maximum.reduceat(x, cuts) for x in (n, spare, rest_of))))
         if len(cuts) == 1:
             break
         width *= FANOUT
     a = b = np.zeros(1, np.int64)
     for depth in range(len(levels) - 1, -1, -1):
-        width, node_bits, low, high, extra = levels[depth]
-        ok = _possible(node_bits[a], node_bits[b], (low[a], high[a]), (low[b], high[b]), extra[a], extra[b], percent) | (a == b)
+        width, node_bits, low, high, extra, left = levels[depth]
+        overlap = np.bitwise_count(node_bits[a] & node_bits[b]).sum(axis=1).astype(np.int64) + np.minimum(extra[a], extra[b])
+        overlap = np.minimum(overlap, np.minimum(left[a], left[b]))
+        ok = (100 * high[a] >= percent * low[b]) & (100 * high[b] >= percent * low[a]) & _enough(overlap, low[a], low[b], percent)
         a, b = a[ok], b[ok]
         fan, count = (FANOUT, -(-rows // (width // FANOUT))) if depth else (LEAF, rows)
         kids_a = np.repeat(a, fan * fan) * fan + np.tile(np.repeat(np.arange(fan), fan), len(a))
         kids_b = np.repeat(b, fan * fan) * fan + np.tile(np.tile(np.arange(fan), fan), len(b))
         ok = (kids_a < count) & (kids_b < count) & (kids_a <= kids_b)
         a, b = kids_a[ok], kids_b[ok]
-    ok = a < b
-    a, b = a[ok], b[ok]
+    a, b = a[a < b], b[a < b]
     parent = list(range(rows))
 
     def root(x: int) -> int:
@@ -195,12 +249,12 @@ def tree_forest(bits: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int
         return x
 
     found = []
-    for start in range(0, len(a), 1 << 15):
-        i, j = a[start : start + (1 << 15)], b[start : start + (1 << 15)]
+    for start in range(0, len(a), 1 << 13):
+        i, j = a[start : start + (1 << 13)], b[start : start + (1 << 13)]
         at = np.array([root(x) for x in range(rows)])
         apart = at[i] != at[j]
         i, j = i[apart], j[apart]
-        ok = _possible(bits[i], bits[j], (n[i], n[i]), (n[j], n[j]), spare[i], spare[j], percent)
+        ok = _pairs_left(maps, rest, own[i], own[j], percent)
         for x, y in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
             if (rx := root(x)) != (ry := root(y)):
                 parent[ry] = rx
@@ -209,29 +263,27 @@ def tree_forest(bits: np.ndarray, n: np.ndarray, percent: int) -> list[tuple[int
 
 
 def _candidates(percent: int):
-    """Edges (a, b) that connect, in each key's group, all texts that bitmaps and sizes allow to link."""
+    """Edges (a, b) that connect, in each key's group, all texts that sizes, positions and bitmaps allow to link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _columns(batches)
         if table is None:
             return
-        key, owner, n = table.column("key").to_numpy(), table.column("id").to_numpy(), table.column("n").to_numpy().astype(np.int64)
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        key, owner, n, rest = (table.column(c).to_numpy() for c in ("key", "id", "n", "rest"))
         order = np.lexsort((owner, n, key))
-        key, owner, n, bits = key[order], owner[order], n[order], bits[order]
+        key, owner, n, rest = key[order], owner[order], n[order].astype(np.int64), rest[order].astype(np.int64)
+        maps = Bitmaps(table.column("bits").take(pa.array(order)).to_pylist(), n)
         starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         sizes = np.diff(np.concatenate((starts, [len(key)])))
-        spare = n - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
-        group = np.repeat(np.arange(len(starts)), sizes)
+        few = np.repeat(sizes <= LEAF, sizes)
         edges = []
         for shift in range(1, LEAF):  # groups of one leaf, all at once
-            i = np.flatnonzero((sizes[group] <= LEAF)[: len(key) - shift] & (group[shift:] == group[:-shift]))
-            j = i + shift
-            ok = _possible(bits[i], bits[j], (n[i], n[i]), (n[j], n[j]), spare[i], spare[j], percent) & (owner[i] != owner[j])
-            edges.append(np.stack((owner[i[ok]], owner[j[ok]]), axis=1))
+            i = np.flatnonzero(few[:-shift] & (key[shift:] == key[:-shift]) & (owner[shift:] != owner[:-shift]))
+            i = i[_pairs_left(maps, rest, i, i + shift, percent)]
+            edges.append(np.stack((owner[i], owner[i + shift]), axis=1))
         for g in np.flatnonzero(sizes > LEAF):
-            own = slice(starts[g], starts[g] + sizes[g])
-            found = tree_forest(bits[own], n[own], percent)
+            own = np.arange(starts[g], starts[g] + sizes[g])
+            found = tree_forest(maps, rest, own, percent)
             if found:
                 edges.append(owner[own][np.array(found)])
         pairs = np.unique(np.concatenate([np.sort(e, axis=1) for e in edges]).reshape(-1, 2), axis=0)
@@ -365,15 +417,15 @@ def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, id_col:
     own = members.where("id is not null").groupBy("id").agg(F.max((F.col("id") == F.col("rep")).cast("int")).alias("first"), F.count("*").alias("rows"))
     copies = own.where("first = 0").select("id")
     single = source.where("id is not null").join(small(copies), "id", "left_anti")
-    keys = single.mapInArrow(_prefixes(size, percent, hot), "key long, salt int, id long, n int")
+    keys = single.mapInArrow(_prefixes(size, percent, hot), "key long, salt int, id long, n int, pos int")
     total = texts.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     parts = max(shuffle_partitions(spark), int(total // 1_000_000))
-    shared, _ = write_table(keys.repartition(parts, "key", "salt").mapInArrow(_shared(percent), "key long, id long, n int, rows int"), "ngram-shared")
+    shared, _ = write_table(keys.repartition(parts, "key", "salt").mapInArrow(_shared(percent), "key long, id long, n int, rest int, rows int"), "ngram-shared")
 
     in_trees = shared.where(f"rows between 0 and {TREE_ROWS}")
     rows = in_trees.count()
     signed = in_trees.join(texts.select("id", "n", "bits"), ["id", "n"])
-    pruned = signed.repartition(max(shuffle_partitions(spark), rows // 100_000), "key").mapInArrow(_candidates(percent), "a long, b long")
+    pruned = signed.repartition(max(shuffle_partitions(spark), rows // 40_000), "key").mapInArrow(_candidates(percent), "a long, b long")
     wide = shared.where(f"rows < 0 or rows > {TREE_ROWS}")
     stars = wide.join(wide.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b").where("a <> b")
     edges, _ = write_table(pruned.unionByName(stars).distinct(), "ngram-edges")
