@@ -1,12 +1,66 @@
-"""From raw documents to token files, in stages that each write and read Parquet."""
+"""From raw documents to token files, in stages that each write and read Parquet.
+
+Counted as part of ledgerlens.llm. Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with
+their columns; the last returns what the token files hold of each document.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerlens.llm import decontaminate, language_id, mixing, ngram_join, token_files
+from ledgerlens.llm.shared import small, write_table
+
+
+def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
+    """docs without the ids in out (doc_id), which are written first."""
+    ids, _ = write_table(out.where("doc_id is not null").select(F.col("doc_id").alias("__out")).distinct(), "stage-out")
+    return docs.join(small(ids), docs["doc_id"] == F.col("__out"), "left_anti")
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language is unknown or doubtful."""
+    return _without(docs, language_id.language_documents(docs).where("not kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies."""
+    return _without(docs, ngram_join.join_ngrams(docs).where("doc_id <> component_id"))
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a test item."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes documents as often as the mix does."""
+    return mixing.mixed_documents(docs)
+
+
+def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes the token files and returns their documents: doc_id, start, n_tokens, ids_crc32."""
+    index = token_files.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return token_files.read_tokens(spark, index)
+
+
+STAGES = [
+    ("language_id", identify_languages),
+    ("ngram_join", drop_near_copies),
+    ("decontaminate", drop_benchmark_leaks),
+    ("mix_sources", mix),
+    ("token_files", write_token_files),
+]
 
-STAGES: list = []
+#: SQL can express neither the language model nor the tokeniser.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages on the documents table; each stage's result is written and reread as the next one's documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs, _ = write_table(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

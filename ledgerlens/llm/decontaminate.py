@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import write_table
+from .shared import small, write_table
 from .wordhash import MARKS, _BASE, mix, text_chunks, word_hashes
 
 K1, B = 1.2, 0.75
@@ -238,4 +238,4 @@ def clean_documents(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
     """The documents without those that hold a test item."""
     leaks = find_leaks(documents, items, id_col=id_col, **options).select(F.col(id_col).alias("__leak")).distinct()
     leaks, _ = write_table(leaks, "leaks")
-    return documents.join(leaks, documents[id_col] == F.col("__leak"), "left_anti")
+    return documents.join(small(leaks), documents[id_col] == F.col("__leak"), "left_anti")

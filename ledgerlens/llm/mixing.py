@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import running_sum, shuffle_partitions, write_table
+from .shared import running_sum, shuffle_partitions, small, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The order digest has this many bits.
@@ -103,5 +103,5 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns. Ids must be distinct."""
     taken = mix_sources(documents, id_col=id_col, **options).where("copies > 0").select(F.col(id_col).alias("__taken_id"), F.col("copies").cast("int").alias("__copies"))
-    joined = documents.join(taken, documents[id_col] == F.col("__taken_id"))
+    joined = documents.join(small(taken), documents[id_col] == F.col("__taken_id"))
     return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[documents[c] for c in documents.columns])

@@ -63,4 +63,18 @@ mixed AS (SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN upto <= b
 
 OP2 = f"WITH {mix_sql('documents')} SELECT doc_id, size, source_size, target, taken FROM mixed"
 
-ORACLE = {"op2_mix_sources": OP2, "op4_warc": OP4, "op5_license_scan": OP5, "op7_url_filter": OP7}
+OP8 = r"""
+WITH split AS (SELECT doc_id, text, unnest(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> '')) AS body, generate_subscripts(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(13) || chr(11) || chr(12))), lambda x: x <> ''), 1) - 1 AS seq FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL)),
+counted AS (SELECT *, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS words FROM split),
+sums AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, text ORDER BY seq) AS upto, sum(words) OVER (PARTITION BY doc_id, text ORDER BY seq) - words AS before, sum(words) OVER (PARTITION BY doc_id, text) AS total FROM counted),
+lengths AS (SELECT *, count(*) OVER (PARTITION BY doc_id, text ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING) AS ahead, count(*) OVER (PARTITION BY doc_id, text ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW) AS back FROM sums),
+windows AS (SELECT doc_id, text, seq, ahead AS length FROM lengths WHERE total - before >= 50 UNION SELECT doc_id, text, seq - back + 1, back FROM lengths WHERE upto >= 50),
+whole AS (SELECT doc_id, text, list(body ORDER BY seq) AS bodies FROM counted GROUP BY doc_id, text),
+named AS (SELECT w.doc_id, w.text, w.seq, w.length, min((w.doc_id, w.seq)) OVER (PARTITION BY md5(array_to_string(bodies[w.seq + 1 : w.seq + w.length], chr(10)))) AS first FROM windows w JOIN whole h ON w.doc_id = h.doc_id AND w.text = h.text),
+marks AS (SELECT doc_id, text, unnest(range(seq, seq + length)) AS seq, (first[1], first[2] - seq) AS source FROM named WHERE first <> (doc_id, seq)),
+best AS (SELECT doc_id, text, seq, min(source) AS source FROM marks GROUP BY doc_id, text, seq),
+runs AS (SELECT b.*, c.words, b.seq - row_number() OVER (PARTITION BY b.doc_id, b.text, b.source ORDER BY b.seq) AS run FROM best b JOIN counted c ON b.doc_id = c.doc_id AND b.text = c.text AND b.seq = c.seq)
+SELECT doc_id, CAST(min(seq) AS BIGINT) AS start_line, count(*) AS n_lines, CAST(sum(words) AS BIGINT) AS n_words, source[1] AS source_doc_id, CAST(min(seq) + source[2] AS BIGINT) AS source_start_line FROM runs GROUP BY doc_id, text, source, run
+"""
+
+ORACLE = {"op8_line_dedup": OP8, "op2_mix_sources": OP2, "op4_warc": OP4, "op5_license_scan": OP5, "op7_url_filter": OP7}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, language_id, license_scan, mixing, ngram_join, token_files, url_filter, warc
+from . import decontaminate, embed_dedup, language_id, license_scan, line_dedup, mixing, ngram_join, token_files, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"), url_filter.PAGE_RULES)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_runs(_read(spark, sf_dir, "documents"))
+
+
 def op9_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_embeddings(_read(spark, sf_dir, "embeddings"))
 
@@ -59,5 +63,5 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_join, op4_warc, op5_license_scan, op6_token_files, op7_url_filter, op9_embed_dedup, op10_language_id, language_id_pages)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_join, op4_warc, op5_license_scan, op6_token_files, op7_url_filter, op8_line_dedup, op9_embed_dedup, op10_language_id, language_id_pages)
 }
