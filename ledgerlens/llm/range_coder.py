@@ -4,7 +4,8 @@ All blocks of a batch advance together, one id per step, each with its own model
 and 2 each predict one id: the id that last followed the context (order 0: a running majority vote). Which prediction
 comes true is coded with frequencies mixed from two adaptive tables, one chosen by the order-2 model's confidence and one
 by the order-1 model's; an id that none predicts follows with equal frequency over the vocabulary. The coder is the
-32-bit carry-less range coder; a block needs nothing but its own bytes and its number of ids.
+64-bit carry-less range coder, which shifts out 16 bits at a time; a block needs nothing but its own words and its
+number of ids.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ import numpy as np
 
 BLOCK_IDS = 512
 SLOTS = 8  # bits of a context table
-_TOP, _BOTTOM = np.uint32(1 << 24), np.uint32(1 << 16)
-_STEP, _LIMIT = 24, 1 << 13
-_START = np.array([12, 8, 2, 24], np.uint16)
+_TOP, _BOTTOM, _WORD = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
+# Four frequencies are kept in one word, 16 bits each; a product with _ONES makes running sums of them.
+_STEP, _LIMIT = np.uint64(24), np.uint64(1 << 13)
+_START = np.uint64(12 | 8 << 16 | 2 << 32 | 24 << 48)
+_ONES, _HALVES, _LOW16 = np.uint64(0x0001000100010001), np.uint64(0x7FFF7FFF7FFF7FFF), np.uint64(0xFFFF)
+_SHIFTS = np.arange(4, dtype=np.uint64) * np.uint64(16)
 _MASK = (1 << SLOTS) - 1
 
 
@@ -26,23 +30,21 @@ class _Models:
         self.base = np.arange(rows, dtype=np.int64) << SLOTS
         self.slots1, self.slots2 = np.zeros(rows << SLOTS, np.uint32), np.zeros(rows << SLOTS, np.uint32)
         self.id0, self.votes = np.zeros(rows, np.uint32), np.zeros(rows, np.int32)
-        self.mix1, self.mix2 = (np.tile(_START, rows * 4) for _ in "ab")
+        self.mix1, self.mix2 = (np.full(rows * 4, _START) for _ in "ab")
         self.four = np.arange(rows, dtype=np.int64) * 4
         self.last, self.before = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-        self.wide = [np.zeros((4, rows), np.uint32) for _ in "ab"]
 
     def predict(self, k: int) -> None:
-        """For the first k blocks: slots, predicted ids and frequencies (freq) and their running sums (sums), by symbol."""
+        """For the first k blocks: slots, predicted ids, frequencies (freq), their running sums (sums) and their total."""
         last = self.last[:k]
         self.at1 = self.base[:k] + ((last * 0x9E5F) >> 3 & _MASK)
         self.at2 = self.base[:k] + ((last * 0x3D4D51 + self.before[:k] * 0x1E35A7) >> 5 & _MASK)
         self.was1, self.was2, self.p0 = self.slots1[self.at1], self.slots2[self.at2], self.id0[:k]
         self.p1, self.p2 = self.was1 >> 2, self.was2 >> 2
-        self.m1, self.m2 = (self.four[:k] + (self.was1 & 3)) << 2, (self.four[:k] + (self.was2 & 3)) << 2
-        self.freq, self.sums = self.wide[0][:, :k], self.wide[1][:, :k]
-        for symbol in range(4):
-            np.add(self.mix1[self.m1 + symbol], self.mix2[self.m2 + symbol], out=self.freq[symbol], casting="unsafe")
-        np.cumsum(self.freq, axis=0, out=self.sums)
+        self.m1, self.m2 = self.four[:k] + (self.was1 & 3), self.four[:k] + (self.was2 & 3)
+        self.freq = self.mix1[self.m1] + self.mix2[self.m2]
+        self.sums = self.freq * _ONES
+        self.total = self.sums >> _SHIFTS[3]
 
     def update(self, k: int, ids: np.ndarray, symbol: np.ndarray) -> None:
         fresh = ids << 2
@@ -54,33 +56,32 @@ class _Models:
         lost = np.flatnonzero(votes < 0)
         self.id0[lost] = ids[lost]
         votes[lost] = 1
-        self.mix1[self.m1 + symbol] += _STEP
-        self.mix2[self.m2 + symbol] += _STEP
-        full = np.flatnonzero(self.sums[3] > _LIMIT)
-        if len(full):
-            for table, at in ((self.mix1, self.m1), (self.mix2, self.m2)):
-                for s in range(4):
-                    table[at[full] + s] = (table[at[full] + s] >> 1) | 1
+        step = _STEP << _SHIFTS[symbol]
+        full = self.total > _LIMIT
+        for table, at in ((self.mix1, self.m1), (self.mix2, self.m2)):
+            fresh = table[at] + step
+            table[at] = np.where(full, ((fresh >> np.uint64(1)) & _HALVES) | _ONES, fresh) if full.any() else fresh
         self.before[:k] = self.last[:k]
         self.last[:k] = ids
 
 
 def _renormalise(low, width, shift) -> None:
-    """Shifts bytes out of low and width (views, changed in place) while their top byte is settled or width is too small."""
+    """Shifts words out of low and width (views, changed in place) while their top word is settled or width is too small."""
     rows = None
     while True:
         a, w = (low, width) if rows is None else (low[rows], width[rows])
         settled = (a ^ (a + w)) < _TOP
-        tight = ~settled & (w < _BOTTOM)
-        act = np.flatnonzero(settled | tight)
+        narrow = w < _BOTTOM
+        act = np.flatnonzero(settled | narrow)
         if not len(act):
             return
-        if tight.any():
-            w = np.where(tight, (~a + np.uint32(1)) & (_BOTTOM - np.uint32(1)), w)
-        rows = act if rows is None else rows[act]
         a, w = a[act], w[act]
+        tight = np.flatnonzero(narrow[act] & ~settled[act])
+        if len(tight):
+            w[tight] = (~a[tight] + np.uint64(1)) & (_BOTTOM - np.uint64(1))
+        rows = act if rows is None else rows[act]
         shift(rows, a)
-        low[rows], width[rows] = a << np.uint32(8), w << np.uint32(8)
+        low[rows], width[rows] = a << _WORD, w << _WORD
 
 
 def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
@@ -94,12 +95,13 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
     grid = np.zeros((BLOCK_IDS, rows), np.uint16)
     grid[:, :whole] = ids[: whole * BLOCK_IDS].reshape(whole, BLOCK_IDS).T
     grid[:rest, whole:] = ids[whole * BLOCK_IDS :][:, None] if rest else grid[:0, whole:]
-    low, width = np.zeros(rows, np.uint32), np.full(rows, 0xFFFFFFFF, np.uint32)
-    out, used = np.zeros((rows, BLOCK_IDS * 5 + 16), np.uint8), np.zeros(rows, np.int64)
-    models, every = _Models(rows), np.arange(rows)
+    low, width = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
+    room = BLOCK_IDS * 4 + 8
+    out, used, first = np.zeros(rows * room, np.uint16), np.zeros(rows, np.int64), np.arange(rows, dtype=np.int64) * room
+    models, every, each = _Models(rows), np.arange(rows), np.uint64(vocabulary)
 
     def shift(at, a):
-        out[at, used[at]] = a >> np.uint32(24)
+        out[first[at] + used[at]] = a >> np.uint64(48)
         used[at] += 1
 
     for t in range(min(BLOCK_IDS, len(ids))):
@@ -107,63 +109,62 @@ def encode_blocks(ids: np.ndarray, vocabulary: int) -> list[bytes]:
         models.predict(k)
         now = grid[t, :k].astype(np.uint32)
         symbol = np.where(now == models.p2, 0, np.where(now == models.p1, 1, np.where(now == models.p0, 2, 3)))
-        pick = every[:k]
-        freq, upto = models.freq[symbol, pick], models.sums[symbol, pick]
+        part = _SHIFTS[symbol]
+        freq, upto = (models.freq >> part) & _LOW16, (models.sums >> part) & _LOW16
         lo, wi = low[:k], width[:k]
-        wi //= models.sums[3]
+        wi //= models.total
         lo += (upto - freq) * wi
         wi *= freq
-        _renormalise(lo, wi, shift)
         miss = np.flatnonzero(symbol == 3)
-        if len(miss):
-            a, w = lo[miss], wi[miss] // np.uint32(vocabulary)
-            lo[miss], wi[miss] = a + now[miss] * w, w
-            _renormalise(lo, wi, shift)
+        w = wi[miss] // each
+        lo[miss] += now[miss] * w
+        wi[miss] = w
+        _renormalise(lo, wi, shift)
         models.update(k, now, symbol)
-    for _ in range(4):
-        shift(np.arange(rows), low)
-        low <<= np.uint32(8)
-    return [out[r, : used[r]].tobytes() for r in range(rows)]
+    low += np.uint64((1 << 16) - 1)
+    for _ in range(3):
+        shift(every, low)
+        low <<= _WORD
+    return [out[first[r] : first[r] + used[r]].astype("<u2").tobytes() for r in range(rows)]
 
 
 def decode_blocks(data: np.ndarray, starts: np.ndarray, ids: int, vocabulary: int) -> np.ndarray:
-    """The ids of blocks that begin at starts in data (uint8, with 8 spare bytes at the end)."""
+    """The ids of blocks whose words begin at starts in data (uint16, with 4 spare words at the end)."""
     rows = len(starts)
     if not rows:
         return np.zeros(0, np.uint16)
     whole, rest = divmod(ids, BLOCK_IDS)
     grid = np.zeros((BLOCK_IDS, rows), np.uint16)
-    low, width = np.zeros(rows, np.uint32), np.full(rows, 0xFFFFFFFF, np.uint32)
-    code, at = np.zeros(rows, np.uint32), starts.astype(np.int64).copy()
+    low, width = np.zeros(rows, np.uint64), np.full(rows, (1 << 64) - 1, np.uint64)
+    code, at = np.zeros(rows, np.uint64), starts.astype(np.int64).copy()
     for _ in range(4):
-        code = (code << np.uint32(8)) | data[at]
+        code = (code << _WORD) | data[at]
         at += 1
-    models, every = _Models(rows), np.arange(rows)
+    models, each = _Models(rows), np.uint64(vocabulary)
 
     def shift(r, a):
-        code[r] = (code[r] << np.uint32(8)) | data[at[r]]
+        code[r] = (code[r] << _WORD) | data[at[r]]
         at[r] += 1
 
     for t in range(min(BLOCK_IDS, ids)):
         k = rows if not rest or t < rest else whole
         models.predict(k)
         lo, wi = low[:k], width[:k]
-        wi //= models.sums[3]
-        value = np.minimum((code[:k] - lo) // wi, models.sums[3] - np.uint32(1))
-        symbol = (value >= models.sums[0]).astype(np.int64) + (value >= models.sums[1]) + (value >= models.sums[2])
-        pick = every[:k]
-        freq, upto = models.freq[symbol, pick], models.sums[symbol, pick]
+        wi //= models.total
+        value = (code[:k] - lo) // wi
+        symbol = (value >= (models.sums & _LOW16)).astype(np.int64) + (value >= ((models.sums >> _SHIFTS[1]) & _LOW16)) + (value >= ((models.sums >> _SHIFTS[2]) & _LOW16))
+        part = _SHIFTS[symbol]
+        freq, upto = (models.freq >> part) & _LOW16, (models.sums >> part) & _LOW16
         lo += (upto - freq) * wi
         wi *= freq
-        _renormalise(lo, wi, shift)
         now = np.where(symbol == 0, models.p2, np.where(symbol == 1, models.p1, models.p0))
         miss = np.flatnonzero(symbol == 3)
-        if len(miss):
-            w = wi[miss] // np.uint32(vocabulary)
-            found = np.minimum((code[miss] - lo[miss]) // w, np.uint32(vocabulary - 1))
-            now[miss] = found
-            lo[miss], wi[miss] = lo[miss] + found * w, w
-            _renormalise(lo, wi, shift)
+        w = wi[miss] // each
+        found = np.minimum((code[miss] - lo[miss]) // w, each - np.uint64(1))
+        now[miss] = found
+        lo[miss] += found * w
+        wi[miss] = w
+        _renormalise(lo, wi, shift)
         grid[t, :k] = now
         models.update(k, now, symbol)
     return np.concatenate((grid[:, :whole].T.reshape(-1), grid[:rest, whole] if rest else grid[:0, 0]))

@@ -31,7 +31,7 @@ from .shared import new_path, shuffle_partitions
 from .warc import open_fs
 from .wordhash import _BASE, _WIDE, _power_tables, _space, mix, text_chunks
 
-MAGIC = b"LLIDS001"
+MAGIC = b"LLIDS002"
 FILE_IDS = 8192 * BLOCK_IDS
 #: Pieces whose ids a worker keeps; beyond it starts anew.
 CACHE_PIECES = 3_000_000
@@ -168,8 +168,8 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     lengths = np.frombuffer(table, "<u4", docs, 8 * docs).astype(np.int64)
     sizes = np.frombuffer(table, "<u4", blocks, 12 * docs).astype(np.int64)
     sums = np.frombuffer(table, "<u4", blocks, 12 * docs + 4 * blocks)
-    starts = at + size + np.cumsum(sizes) - sizes
-    found = decode_blocks(np.frombuffer(data + bytes(8), np.uint8), starts, ids, vocabulary)
+    starts = (np.cumsum(sizes) - sizes) // 2
+    found = decode_blocks(np.frombuffer(data[at + size :] + bytes(8), "<u2"), starts, ids, vocabulary)
     for k in range(blocks):
         if zlib.crc32(found[k * block : (k + 1) * block].astype("<u2").tobytes()) != sums[k]:
             raise ValueError(f"block {k} does not have its checksum")
