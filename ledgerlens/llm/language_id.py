@@ -3,8 +3,8 @@
 log posterior(l) = host prior(l) + log P(declared | l) + log P(suffix | l) + TEMPER * log P(text | l), over the known
 languages and "und" (text like none of them).
 
-- Text: hashed byte trigrams of the whole text, naive Bayes. The model is fitted on TRAIN_ROWS labelled rows at most (those
-  with a declared language; the sample and its bound are parameters). "und" gives every trigram the same small probability.
+- Text: hashed byte trigrams of the whole text, naive Bayes. The model is fitted on about TRAIN_ROWS labelled rows (those
+  with a declared language; the size of the sample is a parameter). "und" gives every trigram the same small probability.
 - Declared language and address suffix: their likelihoods are the smoothed shares among all rows that the text alone
   gives to a language, so a declaration counts for as much as it turns out to be worth.
 - Host priors: counts of the text's decisions by grouped aggregation, over all rows, smoothed from host to domain to the
@@ -75,12 +75,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each bucket in each, from (text, label) rows, limit of them at most."""
+    """Languages and the log probability of each bucket in each, from (id, text, label) rows.
+
+    Of more than limit labelled rows a hash of the id takes limit on average, wherever they are.
+    """
     labelled = rows.where("label is not null and text is not null")
     total = labelled.count()
-    sample = labelled
-    if total > limit:
-        sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.1 * limit / total))).limit(limit)
+    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, limit / max(1, total)))).select("text", "label")
     counts = sample.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["label"].unique())
     table = np.full((len(languages), BUCKETS), 0.05)
@@ -96,7 +97,7 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     none = F.lit(None).cast("string")
     parts = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[(none if c is None else c.cast("string")).alias(k) for k, c in parts.items()])
-    languages, table = fit(source.select("text", F.col("declared").alias("label")), train_rows)
+    languages, table = fit(source.select("id", "text", F.col("declared").alias("label")), train_rows)
     model = spark.sparkContext.broadcast(table)
     size = len(languages)
 
