@@ -121,6 +121,7 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = documents.schema[id_col].dataType.simpleString()
     scored, _ = write_table(source.mapInArrow(score, f"id {kind}, declared string, host string, domain string, suffix string, likely array<double>, best int"), "language-scores")
     tallies = [F.sum((F.col("best") == k).cast("long")).alias(f"n{k}") for k in range(size)]
+    tallies.append(F.count("*").alias("rows"))
     total = scored.agg(*tallies).first()
     whole = [((total[k] or 0) + 1.0) for k in range(size)]
     shares = [x / sum(whole) for x in whole] if whole else []
@@ -130,10 +131,10 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return table.withColumn(out, F.array(*[(F.col(f"n{k}") + KAPPA * parent[k]) / (own + KAPPA) for k in range(size)]) if size else F.array().cast("array<double>"))
 
     names = [f"n{k}" for k in range(size)]
-    by_domain = smoothed(scored.groupBy("domain").agg(*tallies), [F.lit(x) for x in shares], "domain_prior").drop(*names)
+    by_domain = smoothed(scored.groupBy("domain").agg(*tallies), [F.lit(x) for x in shares], "domain_prior").drop("rows", *names)
     hosts = scored.groupBy("host", "domain").agg(*tallies)
     hosts = hosts.join(by_domain.withColumnRenamed("domain", "of"), F.col("domain").eqNullSafe(F.col("of")), "left").drop("of")
-    hosts, _ = write_table(smoothed(hosts, [F.col("domain_prior")[k] for k in range(size)], "prior").drop("domain_prior", *names), "language-hosts")
+    hosts, _ = write_table(smoothed(hosts, [F.col("domain_prior")[k] for k in range(size)], "prior").drop("domain_prior", "rows", *names), "language-hosts")
 
     def likelihood(column: str) -> DataFrame:
         found = scored.groupBy(column).agg(*tallies)
