@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, write_table
+from .shared import map_arrow, small, write_table
 from .wordhash import MARKS, _BASE, mix, text_chunks, word_hashes
 
 K1, B = 1.2, 0.75
@@ -213,7 +213,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, o
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    postings, _ = write_table(tests.mapInArrow(_postings, "item long, term long, tf int, length int"), "leak-postings")
+    postings, _ = write_table(map_arrow(tests, _postings, "item long, term long, tf int, length int"), "leak-postings")
     lengths = postings.groupBy("item").agg(F.max("length").alias("length"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
     empty = spark.createDataFrame([], f"{id_col} long, {item_col} long, score double, question_overlap double, answer_overlap double")
@@ -229,7 +229,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, o
         if len(own):
             texts = {r["item"]: r["text"] for r in tests.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).toLocalIterator()}
             index = spark.sparkContext.broadcast(build_index(own, texts))
-            hits = source.mapInArrow(_scan(index, max(32, stats["longest"]), threshold, overlap), "id long, item long, score double, question_overlap double, answer_overlap double")
+            hits = map_arrow(source, _scan(index, max(32, stats["longest"]), threshold, overlap), "id long, item long, score double, question_overlap double, answer_overlap double")
             found = hits if found is None else found.unionByName(hits)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import shuffle_partitions, write_table
+from .shared import map_arrow, shuffle_partitions, write_table
 
 SAMPLE, CENTROIDS, ROWS_PER_CELL, PROBES, BLOCK = 65_536, 4096, 64, 4, 128
 #: Standard errors of the bound on the estimate.
@@ -178,14 +178,14 @@ def _links(vectors: DataFrame, size: int, threshold: float) -> DataFrame:
     sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20))).select("vec").limit(SAMPLE).toPandas()["vec"]
     units = _unit(np.frombuffer(b"".join(sample), np.float64).reshape(-1, size)).astype(np.float32) if len(sample) else np.eye(1, size, dtype=np.float32)
     model = spark.sparkContext.broadcast((fit_centroids(units, k), rotation(size)))
-    placed, _ = write_table(vectors.repartition(shuffle_partitions(spark), "id").mapInArrow(_assign(model, size), "cell int, id long, copies long, vec binary, code binary, factor double, probes binary"), "embed-cells")
+    placed, _ = write_table(map_arrow(vectors.repartition(shuffle_partitions(spark), "id"), _assign(model, size), "cell int, id long, copies long, vec binary, code binary, factor double, probes binary"), "embed-cells")
     cells = placed.groupBy("cell").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     blocked = placed.join(F.broadcast(cells.select("cell", "blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("id", "cell"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     units_of = blocked.select("cell", "id", "copies", "vec", "code", "factor", "probes", "block", other)
     units_of = units_of.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")}).drop("block", "other")
     total = units_of.count()
-    compared = units_of.repartition(max(shuffle_partitions(spark), total // 20_000), "cell", "i", "j").mapInArrow(_compare(threshold, size, model), "kind int, a long, b long")
+    compared = map_arrow(units_of.repartition(max(shuffle_partitions(spark), total // 20_000), "cell", "i", "j"), _compare(threshold, size, model), "kind int, a long, b long")
     return write_table(compared, "embed-links")[0]
 
 
@@ -208,7 +208,7 @@ def near_embeddings(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
                 flat = batch.column(2).flatten().to_numpy().reshape(-1, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in flat], pa.binary())], ["id", "copies", "vec"])
 
-        packed, _ = write_table(own.mapInArrow(pack, "id long, copies long, vec binary"), "embed-vectors")
+        packed, _ = write_table(map_arrow(own, pack, "id long, copies long, vec binary"), "embed-vectors")
         links = _links(packed, size, threshold)
         found = links if found is None else found.unionByName(links)
     if found is None:

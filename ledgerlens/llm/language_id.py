@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small, write_table
+from .shared import map_arrow, small, write_table
 from .wordhash import text_chunks
 
 TRAIN_ROWS = 20_000
@@ -82,7 +82,7 @@ def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray
     labelled = rows.where("label is not null and text is not null")
     total = labelled.count()
     sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, limit / max(1, total)))).select("text", "label")
-    counts = sample.mapInArrow(_count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = map_arrow(sample, _count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["label"].unique())
     table = np.full((len(languages), BUCKETS), 0.05)
     for k, language in enumerate(languages):
@@ -119,7 +119,7 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield pa.RecordBatch.from_arrays([rows.column(0), *[rows.column(c) for c in range(2, 6)], lists, pa.array(best)], ["id", "declared", "host", "domain", "suffix", "likely", "best"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    scored, _ = write_table(source.mapInArrow(score, f"id {kind}, declared string, host string, domain string, suffix string, likely array<double>, best int"), "language-scores")
+    scored, _ = write_table(map_arrow(source, score, f"id {kind}, declared string, host string, domain string, suffix string, likely array<double>, best int"), "language-scores")
     tallies = [F.sum((F.col("best") == k).cast("long")).alias(f"n{k}") for k in range(size)]
     tallies.append(F.count("*").alias("rows"))
     total = scored.agg(*tallies).first()

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import drop_table, shuffle_partitions, small, write_table
+from .shared import drop_table, map_arrow, shuffle_partitions, small, write_table
 from .wordhash import mix, shingle_sets, text_chunks
 
 #: Bits of a bitmap for each n-gram of the text (rounded up to a power of two), and the least and most bits.
@@ -36,7 +36,7 @@ BITS_PER_GRAM, LEAST_BITS, MOST_BITS = 2, 256, 1 << 17
 #: N-grams whose counts are kept for the order, at most, and the least count.
 HOT_ROWS, HOT_COUNT = 1_000_000, 32
 #: Hashes whose repeats are counted at once in a task.
-WINDOW = 4_000_000
+WINDOW = 1_500_000
 #: Largest group that is searched by a tree; rows of a group that may be together in one partition; texts of a block.
 TREE_ROWS, SPLIT_ROWS, BLOCK = 256, 20_000, 64
 LEAF, FANOUT = 8, 4
@@ -363,7 +363,7 @@ def _in_units(units: DataFrame, percent: int) -> DataFrame:
     """Links within units: rows (x, y, id, grams)."""
     count = units.select("x", "y", "id").count()
     parts = max(shuffle_partitions(units.sparkSession), count // 4096)
-    return units.repartition(parts, "x", "y").mapInArrow(_verify(percent), "a long, b long")
+    return map_arrow(units.repartition(parts, "x", "y"), _verify(percent), "a long, b long")
 
 
 def _exact_links(pieces: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -402,7 +402,7 @@ def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, id_col:
     """id, n_shingles and component_id (the smallest id that links of Jaccard >= percent / 100 reach), one row per input row."""
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    described, described_path = write_table(source.mapInArrow(_describe(size), "kind int, id long, n int, fp1 long, fp2 long, bits binary"), "ngram-described")
+    described, described_path = write_table(map_arrow(source, _describe(size), "kind int, id long, n int, fp1 long, fp2 long, bits binary"), "ngram-described")
     texts = described.where("kind = 0").drop("kind")
 
     classes = texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"))
@@ -417,22 +417,22 @@ def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, id_col:
     own = members.where("id is not null").groupBy("id").agg(F.max((F.col("id") == F.col("rep")).cast("int")).alias("first"), F.count("*").alias("rows"))
     copies = own.where("first = 0").select("id")
     single = source.where("id is not null").join(small(copies), "id", "left_anti")
-    keys = single.mapInArrow(_prefixes(size, percent, hot), "key long, salt int, id long, n int, pos int")
+    keys = map_arrow(single, _prefixes(size, percent, hot), "key long, salt int, id long, n int, pos int")
     total = texts.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
     parts = max(shuffle_partitions(spark), int(total // 1_000_000))
-    shared, _ = write_table(keys.repartition(parts, "key", "salt").mapInArrow(_shared(percent), "key long, id long, n int, rest int, rows int"), "ngram-shared")
+    shared, _ = write_table(map_arrow(keys.repartition(parts, "key", "salt"), _shared(percent), "key long, id long, n int, rest int, rows int"), "ngram-shared")
 
     in_trees = shared.where(f"rows between 0 and {TREE_ROWS}")
     rows = in_trees.count()
     signed = in_trees.join(texts.select("id", "n", "bits"), ["id", "n"])
-    pruned = signed.repartition(max(shuffle_partitions(spark), rows // 40_000), "key").mapInArrow(_candidates(percent), "a long, b long")
+    pruned = map_arrow(signed.repartition(max(shuffle_partitions(spark), rows // 40_000), "key"), _candidates(percent), "a long, b long")
     wide = shared.where(f"rows < 0 or rows > {TREE_ROWS}")
     stars = wide.join(wide.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b").where("a <> b")
     edges, _ = write_table(pruned.unionByName(stars).distinct(), "ngram-edges")
     pieces, _ = write_table(components(edges), "ngram-pieces")
 
     needed = source.join(small(pieces.select(F.col("node").alias("id"))), "id", "left_semi")
-    links = _exact_links(pieces, needed.mapInArrow(_sets(size), "id long, grams binary"), percent)
+    links = _exact_links(pieces, map_arrow(needed, _sets(size), "id long, grams binary"), percent)
     repeated = members.join(own.where("rows > 1").select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     found, _ = write_table(components(links.unionByName(repeated)), "ngram-components")
     drop_table(spark, described_path)

@@ -27,14 +27,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .range_coder import BLOCK_IDS, decode_blocks, encode_blocks
-from .shared import new_path, shuffle_partitions
+from .shared import map_arrow, new_path, shuffle_partitions
 from .warc import open_fs
 from .wordhash import _BASE, _WIDE, _power_tables, _space, mix, text_chunks
 
 MAGIC = b"LLIDS002"
-FILE_IDS = 8192 * BLOCK_IDS
+FILE_IDS = 6144 * BLOCK_IDS
 #: Pieces whose ids a worker keeps; beyond it starts anew.
-CACHE_PIECES = 3_000_000
+CACHE_PIECES = 1_500_000
 INDEX = "part int, seq int, path string, docs long, ids long"
 DOCUMENT = "path string, place int, doc_id long, offset long, n_tokens long, ids_crc32 long"
 
@@ -213,7 +213,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int, folder: str
         if docs:
             yield save()
 
-    ranged.mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
+    map_arrow(ranged, run, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -235,4 +235,4 @@ def read_tokens(spark: SparkSession, index: DataFrame) -> DataFrame:
     parts = index.groupBy("part").agg(F.sum("ids").alias("all")).select("part", F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = index.join(parts, "part").select("path", (F.col("before") + F.coalesce(F.sum("ids").over(inside), F.lit(0))).alias("start"))
-    return placed.repartition(max(shuffle_partitions(spark), 1)).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(placed.repartition(max(shuffle_partitions(spark), 1)), run, "doc_id long, start long, n_tokens long, ids_crc32 long")

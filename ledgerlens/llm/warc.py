@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import new_path, small
+from .shared import map_arrow, new_path, small
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
@@ -181,7 +181,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-    plan_records(pages, id_col, url_col, payload_col, min_revisit_bytes).mapInArrow(pack, INDEX).write.parquet(f"{folder}/index")
+    map_arrow(plan_records(pages, id_col, url_col, payload_col, min_revisit_bytes), pack, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index")
 
 
@@ -207,4 +207,4 @@ def read_warc(spark: SparkSession, index: DataFrame, payloads: bool = True) -> D
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in kinds.items()], list(kinds))
 
     files = index.select("bundle").distinct()
-    return files.mapInArrow(unpack, RECORD if payloads else RECORD.rpartition(",")[0])
+    return map_arrow(files, unpack, RECORD if payloads else RECORD.rpartition(",")[0])
