@@ -22,10 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_table, write_table
+from .shared import drop_table, small, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
+#: Classes up to which their table is broadcast.
+CLASS_ROWS = 150_000
 DOC = ["doc", "tie"]
 
 
@@ -46,7 +48,9 @@ def line_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows (doc, tie, seq, *keys) whose keys occur at two positions at least, with name: the first such position."""
     classes = rows.groupBy(*keys).agg(F.min(_position()).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    classes = classes.select(*[F.col(k).alias(f"of_{k}") for k in keys], "name")
+    # Written first, so the join deals both sides anew and Spark can split a line that very many documents share.
+    classes, _ = write_table(classes.select(*[F.col(k).alias(f"of_{k}") for k in keys], "name"), "line-names")
+    classes = small(classes, CLASS_ROWS)
     return rows.join(classes, [F.col(k) == F.col(f"of_{k}") for k in keys]).drop(*[f"of_{k}" for k in keys])
 
 

@@ -48,9 +48,9 @@ def drop_table(spark: SparkSession, *paths: str) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, else df: then the join shuffles."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows, else df: then the join shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
