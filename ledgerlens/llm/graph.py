@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, write_table
+from .shared import drop_table, shuffle_partitions, write_table
+
+EDGES_PER_TASK = 50_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,21 +20,23 @@ def components(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    nodes = edges.select("a").union(edges.select("b")).distinct()
-    now, path = write_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
+    given, _ = write_table(edges, "edges-given")
+    nodes = given.select("a").union(given.select("b")).distinct()
+    now, path = write_table(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before, rows = None, now.count()
+    while rows:
+        # Tasks follow the number of edges left, so many small rounds stay cheap.
+        tasks = min(shuffle_partitions(spark), 1 + rows // EDGES_PER_TASK)
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large, large_path = write_table(large.where("a <> b").distinct(), "large-star")
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large, large_path = write_table(large.coalesce(tasks).distinct().coalesce(tasks), "large-star")
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         star = large.join(small, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        after, after_path = write_table(star.where("a <> b").distinct(), "small-star")
-        drop_table(spark, large_path)
+        after, after_path = write_table(star.where("a <> b").coalesce(tasks).distinct().coalesce(tasks), "small-star")
         state = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        drop_table(spark, path)
-        now, path = after, after_path
+        drop_table(spark, large_path, path)
+        now, path, rows = after, after_path, state[0]
         if state == before:
             break
         before = state
