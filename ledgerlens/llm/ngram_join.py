@@ -40,6 +40,8 @@ WINDOW = 1_500_000
 #: Largest group that is searched by a tree; rows of a group that may be together in one partition; texts of a block.
 TREE_ROWS, SPLIT_ROWS, BLOCK = 256, 20_000, 64
 LEAF, FANOUT = 8, 4
+#: Sets with copies up to which their table is broadcast.
+CLASS_ROWS = 200_000
 
 
 def _flat(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -405,8 +407,9 @@ def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, id_col:
     described, described_path = write_table(map_arrow(source, _describe(size), "kind int, id long, n int, fp1 long, fp2 long, bits binary"), "ngram-described")
     texts = described.where("kind = 0").drop("kind")
 
-    classes = texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"))
-    named = texts.drop("bits").alias("t").join(classes.alias("c"), ["fp1", "fp2", "n"], "left")
+    # Written first, so the join deals both sides anew and Spark can split a set that very many texts share.
+    classes, _ = write_table(texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "ngram-classes")
+    named = texts.drop("bits").alias("t").join(small(classes, CLASS_ROWS).alias("c"), ["fp1", "fp2", "n"], "left")
     members, _ = write_table(named.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "ngram-members")
 
     often = described.where("kind = 1").groupBy("fp1").agg(F.sum("n").alias("count")).where(f"count >= {HOT_COUNT}").orderBy(F.desc("count"), "fp1").limit(HOT_ROWS).toPandas()
