@@ -12,8 +12,11 @@ Passages are windows of twice the longest item, at steps of that item's length,
 digits, case and punctuation aside), so every span as long as an item is whole in one. Documents are scanned once per
 shard of the index and not shuffled; an index of over SHARD_POSTINGS postings is cut into shards, with statistics of all.
 
+Rows of the benchmark that are equal in id and text are one item; texts that share an item id are matched each by itself
+and reported once, by the best of them.
+
 Edge cases: null or empty texts match nothing; an item without words is left out; items of the same text are all reported;
-a document repeated is reported again; an empty table on either side gives an empty result; other columns are ignored.
+find_leaks leaves out items without an id, clean_documents does not; a document repeated is reported again; an empty table on either side gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -168,7 +171,9 @@ def retrieve(index: Index, passage: np.ndarray, term: np.ndarray, threshold: flo
 
 def _scan(index_of, step: int, threshold: float, overlap: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of.value
+        index, names = index_of.value
+        first_of: dict[int, int] = {}
+        owner = [i if name is None else first_of.setdefault(name, i) for i, name in enumerate(names)]
         seen = np.zeros(1 << 20, bool)
         seen[(index.hashes >> np.uint64(44)).astype(np.int64)] = True
         terms = len(index.hashes)
@@ -197,23 +202,24 @@ def _scan(index_of, step: int, threshold: float, overlap: float):
                     shares = []
                     for size, grams in (index.question[i], index.answer[i]):
                         shares.append(len(np.intersect1d(grams, _grams(own, size))) / len(grams) if len(grams) else 1.0)
-                    if min(shares) >= overlap and s > best.get((t, i), (0,))[0]:
-                        best[t, i] = (s, *shares)
+                    if min(shares) >= overlap and s > best.get((t, owner[i]), (0,))[0]:
+                        best[t, owner[i]] = (s, *shares)
                 if best:
                     rows = sorted(best)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array([first + t for t, _ in rows])), pa.array(index.ids[[i for _, i in rows]]), *[pa.array(np.round([best[r][k] for r in rows], 6)) for k in range(3)]], ["id", "item", "score", "question_overlap", "answer_overlap"]
+                        [batch.column(0).take(pa.array([first + t for t, _ in rows])), pa.array([names[i] for _, i in rows], pa.int64()), *[pa.array(np.round([best[r][k] for r in rows], 6)) for k in range(3)]], ["id", "item", "score", "question_overlap", "answer_overlap"]
                     )
 
     return run
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_postings: int = SHARD_POSTINGS) -> DataFrame:
-    """id, item, score, question_overlap and answer_overlap (shares of the best passage): one row per document and item found."""
+def _leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """What find_leaks returns, and the items without an id, each of whose texts is an item of its own."""
     spark = documents.sparkSession
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    tests = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").alias("text")).where("item is not null and text is not null")
-    postings, _ = write_table(map_arrow(tests, _postings, "item long, term long, tf int, length int"), "leak-postings")
+    named = items.select(F.col(item_col).cast("long").alias("name"), F.col(item_text_col).cast("string").alias("text")).where("text is not null").distinct()
+    tests, _ = write_table(named.withColumn("item", F.monotonically_increasing_id()), "leak-items")
+    postings, _ = write_table(map_arrow(tests.select("item", "text"), _postings, "item long, term long, tf int, length int"), "leak-postings")
     lengths = postings.groupBy("item").agg(F.max("length").alias("length"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.max("length").alias("longest")).first()
     empty = spark.createDataFrame([], f"{id_col} long, {item_col} long, score double, question_overlap double, answer_overlap double")
@@ -222,20 +228,31 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, o
     idf = postings.groupBy("term").agg(F.log(1 + (stats["n"] - F.count("*") + 0.5) / (F.count("*") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / stats["mean"]))
     shards = -(-postings.count() // shard_postings)
-    weighed, _ = write_table(postings.join(idf, "term").select("item", "term", weight.alias("weight"), F.pmod(F.xxhash64("item"), F.lit(shards)).alias("shard")), "leak-index")
+    # The texts of an item id share a shard, so that its best one is found in one scan.
+    shard_of = tests.select("item", F.pmod(F.xxhash64(F.coalesce("name", "item")), F.lit(shards)).alias("shard"))
+    weighed, _ = write_table(postings.join(idf, "term").join(small(shard_of), "item").select("item", "term", weight.alias("weight"), "shard"), "leak-index")
     found = None
     for shard in range(shards):
         own = weighed.where(F.col("shard") == shard).select("item", "term", "weight").toPandas()
         if len(own):
-            texts = {r["item"]: r["text"] for r in tests.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).toLocalIterator()}
-            index = spark.sparkContext.broadcast(build_index(own, texts))
+            rows = tests.where(F.pmod(F.xxhash64(F.coalesce("name", "item")), F.lit(shards)) == shard).toLocalIterator()
+            texts, names = {}, {}
+            for r in rows:
+                texts[r["item"]], names[r["item"]] = r["text"], r["name"]
+            built = build_index(own, texts)
+            index = spark.sparkContext.broadcast((built, [names[int(i)] for i in built.ids]))
             hits = map_arrow(source, _scan(index, max(32, stats["longest"]), threshold, overlap), "id long, item long, score double, question_overlap double, answer_overlap double")
             found = hits if found is None else found.unionByName(hits)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_postings: int = SHARD_POSTINGS) -> DataFrame:
+    """id, item, score, question_overlap and answer_overlap (shares of the best passage): one row per document and item found."""
+    return _leaks(documents, items.where(F.col(item_col).isNotNull()), threshold, overlap, id_col, text_col, item_col, item_text_col, shard_postings)
+
+
 def clean_documents(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The documents without those that hold a test item."""
-    leaks = find_leaks(documents, items, id_col=id_col, **options).select(F.col(id_col).alias("__leak")).distinct()
+    leaks = _leaks(documents, items, id_col=id_col, **options).select(F.col(id_col).alias("__leak")).distinct()
     leaks, _ = write_table(leaks, "leaks")
     return documents.join(small(leaks), documents[id_col] == F.col("__leak"), "left_anti")

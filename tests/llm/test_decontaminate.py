@@ -83,3 +83,27 @@ def test_edge_cases(spark):
     assert found(spark, [], items) == set() and found(spark, docs, []) == set()
     kept = decontaminate.clean_documents(frame, spark.createDataFrame(items, ITEMS))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4] and kept.columns == frame.columns
+
+
+@pytest.mark.parametrize("times", (2, 3))
+def test_repeated_benchmark_rows_change_nothing(spark, times):
+    docs, items, leaks = planted(5)
+    part = [(200 + k, " ".join(w for n, w in enumerate(items[k][1].split()) if n != 3)) for k in range(0, 30, 7)]
+    once = spark.createDataFrame(docs + part, DOCS)
+    rows = [tuple(r) for r in decontaminate.find_leaks(once, spark.createDataFrame(items, ITEMS)).collect()]
+    again = [tuple(r) for r in decontaminate.find_leaks(once, spark.createDataFrame(items * times, ITEMS)).collect()]
+    assert sorted(rows) == sorted(again) and {r[:2] for r in again} == leaks | {(200 + k, k) for k in range(0, 30, 7)}
+    kept = decontaminate.clean_documents(once, spark.createDataFrame(items * times, ITEMS))
+    assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - {d for d, _ in leaks}
+
+
+def test_texts_of_one_item_id_and_items_without_an_id(spark):
+    rng = random.Random(6)
+    first, second, third = (" ".join(words(rng, 25)) for _ in range(3))
+    items = [(1, first), (1, second), (1, second), (None, third), (None, third)]
+    docs = [(1, first), (2, second), (3, f"{first} {second}"), (4, third), (5, " ".join(words(rng, 50)))]
+    for shard_postings in (20, 10_000):
+        out = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), shard_postings=shard_postings)
+        assert sorted((r["doc_id"], r["item_id"]) for r in out.collect()) == [(1, 1), (2, 1), (3, 1)]
+        kept = decontaminate.clean_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), shard_postings=shard_postings)
+        assert [r["doc_id"] for r in kept.collect()] == [5]
