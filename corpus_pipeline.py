@@ -1,7 +1,8 @@
 """From raw documents to token files, in stages that each write and read Parquet.
 
 Counted as part of ledgerlens.llm. Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with
-their columns; the last returns what the token files hold of each document.
+their columns; the last returns what the token files hold of each document. Decisions are on rows, by a number that each
+stage gives them: ids may be null or repeated.
 """
 
 from __future__ import annotations
@@ -11,23 +12,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, language_id, mixing, ngram_join, token_files
-from ledgerlens.llm.shared import small, write_table
+from ledgerlens.llm.shared import ROW, small, with_row_key, write_table
 
 
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """docs without the ids in out (doc_id), which are written first."""
-    ids, _ = write_table(out.where("doc_id is not null").select(F.col("doc_id").alias("__out")).distinct(), "stage-out")
-    return docs.join(small(ids), docs["doc_id"] == F.col("__out"), "left_anti")
+    """docs (with_row_key) without the rows in out, whose numbers are written first."""
+    rows, _ = write_table(out.select(F.col(ROW).alias("__out")), "stage-out")
+    return docs.join(small(rows), docs[ROW] == F.col("__out"), "left_anti").drop(ROW)
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is unknown or doubtful."""
-    return _without(docs, language_id.language_documents(docs).where("not kept"))
+    docs = with_row_key(docs)
+    return _without(docs, language_id.language_documents(docs, id_col=ROW, sample_col="doc_id").where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return _without(docs, ngram_join.join_ngrams(docs).where("doc_id <> component_id"))
+    """Keeps the document with the smallest id of each group of near copies, one without an id only if none has one."""
+    docs = with_row_key(docs)
+    groups, _ = write_table(ngram_join.join_ngrams(docs, id_col=ROW).select(ROW, "component_id"), "stage-groups")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
+    first = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
+    return _without(docs, groups.join(first.select(ROW), ROW, "left_anti"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

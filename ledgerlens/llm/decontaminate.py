@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, small, write_table
+from .shared import ROW, map_arrow, small, with_row_key, write_table
 from .wordhash import MARKS, _BASE, mix, text_chunks, word_hashes
 
 K1, B = 1.2, 0.75
@@ -252,7 +252,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, o
 
 
 def clean_documents(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that hold a test item."""
-    leaks = _leaks(documents, items, id_col=id_col, **options).select(F.col(id_col).alias("__leak")).distinct()
+    """The documents without those that hold a test item, each row judged by its own text whatever its id."""
+    keyed = with_row_key(documents)
+    leaks = _leaks(keyed, items, id_col=ROW, **options).select(F.col(ROW).alias("__leak")).distinct()
     leaks, _ = write_table(leaks, "leaks")
-    return documents.join(small(leaks), documents[id_col] == F.col("__leak"), "left_anti")
+    return keyed.join(small(leaks), keyed[ROW] == F.col("__leak"), "left_anti").drop(ROW)

@@ -91,13 +91,16 @@ def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray
     return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, min_confidence: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """id, language, confidence, text_language (of the text alone) and kept, one row per input row."""
+def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, min_confidence: float = 0.5, train_rows: int = TRAIN_ROWS, sample_col: str | None = None) -> DataFrame:
+    """id, language, confidence, text_language (of the text alone) and kept, one row per input row.
+
+    sample_col is the column whose hash takes the training sample, the id by default.
+    """
     spark = documents.sparkSession
     none = F.lit(None).cast("string")
     parts = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[(none if c is None else c.cast("string")).alias(k) for k, c in parts.items()])
-    languages, table = fit(source.select("id", "text", F.col("declared").alias("label")), train_rows)
+    languages, table = fit(documents.select(F.col(sample_col or id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (none if declared is None else declared.cast("string")).alias("label")), train_rows)
     model = spark.sparkContext.broadcast(table)
     size = len(languages)
 
@@ -165,6 +168,6 @@ def identify_pages(pages: DataFrame, **options) -> DataFrame:
     return identify(pages, "page_id", "html", declared=F.when(declared != "", declared), host=F.when(host != "", host), domain=F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), suffix=F.regexp_extract(host, r"\.([^.]+)$", 1), **options)
 
 
-def language_documents(documents: DataFrame, **options) -> DataFrame:
+def language_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Documents: the declared language is lang, the host is source."""
-    return identify(documents, "doc_id", "text", declared=F.col("lang"), host=F.col("source"), **options)
+    return identify(documents, id_col, "text", declared=F.col("lang"), host=F.col("source"), **options)

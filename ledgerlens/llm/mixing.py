@@ -12,7 +12,8 @@ in one task: sources are a configured dimension, not rows of the corpus.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; size 0 takes nothing; rows of
 the same id and size share their decision only if equal in all that orders them; a null id orders as an empty one; an
-empty table gives an empty result; a corpus without words has targets 0. Other columns pass through mixed_documents.
+empty table gives an empty result; a corpus without words has targets 0. Other columns pass through mixed_documents,
+where a number for each row decides between rows of the same id and size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import running_sum, shuffle_partitions, small, write_table
+from .shared import ROW, running_sum, shuffle_partitions, small, with_row_key, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The order digest has this many bits.
@@ -49,16 +50,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, epo
     return found.select("source", "source_size", "weight", F.least("most", F.col("weight") * F.col("level")).alias("target"), "level", "budget")
 
 
-def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, epochs: int = 2, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
     """id, size, source_size, target, taken (tokens the mix takes, repeats counted) and copies, one row per document.
 
-    epochs is 2: a document is taken not at all, once or twice.
+    epochs is 2: a document is taken not at all, once or twice. row_col, a number for each row, is the last to order by
+    and is returned too.
     """
     if epochs != 2:
         raise ValueError("a document can be taken twice at most")
     spark = documents.sparkSession
+    key = [] if row_col is None else ["row_key"]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    base = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(row_col).alias(k) for k in key])
     base, _ = write_table(base.withColumn("digest", order_digest(F.col("doc_id"), seed)), "mix-sizes")
     rows = base.count()
     per_range = max(64, rows // (16 * shuffle_partitions(spark)))
@@ -70,21 +73,21 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     level, budget = cut["level"] or 0.0, cut["budget"] or 0.0
 
     ranged = base.withColumn("part", F.shiftright("digest", BITS - bits))
-    queued = running_sum(ranged, ["source"], "part", ["digest", "doc_id", "size"], "size", "tokens")
+    queued = running_sum(ranged, ["source"], "part", ["digest", "doc_id", "size", *key], "size", "tokens")
     known = F.broadcast(targets) if targets.count() <= 100_000 else targets
     queued = queued.join(known.withColumnRenamed("source", "of"), queued["source"].eqNullSafe(F.col("of")), "left")
     ranges = 1 << bits
     queued = queued.withColumns({"first": F.col("tokens") / F.col("weight"), "second": (F.col("tokens") + F.col("source_size")) / F.col("weight")})
     place = lambda c: F.least(F.floor(F.col(c) / F.lit(level or 1.0) * ranges), F.lit(4 * ranges)).cast("long")
-    queued, _ = write_table(queued.withColumns({"first_range": place("first"), "second_range": place("second")}).select("doc_id", "size", "digest", "source_size", "target", "first", "second", "first_range", "second_range"), "mix-queue")
+    queued, _ = write_table(queued.withColumns({"first_range": place("first"), "second_range": place("second")}).select("doc_id", "size", "digest", "source_size", "target", "first", "second", "first_range", "second_range", *key), "mix-queue")
 
-    copies = queued.select("doc_id", "size", "digest", F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.col("first").alias("finish"), F.col("first_range").alias("range")), F.struct(F.lit(1).alias("copy"), F.col("second").alias("finish"), F.col("second_range").alias("range")))).alias("c")).select("doc_id", "size", "digest", "c.*")
+    copies = queued.select("doc_id", "size", "digest", *key, F.explode(F.array(F.struct(F.lit(0).alias("copy"), F.col("first").alias("finish"), F.col("first_range").alias("range")), F.struct(F.lit(1).alias("copy"), F.col("second").alias("finish"), F.col("second_range").alias("range")))).alias("c")).select("doc_id", "size", "digest", *key, "c.*")
     sums = copies.groupBy("range").agg(F.sum("size").alias("sum"))
     upto = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
     crossing = sums.withColumn("upto", F.sum("sum").over(upto)).where(F.col("upto") > budget).orderBy("range").first()
     last, before = (crossing["range"], crossing["upto"] - crossing["sum"]) if crossing else (8 * ranges, 0)
     inside = copies.where(F.col("range") == last)
-    order = ["finish", "digest", "doc_id", "copy"]
+    order = ["finish", "digest", "doc_id", "copy", *key]
     running = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) + F.lit(before)
     final = inside.withColumn("upto", running).where(F.col("upto") <= budget).agg(F.max(F.struct(*order)).alias("end")).first()["end"] if crossing else None
 
@@ -92,16 +95,17 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
         whole = F.col(place) < last
         if final is None:
             return whole.cast("long")
-        end = F.struct(F.lit(final["finish"]).cast("double").alias("a"), F.lit(final["digest"]).cast("long").alias("b"), F.lit(final["doc_id"]).cast(base.schema["doc_id"].dataType).alias("c"), F.lit(final["copy"]).alias("d"))
-        own = F.struct(F.col(finish).alias("a"), F.col("digest").alias("b"), F.col("doc_id").alias("c"), F.lit(copy).alias("d"))
+        end = F.struct(F.lit(final["finish"]).cast("double").alias("a"), F.lit(final["digest"]).cast("long").alias("b"), F.lit(final["doc_id"]).cast(base.schema["doc_id"].dataType).alias("c"), F.lit(final["copy"]).alias("d"), *[F.lit(final[k]).cast("long").alias("e") for k in key])
+        own = F.struct(F.col(finish).alias("a"), F.col("digest").alias("b"), F.col("doc_id").alias("c"), F.lit(copy).alias("d"), *[F.col(k).alias("e") for k in key])
         return (whole | ((F.col(place) == last) & (own <= end))).cast("long")
 
     queued = queued.withColumn("copies", taken("first", "first_range", 0) + taken("second", "second_range", 1))
-    return queued.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return queued.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *[F.col(k).alias(row_col) for k in key])
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns. Ids must be distinct."""
-    taken = mix_sources(documents, id_col=id_col, **options).where("copies > 0").select(F.col(id_col).alias("__taken_id"), F.col("copies").cast("int").alias("__copies"))
-    joined = documents.join(small(taken), documents[id_col] == F.col("__taken_id"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[documents[c] for c in documents.columns])
+    """The mix itself: each document as often as it is taken, with all its columns. Ids may be null or repeated."""
+    keyed = with_row_key(documents)
+    taken = mix_sources(keyed, id_col=id_col, row_col=ROW, **options).where("copies > 0").select(F.col(ROW).alias("__taken_row"), F.col("copies").cast("int").alias("__copies"))
+    joined = keyed.join(small(taken), keyed[ROW] == F.col("__taken_row"))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[keyed[c] for c in documents.columns])

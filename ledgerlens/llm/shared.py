@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a one-long-column side up to which a join may broadcast it (about 64 MB in the JVM).
 BROADCAST_ROWS = 500_000
-
+#: Column of with_row_key.
+ROW = "__row"
 
 _own: dict[str, str] = {}
 
@@ -41,6 +42,11 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """df with a number for each row (ROW), written so that it stays: ids may be null or repeated, numbers are neither."""
+    return write_table(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed")[0]
+
+
 def drop_table(spark: SparkSession, *paths: str) -> None:
     """Deletes tables of write_table that nothing reads any more."""
     for path in paths:

@@ -48,3 +48,17 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert len(out) == 3 and all(r["source_size"] == 5 for r in out)
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     assert [r["taken"] for r in mixing.mix_sources(spark.createDataFrame([(1, None, "x")], SCHEMA)).collect()] == [0]
+
+
+def test_the_mix_takes_rows_with_null_and_repeated_ids_as_often_as_it_counts_them(spark):
+    rows = [*rows_of(60), *[(7, "a b c", "s1")] * 40, *[(None, f"n{k} x", "s2") for k in range(30)], *[(8, f"t{k} y z", "s1") for k in range(20)]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    words = lambda t: len(t.split())
+    budget = 1.5 * sum(words(r[1]) for r in rows)
+    out = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    assert budget - 60 <= sum(words(r[1]) for r in out) <= budget
+    assert all(out.count(r) <= 2 * rows.count(r) for r in set(out)) and set(out) <= set(rows)
+    assert any(r[0] is None for r in out)
+    taken = mixing.mix_sources(docs).toPandas()
+    for of, own in (("null", taken["doc_id"].isna()), ("7", taken["doc_id"] == 7), ("8", taken["doc_id"] == 8)):
+        assert sum(words(r[1]) for r in out if str(r[0]).replace("None", "null") == of) == taken[own]["taken"].sum()

@@ -75,3 +75,22 @@ def test_running_sum_over_ranges(spark):
         total[g] = total.get(g, 0) + v
         want[k] = total[g]
     assert {r["k"]: r["s"] for r in out.collect()} == want
+
+
+def test_stages_judge_rows_with_null_and_repeated_ids_by_themselves(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string"
+    text = lambda k: " ".join(f"{w}{k}" for w in ("amber", "birch", "cedar", "delta", "ember", "flint", "grove", "heath", "inlet", "jetty"))
+    test_item = "which river runs through the old mill town near the hills? the silver one by the bridge"
+
+    def stage(f, rows):
+        spark.createDataFrame([(1, test_item)], "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+        return sorted(((r["doc_id"], r["text"]) for r in f(spark, spark.createDataFrame(rows, schema), str(tmp_path)).collect()), key=str)
+
+    rows = [(1, text("a"), "en", "x"), (None, text("a"), "en", "x"), (2, text("b"), "en", "x"), (2, text("b"), "en", "x"), (2, text("c"), "en", "x"), (None, text("d"), "en", "x"), (None, text("d"), "en", "x"), (0, text("c"), "en", "x")]
+    assert stage(corpus_pipeline.drop_near_copies, rows) == sorted([(1, text("a")), (2, text("b")), (0, text("c")), (None, text("d"))], key=str)
+    rows = [(3, test_item, "en", "x"), (3, text("e"), "en", "x"), (None, test_item, "en", "x"), (None, text("f"), "en", "x")]
+    assert stage(corpus_pipeline.drop_benchmark_leaks, rows) == sorted([(3, text("e")), (None, text("f"))], key=str)
+    english = [(k, f"the people of the town and their {w} are here with the others", "en", "x") for k, w in enumerate("house river garden bridge market".split() * 8)]
+    odd = "\u0416\u0449\u042e \u042a\u044d\u0424 " * 20
+    kept = stage(corpus_pipeline.identify_languages, [*english, (0, odd, None, "y"), (None, odd, None, "y"), (None, english[0][1], "en", "x")])
+    assert kept == sorted([*[r[:2] for r in english], (None, english[0][1])], key=str)
