@@ -90,3 +90,22 @@ def test_one_failing_prompt_does_not_stop_the_others(spark):
 
     rows = answer.generate(spark.createDataFrame([(1, "good"), (2, "bad")], "qid int, prompt string"), model).orderBy("qid").collect()
     assert rows[0]["answer"] == "GOOD" and rows[0]["error"] is None and rows[1]["answer"] is None and "no" in rows[1]["error"]
+
+
+def test_greedy_cover_orders_the_whole_pool(spark):
+    import random
+
+    from ledgerlens.plans.queries import QUERIES
+
+    rng = random.Random(1)
+    needs = {q: set(rng.sample([f"d{k}" for k in range(14)], rng.randrange(1, 5))) for q in range(30)}
+    order, pool = [], set().union(*needs.values())
+    while pool:
+        scores = {d: (sum(s - {x for x, _, _ in order} == {d} for s in needs.values()), sum(d in s for s in needs.values()), d) for d in pool}
+        best = max(pool, key=scores.get)
+        order.append((best, *scores[best][:2]))
+        pool.discard(best)
+    frame = spark.createDataFrame([(q, d) for q, s in needs.items() for d in s] * 2, "qid long, doc string")
+    assert corpus.greedy_cover(frame) == order and corpus.greedy_cover(frame, 3) == order[:3]
+    assert corpus.greedy_cover(frame.limit(0)) == []
+    assert QUERIES["greedy_cover"](spark, "/root/testdata/sf0.01").count() == 100
