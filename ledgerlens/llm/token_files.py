@@ -1,7 +1,7 @@
 """Token-id files: whole texts tokenised, range-coded in independently reset, checksummed blocks, in ascending id order.
 
-A file holds up to FILE_IDS ids: a header, the documents' ids and lengths, the blocks' lengths and checksums, and the
-blocks (range_coder). Texts are range-partitioned and sorted by document id; each task writes the files of its range under
+A file holds up to FILE_IDS ids: a header, the documents' ids and lengths, the blocks' lengths and checksums, the
+frequencies of its ids (order 0), and the blocks (range_coder). Texts are range-partitioned and sorted by document id; each task writes the files of its range under
 random names, and only files that the committed index names count. A document's start is its place in its file plus the
 ids of all files before it, which are summed by partition first.
 
@@ -16,6 +16,7 @@ ordered by a hash of their text; an empty table writes no file; other columns ar
 
 from __future__ import annotations
 
+import hashlib
 import struct
 import uuid
 import zlib
@@ -26,15 +27,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .range_coder import BLOCK_IDS, decode_blocks, encode_blocks
+from .range_coder import BLOCK_IDS, decode_blocks, encode_blocks, frequencies, pack_frequencies, unpack_frequencies
 from .shared import map_arrow, new_path, shuffle_partitions
 from .warc import open_fs
 from .wordhash import _BASE, _WIDE, _power_tables, _space, mix, text_chunks
 
-MAGIC = b"LLIDS002"
+MAGIC = b"LLIDS003"
 FILE_IDS = 6144 * BLOCK_IDS
-#: Pieces whose ids a worker keeps; beyond it starts anew.
-CACHE_PIECES = 1_500_000
+#: Pieces whose ids a worker keeps; beyond it starts anew. Bits of each half of the table of pieces.
+CACHE_PIECES, TABLE_BITS = 1_500_000, 21
+#: Words that the tokenizers library encodes as one text.
+WORDS_AT_ONCE = 1024
 INDEX = "part int, seq int, path string, docs long, ids long"
 DOCUMENT = "path string, place int, doc_id long, offset long, n_tokens long, ids_crc32 long"
 
@@ -71,7 +74,12 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class PieceEncoder:
-    """Ids of texts through a table of pieces that have been encoded before."""
+    """Ids of texts through a table of pieces that have been encoded before.
+
+    A piece is known by a 64-bit hash of its bytes, A-Z taken as a-z; one that holds ``<|`` by a hash of its very bytes,
+    since special tokens are told apart by case. A hash has two places in the table; a piece that finds both taken by
+    others replaces one, and the other is encoded anew when it comes again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -84,24 +92,75 @@ class PieceEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.first, self.length = np.zeros(0, _WIDE), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table = np.zeros(2 << TABLE_BITS, np.int32)  # piece 0 is none
+        self.hash, self.first, self.length = np.zeros(1, _WIDE), np.zeros(1, np.int64), np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint16)
 
-    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces end to end, and how many each has. Letters are encoded many at once, as words of one text."""
-        letters = [k for k, p in enumerate(pieces) if p.isalpha()]
-        found: list = [None] * len(pieces)
-        for at in range(0, len(letters), 4096):
-            group = letters[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(pieces[k] for k in group), add_special_tokens=False).ids, np.int64)
-            ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(group):
-                for k, piece in zip(group, np.split(ids, ends[:-1]), strict=True):
-                    found[k] = piece
-        rest = [k for k, x in enumerate(found) if x is None]
-        for k, x in zip(rest, self.tokenizer.encode_batch([pieces[k] for k in rest], add_special_tokens=False), strict=True):
-            found[k] = np.array(x.ids, np.int64)
-        return np.concatenate(found).astype(np.uint16), np.array([len(x) for x in found])
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = _WIDE((1 << TABLE_BITS) - 1)
+        return (hashes & mask).astype(np.int64), ((hashes >> _WIDE(32)) & mask).astype(np.int64) + (1 << TABLE_BITS)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash's piece, 0 if it is not known."""
+        one, two = self._places(hashes)
+        found = self.table[one].astype(np.int64)
+        other = np.flatnonzero((self.hash[found] != hashes) | (found == 0))
+        again = self.table[two[other]].astype(np.int64)
+        found[other] = np.where((self.hash[again] == hashes[other]) & (again > 0), again, 0)
+        return found
+
+    def _words(self, texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of words of letters, given as texts of many, end to end, and how many each word has; None if words fall apart."""
+        ids = np.concatenate([np.array(x.ids, np.int64) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        last = np.flatnonzero(self.closes[ids]) + 1
+        return (ids, np.diff(last, prepend=0)) if len(last) == words else None
+
+    def _plain(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces of a-z."""
+        size = ends - starts + 1
+        at = np.cumsum(size) - size
+        buffer = np.full(int(size.sum()), 32, np.uint8)
+        inside = np.ones(len(buffer), bool)
+        inside[at + size - 1] = False
+        buffer[inside] = data[np.repeat(starts - at, size - 1) + np.flatnonzero(inside)]
+        text, cuts = buffer.tobytes().decode("ascii"), [*at[::WORDS_AT_ONCE].tolist(), len(buffer)]
+        found = self._words([text[a : b - 1] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], len(starts))
+        if found is None:
+            raise ValueError("the vocabulary does not end each word by an id of its own")
+        return found
+
+    def _others(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of any pieces: those of letters many at once, the others one by one."""
+        lists: list = [None] * len(texts)
+        words = [k for k, t in enumerate(texts) if t.isalpha()]
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            own = words[at : at + WORDS_AT_ONCE]
+            if found := self._words([" ".join([texts[k] for k in own])], len(own)):
+                flat, upto = found[0].tolist(), [0, *np.cumsum(found[1]).tolist()]
+                for n, k in enumerate(own):
+                    lists[k] = flat[upto[n] : upto[n + 1]]
+        rest = [k for k, x in enumerate(lists) if x is None]
+        for k, x in zip(rest, self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False), strict=True):
+            lists[k] = x.ids
+        return np.array([k for x in lists for k in x], np.int64), np.array([len(x) for x in lists], np.int64)
+
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, letters: np.ndarray, marked: np.ndarray) -> None:
+        """Encodes pieces (with distinct hashes) and adds them to the table."""
+        folded = _fold[data]
+        plain = np.flatnonzero(letters)
+        rest = np.flatnonzero(~letters)
+        ids, length = self._plain(folded, starts[plain], ends[plain]) if len(plain) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        if len(rest):
+            raw, low = data.tobytes(), folded.tobytes()
+            texts = [(raw if exact else low)[a:b] for a, b, exact in zip(starts[rest].tolist(), ends[rest].tolist(), marked[rest].tolist(), strict=True)]
+            more = self._others([t.decode("utf-8", "replace") for t in texts])
+            ids, length = np.concatenate((ids, more[0])), np.concatenate((length, more[1]))
+        number = len(self.hash) + np.arange(len(hashes))
+        order = np.concatenate((plain, rest))
+        self.first = np.concatenate((self.first, len(self.ids) + np.cumsum(length) - length))
+        self.length, self.hash, self.ids = np.concatenate((self.length, length)), np.concatenate((self.hash, hashes[order])), np.concatenate((self.ids, ids.astype(np.uint16)))
+        one, two = self._places(hashes[order])
+        self.table[np.where(self.table[one] == 0, one, two)] = number
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each text's followed by end_id, and the number of each text's."""
@@ -111,24 +170,26 @@ class PieceEncoder:
             sums = np.zeros(len(data) + 1, _WIDE)
             np.cumsum(_values[data] * up[: len(data)], out=sums[1:])
             hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_WIDE) * _WIDE(_BASE))
-        kinds, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, kinds), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[at] != kinds) if len(self.known) else np.arange(len(kinds))
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124)) if len(data) > 1 else np.zeros(0, np.int64)
+        marked = np.unique(np.searchsorted(starts, marks, "right") - 1)
+        for k in marked.tolist():
+            hashes[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+        found = self._find(hashes)
+        new, where = np.unique(hashes[lost], return_index=True) if len(lost := np.flatnonzero(found == 0)) else (hashes[:0], lost)
         if len(new):
-            if len(self.known) + len(new) > CACHE_PIECES:
+            if len(self.hash) + len(new) > CACHE_PIECES:
                 self.clear()
-                new = np.arange(len(kinds))
-            raw = data.tobytes()
-            folded = _fold[data].tobytes()
-            spans = [(starts[k], ends[k]) for k in where[new]]
-            pieces = [(raw if b"<|" in raw[a:b] or not raw[a:b].isascii() else folded)[a:b].decode("utf-8", "replace") for a, b in spans]
-            ids, length = self._encode(pieces)
-            first = len(self.ids) + np.cumsum(length) - length
-            self.ids = np.concatenate((self.ids, ids))
-            order = np.searchsorted(self.known, kinds[new])
-            self.known, self.first, self.length = np.insert(self.known, order, kinds[new]), np.insert(self.first, order, first), np.insert(self.length, order, length)
-            at = np.searchsorted(self.known, kinds)
-        length, first = self.length[at][inverse], self.first[at][inverse]
+                new, where = np.unique(hashes, return_index=True)
+                lost = np.arange(len(hashes))
+            here = lost[where]
+            letter = np.concatenate(([0], np.cumsum(_letter[data], dtype=np.int64)))
+            exact = np.isin(here, marked)
+            before = len(self.hash)
+            self._learn(data, starts[here], ends[here], new, letter[ends[here]] - letter[starts[here]] == ends[here] - starts[here], exact)
+            # Straight from what was just learned: its place in the table may have been taken already.
+            order = np.argsort(self.hash[before:], kind="stable")
+            found[lost] = before + order[np.searchsorted(self.hash[before:], hashes[lost], sorter=order)]
+        length, first = self.length[found], self.first[found]
         text = np.searchsorted(starts, offsets)  # the first piece of each text
         upto = np.concatenate(([0], np.cumsum(length)))
         flat = self.ids[np.repeat(first - upto[:-1], length) + np.arange(upto[-1])] if upto[-1] else np.zeros(0, np.uint16)
@@ -147,12 +208,15 @@ def _encoder(path: str) -> PieceEncoder:
 
 
 def file_bytes(docs: list[int | None], lengths: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
-    blocks = encode_blocks(ids, vocabulary)
+    if vocabulary > 1 << 16:
+        raise ValueError("ids must be below 65536")
+    scaled = frequencies(ids)
+    blocks = encode_blocks(ids, scaled)
     sums = [zlib.crc32(ids[k * BLOCK_IDS : (k + 1) * BLOCK_IDS].astype("<u2").tobytes()) for k in range(len(blocks))]
     nulls = sum(d is None for d in docs)
     table = np.array([0 if d is None else d for d in docs], "<i8").tobytes() + lengths.astype("<u4").tobytes() + np.array([len(b) for b in blocks], "<u4").tobytes() + np.array(sums, "<u4").tobytes()
     packed = zlib.compress(table, 1)
-    return MAGIC + struct.pack("<QQQQII", len(docs), nulls, len(ids), len(packed), vocabulary, BLOCK_IDS) + packed + b"".join(blocks)
+    return MAGIC + struct.pack("<QQQQII", len(docs), nulls, len(ids), len(packed), vocabulary, BLOCK_IDS) + packed + pack_frequencies(scaled) + b"".join(blocks)
 
 
 def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
@@ -168,8 +232,9 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     lengths = np.frombuffer(table, "<u4", docs, 8 * docs).astype(np.int64)
     sizes = np.frombuffer(table, "<u4", blocks, 12 * docs).astype(np.int64)
     sums = np.frombuffer(table, "<u4", blocks, 12 * docs + 4 * blocks)
-    starts = (np.cumsum(sizes) - sizes) // 2
-    found = decode_blocks(np.frombuffer(data[at + size :] + bytes(8), "<u2"), starts, ids, vocabulary)
+    starts = (np.cumsum(sizes) - sizes) // 4
+    scaled, width = unpack_frequencies(data[at + size :])
+    found = decode_blocks(np.frombuffer(data[at + size + width :], "<u4"), starts, ids, scaled)
     for k in range(blocks):
         if zlib.crc32(found[k * block : (k + 1) * block].astype("<u2").tobytes()) != sums[k]:
             raise ValueError(f"block {k} does not have its checksum")

@@ -68,3 +68,50 @@ def test_damage_is_noticed():
     data[-300] ^= 255
     with pytest.raises(ValueError):
         token_files.read_file(bytes(data))
+
+
+def encoded(encoder, text):
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return encoder.encode(raw, np.array([0, len(raw)]), 2)[0].tolist()
+
+
+def test_special_tokens_are_told_apart_by_case_in_either_order(tokenizer):
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "x<|StartOfText|>y", "x<|startoftext|>y", "<|", "<|a", "<|A", "End END end"]
+    for order in (texts, texts[::-1]):
+        encoder = token_files.PieceEncoder(P.path("word_bpe_49k.json"))
+        for text in order:
+            assert encoded(encoder, text) == [*tokenizer.encode(text, add_special_tokens=False).ids, 2], text
+
+
+def test_pieces_that_lose_their_place_are_encoded_anew(tokenizer, monkeypatch):
+    monkeypatch.setattr(token_files, "TABLE_BITS", 3)
+    encoder = token_files.PieceEncoder(P.path("word_bpe_49k.json"))
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdeéñ'1", k=4)) for _ in range(200)]
+    for _ in range(5):
+        text = " ".join(rng.choices(words, k=300))
+        assert encoded(encoder, text) == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+    monkeypatch.setattr(token_files, "CACHE_PIECES", 250)
+    for _ in range(3):
+        text = " ".join(rng.choices(words, k=300))
+        assert encoded(encoder, text) == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+@pytest.mark.parametrize("kinds", [1, 2, 5000, 65536])
+def test_frequencies_keep_every_id(kinds):
+    ids = np.concatenate((np.arange(65536 - kinds, 65536), np.full(100_000, 65535))).astype(np.uint16)
+    scaled = range_coder.frequencies(ids)
+    assert scaled.sum() == 65536 and (scaled > 0).sum() == kinds
+    again, size = range_coder.unpack_frequencies(range_coder.pack_frequencies(scaled) + b"more")
+    assert (again == scaled).all() and size == len(range_coder.pack_frequencies(scaled))
+    rows = range_coder.encode_blocks(ids, scaled)
+    data, sizes = np.frombuffer(b"".join(rows), "<u4"), np.array([len(r) for r in rows])
+    assert (range_coder.decode_blocks(data, (np.cumsum(sizes) - sizes) // 4, len(ids), scaled) == ids).all()
+
+
+def test_ids_of_a_skewed_distribution_take_about_its_entropy():
+    rng = np.random.default_rng(8)
+    ids = np.minimum(rng.geometric(0.02, 200_000), 49407).astype(np.uint16)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum() / 8
+    assert len(token_files.file_bytes([1], np.array([len(ids)]), ids, 49408)) / len(ids) < 1.12 * entropy
