@@ -20,16 +20,19 @@ import re
 import struct
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import map_arrow, new_path, small
+from .shared import map_arrow, new_path, shuffle_partitions, small, write_table
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 8 << 20
+#: Repeated payloads up to which their table (digest and id) is broadcast: about 40 MB.
+REPEATED_ROWS = 200_000
 #: Fixed values of the seekable format: skippable frame magic, seek table magic.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 
@@ -45,16 +48,21 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{uri}")
 
 
-def record_bytes(key: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record; the block is a minimal HTTP message, which in a revisit has no body."""
+def record_urn(digest: str, key: int | None) -> str:
+    """The record's identifier: a UUID made from its payload's digest and its id, so a revisit can name its response."""
+    return f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{digest}:{key}')}"
+
+
+def record_bytes(key: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "1970-01-01T00:00:00Z", sha: bytes | None = None) -> bytes:
+    """One WARC/1.1 record; the block is a minimal HTTP message, which in a revisit has no body. sha: the payload's SHA-1, if known."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if revisit else http + payload
     clean = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
-    name = "null" if key is None else key
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:record:{name}>", f"WARC-Target-URI: {clean}"]
-    head += [f"WARC-Payload-Digest: sha1:{digest32(payload)}", f"X-Payload-Length: {len(payload)}"]
+    digest = base64.b32encode(sha or hashlib.sha1(payload).digest()).decode()
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <{record_urn(digest, key)}>", f"WARC-Date: {date}", f"WARC-Target-URI: {clean}"]
+    head += [f"WARC-Payload-Digest: sha1:{digest}", f"X-Record-Key: {'null' if key is None else key}", f"X-Payload-Length: {len(payload)}"]
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:record:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{record_urn(digest, refers_to)}>", f"X-Refers-To-Key: {refers_to}"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -71,14 +79,14 @@ def parse_records(data: bytes) -> Iterator[dict]:
         start, length = end + 4, int(head["Content-Length"])
         block = data[start : start + length]
         body = block[block.index(b"\r\n\r\n") + 4 :]
-        key = head["WARC-Record-ID"][len("<urn:record:") : -1]
+        key = head["X-Record-Key"]
         revisit = head["WARC-Type"] == "revisit"
         digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
         if not revisit and digest32(body) != digest:
             raise ValueError(f"record {key}: the payload does not have its digest")
         yield {
             "id": None if key == "null" else int(key), "url": head["WARC-Target-URI"], "payload_bytes": int(head["X-Payload-Length"]) if revisit else len(body), "payload_digest": digest,
-            "record_type": head["WARC-Type"], "refers_to": int(head["WARC-Refers-To"][len("<urn:record:") : -1]) if revisit else None, "payload": None if revisit else body,
+            "record_type": head["WARC-Type"], "refers_to": int(head["X-Refers-To-Key"]) if revisit else None, "payload": None if revisit else body,
         }
         at = start + length + 4
 
@@ -145,32 +153,34 @@ def read_record(bundle: str, frame_start: int, offset: int, length: int) -> dict
 
 
 def plan_records(pages: DataFrame, id_col: str, url_col: str, payload_col: str, min_revisit_bytes: int) -> DataFrame:
-    """id, url, payload, refers_to: which record each one revisits, or null."""
+    """id, url, payload, refers_to (which record each one revisits, or null) and sha, the payload's SHA-1 in hexadecimal."""
     source = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     keyed = source.withColumn("sha", F.sha1("payload"))
     repeated = keyed.where(F.length("payload") >= min_revisit_bytes).groupBy("sha").agg(F.max("id").alias("winner"), F.count("*").alias("n")).where("n > 1").select("sha", "winner")
-    joined = keyed.join(small(repeated), "sha", "left")
+    repeated, _ = write_table(repeated, "warc-repeated")
+    joined = keyed.join(small(repeated, REPEATED_ROWS), "sha", "left")
     revisit = F.col("winner").isNotNull() & ~F.col("id").eqNullSafe(F.col("winner")) & (F.length("payload") >= min_revisit_bytes)
-    return joined.select("id", "url", "payload", F.when(revisit, F.col("winner")).alias("refers_to"))
+    return joined.select("id", "url", "payload", F.when(revisit, F.col("winner")).alias("refers_to"), "sha")
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 0, date: str | None = None) -> DataFrame:
     """Writes the archives and their index (Parquet, beside them) under folder; returns the index as read back.
 
-    folder is by default a new one in the shared folder.
+    folder is by default a new one in the shared folder; date is every record's WARC-Date (UTC, ISO 8601), now by default.
     """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     bundles = f"{folder}/bundles"
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     names = ["id", "bundle", "frame", "frame_start", "offset", "length"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundle = None
         for batch in batches:
-            for key, url, payload, refers_to in zip(*(batch.column(k) for k in range(4)), strict=True):
+            for key, url, payload, other, sha in zip(*(batch.column(k) for k in range(5)), strict=True):
                 bundle = bundle or Bundle(bundles)
-                other = refers_to.as_py()
-                bundle.add(key.as_py(), record_bytes(key.as_py(), url.as_py(), payload.as_py(), other, other is not None))
+                other = other.as_py()
+                bundle.add(key.as_py(), record_bytes(key.as_py(), url.as_py(), payload.as_py(), other, other is not None, date, bytes.fromhex(sha.as_py())))
                 if bundle.written >= BUNDLE_BYTES:
                     yield rows(bundle.close())
                     bundle = None
@@ -206,5 +216,6 @@ def read_warc(spark: SparkSession, index: DataFrame, payloads: bool = True) -> D
             kinds.pop("payload")
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in kinds.items()], list(kinds))
 
-    files = index.select("bundle").distinct()
+    # An explicit number of partitions stays as it is: small as the list is, each bundle is a task's work.
+    files = index.select("bundle").distinct().repartition(shuffle_partitions(spark))
     return map_arrow(files, unpack, RECORD if payloads else RECORD.rpartition(",")[0])

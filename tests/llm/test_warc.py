@@ -62,3 +62,23 @@ def test_a_changed_payload_is_noticed():
     assert next(warc.parse_records(record))["payload"] == b"payload"
     with pytest.raises(ValueError):
         list(warc.parse_records(record.replace(b"\r\n\r\npayload", b"\r\n\r\npaYload")))
+
+
+def test_records_have_what_the_format_demands():
+    import re
+    import uuid
+
+    response, revisit = (warc.record_bytes(k, "http://h/", b"same", 9 if k == 1 else None, k == 1, "2024-05-06T07:08:09Z").decode() for k in (9, 1))
+    for record in (response, revisit):
+        head = dict(x.split(": ", 1) for x in record.split("\r\n\r\n")[0].split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(head) and head["WARC-Date"] == "2024-05-06T07:08:09Z"
+        assert uuid.UUID(re.fullmatch("<urn:uuid:(.*)>", head["WARC-Record-ID"])[1])
+    assert re.search("WARC-Refers-To: (.*)\r", revisit)[1] == re.search("WARC-Record-ID: (.*)\r", response)[1]
+
+
+def test_bundles_are_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BUNDLE_BYTES", 1)
+    pages = spark.createDataFrame([(k, "u", str(k) * warc.FRAME_BYTES) for k in range(12)], SCHEMA)
+    index, back = result(spark, pages)
+    assert index.select("bundle").distinct().count() == 12
+    assert back.count() == 12 and back.select(F.spark_partition_id().alias("p")).distinct().count() > 1
