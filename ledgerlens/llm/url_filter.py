@@ -6,7 +6,8 @@ those run their regular expression, so the cost per URL follows the candidates,
 of the URLs takes place.
 
 Edge cases: a null URL, an empty one and one without ``://`` have empty host and path and no tokens of theirs; they get
-the default verdict. Repeated rows give repeated rows. An empty table gives an empty result. Other columns are ignored.
+the default verdict. A rule without a token is filed under the empty one and runs on every URL. Repeated rows and repeated
+or null ids give a row each. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import map_arrow, small
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ASCII = str.maketrans(_UPPER, _LOWER)
 _SPLIT = re.compile("[^a-z0-9]+")
@@ -63,41 +66,50 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def token_counts(urls: DataFrame, url: str, wanted: list[str]) -> dict[str, int]:
     """In how many URLs each wanted token occurs; the result is as large as the rule list at most."""
-    tokens = F.explode(F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+"))).alias("token")
-    counted = urls.select(tokens).where(F.col("token").isin(wanted)).groupBy("token").count()
+    asked = urls.sparkSession.createDataFrame([(t,) for t in wanted], "token string")
+    tokens = urls.select(F.explode(F.array_distinct(F.split(F.lower(url), "[^a-z0-9]+"))).alias("token"))
+    counted = tokens.join(small(asked), "token").groupBy("token").count()
     return {r["token"]: r["count"] for r in counted.collect()}
 
 
 def filter_urls(urls: DataFrame, rules: list[UrlRule], default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per input row: the id, host, path, rule (the deciding rule's name or null) and verdict."""
+    """One row per input row: the id, host, path, rule (the deciding rule's name or null) and verdict.
+
+    Rules are broadcast: a list that a driver holds. Ids pass through untouched, null ones too.
+    """
+    spark = urls.sparkSession
     source = urls.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"))
-    counts = token_counts(source, "url", sorted({t for r in rules for t in r.tokens})) if rules else {}
+    wanted = sorted({t for r in rules for t in r.tokens})
+    counts = token_counts(source, "url", wanted) if wanted else {}
     index: dict[str, list[UrlRule]] = {}
     for rule in rules:
         rarest = min(rule.tokens, key=lambda t: (counts.get(t, 0), t), default="")
         index.setdefault(rarest, []).append(rule)
+    shared = spark.sparkContext.broadcast(index)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled: dict[str, list] = {}
+
+        def filed(token: str) -> list:
+            if token not in compiled:
+                compiled[token] = [(re.compile(r.pattern), r) for r in shared.value.get(token, ())]
+            return compiled[token]
 
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        filed = {token: [(re.compile(r.pattern), r) for r in found] for token, found in index.items()}
-        always = filed.get("", [])
         for batch in batches:
             rows = []
-            for url in batch["url"]:
+            for url in batch.column(1).to_pylist():
                 host, path = split_url(url)
                 where = host + path
                 best = None
-                for token in {*_SPLIT.split(where.translate(_ASCII))} - {""}:
-                    for pattern, rule in filed.get(token, ()):
+                for token in {*_SPLIT.split(where.translate(_ASCII)), ""}:
+                    for pattern, rule in filed(token) if token in shared.value else ():
                         if (best is None or (rule.rank, rule.name) > (best.rank, best.name)) and pattern.match(where):
                             best = rule
-                for pattern, rule in always:
-                    if (best is None or (rule.rank, rule.name) > (best.rank, best.name)) and pattern.match(where):
-                        best = rule
                 rows.append((host, path, best.name if best and best.reported else None, best.verdict if best else default))
-            yield pd.concat([batch[["id"]].astype("Int64"), pd.DataFrame(rows, columns=["host", "path", "rule", "verdict"], index=batch.index)], axis=1)
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.string()) for x in zip(*rows, strict=True)]], ["id", "host", "path", "rule", "verdict"])
 
-    out = source.mapInPandas(judge, "id long, host string, path string, rule string, verdict string")
-    return out.withColumnRenamed("id", id_col)
+    return map_arrow(source, judge, "id long, host string, path string, rule string, verdict string").withColumnRenamed("id", id_col)
 
 
 #: The rules of the query.
@@ -107,7 +119,7 @@ PAGE_RULES = [
     host_path_rule("example.org", "/en/1", "block"),
     host_path_rule("com", "/fr/", "allow"),
     host_path_rule("com", "/de/", "block"),
-    token_rule("account pages", r"(?s)[^/]*/(?:.*/)?(?:login|signup|signin|checkout|cart)(?:[/.]|\Z)", (), "block"),
+    *[token_rule(f"account pages: {x}", rf"(?s)[^/]*/(?:.*/)?{x}(?:[/.]|\Z)", (x,), "block") for x in ("login", "signup", "signin", "checkout", "cart")],
     token_rule("ad hosts", r"(?s)(?:[^/]*\.)?doubleclick\.[^/.]+/", ("doubleclick",), "block"),
     token_rule("feeds", r"(?s).*/wp-json/", ("wp", "json"), "block"),
 ]

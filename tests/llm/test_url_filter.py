@@ -27,3 +27,13 @@ def test_no_rules_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, "http://a/", "")], SCHEMA)
     assert [r["verdict"] for r in url_filter.filter_urls(pages, [], default="block").collect()] == ["block"]
     assert url_filter.filter_urls(pages.limit(0), url_filter.PAGE_RULES).count() == 0
+
+
+def test_ids_beside_a_null_one_keep_every_digit(spark):
+    pages = spark.createDataFrame([(9007199254740993, "http://a.org/", ""), (None, "http://b.com/de/", ""), (9007199254740993, None, "")], SCHEMA).coalesce(1)
+    found = [(r["page_id"], r["verdict"]) for r in url_filter.filter_urls(pages, url_filter.PAGE_RULES).collect()]
+    assert found == [(9007199254740993, "allow"), (None, "block"), (9007199254740993, "allow")]
+
+
+def test_every_rule_of_the_query_has_a_token():
+    assert all(r.tokens for r in url_filter.PAGE_RULES)
