@@ -77,3 +77,44 @@ def test_multiplicity_of_a_hot_vector(spark):
     docs = spark.range(500).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.when(F.col("id") < 300, 0.0).otherwise(F.col("id") * 1.0)).cast("array<float>").alias("embedding"))
     out = embed_dedup.near_embeddings(docs)
     assert out.where("vec_id < 300 and n_links <> 299").count() == 0 and out.where("kept").count() == 2
+
+
+def test_rows_of_one_id_are_judged_by_their_own_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.0, 1.0]), (3, [1.0, 0.05]), (4, [-1.0, 0.0]), (4, [-1.0, 0.0])]
+    out = sorted(tuple(r) for r in embed_dedup.near_embeddings(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert out == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (4, 1, 4, True)]
+
+
+def test_signed_zeros_are_equal_and_doubles_keep_their_width(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, -0.0]), (3, [1e-200, 1e-200])]
+    assert run(spark, rows[:2]) == {1: (1, 1, True), 2: (1, 1, False)}
+    assert run(spark, [*rows[2:], (4, [1.0, 1.0])], "vec_id long, embedding array<double>") == {3: (1, 3, True), 4: (1, 3, False)}
+
+
+def test_a_tree_of_two_levels_finds_the_links(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "ONE_BRANCH", 4)
+    monkeypatch.setattr(embed_dedup, "ROWS_PER_CELL", 8)
+    rows = clusters(7, 260, 9)
+    found, want = run(spark, rows), expected(rows)
+    assert all(found[i][0] <= want[i][0] for i in want)
+    assert sum(f[0] for f in found.values()) >= 0.95 * sum(w[0] for w in want.values())
+
+
+def test_leaves_of_a_tree():
+    rng = np.random.default_rng(4)
+    sample = rng.standard_normal((3000, 8)).astype(np.float32)
+    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    tree = embed_dedup.Tree(sample, 700)
+    near = tree.nearest(sample)
+    assert tree.first[-1] == len(tree.leaves) and near.max() < len(tree.leaves) and near.shape == (3000, embed_dedup.PROBES)
+    assert all(len(set(r[r >= 0])) == (r >= 0).sum() >= 1 for r in near)
+    exact = np.argmax(sample @ tree.leaves.T, axis=1)
+    assert np.mean([e in r for e, r in zip(exact, near, strict=True)]) > 0.95
+
+
+def test_forest_spans_the_components():
+    rng = np.random.default_rng(6)
+    a, b = rng.integers(0, 80, (2, 60))
+    x, y = embed_dedup._forest(a, b)
+    nodes = set(a.tolist()) | set(b.tolist())
+    assert brute.roots(sorted(nodes), zip(a.tolist(), b.tolist(), strict=True)) == brute.roots(sorted(nodes), zip(x.tolist(), y.tolist(), strict=True))
