@@ -19,18 +19,55 @@ NOISE = [
 # Jargon and the words that filings print instead.
 EXPANSIONS = {
     "capex": "capital expenditures purchases of property plant and equipment",
-    "eps": "earnings per share",
+    "cogs": "cost of goods sold cost of sales cost of revenue",
     "opex": "operating expenses",
-    "fcf": "free cash flow",
+    "ebitda": "EBITDA earnings before interest taxes depreciation and amortization",
+    "ebit": "EBIT operating income",
+    "fcf": "free cash flow cash provided by operating activities",
+    "eps": "earnings per share",
+    "roic": "return on invested capital",
+    "nci": "noncontrolling interest",
+    "ppe": "property plant and equipment",
+    "pp&e": "property plant and equipment",
+    "sg&a": "selling general and administrative expenses",
     "r&d": "research and development expenses",
+    "d&a": "depreciation and amortization",
     "top line": "net sales revenue",
     "bottom line": "net income",
     "working capital": "total current assets total current liabilities",
+    "quick ratio": "cash and cash equivalents receivables total current liabilities",
+    "current ratio": "total current assets total current liabilities",
+}
+
+# How people write company names (squashed), and the names as filings have them.
+COMPANY_ALIASES = {
+    "JNJ": "JOHNSON JOHNSON",
+    "JANDJ": "JOHNSON JOHNSON",
+    "JOHNSONANDJOHNSON": "JOHNSON JOHNSON",
+    "AMEX": "AMERICANEXPRESS",
+    "AMERICANEXPRESSCOMPANY": "AMERICANEXPRESS",
+    "JPM": "JPMORGAN",
+    "JPMORGANCHASE": "JPMORGAN",
+    "MGM": "MGMRESORTS",
+    "AMD": "AMD",
+    "PGE": "PG E",
+    "PACIFICGASANDELECTRIC": "PG E",
+    "COKE": "COCACOLA",
+    "THECOCACOLACOMPANY": "COCACOLA",
+    "LOCKHEED": "LOCKHEEDMARTIN",
+    "ULTA": "ULTABEAUTY",
+    "ACTIVISION": "ACTIVISIONBLIZZARD",
+    "KRAFT": "KRAFTHEINZ",
+    "GENERALMILLSINC": "GENERALMILLS",
+    "AMERICANWATER": "AMERICANWATERWORKS",
+    "BOSTONPROPERTIESINC": "BOSTONPROPERTIES",
 }
 
 # Patterns.
 TERM = r"[A-Za-z][A-Za-z0-9&']*|\d{4}"
 NUMBER = r"-?\$?\(?\d[\d,]*\.?\d*\)?%?"
+TOKEN = r"\d[\d,]*(?:\.\d+)?"
+SCALE = r"(?i)\((?:in\s+)?(millions|thousands|billions)\)"
 CITATION = r"\[([FC]\d+)\]"
 FIGURE = r"(?<![A-Za-z0-9])-?\$?\d[\d,]*(?:\.\d+)?(?![A-Za-z0-9])"
 NUMERIC_QUESTION = (
@@ -74,9 +111,18 @@ def numbers(text: Column) -> Column:
 
 
 def number_tokens(text: Column) -> Column:
-    """Distinct numeric tokens as strings, without commas, of three characters or more."""
-    tokens = F.transform(_all(text, r"\d[\d,]*\.?\d*"), lambda t: F.replace(t, F.lit(","), F.lit("")))
-    return F.array_distinct(F.filter(tokens, lambda t: F.length(t) >= 3))
+    """Distinct numeric tokens as printed that have three characters or more, commas aside."""
+    return F.array_distinct(F.filter(_all(text, TOKEN), lambda t: F.length(F.replace(t, F.lit(","), F.lit(""))) >= 3))
+
+
+def as_float(token: Column) -> Column:
+    """The value of a numeric token; null if it is none."""
+    return F.replace(token, F.lit(","), F.lit("")).try_cast("double")
+
+
+def scale_of(text: Column) -> Column:
+    """The scale that a text states in brackets (millions, thousands or billions), or null."""
+    return F.nullif(F.lower(F.regexp_extract(text, SCALE, 1)), F.lit(""))
 
 
 def same_figure(target: Column, found: Column) -> Column:
@@ -138,14 +184,18 @@ def follow_up(question: Column, previous: Column) -> Column:
 
 
 def company_of(doc_name: Column) -> Column:
-    """The leading parts of a file name before a year or a form type."""
-    found = F.regexp_extract(doc_name, r"^(.+?)_(?:(?:19|20)\d{2}.*|(?:10K|10Q|8K|EARNINGS).*)$", 1)
+    """The leading parts of a file name before one that begins with a year or is a form type; the whole name if none lead."""
+    parts = F.split(doc_name, "_")
+    stop = F.transform(parts, lambda p: F.regexp_like(p, F.lit(r"^(19|20)\d{2}")) | F.regexp_like(p, F.lit(r"(?i)^(10K|10Q|8K|EARNINGS)$")))
+    place = F.array_position(stop, F.lit(True)).cast("int")
+    found = F.when(place > 0, F.array_join(F.slice(parts, F.lit(1), F.greatest(place - 1, F.lit(0))), "_")).otherwise(doc_name)
     return F.coalesce(F.nullif(found, F.lit("")), doc_name)
 
 
 def fact_text(company: Column, context: Column, row: Column, column: Column, value: Column, scale: Column) -> Column:
-    """The non-empty parts of a fact joined by middle dots, without the colon that ends a heading."""
-    parts = [company, F.regexp_replace(context, ":+$", ""), row, column, value, scale]
+    """The non-empty parts of a fact joined by middle dots: the context without the colons that end it, the value with its scale."""
+    amount = F.trim(F.concat_ws(" ", value, F.coalesce(scale, F.lit(""))))
+    parts = [company, F.regexp_replace(context, ":+$", ""), row, column, amount]
     return F.array_join(F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")), " · ")
 
 

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finance import LINE_ITEMS, METRICS, Metric, show
 
 
-def line_items(facts: DataFrame, patterns: dict[str, list[str]] | None = None, label_col: str = "row_label") -> DataFrame:
-    """facts with each key whose patterns fit the label, and the place of the best fitting pattern.
+def item_places(label: Column, patterns: dict[str, list[str]]) -> Column:
+    """(key, place) of each key whose patterns fit a label: place is that of the first pattern that fits. No shuffle, no join."""
+    found = []
+    for key, listed in patterns.items():
+        place = reduce(lambda rest, n: F.when(label.ilike(listed[n]), F.lit(n)).otherwise(rest), reversed(range(len(listed))), F.lit(None).cast("int"))
+        found.append(F.struct(F.lit(key).alias("key"), place.alias("place")))
+    return F.filter(F.array(*found), lambda x: x["place"].isNotNull())
 
-    The pattern list is configuration, so the non-equi join has a small constant side.
-    """
-    listed = [(key, place, p) for key, found in (patterns or LINE_ITEMS).items() for place, p in enumerate(found)]
-    config = facts.sparkSession.createDataFrame(listed, "key string, place int, pattern string")
-    fits = facts.join(F.broadcast(config), F.expr(f"{label_col} ilike pattern"))
-    best = fits.groupBy(*facts.columns, "key").agg(F.min("place").alias("place"))
-    return best
+
+def line_items(facts: DataFrame, patterns: dict[str, list[str]] | None = None, label_col: str = "row_label") -> DataFrame:
+    """facts with each key whose patterns fit the label, and the place of the best fitting pattern. Equal facts stay as they are."""
+    made = facts.withColumn("__item", F.explode(item_places(F.col(label_col), patterns or LINE_ITEMS)))
+    return made.select(*facts.columns, "__item.key", "__item.place")
 
 
 def table_inputs(candidates: DataFrame, group: list[str], inputs: tuple[str, ...]) -> DataFrame:
@@ -39,16 +44,35 @@ def with_metric(tables: DataFrame, metric: Metric, out: str = "value", shown: st
     return made.withColumn(shown, show(F.col(out), metric)) if shown else made
 
 
-def compute(facts: DataFrame, name: str, by: tuple[str, ...] = ("company", "fiscal_year")) -> DataFrame:
-    """A metric for every (company, year): from the table with the best label places, ties by document and table.
+INPUT = "struct<key string, fact_id long, label string, value double, page int, doc_name string>"
 
-    facts: fact_id, doc_id, table_ordinal, row_label, column_label, value, company, fiscal_year. Only columns whose header
-    has the year count.
+
+def compute(facts: DataFrame, names: tuple[str, ...] = tuple(METRICS), by: tuple[str, ...] = ("company", "fiscal_year")) -> DataFrame:
+    """Metrics of every (company, year), in one pass over the facts: (*by, metric, doc_id, table_ordinal, value, shown, note, scale, inputs).
+
+    facts: fact_id, doc_id, doc_name, table_ordinal, row_label, column_label, signed, scale, page, company, fiscal_year. Only
+    columns whose header has the year count. A table must hold every input; of those that do, the one with the best label
+    places is taken, ties by document and table, and if a division by zero makes that one not computable there is no result.
+    The scale is the first input's. inputs are in the order of the metric's definition.
     """
-    metric = METRICS[name]
-    wanted = {key: LINE_ITEMS[key] for key in metric.inputs}
+    wanted = {key: LINE_ITEMS[key] for name in names for key in METRICS[name].inputs}
     dated = facts.where(F.expr("contains(column_label, cast(fiscal_year as string))"))
-    found = line_items(dated, wanted).withColumn("label_length", F.length("row_label"))
-    tables = with_metric(table_inputs(found, [*by, "doc_id", "table_ordinal"], metric.inputs), metric, shown="shown").where("value is not null")
-    order = Window.partitionBy(*by).orderBy("places", "doc_id", "table_ordinal")
-    return tables.withColumn("choice", F.row_number().over(order)).where("choice = 1").drop("choice")
+    found = line_items(dated, wanted)
+    order = F.struct("place", F.length("row_label").alias("length"), "fact_id")
+    entry = F.struct("key", "fact_id", F.col("row_label").alias("label"), F.col("signed").cast("double").alias("value"), "page", "doc_name", "place", "scale")
+    best = found.groupBy(*by, "doc_id", "table_ordinal", "key").agg(F.min_by(entry, order).alias("entry"))
+    tables = best.groupBy(*by, "doc_id", "table_ordinal").agg(F.map_from_entries(F.collect_list(F.struct("key", "entry"))).alias("items"))
+
+    def made(name: str) -> Column:
+        metric = METRICS[name]
+        entries = [F.try_element_at("items", F.lit(key)) for key in metric.inputs]
+        whole = reduce(Column.__and__, [e.isNotNull() for e in entries])
+        value = metric.formula(*[e["value"] for e in entries])
+        inputs = F.array(*[F.struct(*[e[c].alias(c) for c in ("key", "fact_id", "label", "value", "page", "doc_name")]) for e in entries])
+        places = reduce(Column.__add__, [e["place"] for e in entries])
+        return F.when(whole, F.struct(F.lit(name).alias("metric"), places.alias("places"), value.alias("value"), show(value, metric).alias("shown"), F.lit(metric.note).alias("note"), entries[0]["scale"].alias("scale"), inputs.alias("inputs")))
+
+    rows = tables.select(*by, "doc_id", "table_ordinal", F.explode(F.filter(F.array(*[made(n) for n in names]), lambda x: x.isNotNull())).alias("m"))
+    best_table = rows.groupBy(*by, F.col("m.metric").alias("metric")).agg(F.min_by(F.struct("doc_id", "table_ordinal", "m"), F.struct("m.places", "doc_id", "table_ordinal")).alias("t"))
+    out = best_table.select(*by, "metric", "t.doc_id", "t.table_ordinal", *[F.col(f"t.m.{c}").alias(c) for c in ("value", "shown", "note", "scale", "inputs")])
+    return out.where("value is not null")

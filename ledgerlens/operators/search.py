@@ -1,20 +1,37 @@
 """Exact vector search, lexical search and reciprocal-rank fusion, over any number of queries at once.
 
 Filters come before ranking, so a selective filter never loses rows to an approximate index. Every order ends in the row id.
+
+Queries are a small table: they are taken to the driver in blocks of BLOCK_QUERIES and broadcast, and the rows are scanned
+once per block. A task scores its rows against a whole block at once and keeps the k best of each query, so what is
+shuffled is k rows per query and task, whatever the number of rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import reduce
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import query_terms
 from ..functions.vector import cosine, literal
 
-#: A query table up to this many rows is broadcast; a larger one is matched in blocks by the join itself.
+#: A query table up to this many rows is broadcast in joins.
 BROADCAST_QUERIES = 10_000
+#: Queries that a task scores at once; a row that is not scored (a zero vector) is last.
+BLOCK_QUERIES, NO_SCORE = 2048, -9.0
+#: Cells of a (row, query) matrix at most.
+CELLS = 2_000_000
+WORDS = re.compile("[a-z0-9&']+")
 
 
 def filters(kind: str | None = None, company: str | None = None, item: str | None = None, doc_name: str | None = None, fiscal_year: int | None = None) -> Column:
@@ -45,12 +62,191 @@ def vector_search(rows: DataFrame, query: list[float], k: int, where: Column | N
     return scored.drop(vec_col).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def vector_ranks(rows: DataFrame, queries: DataFrame, k: int | None, id_col: str = "id", vec_col: str = "embedding", match: Column | None = None) -> DataFrame:
-    """(qid, id, score, rank) of every query (qid, qvec, ...) against all rows that match it; the k best, or all."""
-    paired = rows.where(F.col(vec_col).isNotNull()).join(sized(queries), F.lit(True) if match is None else match)
-    scored = paired.withColumn("score", F.round(cosine(F.col(vec_col), F.col("qvec")), 6)).drop(vec_col, "qvec")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), id_col)))
-    return ranked if k is None else ranked.where(F.col("rank") <= k)
+@dataclass
+class Filters:
+    """Filters of each query on the rows: row column -> query column. A null query value (or 0, for equal) is no filter.
+
+    equal: the same value. contains: the row's value holds the query's as ILIKE '%value%' does. leave_out: the query column
+    with the id of a row that does not count.
+    """
+
+    equal: dict[str, str] | None = None
+    contains: dict[str, str] | None = None
+    leave_out: str | None = None
+
+    def row_columns(self) -> list[str]:
+        return [*(self.equal or {}), *(self.contains or {})]
+
+    def query_columns(self) -> list[str]:
+        return [*(self.equal or {}).values(), *(self.contains or {}).values(), *([self.leave_out] if self.leave_out else [])]
+
+    def mask(self, ids: pa.Array, columns: list[pa.Array], asked: dict[str, list]) -> np.ndarray:
+        """(row, query): whether the query may have the row."""
+        size = len(asked["qid"])
+        out = np.ones((len(ids), size), bool)
+        tests = [(q, lambda row, wanted: row == wanted) for q in (self.equal or {}).values()] + [(q, _ilike) for q in (self.contains or {}).values()]
+        for column, (query_column, test) in zip(columns, tests, strict=True):
+            coded = column.dictionary_encode()
+            values, code = coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy()
+            wanted: dict = {}
+            for place, value in enumerate(asked[query_column]):
+                if value:
+                    wanted.setdefault(value, []).append(place)
+            for value, places in wanted.items():
+                fits = np.array([*[v is not None and test(v, value) for v in values], False])
+                out[:, places] &= fits[code][:, None]
+        if self.leave_out:
+            out &= ids.to_numpy(zero_copy_only=False)[:, None] != np.array(asked[self.leave_out], object)[None, :]
+        return out
+
+
+def _ilike(value: str, wanted: str) -> bool:
+    pattern = "".join({"%": ".*", "_": "."}.get(c, re.escape(c)) for c in wanted)
+    return re.search(pattern, value, re.I | re.S) is not None
+
+
+def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[dict[str, list]]:
+    """The queries' columns, BLOCK_QUERIES at a time."""
+    wanted = queries.select("qid", *columns)
+    first = wanted.limit(BLOCK_QUERIES + 1).collect()
+    rows = iter(first) if len(first) <= BLOCK_QUERIES else wanted.toLocalIterator()
+    while block := list(islice(rows, BLOCK_QUERIES)):
+        yield {c: [r[k] for r in block] for k, c in enumerate(["qid", *columns])}
+
+
+class _Best:
+    """The k best (query, id, score) of what a task has seen."""
+
+    def __init__(self, k: int, queries: int):
+        self.k, self.room = k, 4 * k * queries + 1000
+        self.query, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.query, self.ids, self.score = np.concatenate((self.query, query)), np.concatenate((self.ids, ids)), np.concatenate((self.score, score))
+        if len(self.query) > self.room:
+            self.prune()
+
+    def prune(self) -> None:
+        order = np.lexsort((self.ids, -self.score, self.query))
+        query = self.query[order]
+        first = np.searchsorted(query, query)
+        keep = order[np.arange(len(order)) - first < self.k]
+        self.query, self.ids, self.score = self.query[keep], self.ids[keep], self.score[keep]
+
+
+def _slices(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    """Rows by parts that keep a (row, query) matrix small."""
+    step = max(1, CELLS // max(1, queries))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
+def _scan(rows: DataFrame, columns: list[str], k: int, queries: DataFrame, query_columns: list[str], filters: Filters, prepare: Callable, score: Callable, id_col: str) -> DataFrame:
+    """(qid, id, score, rank): the k best rows of each query.
+
+    prepare(asked) makes what tasks need of a block of queries; score(prepared, batch, allowed) gives the places of queries
+    and rows, and their scores. allowed is the filters' mask.
+    """
+    spark = rows.sparkSession
+    kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema[id_col].dataType}
+    source = rows.select(F.col(id_col).alias("id"), *columns, *[F.col(c) for c in filters.row_columns()])
+    found = None
+    for asked in _blocks(queries, list(dict.fromkeys([*query_columns, *filters.query_columns()]))):
+        shared = spark.sparkContext.broadcast((asked, prepare(asked)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            asked, prepared = shared.value
+            best = _Best(k, len(asked["qid"]))
+            for batch in _slices(batches, len(asked["qid"])):
+                if batch.num_rows:
+                    ids = batch.column(0)
+                    allowed = filters.mask(ids, [batch.column(c) for c in range(1 + len(columns), batch.num_columns)], asked)
+                    query, row, value = score(prepared, batch, allowed)
+                    best.add(query, np.array(ids.to_pylist(), object)[row], value)
+            best.prune()
+            values = np.where(best.score == NO_SCORE, np.nan, best.score)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([asked["qid"][q] for q in best.query], to_arrow_type(kinds["qid"])), pa.array(best.ids.tolist(), to_arrow_type(kinds["id"])), pa.array(values, from_pandas=True)], ["qid", "id", "score"]
+            )
+
+        hits = source.mapInArrow(run, f"qid {kinds['qid'].simpleString()}, id {kinds['id'].simpleString()}, score double")
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        found = spark.createDataFrame([], f"qid {kinds['qid'].simpleString()}, id {kinds['id'].simpleString()}, score double")
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.withColumnRenamed("id", id_col)
+
+
+def _unit(vectors: list) -> np.ndarray:
+    """Rows of length 1 in double precision; nan where a vector is zero."""
+    matrix = np.array(vectors, np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+
+
+def _cosines(units: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """(row, query): cosines to six decimals; NO_SCORE where a vector is zero, -inf for a row of another length."""
+    size = units.shape[1]
+    vectors = batch.column(1)
+    fits = np.array(vectors.value_lengths().fill_null(-1)) == size
+    out = np.full((batch.num_rows, len(units)), -np.inf)
+    if fits.any():
+        own = vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        out[fits] = np.nan_to_num(np.round(_unit(own) @ units.T, 6), nan=NO_SCORE)
+    return out
+
+
+def _best_rows(k: int):
+    def score(units: np.ndarray, batch: pa.RecordBatch, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = np.where(allowed, _cosines(units, batch), -np.inf)
+        least = np.partition(found, max(0, len(found) - k), axis=0)[max(0, len(found) - k)]
+        row, query = np.nonzero((found >= least[None, :]) & (found > -np.inf))
+        return query, row, found[row, query]
+
+    return score
+
+
+def vector_ranks(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vec_col: str = "embedding", filters: Filters | None = None) -> DataFrame:
+    """(qid, id, score, rank): the k rows most similar to each query (qid, qvec, ...) among those that its filters leave.
+
+    Rows without a vector, or with one of another length than the queries', are left out.
+    """
+    kept = rows.where(F.col(vec_col).isNotNull())
+    return _scan(kept, [vec_col], k, queries.where("qvec is not null"), ["qvec"], filters or Filters(), lambda asked: _unit(asked["qvec"]), _best_rows(k), id_col)
+
+
+def first_relevant(rows: DataFrame, queries: DataFrame, relevant: dict[str, str], id_col: str = "id", vec_col: str = "embedding", leave_out: str | None = None) -> DataFrame:
+    """(qid, rank) over all rows: the rank of the best row whose columns equal the query's (relevant), null without one.
+
+    Nothing is ranked: the best relevant row is found first, then the rows before it are counted.
+    """
+    best = vector_ranks(rows, queries, 1, id_col, vec_col, Filters(equal=relevant, leave_out=leave_out)).select("qid", F.col("score").alias("best_score"), F.col(id_col).alias("best_id"))
+    asked = queries.join(best, "qid")
+    kind = queries.schema["qid"].dataType
+    source = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec_col)
+    found = None
+    for block in _blocks(asked, ["qvec", "best_score", "best_id", *([leave_out] if leave_out else [])]):
+        shared = rows.sparkSession.sparkContext.broadcast((block, _unit(block["qvec"])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            block, units = shared.value
+            level = np.array([NO_SCORE if x is None else x for x in block["best_score"]])
+            place = np.array(block["best_id"], object)
+            before = np.zeros(len(units), np.int64)
+            for batch in _slices(batches, len(units)):
+                if batch.num_rows:
+                    ids = batch.column(0).to_numpy(zero_copy_only=False)
+                    score = np.where(Filters(leave_out=leave_out).mask(batch.column(0), [], block), _cosines(units, batch), -np.inf)
+                    before += ((score > level) | ((score == level) & (ids[:, None] < place[None, :]))).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(block["qid"], to_arrow_type(kind)), pa.array(before)], ["qid", "before"])
+
+        counts = source.mapInArrow(run, f"qid {kind.simpleString()}, before long")
+        found = counts if found is None else found.unionByName(counts)
+    if found is None:
+        return queries.select("qid", F.lit(None).cast("long").alias("rank"))
+    return queries.select("qid").join(found.groupBy("qid").agg((F.sum("before") + 1).alias("rank")), "qid", "left")
 
 
 def lexical_score(tf: Column) -> Column:
@@ -58,26 +254,50 @@ def lexical_score(tf: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), tf), F.lit(0.0), lambda s, j: s + F.lit(1.0) / (j * j).cast("double"))
 
 
-def postings(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, term, tf) of all words of all rows."""
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9&']+"), lambda w: w != "")
-    return rows.select(F.col(id_col), F.explode(words).alias("term")).groupBy(id_col, "term").agg(F.count("*").cast("int").alias("tf"))
+def _saturated(largest: int) -> np.ndarray:
+    """lexical_score of 0, 1, 2, ... occurrences."""
+    return np.concatenate(([0.0], np.cumsum(1.0 / np.arange(1, largest + 1, dtype=float) ** 2)))
+
+
+def _terms_of(asked: dict[str, list]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Which queries ask for each term, and how many terms each query has."""
+    found: dict[str, list[int]] = {}
+    for place, terms in enumerate(asked["terms"]):
+        for term in terms:
+            found.setdefault(term, []).append(place)
+    return {t: np.array(q) for t, q in found.items()}, np.array([len(t) for t in asked["terms"]], float)
 
 
-def lexical_ranks(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", limit: int = 12) -> DataFrame:
-    """(qid, id, score, rank): rows with any of a query's terms, by mean saturated term frequency. queries: (qid, question).
+def _matching_rows(prepared: tuple, batch: pa.RecordBatch, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    wanted, n_terms = prepared
+    weights = _saturated(64)
+    query, row, value = [], [], []
+    for place, text in enumerate(batch.column(1).to_pylist()):
+        if not text or not allowed[place].any():
+            continue
+        counts = Counter(w for w in WORDS.findall(text.lower()) if w in wanted)
+        if counts:
+            if (most := max(counts.values())) >= len(weights):
+                weights = _saturated(2 * most)
+            total = np.zeros(len(n_terms))
+            for term, tf in counts.items():
+                total[wanted[term]] += weights[tf]
+            own = np.flatnonzero((total > 0) & allowed[place])
+            query.append(own)
+            row.append(np.full(len(own), place))
+            value.append(np.round(total[own] / n_terms[own], 6))
+    if not query:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return np.concatenate(query), np.concatenate(row), np.concatenate(value)
 
-    Only words that some query asks for are counted, so the shuffle follows the matches.
+
+def lexical_ranks(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", limit: int = 12, filters: Filters | None = None) -> DataFrame:
+    """(qid, id, score, rank): rows with any of a query's terms, by mean saturated term frequency. queries: (qid, question, ...).
+
+    Only words that some query asks for are counted, where the row stands; queries without terms find nothing.
     """
-    terms = queries.select("qid", query_terms(F.col("question"), limit).alias("terms")).where(F.size("terms") > 0)
-    asked = terms.select("qid", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    wanted = asked.select("term").distinct()
-    words = F.filter(F.split(F.lower(F.col(text_col)), "[^a-z0-9&']+"), lambda w: w != "")
-    found = rows.select(F.col(id_col), F.explode(words).alias("term")).join(sized(wanted), "term", "left_semi")
-    counted = found.groupBy(id_col, "term").agg(F.count("*").cast("int").alias("tf"))
-    scored = counted.join(sized(asked), "term").groupBy("qid", id_col).agg(F.round(F.sum(lexical_score(F.col("tf"))) / F.first("n_terms"), 6).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), id_col)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    asked = queries.withColumn("terms", query_terms(F.col("question"), limit)).where(F.size("terms") > 0)
+    return _scan(rows, [text_col], k, asked, ["terms"], filters or Filters(), _terms_of, _matching_rows, id_col)
 
 
 def fuse(lists: list[DataFrame], k: int, id_col: str = "id", constant: int = 60) -> DataFrame:
@@ -94,8 +314,18 @@ def depth(k: int) -> int:
     return max(2 * k, 20)
 
 
-def hybrid_ranks(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", vec_col: str = "embedding") -> DataFrame:
+def hybrid_ranks(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", vec_col: str = "embedding", filters: Filters | None = None) -> DataFrame:
     """Vector and lexical lists of queries (qid, qvec, question), fused."""
-    by_vector = vector_ranks(rows.select(id_col, vec_col), queries.select("qid", "qvec"), depth(k), id_col, vec_col)
-    by_words = lexical_ranks(rows.select(id_col, text_col), queries.select("qid", "question"), depth(k), id_col, text_col)
+    by_vector = vector_ranks(rows, queries, depth(k), id_col, vec_col, filters)
+    by_words = lexical_ranks(rows, queries, depth(k), id_col, text_col, filters=filters)
     return fuse([by_vector, by_words], k, id_col)
+
+
+def with_filing(rows: DataFrame, documents: DataFrame, columns: tuple[str, ...] = ("doc_name", "company", "fiscal_year")) -> DataFrame:
+    """rows (doc_id, ...) with their document's columns; rows of unknown documents are left out."""
+    return rows.join(sized(documents.select("doc_id", *columns)), "doc_id")
+
+
+#: The filters of the query columns company, doc_name, fiscal_year on rows of with_filing; BY_PASSAGE also kind and item.
+BY_FILING = Filters(equal={"doc_name": "q_doc_name", "fiscal_year": "q_fiscal_year"}, contains={"company": "q_company"})
+BY_PASSAGE = Filters(equal={"doc_name": "q_doc_name", "fiscal_year": "q_fiscal_year", "kind": "q_kind", "item_section": "q_item"}, contains={"company": "q_company"})

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..operators.grounding import problems
+from ..operators.grounding import REFUSAL, problems
 
 HEADING_CHARS, PASSAGE_CHARS = 70, 700
 
@@ -61,7 +61,7 @@ def first_line_model(prompt: str) -> str:
     """A deterministic stand-in for a language model: repeats the first line of evidence after its id."""
     line = prompt.split("\n", 1)[0]
     head, mark, rest = line.partition("] ")
-    return f"{rest} {head}]" if mark else "The provided filings do not contain this."
+    return f"{rest} {head}]" if mark else f"{REFUSAL}: no evidence was supplied."
 
 
 def checked(answers: DataFrame, context: DataFrame) -> DataFrame:

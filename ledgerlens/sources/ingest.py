@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import scrub
+from ..functions.text import fact_text, scrub
 
 
 def upsert_documents(existing: DataFrame, incoming: DataFrame, key: str, refreshed: str) -> DataFrame:
@@ -24,6 +25,60 @@ def replace_by_document(existing: DataFrame, incoming: DataFrame, key: str = "do
     return existing.join(incoming.select(key).distinct(), key, "left_anti").unionByName(incoming)
 
 
+def stamped(rows: DataFrame, column: str = "ingested_at") -> DataFrame:
+    """rows with the time of the load (UTC where the session's time zone is)."""
+    return rows.withColumn(column, F.current_timestamp())
+
+
+def all_chunks(prose: DataFrame, tables: DataFrame) -> DataFrame:
+    """Prose and table chunks of documents, one table; prose has no table."""
+    return prose.withColumns({"kind": F.lit("prose"), "table_ordinal": F.lit(None).cast("int")}).unionByName(tables.withColumn("kind", F.lit("table")))
+
+
+def delete_documents(gone: DataFrame, *tables: DataFrame, key: str = "doc_id") -> list[DataFrame]:
+    """The tables (documents, chunks, facts) without the rows of documents that are gone."""
+    names = gone.select(key).distinct()
+    return [t.join(names, key, "left_anti") for t in tables]
+
+
+def detach_chunks(facts: DataFrame, gone: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """facts that lose their chunk where it is gone, and stay otherwise."""
+    names = gone.select(F.col(key).alias("__gone")).distinct()
+    joined = facts.join(names, F.col(key) == F.col("__gone"), "left")
+    return joined.select(*[F.when(F.col("__gone").isNull(), F.col(c)).alias(c) if c == key else F.col(c) for c in facts.columns])
+
+
+def commit_together(tables: dict[str, DataFrame], folder: str) -> str:
+    """Writes the tables as one new version under folder and makes it the current one by one rename; returns its name.
+
+    Readers (read_current) see either all tables of a version or none of them, and a run that fails before the rename leaves
+    the current version as it was.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = f"v-{uuid.uuid4().hex}"
+    for name, rows in tables.items():
+        rows.write.parquet(f"{folder}/{version}/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path(f"{folder}/{version}/_new"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    # A rename is the commit: pointers are numbered, and the largest number counts.
+    number = max([int(f.getPath().getName().rpartition("-")[2]) for f in files.globStatus(path(f"{folder}/current-*")) or []], default=0) + 1
+    if not files.rename(path(f"{folder}/{version}/_new"), path(f"{folder}/current-{number:09d}")):
+        raise RuntimeError("another writer committed at the same time")
+    return version
+
+
+def read_current(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table of the version that was committed last."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    pointers = sorted(str(f.getPath()) for f in files.globStatus(path(f"{folder}/current-*")) or [])
+    version = spark.read.text(pointers[-1]).first()[0]
+    return spark.read.parquet(f"{folder}/{version}/{name}")
+
+
 def write_by_document(rows: DataFrame, path: str, partition: str) -> None:
     """Overwrites only the partitions that rows has, in one commit."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
@@ -54,6 +109,18 @@ def with_heading(facts: DataFrame, chunks: DataFrame, left: str = "left") -> Dat
     return facts.join(named, ["doc_id", "table_ordinal"], left)
 
 
+def load_facts(documents: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts ready to embed: one of each (document, table, row, column), with its table's chunk and its text.
+
+    documents: doc_id, company; chunks: doc_id, chunk_id, table_ordinal, heading_trail; facts: doc_id, fact_id, table_ordinal,
+    row_label, column_label, value_raw, scale. The first fact by id stays.
+    """
+    first = first_of(facts, ["doc_id", "table_ordinal", "row_label", "column_label"], ["fact_id"])
+    placed = with_heading(first, chunks).join(documents.select("doc_id", "company"), "doc_id")
+    text = fact_text(F.col("company"), F.col("context"), F.col("row_label"), F.col("column_label"), F.col("value_raw"), F.col("scale"))
+    return placed.withColumn("fact_text", text).drop("company", "context")
+
+
 def embed_missing(rows: DataFrame, cache: DataFrame, embed: Callable[[DataFrame], DataFrame], text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """rows with their embedding, and the cache with the new ones: only texts that the cache lacks are embedded, once each.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 
-
 def question_by_id(questions: DataFrame, qid: str) -> DataFrame:
     return questions.where(F.col("financebench_id") == qid).limit(1)
 
@@ -49,19 +50,65 @@ def merge_parts(parts: DataFrame, key: str, order: str, value: str) -> DataFrame
     return parts.groupBy(key).agg(F.flatten(ordered).alias(value))
 
 
+def table_grid(cells: DataFrame) -> DataFrame:
+    """A table's cells as rows of a grid: stem, table_ordinal, row and an array of the texts of columns 0, 1, ...; gaps are empty."""
+    rows = cells.groupBy("stem", "table_ordinal", F.col("start_row_offset_idx").alias("row"), "num_cols").agg(F.map_from_entries(F.collect_list(F.struct("start_col_offset_idx", F.coalesce("text", F.lit(""))))).alias("by_column"))
+    columns = F.sequence(F.lit(0), F.greatest(F.col("num_cols") - 1, F.lit(0)))
+    return rows.select("stem", "table_ordinal", "row", F.transform(columns, lambda c: F.coalesce(F.try_element_at("by_column", c), F.lit(""))).alias("cells"))
+
+
+def write_table_csv(grid: DataFrame, width: int, path: str) -> None:
+    """One table's grid (table_grid) as CSV of width columns, in the order of its rows; a table is small, so it is one file."""
+    rows = grid.coalesce(1).sortWithinPartitions("row")
+    rows.select(*[F.get("cells", F.lit(c)).alias(f"c{c}") for c in range(width)]).write.mode("overwrite").option("header", False).csv(path)
+
+
 def write_csv(rows: DataFrame, fields: list[str], path: str, mode: str = "overwrite") -> None:
     """The fields only, under a header; mode append keeps the results of earlier batches."""
     rows.select(*fields).write.mode(mode).option("header", True).csv(path)
 
 
+def write_csv_in_parts(rows: DataFrame, key: str, fields: list[str], path: str, run: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
+    """run(rows) part by part, each part's results written before the next one begins; returns what is written so far.
+
+    Called again after a failure it goes on with the rows whose key is not written yet.
+    """
+    spark = rows.sparkSession
+    schema = run(rows.limit(0)).select(*fields).schema
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for part in range(parts):
+        there = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(path))
+        own = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
+        own = own.join(spark.read.schema(schema).option("header", True).csv(path).select(key), key, "left_anti") if there else own
+        write_csv(run(own), fields, path, "append")
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def markdown(rows: DataFrame, title: str) -> str:
+def markdown(rows: DataFrame, title: str, decimals: int = 3) -> str:
     """An aggregated table as a markdown section. Only for tables of a few rows, such as a group x condition grid."""
+    show = lambda v: "" if v is None else f"{v:.{decimals}f}" if isinstance(v, float) else str(v)
     lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows.collect()]) + "\n"
+    return "\n".join(lines + ["| " + " | ".join(map(show, r)) + " |" for r in rows.collect()]) + "\n"
+
+
+def report(title: str, notes: list[str], sections: dict[str, DataFrame]) -> str:
+    """A markdown report: title, notes, then a table for each section that has rows."""
+    parts = [f"# {title}", "", *notes, ""]
+    return "\n".join(parts + [markdown(rows, name) for name, rows in sections.items() if not rows.isEmpty()])
+
+
+def create_tables(spark: SparkSession, folder: str) -> None:
+    """Creates the three tables, empty, where they are not there yet, and their views; existing tables stay as they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name, schema in (("documents", schemas.DOCUMENTS), ("chunks", schemas.CHUNKS), ("facts", schemas.FACTS)):
+        files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        if not files.exists(path(f"{folder}/{name}")):
+            spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}")
+    register_views(*[spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in (("documents", schemas.DOCUMENTS), ("chunks", schemas.CHUNKS), ("facts", schemas.FACTS))])
 
 
 def register_views(documents: DataFrame, chunks: DataFrame, facts: DataFrame) -> None:

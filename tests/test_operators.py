@@ -38,10 +38,36 @@ def test_scope_is_longest_name_first_then_alias(spark):
     assert found == {1: ("NATION_12", 2020), 2: ("COCACOLA", 2021), 3: (None, None), 4: ("3M", 2023), 5: (None, None)}
 
 
+FACTS = "fact_id long, doc_id long, doc_name string, table_ordinal int, row_label string, column_label string, signed double, scale string, page int, company string, fiscal_year int"
+
+
+def fact(n, doc, table, label, column, value, company="A", scale=None):
+    return (n, doc, f"d{doc}", table, label, column, value, scale, n, company, 2018)
+
+
 def test_ratio_needs_one_table(spark):
-    facts = [(1, 1, 0, "Total current assets", "2018", 10.0, "A", 2018), (2, 1, 1, "Total current liabilities", "2018", 5.0, "A", 2018), (3, 2, 0, "Total current assets", "Dec 2018", 12.0, "A", 2018), (4, 2, 0, "Total current liabilities", "Dec 2018", 4.0, "A", 2018), (5, 3, 0, "Total current assets", "2017", 1.0, "B", 2018)]
-    rows = spark.createDataFrame(facts, "fact_id long, doc_id long, table_ordinal int, row_label string, column_label string, value double, company string, fiscal_year int")
-    assert [(r["company"], r["doc_id"], r["value"], r["shown"]) for r in metrics.compute(rows, "current ratio").collect()] == [("A", 2, 3.0, "3.00")]
+    rows = [fact(1, 1, 0, "Total current assets", "2018", 10.0), fact(2, 1, 1, "Total current liabilities", "2018", 5.0), fact(3, 2, 0, "Total current assets", "Dec 2018", 12.0, scale="millions"), fact(4, 2, 0, "Total current liabilities", "Dec 2018", 4.0), fact(5, 3, 0, "Total current assets", "2017", 1.0, "B")]
+    found = metrics.compute(spark.createDataFrame(rows, FACTS), ("current ratio",)).collect()
+    assert [(r["company"], r["metric"], r["doc_id"], r["value"], r["shown"], r["scale"]) for r in found] == [("A", "current ratio", 2, 3.0, "3.00", "millions")]
+    assert [(i["key"], i["fact_id"], i["page"]) for i in found[0]["inputs"]] == [("current_assets", 3, 3), ("current_liabilities", 4, 4)]
+
+
+def test_losses_stay_negative_and_a_zero_divisor_gives_nothing(spark):
+    loss = [fact(1, 1, 0, "Net income", "2018", -50.0), fact(2, 1, 0, "Net sales", "2018", 200.0)]
+    assert metrics.compute(spark.createDataFrame(loss, FACTS), ("net margin",)).first()["shown"] == "-25.0%"
+    # The table with the better labels divides by zero; the next best is not taken instead.
+    zero = [fact(1, 1, 0, "Total net sales", "2018", 0.0), fact(2, 1, 0, "Net income", "2018", 1.0), fact(3, 2, 0, "Revenue", "2018", 10.0), fact(4, 2, 0, "Net income", "2018", 1.0)]
+    assert metrics.compute(spark.createDataFrame(zero, FACTS), ("net margin",)).count() == 0
+
+
+def test_a_segment_line_is_no_consolidated_one(spark):
+    rows = [fact(1, 1, 0, "Revenue of segment A", "2018", 5.0), fact(2, 1, 0, "Net income", "2018", 1.0), fact(3, 1, 0, "Net income from other", "2018", 1.0)]
+    assert metrics.compute(spark.createDataFrame(rows, FACTS)).count() == 0
+
+
+def test_equal_facts_stay_apart_in_line_items(spark):
+    rows = spark.createDataFrame([("Net sales",), ("Net sales",), ("Inventory, net",), ("x",)], "row_label string")
+    assert sorted((r["key"], r["place"]) for r in metrics.line_items(rows).collect()) == [("inventory", 2), ("revenue", 1), ("revenue", 1)]
 
 
 def test_grounding(spark):
@@ -54,6 +80,8 @@ def test_outcomes(spark):
     rows = [(1, "direct", grounding.REFUSAL, 0, [1.0]), (2, "direct", "1 [F1]", 1, [1.0]), (3, "narrative", "text", 0, []), (4, "direct", "none", 0, [1.0]), (5, "computed", "1,000 or 2", 0, [1.0]), (6, "direct", "3", 0, [1.0])]
     found = grounding.outcome(spark.createDataFrame(rows, "qid int, group string, answer string, n_problems int, expected array<double>")).orderBy("qid")
     assert [r["outcome"] for r in found.collect()] == ["refused", "ungrounded", "unscored", "wrong", "correct", "wrong"]
+    year = spark.createDataFrame([(1, "direct", "in 2018 [F9]", 0, [2018.0]), (2, "direct", None, 0, [1.0])], "qid int, group string, answer string, n_problems int, expected array<double>")
+    assert [r["outcome"] for r in grounding.outcome(year).orderBy("qid").collect()] == ["correct", "error"]
 
 
 def test_p90_is_by_floor_index_and_splits_are_checked(spark):
@@ -109,3 +137,67 @@ def test_greedy_cover_orders_the_whole_pool(spark):
     assert corpus.greedy_cover(frame) == order and corpus.greedy_cover(frame, 3) == order[:3]
     assert corpus.greedy_cover(frame.limit(0)) == []
     assert QUERIES["greedy_cover"](spark, "/root/testdata/sf0.01").count() == 100
+
+
+def test_ranks_under_filters(spark):
+    rows = spark.createDataFrame([(n, [1.0, n / 10], "a" if n % 2 else None, f"Co_{n % 3}", n % 4) for n in range(1, 41)] + [(99, [0.0, 0.0], "a", "Co_1", 1), (98, [1.0], "a", "Co_1", 1)], "id long, embedding array<float>, kind string, company string, year int")
+    asked = spark.createDataFrame([("p", [1.0, 0.0], "a", "co_1", None, 1), ("q", [1.0, 0.0], None, None, None, None), ("r", [1.0, 0.0], None, "none", None, None), ("s", [1.0, 0.0], None, None, 3, None)], "qid string, qvec array<float>, k string, c string, y int, own long")
+    found = search.vector_ranks(rows, asked, 2, filters=search.Filters(equal={"kind": "k", "year": "y"}, contains={"company": "c"}, leave_out="own"))
+    assert sorted((r["qid"], r["rank"], r["id"]) for r in found.collect()) == [("p", 1, 7), ("p", 2, 13), ("q", 1, 1), ("q", 2, 2), ("s", 1, 3), ("s", 2, 7)]
+    # A zero vector is ranked last, without a score; one of another length not at all.
+    last = search.vector_ranks(rows.where("id > 38"), asked.where("qid = 'q'"), 9).orderBy("rank").collect()
+    assert [(r["id"], r["score"] is None) for r in last] == [(39, False), (40, False), (99, True)]
+
+
+def test_queries_in_blocks_and_rows_in_slices(spark, monkeypatch):
+    rows = spark.createDataFrame([(n, [float(n % 7), float(n % 5 + 1)]) for n in range(60)], "id long, embedding array<double>").repartition(3)
+    asked = spark.createDataFrame([(n, [float(n), 1.0]) for n in range(7)], "qid long, qvec array<double>")
+    whole = sorted(map(tuple, search.vector_ranks(rows, asked, 4).collect()))
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 3)
+    monkeypatch.setattr(search, "CELLS", 8)
+    assert sorted(map(tuple, search.vector_ranks(rows, asked, 4).collect())) == whole and len(whole) == 28
+    assert search.vector_ranks(rows, asked.limit(0), 4).count() == 0 and search.vector_ranks(rows.limit(0), asked, 4).count() == 0
+
+
+def test_first_relevant_counts_what_is_before(spark):
+    rows = spark.createDataFrame([(n, [1.0, n / 10], n % 4) for n in range(1, 20)], "id long, embedding array<double>, label int")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], 3), (2, [1.0, 0.1], 1), (3, [1.0, 0.0], 9)], "qid long, qvec array<double>, want int")
+    assert {r["qid"]: r["rank"] for r in search.first_relevant(rows, asked, {"label": "want"}, leave_out="qid").collect()} == {1: 2, 2: 1, 3: None}
+
+
+def test_lexical_ranks_count_words_as_often_as_they_stand(spark):
+    rows = spark.createDataFrame([(1, "sales sales sales"), (2, "net sales"), (3, None), (4, "wholesales"), (5, "")], "id long, text string")
+    asked = spark.createDataFrame([(1, "What were the Sales"), (2, "net sales?"), (3, "of the")], "qid long, question string")
+    found = {(r["qid"], r["rank"]): (r["id"], r["score"]) for r in search.lexical_ranks(rows, asked, 5).collect()}
+    assert found == {(1, 1): (1, 1.361111), (1, 2): (2, 1.0), (2, 1): (2, 1.0), (2, 2): (1, 0.680556)}
+
+
+def test_p90_without_gathering_the_values(spark):
+    rows = spark.createDataFrame([(x,) for x in [0.5] * 7 + [0.1, 0.9, 0.9]], "best double")
+    assert [evaluation.at_index(rows, "best", s).first()["best"] for s in (0.0, 0.05, 0.5, 0.9, 1.0)] == [0.1, 0.1, 0.5, 0.9, 0.9]
+
+
+def test_headline_and_order_of_outcomes(spark):
+    rows = spark.createDataFrame([("direct", "correct", 1.0), ("direct", "ungrounded", 2.0), ("direct", "wrong", 9.0), ("direct", "refused", 3.0), ("narrative", "unscored", None)], "group string, outcome string, seconds double")
+    assert tuple(evaluation.headline(rows).first()) == (4, 1, 2, 1, 2.5, round(15 / 3600, 6))
+    shares = evaluation.outcome_shares(rows, "group", "outcome").orderBy("group", evaluation.place_of("outcome", evaluation.OUTCOMES))
+    assert [r["outcome"] for r in shares.where("`group` = 'direct'").collect()] == ["correct", "wrong", "ungrounded", "refused"]
+
+
+def test_subset_of_questions(spark):
+    rows = spark.createDataFrame([(n, "direct" if n % 2 else "narrative") for n in range(10)], "qid int, group string")
+    ids = lambda **k: sorted(r["qid"] for r in evaluation.subset(rows, "qid", **k).collect())
+    assert ids(group="direct", limit=2, offset=1) == [3, 5] and ids(ids=[4, 77]) == [4] and ids(ids=[]) == [] and ids(offset=8) == [8, 9] and len(ids()) == 10
+
+
+def test_narrative_overlap_takes_the_first_best_hit(spark):
+    asked = spark.createDataFrame([(1, "a b c d"), (2, "x y")], "qid int, evidence_text string")
+    hits = spark.createDataFrame([(1, 1, "q a b c", 4, "d4"), (1, 2, "a b c d", 5, "d5"), (1, 3, "z a b c d", 6, "d6"), (2, 1, "x y", 1, "d1")], "qid int, rank int, text string, page_start int, doc_name string")
+    assert sorted(tuple(r) for r in evaluation.score_narrative(asked, hits).collect()) == [(1, 1.0, 2, 5, "d5"), (2, 0.0, None, None, None)]
+
+
+def test_evidence_page_by_its_rarest_numbers(spark):
+    evidence = spark.createDataFrame([(1, "100 2,000 300.5."), (2, "100 2,000 300.5."), (3, "100"), (4, "none"), (5, "555 666")], "e_id int, text string")
+    pages = spark.createDataFrame([(n, "100 and") for n in range(10)] + [(20, "2,000 300.5"), (21, "2,000"), (22, "2000")], "page_id int, blob string")
+    found = sorted(tuple(r) for r in inspection.evidence_pages(evidence, pages).collect())
+    assert found == [(e, p, s, k) for e in (1, 2) for p, s, k in ((9, 0.333333, 3), (20, 0.666667, 1), (21, 0.333333, 2))] + [(3, 7, 1.0, 3), (3, 8, 1.0, 2), (3, 9, 1.0, 1)]

@@ -94,3 +94,63 @@ def test_write_by_document_leaves_other_documents(spark, tmp_path):
     ingest.write_by_document(spark.createDataFrame([(1, "a"), (2, "b")], "doc_id int, text string"), path, "doc_id")
     ingest.write_by_document(spark.createDataFrame([(2, "c")], "doc_id int, text string"), path, "doc_id")
     assert sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_tables_as_grids(spark, tmp_path):
+    cells = spark.createDataFrame([("s", 0, 2, 1, 1, "d"), ("s", 0, 2, 0, 0, "a"), ("s", 0, 2, 0, 1, None), ("s", 0, 2, 1, 0, "c,1")], "stem string, table_ordinal int, num_cols int, start_row_offset_idx int, start_col_offset_idx int, text string")
+    grid = io.table_grid(cells)
+    assert [(r["row"], r["cells"]) for r in grid.orderBy("row").collect()] == [(0, ["a", ""]), (1, ["c,1", "d"])]
+    io.write_table_csv(grid, 2, str(tmp_path / "t"))
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "t")).collect()] == [("a", None), ("c,1", "d")]
+
+
+def test_results_survive_a_run_that_stops(spark, tmp_path):
+    rows = spark.createDataFrame([(n,) for n in range(20)], "id int")
+    calls = []
+
+    def run(part):
+        calls.append(part.count())
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return part.withColumn("twice", F.col("id") * 2)
+
+    path = str(tmp_path / "out")
+    try:
+        io.write_csv_in_parts(rows, "id", ["id", "twice"], path, run, 4)
+    except RuntimeError:
+        pass
+    kept = spark.read.option("header", True).csv(path).count()
+    done = io.write_csv_in_parts(rows, "id", ["id", "twice"], path, lambda part: part.withColumn("twice", F.col("id") * 2), 4)
+    assert 0 < kept < 20 and sorted((r["id"], r["twice"]) for r in done.collect()) == [(n, 2 * n) for n in range(20)]
+
+
+def test_report_and_tables_that_are_there(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 0.12345)], "k string, v double")
+    said = io.report("Run", ["note"], {"one": rows, "none": rows.limit(0)})
+    assert said == "# Run\n\nnote\n\n## one\n\n| k | v |\n|---|---|\n| a | 0.123 |\n"
+    io.create_tables(spark, str(tmp_path))
+    spark.createDataFrame([(1, "d")], "doc_id long, doc_name string").selectExpr("doc_id", "doc_name", *[f"cast(null as {t}) as {n}" for n, t in (x.split(" ", 1) for x in schemas.DOCUMENTS.split(", ")[2:])]).write.mode("append").parquet(str(tmp_path / "documents"))
+    io.create_tables(spark, str(tmp_path))
+    assert spark.table("documents").count() == 1 and spark.table("facts_cited").count() == 0
+
+
+def test_tables_are_committed_together(spark, tmp_path):
+    path = "file://" + str(tmp_path)
+    put = lambda n: {"chunks": spark.range(n), "facts": spark.range(2 * n)}
+    ingest.commit_together(put(2), path)
+    ingest.commit_together(put(3), path)
+    bad = {"chunks": spark.range(9), "facts": spark.range(9).select(F.raise_error(F.lit("no")).alias("id"))}
+    try:
+        ingest.commit_together(bad, path)
+    except Exception:
+        pass
+    assert ingest.read_current(spark, path, "chunks").count() == 3 and ingest.read_current(spark, path, "facts").count() == 6
+
+
+def test_deleting_documents_and_chunks(spark):
+    docs = spark.createDataFrame([(1,), (2,)], "doc_id int")
+    facts = spark.createDataFrame([(10, 1, 5), (11, 2, 6), (12, 2, None)], "fact_id int, doc_id int, chunk_id int")
+    left = ingest.delete_documents(docs.where("doc_id = 1"), docs, facts)
+    assert [x.count() for x in left] == [1, 2]
+    assert sorted((r["fact_id"], r["chunk_id"]) for r in ingest.detach_chunks(facts, spark.createDataFrame([(6,)], "chunk_id int")).collect()) == [(10, 5), (11, None), (12, None)]
+    assert ingest.stamped(docs).first()["ingested_at"] is not None

@@ -46,7 +46,7 @@ def test_follow_up(spark):
     assert value(spark, text.follow_up(F.col("a"), F.col("b")), a="and 2019?", b=None) == "and 2019?"
 
 
-@pytest.mark.parametrize(("name", "company"), [("3M_2018_10K", "3M"), ("JOHNSON_JOHNSON_2022Q4_EARNINGS", "JOHNSON_JOHNSON"), ("ACME_8K_x", "ACME"), ("plain", "plain")])
+@pytest.mark.parametrize(("name", "company"), [("3M_2018_10K", "3M"), ("JOHNSON_JOHNSON_2022Q4_EARNINGS", "JOHNSON_JOHNSON"), ("ACME_8K_x", "ACME"), ("plain", "plain"), ("acme_8k", "acme"), ("A_10KSB_2018", "A_10KSB"), ("2018_10K", "2018_10K")])
 def test_company_of(spark, name, company):
     assert value(spark, text.company_of(F.col("a")), a=name) == company
 
@@ -65,6 +65,23 @@ def test_scrub_and_fact_text(spark):
     assert value(spark, text.scrub(F.col("a")), a="a\x00b") == "ab"
     parts = [F.lit("Co"), F.lit("Assets:"), F.lit("Cash"), F.lit(""), F.lit(None), F.lit("millions")]
     assert value(spark, text.fact_text(*parts)) == "Co · Assets · Cash · millions"
+    assert value(spark, text.fact_text(F.lit("Co"), F.lit(None), F.lit("Cash"), F.lit("2018"), F.lit("5"), F.lit("millions"))) == "Co · Cash · 2018 · 5 millions"
+
+
+def test_number_tokens_keep_commas_but_no_full_stop(spark):
+    assert value(spark, text.number_tokens(F.col("a")), a="In 2018. 10. 1,577 and 3.25, 12 99") == ["2018", "1,577", "3.25"]
+    assert value(spark, text.as_float(F.col("a")), a="1,577.5") == 1577.5 and value(spark, text.as_float(F.col("a")), a="x1") is None
+
+
+@pytest.mark.parametrize(("said", "scale"), [("Sales (in Millions)", "millions"), ("(thousands)", "thousands"), ("(in billions, except)", None), ("millions", None)])
+def test_scale(spark, said, scale):
+    assert value(spark, text.scale_of(F.col("a")), a=said) == scale
+
+
+def test_render_of_a_metric(spark):
+    inputs = F.array(*[F.struct(F.lit(i).alias("fact_id"), F.lit(n).alias("label"), F.lit(v).alias("value"), F.lit(3).alias("page"), F.lit("d").alias("doc_name")) for i, n, v in ((1, "A", 12345.0), (2, "B", -5.0))])
+    said = value(spark, finance.render(F.lit("working capital"), F.lit("12,350"), F.lit("a - b"), F.lit("millions"), inputs))
+    assert said == "working capital: 12,350 millions\n  a - b\n  computed from:\n    [F1] A = 12,345  (d p3)\n    [F2] B = -5  (d p3)"
 
 
 def test_metrics(spark):
