@@ -299,3 +299,11 @@ ORACLE["chunk_set_null"] = f"WITH {_LINES} SELECT fact_id, CASE WHEN l_partkey I
 ORACLE["load_facts"] = f"""WITH {_LINES}, {_FILINGS}, {_FTABLE}, c AS (SELECT doc_id * 37 % 1500 AS doc, CAST(doc_id % 2 AS INTEGER) AS t, max(doc_id) AS chunk_id, arg_max(source, doc_id) AS context FROM documents WHERE doc_id % 4 <> 1 GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_ordinal, row_label, column_label ORDER BY fact_id) AS place FROM ftable)
 SELECT fact_id, doc_id, chunk_id, company || CASE WHEN context IS NULL THEN '' ELSE ' · ' || context END || ' · ' || row_label || ' · ' || column_label || ' · ' || CAST(signed AS VARCHAR) || CASE WHEN scale IS NULL THEN '' ELSE ' ' || scale END AS fact_text FROM f LEFT JOIN c ON doc = doc_id AND t = table_ordinal WHERE place = 1"""
+ORACLE["greedy_cover"] = """WITH RECURSIVE sets AS (SELECT l_partkey AS qid, list(DISTINCT CAST(l_suppkey AS VARCHAR)) AS docs FROM lineitem GROUP BY l_partkey),
+named AS (SELECT doc, count(*) AS named FROM (SELECT unnest(docs) AS doc FROM sets) GROUP BY doc),
+steps AS (SELECT 0 AS place, []::VARCHAR[] AS taken, NULL::VARCHAR AS doc, 0::BIGINT AS gain, 0::BIGINT AS named
+UNION ALL SELECT place, list_append(taken, b.doc), b.doc, b.gain, b.named FROM (
+  SELECT any_value(place) + 1 AS place, any_value(taken) AS taken, max({'gain': gain, 'named': n, 'doc': d}) AS b FROM (
+    SELECT s.place, s.taken, n.doc AS d, n.named AS n, (SELECT count(*) FROM sets WHERE list_contains(docs, n.doc) AND len(list_filter(docs, lambda x: NOT list_contains(s.taken, x))) = 1) AS gain
+    FROM steps s JOIN named n ON NOT list_contains(s.taken, n.doc)) HAVING count(*) > 0))
+SELECT CAST(place AS INTEGER) AS place, doc, gain, named FROM steps WHERE place > 0"""
