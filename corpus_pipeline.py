@@ -2,7 +2,9 @@
 
 Counted as part of ledgerlens.llm. Each stage takes (spark, docs, sf_dir) and returns the documents that it keeps, with
 their columns; the last returns what the token files hold of each document. Decisions are on rows, by a number that each
-stage gives them: ids may be null or repeated.
+stage gives them, so a row is judged by its own columns whatever its id: ids may be null or repeated, rows of one id may
+have other texts, and equal rows are rows of their own. Null and empty texts pass every stage; an empty table gives an
+empty one; further columns, of whatever name, pass the first four stages as they are.
 """
 
 from __future__ import annotations
@@ -22,13 +24,16 @@ def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose language is unknown or doubtful."""
+    """Drops documents whose language is unknown or doubtful. One without text is judged by its declared language and source."""
     docs = with_row_key(docs)
     return _without(docs, language_id.language_documents(docs, id_col=ROW, sample_col="doc_id").where("not kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies, one without an id only if none has one."""
+    """Keeps the document with the smallest id of each group of near copies, one without an id only if none has one.
+
+    Of equal rows one stays; documents without words are copies of none and all stay.
+    """
     docs = with_row_key(docs)
     groups, _ = write_table(ngram_join.join_ngrams(docs, id_col=ROW).select(ROW, "component_id"), "stage-groups")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
@@ -37,12 +42,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a test item."""
+    """Drops documents that hold a test item; items without an id count too, items and documents without words match nothing."""
     return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents as often as the mix does."""
+    """Takes documents as often as the mix does: not at all, once or twice. Those without words are taken as their place in the queue says."""
     return mixing.mixed_documents(docs)
 
 
