@@ -8,11 +8,14 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows of a one-long-column side up to which a join may broadcast it (about 64 MB in the JVM).
 BROADCAST_ROWS = 500_000
+#: Files up to which the table of their numbers is broadcast (some 200 bytes each).
+FILE_ROWS = 100_000
 #: Column of with_row_key.
 ROW = "__row"
 
@@ -20,9 +23,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors see; a temporary one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
@@ -42,9 +47,35 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+class Scratch:
+    """Owns intermediate tables: drop() deletes all but the kept ones, once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        table, path = write_table(df, name)
+        self.paths.append(path)
+        return table
+
+    def drop(self) -> None:
+        drop_table(self.spark, *self.paths)
+        self.paths = []
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
-    """df with a number for each row (ROW), written so that it stays: ids may be null or repeated, numbers are neither."""
-    return write_table(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed")[0]
+    """df with a number for each row (ROW) that stays however often df is read: ids may be null or repeated, numbers are neither.
+
+    Rows of files are numbered by their file and their place in it; other rows are written first.
+    """
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    except AnalysisException:  # not read from files with row numbers
+        return write_table(df.withColumn(ROW, F.monotonically_increasing_id()), "keyed")[0]
+    # One row per file; only footers are read for it.
+    files, _ = write_table(placed.select("__file").distinct().withColumn("__number", F.row_number().over(Window.orderBy("__file")).cast("long")), "files")
+    numbered = placed.join(small(files.withColumnRenamed("__file", "__of"), FILE_ROWS), F.col("__file") == F.col("__of"))
+    return numbered.select(*df.columns, (F.col("__number") * (1 << 36) + F.col("__index")).alias(ROW))
 
 
 def drop_table(spark: SparkSession, *paths: str) -> None:
@@ -78,19 +109,35 @@ def running_sum(df: DataFrame, group: list[str], bucket: str, order: list, value
     return joined.withColumn(out, F.sum(value).over(inside) + F.col("__before")).drop("__before")
 
 
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") and hasattr(libc, "mallopt") else None
+    except OSError:  # another C library
+        return None
+
+
+def _settle() -> None:
+    """Once per worker: arrays of a megabyte and more are mapped by themselves, so the system has them back when they are freed."""
+    if "settled" not in _own:
+        _own["settled"] = ""
+        if libc := _libc():
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-8, 2)  # M_ARENA_MAX
+
+
 def _give_back() -> None:
     """Returns freed memory to the system: workers live on from task to task beside a JVM with a full heap."""
     pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
+    if libc := _libc():
+        libc.malloc_trim(0)
 
 
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow whose tasks give their memory back at the end."""
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _settle()
         try:
             yield from run(batches)
         finally:

@@ -17,6 +17,7 @@ ordered by a hash of their text; an empty table writes no file; other columns ar
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 import uuid
 import zlib
@@ -35,7 +36,7 @@ from .wordhash import _BASE, _WIDE, _power_tables, _space, mix, text_chunks
 MAGIC = b"LLIDS003"
 FILE_IDS = 6144 * BLOCK_IDS
 #: Pieces whose ids a worker keeps; beyond it starts anew. Bits of each half of the table of pieces.
-CACHE_PIECES, TABLE_BITS = 1_500_000, 21
+CACHE_PIECES, TABLE_BITS = 1_000_000, 20
 #: Words that the tokenizers library encodes as one text.
 WORDS_AT_ONCE = 1024
 INDEX = "part int, seq int, path string, docs long, ids long"
@@ -82,6 +83,7 @@ class PieceEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

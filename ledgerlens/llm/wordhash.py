@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _WIDE = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
