@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import drop_table, map_arrow, shuffle_partitions, write_table
+from .shared import Scratch, map_arrow, shuffle_partitions, write_table
 
 SAMPLE, LEAVES, ROWS_PER_CELL, TOP_PROBES, PROBES, BLOCK = 131_072, 65_536, 64, 6, 4, 256
 #: Numbers in the sample at most: long vectors have a smaller one.
@@ -214,7 +214,7 @@ def _compare(threshold: float, size: int, kind: str, turn_of):
     return run
 
 
-def _links(vectors: DataFrame, size: int, kind: str, threshold: float) -> DataFrame:
+def _links(vectors: DataFrame, size: int, kind: str, threshold: float, scratch: Scratch) -> DataFrame:
     """(kind, a, b) of _compare for vectors (id, copies, vec) of one length."""
     spark = vectors.sparkSession
     rows = vectors.count()
@@ -222,7 +222,7 @@ def _links(vectors: DataFrame, size: int, kind: str, threshold: float) -> DataFr
     sample = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("vec").toPandas()["vec"]
     units = _unit(_matrix(b"".join(sample), size, kind)).astype(np.float32) if len(sample) else np.eye(1, size, dtype=np.float32)
     model = spark.sparkContext.broadcast((Tree(units, max(1, min(LEAVES, rows // ROWS_PER_CELL, len(units) // 4))), rotation(size)))
-    placed, path = write_table(map_arrow(vectors.repartition(shuffle_partitions(spark), "id"), _assign(model, size, kind), "cell int, id long, copies long, vec binary, code binary, factor double, probes binary"), "embed-cells")
+    placed = scratch.write(map_arrow(vectors.repartition(shuffle_partitions(spark), "id"), _assign(model, size, kind), "cell int, id long, copies long, vec binary, code binary, factor double, probes binary"), "embed-cells")
     # One row per leaf, LEAVES at most.
     cells = placed.groupBy("cell").agg(F.count("*").alias("rows")).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int"))
     blocked = placed.join(F.broadcast(cells.select("cell", "blocks")), "cell").withColumn("block", F.pmod(F.xxhash64("id", "cell"), F.col("blocks")).cast("int"))
@@ -231,14 +231,13 @@ def _links(vectors: DataFrame, size: int, kind: str, threshold: float) -> DataFr
     units_of = units_of.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")}).drop("block", "other")
     total = cells.agg(F.sum(F.col("rows") * F.col("blocks"))).first()[0] or 0
     compared = map_arrow(units_of.repartition(max(shuffle_partitions(spark), total // 20_000), "cell", "i", "j"), _compare(threshold, size, kind, model), "kind int, a long, b long")
-    found, _ = write_table(compared, "embed-links")
-    drop_table(spark, path)
-    return found
+    return scratch.write(compared, "embed-links")
 
 
 def near_embeddings(embeddings: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """id, n_links (other rows linked directly), component_id (smallest id that links reach) and kept (id = component_id), one row per input row."""
     spark = embeddings.sparkSession
+    scratch = Scratch(spark)
     kind = "<f4" if embeddings.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
     vec = F.transform(F.col(vec_col).cast("array<double>"), lambda x: x + F.lit(0.0))  # -0.0 is 0.0
     source = embeddings.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
@@ -247,9 +246,9 @@ def near_embeddings(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
     source = source.withColumn("vec", F.when(F.coalesce(usable, F.lit(False)), F.col("vec")))
     digest = [F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(1), "vec").alias("h2")]
     classes = source.where("vec is not null").groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    classes, classes_path = write_table(classes.select("vec", *digest, "rep", "copies", F.monotonically_increasing_id().alias("number")), "embed-classes")
+    classes = scratch.write(classes.select("vec", *digest, "rep", "copies", F.monotonically_increasing_id().alias("number")), "embed-classes")
     sizes = [r[0] for r in classes.select(F.size("vec")).distinct().collect()]
-    found, paths = None, [classes_path]
+    found = None
     for size in sorted(sizes):
         own = classes.where(F.size("vec") == size).select(F.col("number").alias("id"), "copies", "vec")
 
@@ -258,20 +257,19 @@ def near_embeddings(embeddings: DataFrame, threshold: float = 0.9, id_col: str =
                 flat = batch.column(2).flatten().to_numpy().reshape(-1, size).astype(kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([v.tobytes() for v in flat], pa.binary())], ["id", "copies", "vec"])
 
-        packed, path = write_table(map_arrow(own, pack, "id long, copies long, vec binary"), "embed-vectors")
-        links = _links(packed, size, kind, threshold)
-        drop_table(spark, path)
+        packed = scratch.write(map_arrow(own, pack, "id long, copies long, vec binary"), "embed-vectors")
+        links = _links(packed, size, kind, threshold, scratch)
         found = links if found is None else found.unionByName(links)
     if found is None:
         found = spark.createDataFrame([], "kind int, a long, b long")
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others"))
-    pieces, _ = write_table(components(found.where("kind = 1").select("a", "b")), "embed-pieces")
+    pieces = components(found.where("kind = 1").select("a", "b"), scratch)
     least = pieces.join(classes.select("number", "rep"), F.col("node") == F.col("number")).groupBy("component").agg(F.min("rep").alias("least"))
     pieces = pieces.join(least, "component").select("node", "least")
     known = classes.select("number", "h1", "h2", "rep", "copies").join(counts, F.col("number") == F.col("a"), "left").join(pieces, F.col("number") == F.col("node"), "left")
     # Written first, so the join deals both sides anew and Spark can split a vector that very many rows share.
     known, _ = write_table(known.select("h1", "h2", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least", "rep").alias("component_id")), "embed-known")
-    drop_table(spark, *paths)
+    scratch.drop()
     named = source.where("vec is not null").select(F.col("id").alias("own"), *digest).join(known, ["h1", "h2"]).select("own", "n_links", "component_id")
     rest = source.where("vec is null").select(F.col("id").alias("own"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = named.unionByName(rest)

@@ -5,22 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_table, shuffle_partitions, write_table
+from .shared import Scratch, drop_table, shuffle_partitions, write_table
 
 EDGES_PER_TASK = 50_000
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(node, component): component is the smallest node that edges (a, b) reach from node, itself included.
 
     Alternates the large-star and small-star steps until no edge changes, so the number of rounds grows with the
     logarithm of the size. Each node keeps one edge to a smaller node at the end. Every round is written to the
-    shared folder. Null ends and loops are ignored, save that a loop's node is returned. Edges of one node never
+    shared folder, and of all only the result stays there. Null ends and loops are ignored, save that a loop's node is returned. Edges of one node never
     meet in one task: stars are made by grouped minima and joins, which Spark splits when skewed.
     """
     spark = edges.sparkSession
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null")
-    given, _ = write_table(edges, "edges-given")
+    given, given_path = write_table(edges, "edges-given")
     nodes = given.select("a").union(given.select("b")).distinct()
     now, path = write_table(given.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before, rows = None, now.count()
@@ -41,4 +41,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
     found = now.groupBy("a").agg(F.min("b").alias("component"))
-    return nodes.join(found, "a", "left").select(F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
+    result = nodes.join(found, "a", "left").select(F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
+    out = (scratch or Scratch(spark)).write(result, "components")
+    drop_table(spark, given_path, path)
+    return out

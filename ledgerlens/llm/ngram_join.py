@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join: exact links between texts, by signature trees over groups that share a prefix n-gram.
 
-1. Every text becomes its set of hashed word n-grams (64-bit) and a bitmap of it. Equal sets collapse to their smallest id.
+1. Every text becomes its set of hashed word n-grams (64-bit; equal hashes count as equal n-grams) and a bitmap of it. Equal
+   sets collapse to their smallest id.
 2. Two sets with Jaccard >= p % share one of the first n - ceil(p n / 100) + 1 n-grams of either, in any common order of
-   n-grams. The order used puts n-grams that repeat within a task's window of texts last, by their summed count, so common
-   passages lead few texts together. Which n-grams the bounded table of those holds changes the work, never the result.
-3. In each group of texts that share such an n-gram, a signature tree (nodes hold OR-combined bitmaps and size ranges) is
-   traversed against itself; node pairs whose largest possible overlap or sizes cannot reach the threshold are pruned.
-   What is left of a group is kept as a spanning forest; groups over TREE_ROWS are kept as a star without a look at the
-   bitmaps. The connected pieces hold every link.
-4. The full sets are brought to their piece once and compared exactly. A piece over BLOCK texts is cut into blocks by
+   n-grams. The order used first puts n-grams last that repeat within a task's window of texts, by their summed count.
+3. In each group of up to TREE_ROWS texts that share such an n-gram, a signature tree (nodes hold OR-combined bitmaps and
+   size ranges) is traversed against itself; node pairs whose largest possible overlap or sizes cannot reach the threshold
+   are pruned. What is left of a group is kept as a spanning forest.
+4. Texts of larger groups, however their rows were dealt, are matched among themselves once more: all their n-grams are
+   counted exactly, and in the new order the rarest come first, so a passage that many texts share leads few of them
+   together. Only groups that are large in that order too, of texts that common passages make up almost wholly, are kept
+   as a star. The connected pieces hold every link. Neither order changes the result.
+5. The full sets are brought to their piece once and compared exactly. A piece over BLOCK texts is cut into blocks by
    three independent hashes; whatever these leave unconnected is compared block against block, leaving out blocks of one
    component. Only components are made, so a group of copies is never expanded into all its pairs.
 
-The n-gram table is bounded (HOT_ROWS) and is the only thing sent to the driver; joins broadcast only sides of a checked
-size. Edge cases: null or empty text and text without words has an empty set, linked with nothing; a text with fewer words
+The tables of n-grams for the orders are bounded (HOT_ROWS) and are the only things sent to the driver; joins broadcast only
+sides of a checked size, and all tables in between are deleted. Edge cases: null or empty text and text without words has an empty set, linked with nothing; a text with fewer words
 than an n-gram is one n-gram; rows of one id count as one document with links of all its texts; a null id gets a null
 component; an empty table gives an empty result; other columns are ignored.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import drop_table, map_arrow, shuffle_partitions, small, write_table
+from .shared import Scratch, map_arrow, shuffle_partitions, small
 from .wordhash import mix, shingle_sets, text_chunks
 
 #: Bits of a bitmap for each n-gram of the text (rounded up to a power of two), and the least and most bits.
@@ -97,6 +100,28 @@ def _describe(size: int):
     return run
 
 
+def _gram_counts(size: int):
+    """(gram, n): the distinct n-grams of a window of texts and in how many of them each is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        window, held = [], 0
+
+        def counted():
+            grams, counts = np.unique(np.concatenate(window), return_counts=True)
+            return pa.RecordBatch.from_arrays([_long(grams), pa.array(counts.astype(np.int32))], ["gram", "n"])
+
+        for _, sets, _ in _flat(batches, size):
+            window.append(sets)
+            held += len(sets)
+            if held >= WINDOW:
+                yield counted()
+                window, held = [], 0
+        if window:
+            yield counted()
+
+    return run
+
+
 def _prefixes(size: int, percent: int, hot):
     """(key, salt, id, n, pos) of each text's leading n-grams; pos: n-grams before it in the order; salt is -1, or a part of a key with over SPLIT_ROWS texts."""
 
@@ -368,19 +393,18 @@ def _in_units(units: DataFrame, percent: int) -> DataFrame:
     return map_arrow(units.repartition(parts, "x", "y"), _verify(percent), "a long, b long")
 
 
-def _exact_links(pieces: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _exact_links(pieces: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Edges whose components are the exact links' within pieces (node, component)."""
-    spark = sets.sparkSession
     sizes = pieces.groupBy("component").agg(F.count("*").alias("rows"))
-    placed, _ = write_table(sets.join(pieces.withColumnRenamed("node", "id"), "id").join(sizes, "component"), "ngram-sets")
+    placed = scratch.write(sets.join(pieces.withColumnRenamed("node", "id"), "id").join(sizes, "component"), "ngram-sets")
     blocks = F.ceil(F.col("rows") / BLOCK)
     one = placed.where(f"rows <= {BLOCK}").select(F.col("component").alias("x"), F.lit(0).cast("long").alias("y"), "id", "grams")
     rounds = F.explode(F.transform(F.array(*[F.lit(r) for r in range(3)]), lambda r: (r * 1_000_000_000 + F.pmod(F.xxhash64("id", r), blocks)).cast("long")))
     many = placed.where(f"rows > {BLOCK}").select(F.col("component").alias("x"), rounds.alias("y"), "id", "grams")
-    links, path = write_table(_in_units(one.unionByName(many), percent), "ngram-links")
+    links = scratch.write(_in_units(one.unionByName(many), percent), "ngram-links")
     if not sizes.where(f"rows > {BLOCK}").limit(1).count():
         return links
-    labels, _ = write_table(components(links), "ngram-labels")
+    labels = components(links, scratch)
     large = placed.where(f"rows > {BLOCK}").select("component", "id").join(labels.withColumnRenamed("node", "id").withColumnRenamed("component", "label"), "id", "left")
     large = large.withColumn("label", F.coalesce("label", "id"))
     label_rows = large.groupBy("component", "label").agg(F.count("*").alias("own"))
@@ -388,7 +412,7 @@ def _exact_links(pieces: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     known = large.join(label_rows, ["component", "label"]).join(split, "component")
     pooled = F.col("own") <= BLOCK
     block = F.when(pooled, F.pmod(F.xxhash64("label"), F.ceil(F.col("loose") / BLOCK))).otherwise(F.pmod(F.xxhash64("id"), F.ceil(F.col("own") / BLOCK)))
-    known, _ = write_table(known.select("component", "id", F.when(pooled, F.lit(-1).cast("long")).otherwise(F.col("label")).alias("side"), block.cast("long").alias("block")), "ngram-blocks")
+    known = scratch.write(known.select("component", "id", F.when(pooled, F.lit(-1).cast("long")).otherwise(F.col("label")).alias("side"), block.cast("long").alias("block")), "ngram-blocks")
     units = known.select("component", "side", "block").distinct()
     left, right = (units.select("component", *[F.col(c).alias(f"{c}_{k}") for c in ("side", "block")]) for k in "ab")
     ordered = (F.col("side_a") < F.col("side_b")) | ((F.col("side_a") == -1) & (F.col("side_b") == -1) & (F.col("block_a") <= F.col("block_b")))
@@ -396,48 +420,78 @@ def _exact_links(pieces: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = pairs.select("component", "y", F.explode(F.array_distinct(F.array(F.struct(F.col("side_a").alias("side"), F.col("block_a").alias("block")), F.struct(F.col("side_b").alias("side"), F.col("block_b").alias("block"))))).alias("u")).select("component", "y", "u.*")
     rest = members.join(known, ["component", "side", "block"]).select(F.col("component").alias("x"), "y", "id")
     rest = rest.join(placed.select("id", "grams"), "id")
-    more, _ = write_table(_in_units(rest.select("x", "y", "id", "grams"), percent), "ngram-more-links")
+    more = scratch.write(_in_units(rest.select("x", "y", "id", "grams"), percent), "ngram-more-links")
     return links.unionByName(more)
 
 
+class _Order:
+    """N-grams that come last in an order, with their counts."""
+
+    def __init__(self, counts: DataFrame):
+        """counts: (gram, count); the HOT_ROWS largest of at least HOT_COUNT are used."""
+        top = counts.where(f"count >= {HOT_COUNT}").orderBy(F.desc("count"), "gram").limit(HOT_ROWS).toPandas()
+        hashes = top["gram"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        self.shared = counts.sparkSession.sparkContext.broadcast((hashes[order], top["count"].to_numpy(np.int64)[order]))
+
+
+def _groups(texts: DataFrame, order: _Order, grams: float, size: int, percent: int) -> DataFrame:
+    """(key, id, n, rest, rows) of _shared for texts (id, text) under an order; grams: how many leading n-grams there are about."""
+    keys = map_arrow(texts, _prefixes(size, percent, order.shared), "key long, salt int, id long, n int, pos int")
+    parts = max(shuffle_partitions(texts.sparkSession), int(grams // 1_000_000))
+    return map_arrow(keys.repartition(parts, "key", "salt"), _shared(percent), "key long, id long, n int, rest int, rows int")
+
+
+def _in_trees(shared: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """Edges of the groups that trees search."""
+    own = shared.where(f"rows between 0 and {TREE_ROWS}")
+    parts = max(shuffle_partitions(shared.sparkSession), own.count() // 40_000)
+    signed = own.join(bitmaps, ["id", "n"])
+    return map_arrow(signed.repartition(parts, "key"), _candidates(percent), "a long, b long")
+
+
+def candidate_pieces(single: DataFrame, described: DataFrame, size: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component): pieces of texts (id, text, one row per id) outside of which no link is."""
+    described_texts = described.where("kind = 0")
+    bitmaps = described_texts.select("id", "n", "bits")
+    total = described_texts.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
+    repeats = described.where("kind = 1").groupBy(F.col("fp1").alias("gram")).agg(F.sum("n").alias("count"))
+    shared = scratch.write(_groups(single, _Order(repeats), total, size, percent), "ngram-shared")
+    edges = _in_trees(shared, bitmaps, percent)
+    crowd = scratch.write(shared.where(f"rows < 0 or rows > {TREE_ROWS}").select("id").distinct(), "ngram-crowd")
+    if rows := crowd.count():
+        # Counted whole, so that it does not matter which task had which rows.
+        own = single.join(F.broadcast(crowd) if rows <= CLASS_ROWS else crowd, "id", "left_semi")
+        counts = map_arrow(own, _gram_counts(size), "gram long, n int").groupBy("gram").agg(F.sum("n").alias("count"))
+        again = scratch.write(_groups(own, _Order(counts), total, size, percent), "ngram-again")
+        wide = again.where(f"rows < 0 or rows > {TREE_ROWS}")
+        stars = wide.join(wide.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b").where("a <> b")
+        edges = edges.unionByName(_in_trees(again, bitmaps, percent)).unionByName(stars)
+    return components(scratch.write(edges.distinct(), "ngram-edges"), scratch)
+
+
 def join_ngrams(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id that links of Jaccard >= percent / 100 reach), one row per input row."""
     spark = documents.sparkSession
+    scratch, kept = Scratch(spark), Scratch(spark)
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    described, described_path = write_table(map_arrow(source, _describe(size), "kind int, id long, n int, fp1 long, fp2 long, bits binary"), "ngram-described")
+    described = scratch.write(map_arrow(source, _describe(size), "kind int, id long, n int, fp1 long, fp2 long, bits binary"), "ngram-described")
     texts = described.where("kind = 0").drop("kind")
 
     # Written first, so the join deals both sides anew and Spark can split a set that very many texts share.
-    classes, _ = write_table(texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "ngram-classes")
+    classes = scratch.write(texts.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1").drop("rows"), "ngram-classes")
     named = texts.drop("bits").alias("t").join(small(classes, CLASS_ROWS).alias("c"), ["fp1", "fp2", "n"], "left")
-    members, _ = write_table(named.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "ngram-members")
-
-    often = described.where("kind = 1").groupBy("fp1").agg(F.sum("n").alias("count")).where(f"count >= {HOT_COUNT}").orderBy(F.desc("count"), "fp1").limit(HOT_ROWS).toPandas()
-    hashes = often["fp1"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    hot = spark.sparkContext.broadcast((hashes[order], often["count"].to_numpy(np.int64)[order]))
+    members = kept.write(named.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")), "ngram-members")
 
     own = members.where("id is not null").groupBy("id").agg(F.max((F.col("id") == F.col("rep")).cast("int")).alias("first"), F.count("*").alias("rows"))
     copies = own.where("first = 0").select("id")
     single = source.where("id is not null").join(small(copies), "id", "left_anti")
-    keys = map_arrow(single, _prefixes(size, percent, hot), "key long, salt int, id long, n int, pos int")
-    total = texts.agg(F.sum(F.col("n") * (100 - percent) / 100 + 1)).first()[0] or 0
-    parts = max(shuffle_partitions(spark), int(total // 1_000_000))
-    shared, _ = write_table(map_arrow(keys.repartition(parts, "key", "salt"), _shared(percent), "key long, id long, n int, rest int, rows int"), "ngram-shared")
-
-    in_trees = shared.where(f"rows between 0 and {TREE_ROWS}")
-    rows = in_trees.count()
-    signed = in_trees.join(texts.select("id", "n", "bits"), ["id", "n"])
-    pruned = map_arrow(signed.repartition(max(shuffle_partitions(spark), rows // 40_000), "key"), _candidates(percent), "a long, b long")
-    wide = shared.where(f"rows < 0 or rows > {TREE_ROWS}")
-    stars = wide.join(wide.groupBy("key").agg(F.min("id").alias("b")), "key").select(F.col("id").alias("a"), "b").where("a <> b")
-    edges, _ = write_table(pruned.unionByName(stars).distinct(), "ngram-edges")
-    pieces, _ = write_table(components(edges), "ngram-pieces")
+    pieces = candidate_pieces(single, described, size, percent, scratch)
 
     needed = source.join(small(pieces.select(F.col("node").alias("id"))), "id", "left_semi")
-    links = _exact_links(pieces, map_arrow(needed, _sets(size), "id long, grams binary"), percent)
+    links = _exact_links(pieces, map_arrow(needed, _sets(size), "id long, grams binary"), percent, scratch)
     repeated = members.join(own.where("rows > 1").select("id"), "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    found, _ = write_table(components(links.unionByName(repeated)), "ngram-components")
-    drop_table(spark, described_path)
+    found = components(links.unionByName(repeated))
+    scratch.drop()
     out = members.join(found, members["rep"] == found["node"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -88,3 +88,42 @@ def test_signature_tree_rules_out_no_link():
         for b in range(a):
             if exact[ids[a]][1] == exact[ids[b]][1]:
                 assert part[a] == part[b]
+
+
+@pytest.mark.parametrize("partitions", [4, 300])
+def test_a_passage_of_many_texts_makes_no_large_piece_however_they_are_dealt(spark, partitions):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm.shared import Scratch, map_arrow
+
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(k, passage + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40))) for k in range(600)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(5)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(partitions, "doc_id").select(F.col("doc_id").alias("id"), "text")
+    scratch = Scratch(spark)
+    described = scratch.write(map_arrow(docs, ngram_join._describe(5), "kind int, id long, n int, fp1 long, fp2 long, bits binary"), "t")
+    pieces = ngram_join.candidate_pieces(docs, described, 5, 80, scratch).groupBy("component").count()
+    assert sorted(r["count"] for r in pieces.collect()) == [2] * 5
+    scratch.drop()
+
+
+def test_texts_made_up_of_common_passages(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TREE_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "HOT_COUNT", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    rng = random.Random(12)
+    passages = [" ".join(f"p{j}w{k}" for k in range(20)) for j in range(6)]
+    rows = [(k, " ".join(rng.sample(passages, 3)) + f" own{k}") for k in range(80)]
+    assert run(spark, rows) == brute.ngram_join(rows)
+
+
+def test_tables_in_between_are_deleted(spark):
+    import os
+
+    from ledgerlens.llm.shared import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://") + "/ledgerlens"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    ngram_join.join_ngrams(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "a b c d e f g")], SCHEMA)).collect()
+    assert sorted(x.rpartition("-")[0] for x in set(os.listdir(folder)) - before) == ["components", "ngram-members"]
