@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from .license_scan import canonical_sql, known_texts
 from .mixing import BITS
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -26,11 +25,58 @@ SELECT u.page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE
 FROM urls u LEFT JOIN fits f ON u.page_id = f.page_id
 """
 
+# Written from the rules, not from license_scan's constants. Digests of the canonical texts.
+def _license_form(text: str) -> str:
+    """Lower case; no copyright lines; no title; words apart by one blank; American and unhyphenated spellings."""
+    no_notices = rf"regexp_replace(lower({text}), '(^|\n)[^a-z0-9©(\n]*(copyright[^\n]*(\(c\)|©|\d\d\d\d|year|yyyy)|\(c\)|©|all rights reserved)[^\n]*', chr(10), 'g')"
+    no_title = rf"regexp_replace({no_notices}, '^\s*[^\n]{{{{0,60}}}}licen[cs]e[ \t]*(\([^)\n]{{{{0,40}}}}\))?[ \t:.]*\n', chr(10))".replace("{{", "{").replace("}}", "}")
+    words = f"regexp_replace({no_title}, '[^a-z0-9' || chr(128) || '-' || chr(1114111) || ']+', ' ', 'g')"
+    out = f"regexp_replace({words}, '([a-z][a-z][a-z])is(e|ed|er|es|ing|ation|ations)( |$)', '\\1iz\\2\\3', 'g')"
+    for british, american in (("licence", "license"), ("https", "http"), ("non infringement", "noninfringement"), ("sub license", "sublicense"), ("copyright owner", "copyright holder"), ("centre", "center"), ("favour", "favor"), ("labour", "labor"), ("honour", "honor"), ("behaviour", "behavior"), ("acknowledgement", "acknowledgment"), ("judgement", "judgment")):
+        out = f"replace({out}, '{british}', '{american}')"
+    return f"md5(trim({out}))"
+
+
 OP5 = f"""
-WITH known AS (SELECT DISTINCT md5({canonical_sql('known')}) AS digest, license FROM (VALUES {', '.join("('" + t.replace("'", "''") + "', '" + n + "')" for t, n in known_texts())}) AS v(known, license)),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
-notes AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known ON md5({canonical_sql('line')}) = digest WHERE regexp_matches(line, '(?i)licen|released|spdx') GROUP BY doc_id),
-texts AS (SELECT doc_id, md5({canonical_sql('text')}) AS digest FROM documents)
+WITH known(digest, license) AS (VALUES
+  ('fa9583358e39e30cc008a801c940fa8c', '0BSD'),
+  ('0ae0c834c28a339f559006a8285f2829', 'Apache-2.0'),
+  ('64adb2d52a4ae99c0fbd1b059e58ef07', 'Apache-2.0'),
+  ('8e6d22adc46d8edd245ea92b0565e956', 'Apache-2.0'),
+  ('905b17b5c4c8def8e557d22530bedc5f', 'Apache-2.0'),
+  ('f8a4230cb25525c0b4623452e82011a9', 'Artistic-1.0-Perl'),
+  ('da79fdac217e656d53b52a2eb32d4738', 'BSD-2-Clause'),
+  ('aee184725d072c7f46b9f820701482fa', 'BSD-3-Clause'),
+  ('5226ce4da41af40d26e607d2e52028ce', 'BSD-3-Clause-UC'),
+  ('91152d92148568b9815c3a22a806e04c', 'CC-BY-4.0'),
+  ('cd0ca292473696e20f41510f86d31236', 'CC-BY-4.0'),
+  ('1f7c49507667f7da1163e34855517938', 'CC-BY-NC-4.0'),
+  ('8b91400ac0de12853070b71d8d0219be', 'CC-BY-SA-4.0'),
+  ('23f238e36c9e580c0095be52dbfd7280', 'CC0-1.0'),
+  ('2b9a027fef3beb67d3c2455904abc0d5', 'CC0-1.0'),
+  ('d0b92f15fc0517d2bfe579ee3d2090a4', 'CC0-1.0'),
+  ('9048a906a1560ac16c961615dfdaebff', 'GFDL-1.2-only'),
+  ('c34cfb62a88465229ed5afda9888427f', 'GFDL-1.3-only'),
+  ('b0f4b5a0d368109e9ae68bbb10776916', 'GPL-1.0-only'),
+  ('6e8128977833fdf8adb91e1abe877459', 'GPL-2.0-only'),
+  ('afb0dbeedb9a15908b91fde85b0da582', 'GPL-3.0-only'),
+  ('bd3c3a058ac8f81f1870d5984c4a4564', 'GPL-3.0-only'),
+  ('ea4317607afdd7d4a28711c582c002ee', 'GPL-3.0-only'),
+  ('b6ab23f33a368e7f225abed7065c8009', 'ISC'),
+  ('de5be4c4ea2d6bd0485a5cacde0942da', 'LGPL-2.0-only'),
+  ('f0f09bb2d33266e881007d5169169e59', 'LGPL-2.1-only'),
+  ('c66601bd909347a3138001ffe5ff1882', 'LGPL-3.0-only'),
+  ('7ee4a98a2ff6de9f0817007c28ef2b80', 'MIT'),
+  ('a1c63c67a4ef3446fc4e4b58443f7be8', 'MIT'),
+  ('b44eae48fd2d3b0faa04278c3dd65d07', 'MIT'),
+  ('e088b543bf2d8834b44999563dcb2e1c', 'MIT'),
+  ('cf84e979817f7917811448de162faf44', 'MPL-1.1'),
+  ('44d564e1e8d50f7adb97a711954b7020', 'MPL-2.0'),
+  ('7ce88855ba566117c3ad44751efac703', 'Unlicense'),
+  ('6df2a895c31891fec159c01a49b2d3cf', 'Zlib')
+), lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+notes AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM lines JOIN known ON {_license_form('line')} = digest WHERE regexp_matches(line, '(?i)licen|released|spdx') GROUP BY doc_id),
+texts AS (SELECT doc_id, {_license_form('text')} AS digest FROM documents)
 SELECT t.doc_id, t.digest, k.license, n.notices FROM texts t LEFT JOIN known k ON t.digest = k.digest LEFT JOIN notes n ON t.doc_id = n.doc_id
 """
 
