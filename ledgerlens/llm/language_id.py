@@ -4,16 +4,19 @@ log posterior(l) = host prior(l) + log P(declared | l) + log P(suffix | l) + TEM
 languages and "und" (text like none of them).
 
 - Text: hashed byte trigrams of the whole text, naive Bayes. The model is fitted on about TRAIN_ROWS labelled rows (those
-  with a declared language; the size of the sample is a parameter). "und" gives every trigram the same small probability.
+  with a declared language; the size of the sample is a parameter) and knows their MAX_LANGUAGES most frequent labels. A row
+  of the sample is judged by a model of the sample's other half, so no row's label speaks through the model of its text.
+  "und" gives every trigram the same small probability.
 - Declared language and address suffix: their likelihoods are the smoothed shares among all rows that the text alone
   gives to a language, so a declaration counts for as much as it turns out to be worth.
 - Host priors: counts of the text's decisions by grouped aggregation, over all rows, smoothed from host to domain to the
-  whole corpus. Only one row per host is joined back, so a host with a third of all rows is not gathered anywhere.
+  whole corpus, each without the row's own decision. Only one row per host is joined back, so a host with a third of all
+  rows is not gathered anywhere.
 
 A row is kept when its best language is not "und" and reaches min_confidence. Edge cases: null or empty text, and text
 without letters, is judged by the other evidence; a null declaration, host or suffix is a value of its own that says what it
-says of the others; repeated rows are judged alike; without labelled rows every row is "und"; an empty table gives an
-empty result; other columns are ignored.
+says of the others; repeated rows are judged alike, rows of one id each by itself; without labelled rows every row is "und";
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +31,12 @@ from pyspark.sql import functions as F
 from .shared import map_arrow, small, write_table
 from .wordhash import text_chunks
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS, MAX_LANGUAGES = 20_000, 256
 BUCKETS = 1 << 16
 #: Trigrams of one text overlap, so their evidence is discounted; nats that "und" pays for a trigram; prior of "und".
 TEMPER, UNKNOWN_NATS, UNKNOWN_PRIOR = 0.25, 9.5, 0.01
+#: Bytes of host counts up to which their table is broadcast.
+HOST_BYTES = 64 << 20
 #: Pseudo-counts of the parent level, and of a declaration or suffix.
 KAPPA, SMOOTH = 10.0, 1.0
 
@@ -59,36 +64,44 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, bucket, n) of the labelled texts of a partition."""
-    totals: dict[str, np.ndarray] = {}
+    """(label, fold, bucket, n) of the labelled texts of a partition."""
+    totals: dict[tuple[str, int], np.ndarray] = {}
     for batch in batches:
-        labels = batch.column(1).to_pylist()
+        labels, folds = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         for first, last, data, offsets in text_chunks(batch.column(0)):
             grams, begin = trigrams(data, offsets)
             for k in range(first, last):
                 own = grams[begin[k - first] : begin[k - first + 1]]
-                totals.setdefault(labels[k], np.zeros(BUCKETS, np.int64))
-                totals[labels[k]] += np.bincount(own, minlength=BUCKETS)
-    for label, counts in totals.items():
+                table = totals.setdefault((labels[k], folds[k]), np.zeros(BUCKETS, np.int64))
+                table += np.bincount(own, minlength=BUCKETS)
+    for (label, fold), counts in totals.items():
         there = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([label] * len(there), pa.string()), pa.array(there.astype(np.int32)), pa.array(counts[there])], ["label", "bucket", "n"])
+        n = len(there)
+        yield pa.RecordBatch.from_arrays([pa.array([label] * n, pa.string()), pa.array(np.full(n, fold, np.int32)), pa.array(there.astype(np.int32)), pa.array(counts[there])], ["label", "fold", "bucket", "n"])
 
 
-def fit(rows: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probability of each bucket in each, from (id, text, label) rows.
+def sample_fold(key: str, total: int, limit: int) -> Column:
+    """-1 for a row outside the sample, else its half (0 or 1): of total labelled rows a hash of the key takes limit on average."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
+    return F.when(place < int((1 << 30) * min(1.0, limit / max(1, total))), F.pmod(F.xxhash64(F.lit("half"), key), F.lit(2))).otherwise(-1).cast("int")
 
-    Of more than limit labelled rows a hash of the id takes limit on average, wherever they are.
+
+def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and, for the models that leave out half 0, half 1 and nothing, the log probability of each bucket in each.
+
+    rows: (text, label, fold), those of the sample.
     """
-    labelled = rows.where("label is not null and text is not null")
-    total = labelled.count()
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, limit / max(1, total)))).select("text", "label")
-    counts = map_arrow(sample, _count, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(counts["label"].unique())
-    table = np.full((len(languages), BUCKETS), 0.05)
+    known = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
+    languages = sorted(known)
+    own = rows.where(F.col("label").isin(*languages)) if languages else rows.limit(0)
+    counts = map_arrow(own.select("text", "label", "fold"), _count, "label string, fold int, bucket int, n long").groupBy("label", "fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    halves = np.zeros((2, len(languages), BUCKETS))
     for k, language in enumerate(languages):
-        own = counts[counts["label"] == language]
-        table[k, own["bucket"].to_numpy()] += own["n"].to_numpy()
-    return languages, np.log(table / table.sum(axis=1, keepdims=True)).astype(np.float32)
+        for fold in (0, 1):
+            own = counts[(counts["label"] == language) & (counts["fold"] == fold)]
+            halves[fold, k, own["bucket"].to_numpy()] += own["n"].to_numpy()
+    tables = np.stack((halves[1], halves[0], halves.sum(axis=0))) + 0.05
+    return languages, np.log(tables / tables.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
 def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, min_confidence: float = 0.5, train_rows: int = TRAIN_ROWS, sample_col: str | None = None) -> DataFrame:
@@ -99,9 +112,13 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = documents.sparkSession
     none = F.lit(None).cast("string")
     parts = {"declared": declared, "host": host, "domain": domain, "suffix": suffix}
-    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[(none if c is None else c.cast("string")).alias(k) for k, c in parts.items()])
-    languages, table = fit(documents.select(F.col(sample_col or id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (none if declared is None else declared.cast("string")).alias("label")), train_rows)
-    model = spark.sparkContext.broadcast(table)
+    key = F.col(sample_col or id_col)
+    label = F.when(F.col(text_col).isNotNull(), none if declared is None else declared.cast("string"))
+    total_labelled = documents.where(label.isNotNull()).count()
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[(none if c is None else c.cast("string")).alias(k) for k, c in parts.items()], key.alias("key"), label.alias("label"))
+    source = source.withColumn("fold", F.when(F.col("label").isNull(), F.lit(-1)).otherwise(sample_fold("key", total_labelled, train_rows)))
+    languages, tables = fit(source.where("fold >= 0"))
+    model = spark.sparkContext.broadcast(tables)
     size = len(languages)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,35 +126,46 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 grams, begin = trigrams(data, offsets)
-                likely = np.empty((last - first, size + 1))
-                for k in range(size):
-                    sums = np.concatenate(([0.0], np.cumsum(logs[k][grams], dtype=np.float64)))
-                    likely[:, k] = sums[begin[1:]] - sums[begin[:-1]]
-                likely[:, size] = -UNKNOWN_NATS * np.diff(begin)
                 rows = batch.slice(first, last - first)
+                fold = rows.column(6).to_numpy()
+                likely = np.empty((last - first, size + 1))
+                lengths = np.diff(begin)
+                for which in np.unique(fold):
+                    own = np.flatnonzero(fold == which)
+                    take = grams if len(own) == len(fold) else grams[np.repeat(fold == which, lengths)]
+                    ends = np.concatenate(([0], np.cumsum(lengths[own])))
+                    for k in range(size):
+                        sums = np.concatenate(([0.0], np.cumsum(logs[which][k][take], dtype=np.float64)))
+                        likely[own, k] = sums[ends[1:]] - sums[ends[:-1]]
+                likely[:, size] = -UNKNOWN_NATS * lengths
                 flat = pa.array(np.round(likely * TEMPER, 4).reshape(-1))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (last - first + 1) * (size + 1), size + 1).astype(np.int32)), flat)
                 best = likely.argmax(axis=1).astype(np.int32)
-                best[np.diff(begin) == 0] = -1
+                best[lengths == 0] = -1
                 yield pa.RecordBatch.from_arrays([rows.column(0), *[rows.column(c) for c in range(2, 6)], lists, pa.array(best)], ["id", "declared", "host", "domain", "suffix", "likely", "best"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    scored, _ = write_table(map_arrow(source, score, f"id {kind}, declared string, host string, domain string, suffix string, likely array<double>, best int"), "language-scores")
-    tallies = [F.sum((F.col("best") == k).cast("long")).alias(f"n{k}") for k in range(size)]
-    tallies.append(F.count("*").alias("rows"))
+    judged = source.select("id", "text", *parts, "fold")
+    scored, _ = write_table(map_arrow(judged, score, f"id {kind}, declared string, host string, domain string, suffix string, likely array<double>, best int"), "language-scores")
+    counted = [F.sum((F.col("best") == k).cast("long")) for k in range(size)]
+    tallies = [c.alias(f"n{k}") for k, c in enumerate(counted)] + [F.count("*").alias("rows")]
     total = scored.agg(*tallies).first()
-    whole = [((total[k] or 0) + 1.0) for k in range(size)]
-    shares = [x / sum(whole) for x in whole] if whole else []
-
-    def smoothed(table: DataFrame, parent: list[Column], out: str) -> DataFrame:
-        own = sum((F.col(f"n{k}") for k in range(size)), F.lit(0))
-        return table.withColumn(out, F.array(*[(F.col(f"n{k}") + KAPPA * parent[k]) / (own + KAPPA) for k in range(size)]) if size else F.array().cast("array<double>"))
-
-    names = [f"n{k}" for k in range(size)]
-    by_domain = smoothed(scored.groupBy("domain").agg(*tallies), [F.lit(x) for x in shares], "domain_prior").drop("rows", *names)
-    hosts = scored.groupBy("host", "domain").agg(*tallies)
-    hosts = hosts.join(by_domain.withColumnRenamed("domain", "of"), F.col("domain").eqNullSafe(F.col("of")), "left").drop("of")
-    hosts, _ = write_table(smoothed(hosts, [F.col("domain_prior")[k] for k in range(size)], "prior").drop("domain_prior", "rows", *names), "language-hosts")
+    whole = [float(total[k] or 0) for k in range(size)]
+    shares = [(x + 1.0) / (sum(whole) + size) for x in whole]
+    gathered = lambda by, out: scored.groupBy(*by).agg((F.array(*counted) if size else F.array().cast("array<bigint>")).alias(out))
+    hosts = gathered(["host", "domain"], "host_n")
+    hosts = hosts.join(gathered(["domain"], "domain_n").withColumnRenamed("domain", "of"), F.col("domain").eqNullSafe(F.col("of")), "left").drop("of")
+    hosts, _ = write_table(hosts, "language-hosts")
+
+    def prior(k: int) -> Column:
+        """The share of language k at the row's host, smoothed by its domain's and the whole corpus's, without the row itself."""
+        own, any_own = (F.col("best") == k).cast("double"), (F.col("best") >= 0).cast("double")
+        own = F.when(F.col("best") == size, 0.0).otherwise(own)
+        any_own = F.when(F.col("best") == size, 0.0).otherwise(any_own)
+        rows = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)
+        corpus = (F.lit(whole[k] + 1.0) - own) / (F.lit(sum(whole) + size) - any_own)
+        by_domain = (F.col("domain_n")[k] - own + KAPPA * corpus) / (rows("domain_n") - any_own + KAPPA)
+        return (F.col("host_n")[k] - own + KAPPA * by_domain) / (rows("host_n") - any_own + KAPPA)
 
     def likelihood(column: str) -> DataFrame:
         found = scored.groupBy(column).agg(*tallies)
@@ -145,10 +173,10 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
         share = [(F.col(f"n{k}") + SMOOTH) / (F.lit(float(total[k] or 0)) + SMOOTH * kinds) for k in range(size)]
         return found.select(F.col(column).alias(f"{column}_of"), (F.array(*share) if size else F.array().cast("array<double>")).alias(f"{column}_given"))
 
-    out = scored.join(small(hosts.withColumnsRenamed({"host": "host_of", "domain": "domain_of"})), F.col("host").eqNullSafe(F.col("host_of")) & F.col("domain").eqNullSafe(F.col("domain_of")), "left")
+    out = scored.join(small(hosts.withColumnsRenamed({"host": "host_of", "domain": "domain_of"}), HOST_BYTES // (16 * size + 100)), F.col("host").eqNullSafe(F.col("host_of")) & F.col("domain").eqNullSafe(F.col("domain_of")), "left")
     for column in ("declared", "suffix"):
         out = out.join(small(likelihood(column)), F.col(column).eqNullSafe(F.col(f"{column}_of")), "left")
-    terms = [F.log((1 - UNKNOWN_PRIOR) * F.col("prior")[k]) + F.log(F.col("declared_given")[k]) + F.log(F.col("suffix_given")[k]) + F.col("likely")[k] for k in range(size)]
+    terms = [F.log((1 - UNKNOWN_PRIOR) * prior(k)) + F.log(F.col("declared_given")[k]) + F.log(F.col("suffix_given")[k]) + F.col("likely")[k] for k in range(size)]
     # A declaration or suffix says nothing about "und" texts: they get its share among all rows.
     mean = lambda c: sum((F.col(c)[k] * shares[k] for k in range(size)), F.lit(1e-12))
     terms.append(F.lit(float(np.log(UNKNOWN_PRIOR))) + F.log(mean("declared_given")) + F.log(mean("suffix_given")) + F.col("likely")[size])
@@ -161,11 +189,18 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), "language", "confidence", "text_language", kept.alias("kept"))
 
 
+def page_text(html: Column) -> Column:
+    """The text of a page: without scripts, styles, comments and tags."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    return F.regexp_replace(bare, r"(?s)</?[a-zA-Z!][^>]*>", " ")
+
+
 def identify_pages(pages: DataFrame, **options) -> DataFrame:
     """Web pages: the language their markup declares, and host, domain and suffix of the address."""
     host = F.lower(F.regexp_extract("url", r"://([^/?#:]*)", 1))
     declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1))
-    return identify(pages, "page_id", "html", declared=F.when(declared != "", declared), host=F.when(host != "", host), domain=F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), suffix=F.regexp_extract(host, r"\.([^.]+)$", 1), **options)
+    texts = pages.withColumn("__text", page_text(F.col("html")))
+    return identify(texts, "page_id", "__text", declared=F.when(declared != "", declared), host=F.when(host != "", host), domain=F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), suffix=F.regexp_extract(host, r"\.([^.]+)$", 1), **options)
 
 
 def language_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
