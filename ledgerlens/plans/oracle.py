@@ -120,7 +120,6 @@ SELECT conv_id, turn, coalesce(company, last_value(company IGNORE NULLS) OVER w)
 md5(CASE WHEN len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: x <> '')) <= 6 AND previous <> '' THEN previous || ' ' || text ELSE text END) AS search_md5 FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 ORACLE["year_fallback"] = """WITH loose AS (SELECT c_custkey AS qid, CAST(year(o_orderdate) AS INTEGER) AS year, 1994 + c_custkey % 5 AS asked FROM orders JOIN customer ON o_custkey = c_custkey), strict AS (SELECT * FROM loose WHERE year = asked),
 hits AS (SELECT * FROM strict UNION ALL SELECT * FROM loose WHERE qid NOT IN (SELECT qid FROM strict)) SELECT qid, count(*) AS hits, min(year) AS from_year FROM hits GROUP BY qid"""
-ORACLE["facts_cited"] = f"WITH {_LINES}, {_FACTS}, {_FILINGS} SELECT fact_id, doc_name, company, fiscal_year, row_label, CASE WHEN parenthesised THEN -value ELSE value END AS signed, page FROM facts JOIN filings USING (doc_id)"
 ORACLE["fact_context"] = f"WITH {_LINES} SELECT fact_id, p_partkey AS chunk_id, (string_split(p_name, ' '))[-1] AS context FROM lines LEFT JOIN part ON p_partkey = l_partkey AND l_quantity > 25"
 ORACLE["fact_strings"] = f"WITH {_LINES} SELECT fact_id, 'ACME' || CASE WHEN l_linenumber > 1 THEN ' · Shipped ' || l_linestatus ELSE '' END || ' · ' || l_returnflag || CASE WHEN l_linestatus <> 'O' THEN ' · ' || l_linestatus ELSE '' END || ' · ' || CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || CASE WHEN l_linenumber % 2 = 0 THEN ' millions' ELSE '' END AS fact_text FROM lines"
 ORACLE["loaded_docs"] = "SELECT o_orderkey, o_custkey FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')"
@@ -307,3 +306,4 @@ UNION ALL SELECT place, list_append(taken, b.doc), b.doc, b.gain, b.named FROM (
     SELECT s.place, s.taken, n.doc AS d, n.named AS n, (SELECT count(*) FROM sets WHERE list_contains(docs, n.doc) AND len(list_filter(docs, lambda x: NOT list_contains(s.taken, x))) = 1) AS gain
     FROM steps s JOIN named n ON NOT list_contains(s.taken, n.doc)) HAVING count(*) > 0))
 SELECT CAST(place AS INTEGER) AS place, doc, gain, named FROM steps WHERE place > 0"""
+ORACLE["facts_cited"] = f"WITH {_LINES}, {_FILINGS}, {_FTABLE} SELECT fact_id, doc_name, company, fiscal_year, row_label, column_label, CAST(signed AS VARCHAR) AS value_raw, signed, scale, 'USD' AS unit, page, fact_text FROM ftable"

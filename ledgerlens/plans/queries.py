@@ -15,6 +15,7 @@ from ..functions import finance, text
 from ..functions.vector import norm, normalise
 from ..operators import corpus, evaluation, grounding, inspection, metrics, scope, search
 from ..sources import ingest
+from ..sources.io import facts_cited as cited
 from ..sources.io import read_table
 from . import answer, retrieve
 
@@ -265,8 +266,8 @@ def year_fallback(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def facts_cited(spark: SparkSession, d: str) -> DataFrame:
-    facts, filings = _facts(spark, d), _filings(spark, d)
-    return facts.join(filings, "doc_id").select("fact_id", "doc_name", "company", "fiscal_year", "row_label", finance.signed(F.col("value"), F.col("parenthesised")).alias("signed"), "page")
+    facts = _fact_table(spark, d, vectors=False).withColumns({"value_raw": F.col("signed").cast("string"), "unit": F.lit("USD")})
+    return cited(_documents(spark, d), facts)
 
 
 @query

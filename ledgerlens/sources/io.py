@@ -111,9 +111,15 @@ def create_tables(spark: SparkSession, folder: str) -> None:
     register_views(*[spark.read.schema(s).parquet(f"{folder}/{n}") for n, s in (("documents", schemas.DOCUMENTS), ("chunks", schemas.CHUNKS), ("facts", schemas.FACTS))])
 
 
+CITED = ("fact_id", "doc_name", "company", "fiscal_year", "row_label", "column_label", "value_raw", "signed", "scale", "unit", "page", "fact_text")
+
+
+def facts_cited(documents: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts with what a citation needs of their document."""
+    return facts.join(documents.select("doc_id", "doc_name", "company", "fiscal_year"), "doc_id").select(*CITED)
+
+
 def register_views(documents: DataFrame, chunks: DataFrame, facts: DataFrame) -> None:
     """Temp views of the three tables and facts_cited; may be called again."""
-    for name, df in (("documents", documents), ("chunks", chunks), ("facts", facts)):
+    for name, df in (("documents", documents), ("chunks", chunks), ("facts", facts), ("facts_cited", facts_cited(documents, facts))):
         df.createOrReplaceTempView(name)
-    cited = facts.alias("f").join(documents.alias("d"), "doc_id")
-    cited.select("fact_id", "doc_name", "company", "fiscal_year", "row_label", "column_label", "value_raw", "signed", "scale", "unit", "page", "fact_text").createOrReplaceTempView("facts_cited")

@@ -154,3 +154,12 @@ def test_deleting_documents_and_chunks(spark):
     assert [x.count() for x in left] == [1, 2]
     assert sorted((r["fact_id"], r["chunk_id"]) for r in ingest.detach_chunks(facts, spark.createDataFrame([(6,)], "chunk_id int")).collect()) == [(10, 5), (11, None), (12, None)]
     assert ingest.stamped(docs).first()["ingested_at"] is not None
+
+
+def test_a_document_may_come_in_several_batches_of_one_version(spark, tmp_path):
+    schema = "chunk_id long, doc_id long, page_start int, text string, version int"
+    source, target, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    for rows in ([(1, 1, 1, "one", 1), (3, 2, 1, "two", 1)], [(2, 1, 2, "more", 1)], [(9, 2, 1, "newer", 2)], [(4, 2, 1, "late", 1)]):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
+        load_stream(spark, source, target, state, schema, version_col="version").awaitTermination()
+    assert sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(target).collect()) == [(1, "more"), (1, "one"), (2, "newer")]
