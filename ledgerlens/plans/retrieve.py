@@ -126,9 +126,9 @@ def first_figure_model(prompt: str) -> str:
 def answers(asked: DataFrame, documents: DataFrame, facts: DataFrame, chunks: DataFrame, model: Callable[[str], str] = first_figure_model, mode: str = "vector") -> DataFrame:
     """Routed questions answered: qid, company, fiscal_year (the scope used), kind, n_facts, n_chunks, prompt, answer, error, problems (array) and n_problems."""
     used, fact_hits, chunk_hits, computed = retrieve(asked, documents, facts, chunks, mode)
-    prompts = render(asked, fact_hits, chunk_hits, computed)
-    context = supplied(asked, fact_hits, chunk_hits, computed)
-    said = answer.generate(prompts, model)
+    prompts = render(asked, fact_hits, chunk_hits, computed).persist()  # a row per question, as the two below
+    context = supplied(asked, fact_hits, chunk_hits, computed).persist()
+    said = answer.generate(prompts, model).persist()
     found = answer.checked(said, context)
     none = F.array().cast("array<string>")
     out = used.select("qid", "question", "company", "fiscal_year", "kind").join(context.select("qid", "n_facts", "n_chunks"), "qid").join(prompts, "qid").join(found, "qid")
