@@ -115,22 +115,30 @@ def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[dict[str, list]]
 
 
 class _Best:
-    """The k best (query, id, score) of what a task has seen."""
+    """The k best (query, id, score) of what a task has seen; what cannot be among them any more is not taken up."""
 
     def __init__(self, k: int, queries: int):
         self.k, self.room = k, 4 * k * queries + 1000
         self.query, self.ids, self.score = np.zeros(0, np.int64), np.zeros(0, object), np.zeros(0)
-
-    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        self.query, self.ids, self.score = np.concatenate((self.query, query)), np.concatenate((self.ids, ids)), np.concatenate((self.score, score))
+        self.least, self.last = np.full(queries, -np.inf), np.full(queries, None, object)  # score and id of each query's k-th
+
+    def add(self, query: np.ndarray, row: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """Hits of rows, whose ids are given for all rows."""
+        least = self.least[query]
+        keep = score > least
+        tied = np.flatnonzero(score == least)
+        keep[tied] = (ids[row[tied]] < self.last[query[tied]]).astype(bool)
+        self.query, self.ids, self.score = np.concatenate((self.query, query[keep])), np.concatenate((self.ids, ids[row[keep]])), np.concatenate((self.score, score[keep]))
         if len(self.query) > self.room:
             self.prune()
 
     def prune(self) -> None:
         order = np.lexsort((self.ids, -self.score, self.query))
         query = self.query[order]
-        first = np.searchsorted(query, query)
-        keep = order[np.arange(len(order)) - first < self.k]
+        place = np.arange(len(order)) - np.searchsorted(query, query)
+        full = order[place == self.k - 1]
+        self.least[self.query[full]], self.last[self.query[full]] = self.score[full], self.ids[full]
+        keep = order[place < self.k]
         self.query, self.ids, self.score = self.query[keep], self.ids[keep], self.score[keep]
 
 
@@ -163,7 +171,7 @@ def _scan(rows: DataFrame, columns: list[str], k: int, queries: DataFrame, query
                     ids = batch.column(0)
                     allowed = filters.mask(ids, [batch.column(c) for c in range(1 + len(columns), batch.num_columns)], asked)
                     query, row, value = score(prepared, batch, allowed)
-                    best.add(query, np.array(ids.to_pylist(), object)[row], value)
+                    best.add(query, row, value, np.array(ids.to_pylist(), object))
             best.prune()
             values = np.where(best.score == NO_SCORE, np.nan, best.score)
             yield pa.RecordBatch.from_arrays(

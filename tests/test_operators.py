@@ -201,3 +201,22 @@ def test_evidence_page_by_its_rarest_numbers(spark):
     pages = spark.createDataFrame([(n, "100 and") for n in range(10)] + [(20, "2,000 300.5"), (21, "2,000"), (22, "2000")], "page_id int, blob string")
     found = sorted(tuple(r) for r in inspection.evidence_pages(evidence, pages).collect())
     assert found == [(e, p, s, k) for e in (1, 2) for p, s, k in ((9, 0.333333, 3), (20, 0.666667, 1), (21, 0.333333, 2))] + [(3, 7, 1.0, 3), (3, 8, 1.0, 2), (3, 9, 1.0, 1)]
+
+
+def test_the_best_so_far_keep_out_what_comes_too_late():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(2)
+    best, seen = search._Best(3, 5), []
+    best.room = 20
+    for _ in range(60):
+        ids = np.array([rng.randrange(1000) for _ in range(10)], object)
+        query, row = np.array([rng.randrange(5) for _ in range(10)]), np.arange(10)
+        score = np.array([rng.choice([0.1, 0.2, 0.5]) for _ in range(10)])
+        seen += list(zip(query.tolist(), (-score).tolist(), ids.tolist(), strict=True))
+        best.add(query, row, score, ids)
+    best.prune()
+    want = [x for q in range(5) for x in sorted(h for h in seen if h[0] == q)[:3]]
+    assert sorted(zip(best.query.tolist(), (-best.score).tolist(), best.ids.tolist(), strict=True)) == want
