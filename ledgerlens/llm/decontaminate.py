@@ -16,7 +16,9 @@ Rows of the benchmark that are equal in id and text are one item; texts that sha
 and reported once, by the best of them.
 
 Edge cases: null or empty texts match nothing; an item without words is left out; items of the same text are all reported;
-find_leaks leaves out items without an id, clean_documents does not; a document repeated is reported again; an empty table on either side gives an empty result; other columns are ignored.
+find_leaks leaves out items without an id, clean_documents does not; a document repeated, or without an id, is reported for
+each of its rows; an empty table on either side gives an empty result (clean_documents: all documents without items); other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -252,7 +254,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, o
 
 
 def clean_documents(documents: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that hold a test item, each row judged by its own text whatever its id."""
+    """The documents without those that hold a test item, each row judged by its own text whatever its id.
+
+    Ids may be null or repeated, and equal rows all stay or all go; null and empty texts stay. Items without an id count too.
+    """
     keyed = with_row_key(documents)
     leaks = _leaks(keyed, items, id_col=ROW, **options).select(F.col(ROW).alias("__leak")).distinct()
     leaks, _ = write_table(leaks, "leaks")

@@ -114,7 +114,11 @@ def repeated_runs(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str
 
 
 def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the lines of later copies taken out of their text; all columns stay."""
+    """The documents with the lines of later copies taken out of their text; all columns stay, and so does every row.
+
+    Rows of one id and text are one document and lose the same lines; rows of one id and other texts are told apart by their
+    text, rows without an id come first in order. A null text stays null.
+    """
     marked = repeated_lines(documents, min_words, id_col, text_col).groupBy(*DOC).agg(F.collect_set("line").alias("__out"))
     marked = marked.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "__out")
     joined = documents.join(marked, documents[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(documents[text_col].cast("string")) == F.col("__tie")), "left")

@@ -104,7 +104,10 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns. Ids may be null or repeated."""
+    """The mix itself: each document as often as it is taken, with all its columns.
+
+    Ids may be null or repeated: every row is counted and taken for itself, equal rows too, each twice at most.
+    """
     keyed = with_row_key(documents)
     taken = mix_sources(keyed, id_col=id_col, row_col=ROW, **options).where("copies > 0").select(F.col(ROW).alias("__taken_row"), F.col("copies").cast("int").alias("__copies"))
     joined = keyed.join(small(taken), keyed[ROW] == F.col("__taken_row"))
