@@ -153,8 +153,8 @@ def _slices(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.Reco
 def _scan(rows: DataFrame, columns: list[str], k: int, queries: DataFrame, query_columns: list[str], filters: Filters, prepare: Callable, score: Callable, id_col: str) -> DataFrame:
     """(qid, id, score, rank): the k best rows of each query.
 
-    prepare(asked) makes what tasks need of a block of queries; score(prepared, batch, allowed) gives the places of queries
-    and rows, and their scores. allowed is the filters' mask.
+    prepare(asked) makes what tasks need of a block of queries; score(prepared, batch, allowed, best) gives the places of
+    queries and rows, and their scores. allowed is the filters' mask, best what the task has so far.
     """
     spark = rows.sparkSession
     kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema[id_col].dataType}
@@ -170,7 +170,7 @@ def _scan(rows: DataFrame, columns: list[str], k: int, queries: DataFrame, query
                 if batch.num_rows:
                     ids = batch.column(0)
                     allowed = filters.mask(ids, [batch.column(c) for c in range(1 + len(columns), batch.num_columns)], asked)
-                    query, row, value = score(prepared, batch, allowed)
+                    query, row, value = score(prepared, batch, allowed, best)
                     best.add(query, row, value, np.array(ids.to_pylist(), object))
             best.prune()
             values = np.where(best.score == NO_SCORE, np.nan, best.score)
@@ -194,24 +194,47 @@ def _unit(vectors: list) -> np.ndarray:
         return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
-def _cosines(units: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
-    """(row, query): cosines to six decimals; NO_SCORE where a vector is zero, -inf for a row of another length."""
-    size = units.shape[1]
+def _row_units(size: int, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' vectors at length 1, and which rows have one of this size."""
     vectors = batch.column(1)
     fits = np.array(vectors.value_lengths().fill_null(-1)) == size
-    out = np.full((batch.num_rows, len(units)), -np.inf)
+    out = np.zeros((batch.num_rows, size))
     if fits.any():
-        own = vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
-        out[fits] = np.nan_to_num(np.round(_unit(own) @ units.T, 6), nan=NO_SCORE)
-    return out
+        out[fits] = _unit(vectors.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+    return out, fits
+
+
+def _six(cosines: np.ndarray) -> np.ndarray:
+    """Six decimals; NO_SCORE where a vector is zero."""
+    return np.nan_to_num(np.round(cosines, 6), nan=NO_SCORE)
+
+
+def _cosines(units: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+    """(row, query): cosines; -inf for a row of another length."""
+    own, fits = _row_units(units.shape[1], batch)
+    return np.where(fits[:, None], _six(own @ units.T), -np.inf)
 
 
 def _best_rows(k: int):
-    def score(units: np.ndarray, batch: pa.RecordBatch, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        found = np.where(allowed, _cosines(units, batch), -np.inf)
-        least = np.partition(found, max(0, len(found) - k), axis=0)[max(0, len(found) - k)]
-        row, query = np.nonzero((found >= least[None, :]) & (found > -np.inf))
-        return query, row, found[row, query]
+    """Queries that may have many of the rows are scored against all of them, the others against those only that they may have."""
+
+    def score(units: np.ndarray, batch: pa.RecordBatch, allowed: np.ndarray, best: _Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        own, fits = _row_units(units.shape[1], batch)
+        allowed = allowed & fits[:, None]
+        many = allowed.mean(axis=0) > 0.05
+        wide, thin = np.flatnonzero(many), np.flatnonzero(~many)
+        row, place = np.nonzero(allowed[:, thin])
+        found = [(thin[place], row, _six(np.einsum("ij,ij->i", own[row], units[thin[place]])))]
+        if len(wide):
+            value = np.where(allowed[:, wide], _six(own @ units[wide].T), -np.inf)
+            least = best.least[wide]
+            fresh = np.flatnonzero(least == -np.inf)
+            if len(fresh):
+                kth = max(0, len(value) - k)
+                least[fresh] = np.partition(value[:, fresh], kth, axis=0)[kth]
+            row, place = np.nonzero((value >= least[None, :]) & (value > -np.inf))
+            found.append((wide[place], row, value[row, place]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     return score
 
@@ -276,7 +299,7 @@ def _terms_of(asked: dict[str, list]) -> tuple[dict[str, np.ndarray], np.ndarray
     return {t: np.array(q) for t, q in found.items()}, np.array([len(t) for t in asked["terms"]], float)
 
 
-def _matching_rows(prepared: tuple, batch: pa.RecordBatch, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matching_rows(prepared: tuple, batch: pa.RecordBatch, allowed: np.ndarray, best: _Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     wanted, n_terms = prepared
     weights = _saturated(64)
     query, row, value = [], [], []
