@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one, on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
@@ -118,11 +118,11 @@ def _libc():
 
 
 def _settle() -> None:
-    """Once per worker: arrays of a megabyte and more are mapped by themselves, so the system has them back when they are freed."""
+    """Once per worker: arrays of eight megabytes and more are mapped by themselves, so the system has them back when they are freed."""
     if "settled" not in _own:
         _own["settled"] = ""
         if libc := _libc():
-            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-3, 8 << 20)  # M_MMAP_THRESHOLD
             libc.mallopt(-8, 2)  # M_ARENA_MAX
 
 
