@@ -123,4 +123,27 @@ runs AS (SELECT b.*, c.words, b.seq - row_number() OVER (PARTITION BY b.doc_id,
 SELECT doc_id, CAST(min(seq) AS BIGINT) AS start_line, count(*) AS n_lines, CAST(sum(words) AS BIGINT) AS n_words, source[1] AS source_doc_id, CAST(min(seq) + source[2] AS BIGINT) AS source_start_line FROM runs GROUP BY doc_id, text, source, run
 """
 
-ORACLE = {"op8_line_dedup": OP8, "op2_mix_sources": OP2, "op4_warc": OP4, "op5_license_scan": OP5, "op7_url_filter": OP7}
+OP11 = r"""
+WITH words AS (SELECT doc_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sizes),
+dfs AS (SELECT term, count(*) AS df FROM tfs GROUP BY term),
+asked AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term),
+weighed AS (SELECT item_id, term, qtf * CAST(floor(1000 * ln(CAST(2 * big_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight FROM asked JOIN dfs USING (term), totals),
+lengths AS (SELECT doc_id, 25 + (75 * n * big_n) // big_l AS m FROM sizes, totals),
+scores AS (SELECT item_id, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM weighed JOIN tfs USING (term) JOIN lengths USING (doc_id) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 10
+"""
+
+OP12 = r"""
+WITH tokens AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest FROM documents),
+drawn AS (SELECT *, len(units) AS n, list_transform(range(0, 4), lambda k: CAST('0x' || substr(digest, 8 * k + 1, 8) AS BIGINT)) AS h FROM tokens),
+cuts AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (SELECT *, coalesce(array_to_string(units[1 : a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1 : b], ''), '') AS middle, coalesce(array_to_string(units[b + 1 : n], ''), '') AS suffix FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(prefix || middle || suffix) AS restored_sha256 FROM parts
+"""
+
+ORACLE = {"op8_line_dedup": OP8, "op11_lexical_search": OP11, "op12_fill_middle": OP12, "op2_mix_sources": OP2, "op4_warc": OP4, "op5_license_scan": OP5, "op7_url_filter": OP7}
