@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embed_dedup, fill_middle, language_id, license_scan, line_dedup, mixing, ngram_join, packing, token_files, url_filter, warc
+from . import ball_search, decontaminate, embed_dedup, fill_middle, language_id, license_scan, line_dedup, mixing, ngram_join, packing, token_files, url_filter, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_documents(_read(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.search_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.restore(fill_middle.fill_in_middle(_read(spark, sf_dir, "documents")))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -75,5 +79,5 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_join, op4_warc, op5_license_scan, op6_token_files, op7_url_filter, op8_line_dedup, op9_embed_dedup, op10_language_id, op12_fill_middle, op13_best_fit_packing, language_id_pages)
+    f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op3_ngram_join, op4_warc, op5_license_scan, op6_token_files, op7_url_filter, op8_line_dedup, op9_embed_dedup, op10_language_id, op11_lexical_search, op12_fill_middle, op13_best_fit_packing, language_id_pages)
 }
