@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Scratch, map_arrow
+from .shared import Scratch, map_arrow, shuffle_partitions
 from .token_files import _encoder
 from .wordhash import text_chunks
 
@@ -280,6 +280,8 @@ def pack(lengths: DataFrame, size: int, scratch: Scratch) -> DataFrame:
         dealt = open_pieces.withColumn("group", F.pmod(F.xxhash64("key", F.lit(round_number)), F.lit(groups)))
         # The group is bound into the numbers of its sequences, which so never meet those of another group or round.
         number = lambda k, n=round_number: (F.lit(n).cast("long") * (1 << 58) + F.col("group") * (1 << 20) + F.col("sequence")).alias(k)
+        # An explicit number of tasks: what goes to them is small, what they do is not.
+        dealt = dealt.repartition(min(groups, 4 * shuffle_partitions(dealt.sparkSession)), "group")
         made = scratch.write(dealt.groupBy("group").applyInPandas(_packer(size, final), "key long, length int, sequence long, place int, carried boolean, group long"), "packed")
         found = found.unionByName(made.where("not carried").select("key", number("sequence_id"), F.col("place").alias("offset")))
         open_pieces, before, round_number = made.where("carried").select("key", "length"), groups, round_number + 1
