@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import EXPANSIONS, NOISE
+from . import oracle_english
 
 _LINES = "lines AS (SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice, l_partkey, l_suppkey) AS fact_id FROM lineitem)"
 _FILINGS = "filings AS (SELECT o_orderkey AS doc_id, n_name || '_' || year(o_orderdate) || '_10K_' || o_orderkey AS doc_name, n_name AS company, CAST(year(o_orderdate) AS INTEGER) AS fiscal_year FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"
@@ -307,3 +308,5 @@ UNION ALL SELECT place, list_append(taken, b.doc), b.doc, b.gain, b.named FROM (
     FROM steps s JOIN named n ON NOT list_contains(s.taken, n.doc)) HAVING count(*) > 0))
 SELECT CAST(place AS INTEGER) AS place, doc, gain, named FROM steps WHERE place > 0"""
 ORACLE["facts_cited"] = f"WITH {_LINES}, {_FILINGS}, {_FTABLE} SELECT fact_id, doc_name, company, fiscal_year, row_label, column_label, CAST(signed AS VARCHAR) AS value_raw, signed, scale, 'USD' AS unit, page, fact_text FROM ftable"
+
+ORACLE |= oracle_english.ORACLE | {"lexical_stemmed": oracle_english.lexical(_terms("text"))}

@@ -822,3 +822,6 @@ def load_facts(spark: SparkSession, d: str) -> DataFrame:
     facts = _fact_table(spark, d, vectors=False).withColumn("value_raw", F.col("signed").cast("string")).drop("fact_text")
     made = ingest.load_facts(_documents(spark, d), chunks, facts)
     return made.select("fact_id", "doc_id", "chunk_id", "fact_text")
+
+
+from . import text_queries  # noqa: E402, F401  registers its queries
