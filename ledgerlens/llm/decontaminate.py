@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ROW, map_arrow, small, with_row_key, write_table
+from .shared import ROW, map_arrow, plain_columns, small, with_row_key, write_table
 from .wordhash import MARKS, _BASE, mix, text_chunks, word_hashes
 
 K1, B = 1.2, 0.75
@@ -257,8 +257,10 @@ def clean_documents(documents: DataFrame, items: DataFrame, id_col: str = "doc_i
     """The documents without those that hold a test item, each row judged by its own text whatever its id.
 
     Ids may be null or repeated, and equal rows all stay or all go; null and empty texts stay. Items without an id count too.
+    Further columns stay, whatever their names.
     """
-    keyed = with_row_key(documents)
+    text_col = options.get("text_col", "text")
+    keyed = with_row_key(plain_columns(documents, (id_col, text_col)))
     leaks = _leaks(keyed, items, id_col=ROW, **options).select(F.col(ROW).alias("__leak")).distinct()
     leaks, _ = write_table(leaks, "leaks")
-    return keyed.join(small(leaks), keyed[ROW] == F.col("__leak"), "left_anti").drop(ROW)
+    return keyed.join(small(leaks), keyed[ROW] == F.col("__leak"), "left_anti").drop(ROW).toDF(*documents.columns)

@@ -4,7 +4,7 @@ log posterior(l) = host prior(l) + log P(declared | l) + log P(suffix | l) + TEM
 languages and "und" (text like none of them).
 
 - Text: hashed byte trigrams of the whole text, naive Bayes. The model is fitted on about TRAIN_ROWS labelled rows (those
-  with a declared language; the size of the sample is a parameter) and knows their MAX_LANGUAGES most frequent labels. A row
+  with a declared language; the size of the sample is a parameter) and knows their most frequent labels (a parameter too). A row
   of the sample is judged by a model of the sample's other half, so no row's label speaks through the model of its text.
   "und" gives every trigram the same small probability.
 - Declared language and address suffix: their likelihoods are the smoothed shares among all rows that the text alone
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from .shared import map_arrow, small, write_table
 from .wordhash import text_chunks
 
+#: Labelled rows that the model is fitted on, about, and the labels that it knows at most: defaults of parameters.
 TRAIN_ROWS, MAX_LANGUAGES = 20_000, 256
 BUCKETS = 1 << 16
 #: Trigrams of one text overlap, so their evidence is discounted; nats that "und" pays for a trigram; prior of "und".
@@ -86,12 +87,12 @@ def sample_fold(key: str, total: int, limit: int) -> Column:
     return F.when(place < int((1 << 30) * min(1.0, limit / max(1, total))), F.pmod(F.xxhash64(F.lit("half"), key), F.lit(2))).otherwise(-1).cast("int")
 
 
-def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+def fit(rows: DataFrame, max_languages: int | None = None) -> tuple[list[str], np.ndarray]:
     """Languages and, for the models that leave out half 0, half 1 and nothing, the log probability of each bucket in each.
 
     rows: (text, label, fold), those of the sample.
     """
-    known = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()]
+    known = [r["label"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages or MAX_LANGUAGES).collect()]
     languages = sorted(known)
     own = rows.where(F.col("label").isin(*languages)) if languages else rows.limit(0)
     counts = map_arrow(own.select("text", "label", "fold"), _count, "label string, fold int, bucket int, n long").groupBy("label", "fold", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -104,10 +105,11 @@ def fit(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     return languages, np.log(tables / tables.sum(axis=2, keepdims=True)).astype(np.float32)
 
 
-def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, min_confidence: float = 0.5, train_rows: int = TRAIN_ROWS, sample_col: str | None = None) -> DataFrame:
+def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, domain: Column | None = None, suffix: Column | None = None, min_confidence: float = 0.5, train_rows: int = TRAIN_ROWS, sample_col: str | None = None, max_languages: int = MAX_LANGUAGES) -> DataFrame:
     """id, language, confidence, text_language (of the text alone) and kept, one row per input row.
 
-    sample_col is the column whose hash takes the training sample, the id by default.
+    sample_col is the column whose hash takes the training sample, the id by default; a row without one is taken by its
+    text. The model knows the max_languages most frequent labels of the sample; memory grows with them (0.8 MB each).
     """
     spark = documents.sparkSession
     none = F.lit(None).cast("string")
@@ -116,8 +118,8 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label = F.when(F.col(text_col).isNotNull(), none if declared is None else declared.cast("string"))
     total_labelled = documents.where(label.isNotNull()).count()
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *[(none if c is None else c.cast("string")).alias(k) for k, c in parts.items()], key.alias("key"), label.alias("label"))
-    source = source.withColumn("fold", F.when(F.col("label").isNull(), F.lit(-1)).otherwise(sample_fold("key", total_labelled, train_rows)))
-    languages, tables = fit(source.where("fold >= 0"))
+    source = source.withColumn("fold", F.when(F.col("label").isNull(), F.lit(-1)).when(F.col("key").isNull(), sample_fold("text", total_labelled, train_rows)).otherwise(sample_fold("key", total_labelled, train_rows)))
+    languages, tables = fit(source.where("fold >= 0"), max_languages)
     model = spark.sparkContext.broadcast(tables)
     size = len(languages)
 

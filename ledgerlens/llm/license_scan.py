@@ -127,11 +127,11 @@ def scan_licenses(documents: DataFrame, texts: DataFrame | None = None, id_col:
     if len(rows) > CATALOGUE_ROWS:
         raise ValueError(f"a catalogue has {CATALOGUE_ROWS} digests at most")
     known = spark.createDataFrame(sorted(map(tuple, rows)), "digest string, license string")
+    # The digests of all lines meet the catalogue's as sets; only those found are looked up.
     lookup = F.create_map(*[F.lit(x) for row in sorted(map(tuple, rows)) for x in row])
-    lines = F.array_distinct(F.split(F.col("text"), "\n"))
-    # Every notice of this module has one of these words, and normalising makes none of them.
-    marked = F.filter(lines, lambda x: F.lower(x).contains("licen") | F.lower(x).contains("released") | F.lower(x).contains("spdx"))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(marked, lambda x: F.try_element_at(lookup, F.md5(canonical(x).cast("binary")))), lambda x: x.isNotNull())))
+    lines = F.transform(F.array_distinct(F.split(F.col("text"), "\n")), lambda x: F.md5(canonical(x).cast("binary")))
+    hits = F.array_intersect(lines, F.array(*[F.lit(digest) for digest, _ in sorted(map(tuple, rows))]))
+    found = F.array_sort(F.array_distinct(F.transform(hits, lambda d: F.element_at(lookup, d))))
     source = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     digests = source.select("id", F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), F.array_join(found, ",").alias("notices"))
     digests = digests.withColumn("notices", F.when(F.col("notices") != "", F.col("notices")))

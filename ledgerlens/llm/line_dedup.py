@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_table, small, write_table
+from .shared import drop_table, plain_columns, small, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -119,8 +119,9 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     Rows of one id and text are one document and lose the same lines; rows of one id and other texts are told apart by their
     text, rows without an id come first in order. A null text stays null.
     """
+    given, documents = documents, plain_columns(documents, (id_col, text_col))
     marked = repeated_lines(documents, min_words, id_col, text_col).groupBy(*DOC).agg(F.collect_set("line").alias("__out"))
     marked = marked.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), "__out")
     joined = documents.join(marked, documents[id_col].eqNullSafe(F.col("__doc")) & (F.xxhash64(documents[text_col].cast("string")) == F.col("__tie")), "left")
     rest = F.array_join(F.filter(F.split(documents[text_col], "\n"), lambda x, i: ~F.array_contains(F.col("__out"), i)), "\n")
-    return joined.select(*[F.when(F.col("__out").isNotNull(), rest).otherwise(documents[c]).alias(c) if c == text_col else documents[c] for c in documents.columns])
+    return joined.select(*[F.when(F.col("__out").isNotNull(), rest).otherwise(documents[c]).alias(c) if c == text_col else documents[c] for c in documents.columns]).toDF(*given.columns)

@@ -11,9 +11,9 @@ tasks; only the one range of finish times that holds the cut is sorted. The tabl
 in one task: sources are a configured dimension, not rows of the corpus.
 
 Edge cases: null text has size 0; a null source is a source of its own, last in order; size 0 takes nothing; rows of
-the same id and size share their decision only if equal in all that orders them; a null id orders as an empty one; an
-empty table gives an empty result; a corpus without words has targets 0. Other columns pass through mixed_documents,
-where a number for each row decides between rows of the same id and size.
+the same id and size share their decision only if equal in all that orders them; rows without an id are ordered by a digest
+of their text and source; an empty table gives an empty result; a corpus without words has targets 0. Other columns pass
+through mixed_documents, where a number for each row decides between rows of the same id and size.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import ROW, running_sum, shuffle_partitions, small, with_row_key, write_table
+from .shared import ROW, plain_columns, running_sum, shuffle_partitions, small, with_row_key, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: The order digest has this many bits.
@@ -61,8 +61,8 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
     spark = documents.sparkSession
     key = [] if row_col is None else ["row_key"]
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    base = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *[F.col(row_col).alias(k) for k in key])
-    base, _ = write_table(base.withColumn("digest", order_digest(F.col("doc_id"), seed)), "mix-sizes")
+    base = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), F.xxhash64(text_col, source_col).alias("unnamed"), *[F.col(row_col).alias(k) for k in key])
+    base, _ = write_table(base.withColumn("digest", order_digest(F.coalesce(F.col("doc_id").cast("string"), F.col("unnamed").cast("string")), seed)).drop("unnamed"), "mix-sizes")
     rows = base.count()
     per_range = max(64, rows // (16 * shuffle_partitions(spark)))
     bits = min(24, max(0, (rows // per_range).bit_length()))  # 2 ** bits ranges of the digest
@@ -106,9 +106,11 @@ def mix_sources(documents: DataFrame, weights: tuple[int, ...] = (5, 2, 1), shar
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns.
 
-    Ids may be null or repeated: every row is counted and taken for itself, equal rows too, each twice at most.
+    Ids may be null or repeated: every row is counted and taken for itself, equal rows too, each twice at most. All columns
+    stay, whatever their names.
     """
-    keyed = with_row_key(documents)
+    needed = (id_col, options.get("text_col", "text"), options.get("source_col", "source"))
+    keyed = with_row_key(plain_columns(documents, needed))
     taken = mix_sources(keyed, id_col=id_col, row_col=ROW, **options).where("copies > 0").select(F.col(ROW).alias("__taken_row"), F.col("copies").cast("int").alias("__copies"))
     joined = keyed.join(small(taken), keyed[ROW] == F.col("__taken_row"))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[keyed[c] for c in documents.columns])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[keyed[c] for c in keyed.columns if c != ROW]).toDF(*documents.columns)

@@ -63,6 +63,14 @@ class Scratch:
         self.paths = []
 
 
+def plain_columns(df: DataFrame, needed: tuple[str, ...]) -> DataFrame:
+    """df with names of its own for all columns but the needed ones: those given may hold dots or clash with any other name.
+
+    Columns stay in their order, so toDF(*df.columns) gives a result of them its names back.
+    """
+    return df.toDF(*[c if c in needed else f"extra{k}" for k, c in enumerate(df.columns)])
+
+
 def with_row_key(df: DataFrame) -> DataFrame:
     """df with a number for each row (ROW) that stays however often df is read: ids may be null or repeated, numbers are neither.
 
@@ -75,7 +83,7 @@ def with_row_key(df: DataFrame) -> DataFrame:
     # One row per file; only footers are read for it.
     files, _ = write_table(placed.select("__file").distinct().withColumn("__number", F.row_number().over(Window.orderBy("__file")).cast("long")), "files")
     numbered = placed.join(small(files.withColumnRenamed("__file", "__of"), FILE_ROWS), F.col("__file") == F.col("__of"))
-    return numbered.select(*df.columns, (F.col("__number") * (1 << 36) + F.col("__index")).alias(ROW))
+    return numbered.select(*[numbered[f"`{c}`"] for c in df.columns], (F.col("__number") * (1 << 36) + F.col("__index")).alias(ROW))
 
 
 def drop_table(spark: SparkSession, *paths: str) -> None:

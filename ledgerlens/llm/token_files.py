@@ -1,9 +1,10 @@
 """Token-id files: whole texts tokenised, range-coded in independently reset, checksummed blocks, in ascending id order.
 
 A file holds up to FILE_IDS ids: a header, the documents' ids and lengths, the blocks' lengths and checksums, the
-frequencies of its ids (order 0), and the blocks (range_coder). Texts are range-partitioned and sorted by document id; each task writes the files of its range under
-random names, and only files that the committed index names count. A document's start is its place in its file plus the
-ids of all files before it, which are summed by partition first.
+frequencies of its ids (order 0), and the blocks (range_coder). Texts are range-partitioned and sorted by document id and,
+within one id, a hash of the text; each task writes the files of its range under random names, and only files that the
+committed index names count. A document's start is its place in its file plus the ids of all files before it, which are
+summed by partition first.
 
 Tokenising works on distinct pieces. The vocabulary's pre-tokeniser never joins across white space, nor across an ASCII
 letter and another ASCII character, apostrophes apart, so each piece is encoded once per worker by the tokenizers library
@@ -248,7 +249,7 @@ def write_tokens(documents: DataFrame, tokenizer: str, end_id: int, folder: str
     spark = documents.sparkSession
     folder = folder or new_path(spark, "tokens")
     source = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ranged = source.repartitionByRange(shuffle_partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    ranged = source.repartitionByRange(shuffle_partitions(spark), F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

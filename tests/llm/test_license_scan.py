@@ -62,3 +62,9 @@ def test_a_catalogue_of_the_callers(spark):
     assert found(spark, ["my own terms, use it well", "", None, license_scan.LICENSES["MIT"]], texts=more) == ["Own-1.0", None, None, "MIT"]
     with pytest.raises(ValueError):
         found(spark, ["x"], texts=spark.range(license_scan.CATALOGUE_ROWS + 1).selectExpr("concat('text ', id) as text", "'x' as license"))
+
+
+def test_a_callers_notice_of_one_line_and_a_very_long_text(spark):
+    more = spark.createDataFrame([("Distributed under MPL 2.0.", "MPL-2.0")], "text string, license string")
+    docs = spark.createDataFrame([(1, "Some text\n  distributed under MPL 2.0\nend", ""), (2, "line of words\n" * 200_000 + "SPDX-License-Identifier: MIT", ""), (None, "x", "")], SCHEMA)
+    assert [r["notices"] for r in license_scan.scan_licenses(docs, more).orderBy("doc_id").collect()] == [None, "MPL-2.0", "MIT"]

@@ -3,7 +3,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from ledgerlens.llm import graph, oracle, queries
+from ledgerlens.llm import graph, line_dedup, oracle, queries
 from ledgerlens.llm.shared import running_sum
 
 from ..oracle_check import assert_same
@@ -94,3 +94,18 @@ def test_stages_judge_rows_with_null_and_repeated_ids_by_themselves(spark, tmp_p
     odd = "\u0416\u0449\u042e \u042a\u044d\u0424 " * 20
     kept = stage(corpus_pipeline.identify_languages, [*english, (0, odd, None, "y"), (None, odd, None, "y"), (None, english[0][1], "en", "x")])
     assert kept == sorted([*[r[:2] for r in english], (None, english[0][1])], key=str)
+
+
+def test_further_columns_of_any_name_pass_every_stage(spark, tmp_path):
+    names = ("a.b", "__row", "__file", "__index", "__out", "__leak", "__copies", "__copy", "__taken_row", "extra0", "id", "label", "digest", "b`c")
+    spark.createDataFrame([(1, "which river runs through the old mill town? the silver one by the bridge", "x")], "item_id long, text string, `a.b` string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(k, f"the people of town {k} are here with the others of word{k} and word{k + 1}", "en", f"s{k % 2}") for k in range(40)], "doc_id long, text string, lang string, source string")
+    rows = docs.toDF(*docs.columns).selectExpr("*", *[f"'{k}' as `{n.replace('`', '``')}`" for k, n in enumerate(names)])
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    given = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, given, str(tmp_path))
+        assert out.columns == rows.columns, name
+        assert {tuple(r)[4:] for r in out.collect()} == {tuple(str(k) for k in range(len(names)))}, name
+    assert corpus_pipeline.STAGES[-1][1](spark, given, str(tmp_path)).count() == 40
+    assert line_dedup.dedup_lines(rows).columns == rows.columns and line_dedup.dedup_lines(rows).count() == 40
