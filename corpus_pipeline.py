@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate, language_id, mixing, ngram_join, token_files
-from ledgerlens.llm.shared import ROW, small, with_row_key, write_table
+from ledgerlens.llm.shared import ROW, plain_columns, small, with_row_key, write_table
+
+#: The columns that stages work with; all others pass under their own names.
+COLUMNS = ("doc_id", "text", "lang", "source")
 
 
 def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
@@ -25,8 +28,8 @@ def _without(docs: DataFrame, out: DataFrame) -> DataFrame:
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is unknown or doubtful. One without text is judged by its declared language and source."""
-    docs = with_row_key(docs)
-    return _without(docs, language_id.language_documents(docs, id_col=ROW, sample_col="doc_id").where("not kept"))
+    keyed = with_row_key(plain_columns(docs, COLUMNS))
+    return _without(keyed, language_id.language_documents(keyed, id_col=ROW).where("not kept")).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +37,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of equal rows one stays; documents without words are copies of none and all stay.
     """
-    docs = with_row_key(docs)
-    groups, _ = write_table(ngram_join.join_ngrams(docs, id_col=ROW).select(ROW, "component_id"), "stage-groups")
+    keyed = with_row_key(plain_columns(docs, COLUMNS))
+    groups, _ = write_table(ngram_join.join_ngrams(keyed, id_col=ROW).select(ROW, "component_id"), "stage-groups")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", ROW)
-    first = groups.join(docs.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
-    return _without(docs, groups.join(first.select(ROW), ROW, "left_anti"))
+    first = groups.join(keyed.select(ROW, "doc_id"), ROW).groupBy("component_id").agg(F.min(order)[ROW].alias(ROW))
+    return _without(keyed, groups.join(first.select(ROW), ROW, "left_anti")).toDF(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
