@@ -96,6 +96,30 @@ def overlap_summary(best: DataFrame, threshold: float = 0.25) -> DataFrame:
     return found.join(F.broadcast(at_index(best, "best", 0.9).withColumnRenamed("best", "p90")))
 
 
+#: Scales at which a figure may be stated, and how far apart two at that scale may be.
+BANDS = ((1.0, 0.01), (1000.0, 0.01), (0.001, 1e-6))
+
+
+def figure_matches(questions: DataFrame, facts: DataFrame, value: str = "value", key: str = "fact_id") -> DataFrame:
+    """All targets against all facts: (qid, target, n_facts, first_fact), how many facts have a target's figure at any scale and the first of them.
+
+    questions: qid, targets (array); facts: key and value, whose sign is left aside. A band join: distinct values fall into
+    buckets as wide as the largest distance, distinct targets look into those around each of their scales, and are compared
+    exactly after that. Values and targets are made distinct first, so a figure that very many have meets itself once.
+    """
+    width = max(apart for _, apart in BANDS)
+    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
+    held = facts.select(F.abs(F.col(value).cast("double")).alias("v"), F.col(key).alias("k")).where("v is not null and not isnan(v)")
+    held = held.groupBy("v").agg(F.count("*").alias("n"), F.min("k").alias("first")).withColumn("bucket", bucket(F.col("v")))
+    asked = questions.select("qid", F.explode(F.array_distinct("targets")).alias("target"))
+    levels = F.explode(F.array(*[F.col("target") * scale for scale, _ in BANDS]))
+    looked = asked.select("target").distinct().select("target", levels.alias("level"))
+    looked = looked.select("target", F.explode(F.array(*[bucket(F.col("level")) + k for k in (-1, 0, 1)])).alias("bucket")).distinct()
+    pairs = looked.join(held, "bucket").where(same_figure(F.col("target"), F.col("v")))
+    found = pairs.groupBy("target").agg(F.sum("n").alias("n_facts"), F.min("first").alias("first_fact"))
+    return asked.join(found, "target", "left").select("qid", "target", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "first_fact")
+
+
 def coverage(wanted: Column, found: Column) -> Column:
     """The share of wanted figures that are among those found, at any of three scales; null without wanted ones."""
     hit = F.filter(wanted, lambda w: F.exists(found, lambda f: same_figure(w, f)))

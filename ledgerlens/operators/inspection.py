@@ -45,11 +45,20 @@ def _page_shares(evidence: DataFrame, pages: DataFrame, floor: float) -> tuple[D
 
 
 def evidence_pages(evidence: DataFrame, pages: DataFrame, top: int = 3, floor: float = 0.3) -> DataFrame:
-    """The pages that hold most of an evidence's numeric tokens: (e_id, page_id, share, place), share at least floor.
+    """The pages that hold most of an evidence's numeric tokens: (e_id, page_id, share, place); a page without any is not listed.
 
-    evidence: (e_id, text); pages: (page_id, blob).
+    evidence: (e_id, text); pages: (page_id, blob). The floor decides nothing about what is listed: pages at it are found by
+    rare tokens, and only where there are fewer than top of them the others are counted too. Whether a page matches at all is
+    for the reader of the first place to say (evidence_report).
     """
-    wanted, _, shares = _page_shares(evidence, pages, floor)
+    wanted, sets, shares = _page_shares(evidence, pages, floor)
+    shares = shares.select("key", "page_id", "share")
+    if top > 1:
+        short = sets.join(shares.groupBy("key").agg(F.count("*").alias("found")), "key", "left").where(F.coalesce("found", F.lit(0)) < top).drop("found")
+        each = short.select("key", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+        held = pages.select("page_id", F.explode(number_tokens(F.col("blob"))).alias("token"))
+        rest = held.join(each, "token").groupBy("key", "page_id").agg(F.round(F.count("*") / F.first("n"), 6).alias("share"))
+        shares = shares.unionByName(rest.where(F.col("share") < floor))
     order = Window.partitionBy("key").orderBy(F.desc("share"), F.desc("page_id"))
     best = shares.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     return wanted.select("e_id", "key").join(best, "key").select("e_id", "page_id", "share", "place")
@@ -62,7 +71,7 @@ def evidence_report(evidence: DataFrame, pages: DataFrame, floor: float = 0.3) -
     Columns: e_id, n, best_page, share, is_offset, recovered, missing, answers (array of value, on_page, first six pages). Without
     a page at the floor everything after n is null.
     """
-    best = evidence_pages(evidence, pages, 1, floor).select("e_id", F.col("page_id").alias("best_page"), "share")
+    best = evidence_pages(evidence, pages, 1, floor).where(F.col("share") >= floor).select("e_id", F.col("page_id").alias("best_page"), "share")
     asked = evidence.select("e_id", F.col("label").cast("string").alias("label"), number_tokens(F.col("text")).alias("wanted"), number_tokens(F.col("answer")).alias("said"))
     held = pages.select(F.col("page_id").alias("best_page"), number_tokens(F.col("blob")).alias("held"))
     found = asked.where(F.size("wanted") > 0).join(best, "e_id", "left").join(held, "best_page", "left")

@@ -80,24 +80,57 @@ class Filters:
     def query_columns(self) -> list[str]:
         return [*(self.equal or {}).values(), *(self.contains or {}).values(), *([self.leave_out] if self.leave_out else [])]
 
-    def mask(self, ids: pa.Array, columns: list[pa.Array], asked: dict[str, list]) -> np.ndarray:
-        """(row, query): whether the query may have the row."""
-        size = len(asked["qid"])
-        out = np.ones((len(ids), size), bool)
-        tests = [(q, lambda row, wanted: row == wanted) for q in (self.equal or {}).values()] + [(q, _ilike) for q in (self.contains or {}).values()]
-        for column, (query_column, test) in zip(columns, tests, strict=True):
-            coded = column.dictionary_encode()
-            values, code = coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy()
-            wanted: dict = {}
-            for place, value in enumerate(asked[query_column]):
-                if value:
-                    wanted.setdefault(value, []).append(place)
-            for value, places in wanted.items():
-                fits = np.array([*[v is not None and test(v, value) for v in values], False])
-                out[:, places] &= fits[code][:, None]
-        if self.leave_out:
-            out &= ids.to_numpy(zero_copy_only=False)[:, None] != np.array(asked[self.leave_out], object)[None, :]
-        return out
+    def index(self, asked: dict[str, list]) -> QueryIndex:
+        """The queries by what they ask of the rows."""
+        return QueryIndex([(asked[q], False) for q in (self.equal or {}).values()] + [(asked[q], True) for q in (self.contains or {}).values()], len(asked["qid"]))
+
+
+class QueryIndex:
+    """Queries by filter value, so that rows meet only those that may have them."""
+
+    def __init__(self, columns: list[tuple[list, bool]], size: int):
+        self.size, self.known = size, {}
+        self.columns: list[tuple[bool, np.ndarray, dict]] = []
+        for wanted, substring in columns:
+            places: dict = {}
+            for place, value in enumerate(wanted):
+                places.setdefault(value or None, []).append(place)
+            free = np.zeros(size, bool)
+            free[places.pop(None, [])] = True
+            self.columns.append((substring, free, places))
+
+    def fitting(self, values: tuple) -> np.ndarray:
+        """The queries that may have a row with these values, one for each filter."""
+        if values not in self.known:
+            out = np.ones(self.size, bool)
+            for value, (substring, free, places) in zip(values, self.columns, strict=True):
+                own = free.copy()
+                if value is not None:
+                    for asked in [x for x in places if _ilike(value, x)] if substring else [value]:
+                        own[places.get(asked, [])] = True
+                out &= own
+            self.known[values] = np.flatnonzero(out)
+        return self.known[values]
+
+    def groups(self, columns: list[pa.Array], rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows, queries that may have them), for rows of equal values."""
+        if not columns:
+            yield np.arange(rows), np.arange(self.size)
+            return
+        coded = [c.dictionary_encode() for c in columns]
+        codes = np.zeros(rows, np.int64)
+        for c in coded:
+            codes = codes * (len(c.dictionary) + 1) + c.indices.fill_null(len(c.dictionary)).to_numpy()
+        order = np.argsort(codes, kind="stable")
+        values = [c.dictionary.to_pylist() + [None] for c in coded]
+        for own in np.split(order, np.flatnonzero(np.diff(codes[order])) + 1):
+            if len(own):
+                code, found = int(codes[own[0]]), []
+                for c in reversed(values):
+                    found.append(c[code % len(c)])
+                    code //= len(c)
+                if len(queries := self.fitting(tuple(reversed(found)))):
+                    yield own, queries
 
 
 def _ilike(value: str, wanted: str) -> bool:
@@ -153,8 +186,9 @@ def _slices(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.Reco
 def _scan(rows: DataFrame, columns: list[str], k: int, queries: DataFrame, query_columns: list[str], filters: Filters, prepare: Callable, score: Callable, id_col: str) -> DataFrame:
     """(qid, id, score, rank): the k best rows of each query.
 
-    prepare(asked) makes what tasks need of a block of queries; score(prepared, batch, allowed, best) gives the places of
-    queries and rows, and their scores. allowed is the filters' mask, best what the task has so far.
+    prepare(asked) makes what tasks need of a block of queries; score(prepared, batch, groups, best, out) gives the places of
+    queries and rows, and their scores. groups are rows with the queries that may have them, out the places of rows by query
+    that do not count, best what the task has so far.
     """
     spark = rows.sparkSession
     kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema[id_col].dataType}
@@ -165,13 +199,18 @@ def _scan(rows: DataFrame, columns: list[str], k: int, queries: DataFrame, query
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             asked, prepared = shared.value
-            best = _Best(k, len(asked["qid"]))
-            for batch in _slices(batches, len(asked["qid"])):
+            best, index = _Best(k, len(asked["qid"])), filters.index(asked)
+            without: dict = {}
+            for place, key in enumerate(asked[filters.leave_out] if filters.leave_out else []):
+                without.setdefault(key, []).append(place)
+            for batch in batches:
                 if batch.num_rows:
-                    ids = batch.column(0)
-                    allowed = filters.mask(ids, [batch.column(c) for c in range(1 + len(columns), batch.num_columns)], asked)
-                    query, row, value = score(prepared, batch, allowed, best)
-                    best.add(query, row, value, np.array(ids.to_pylist(), object))
+                    names = batch.column(0).to_pylist()
+                    out = {at: np.array(without[name]) for at, name in enumerate(names) if name in without} if without else {}
+                    groups = index.groups([batch.column(c) for c in range(1 + len(columns), batch.num_columns)], batch.num_rows)
+                    ids = np.array(names, object)
+                    for query, row, value in score(prepared, batch, groups, best, out):
+                        best.add(query, row, value, ids)
             best.prune()
             values = np.where(best.score == NO_SCORE, np.nan, best.score)
             yield pa.RecordBatch.from_arrays(
@@ -216,25 +255,25 @@ def _cosines(units: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _best_rows(k: int):
-    """Queries that may have many of the rows are scored against all of them, the others against those only that they may have."""
+    """Rows of equal filter values are scored together, against the queries that may have them."""
 
-    def score(units: np.ndarray, batch: pa.RecordBatch, allowed: np.ndarray, best: _Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(units: np.ndarray, batch: pa.RecordBatch, groups: Iterator, best: _Best, out: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         own, fits = _row_units(units.shape[1], batch)
-        allowed = allowed & fits[:, None]
-        many = allowed.mean(axis=0) > 0.05
-        wide, thin = np.flatnonzero(many), np.flatnonzero(~many)
-        row, place = np.nonzero(allowed[:, thin])
-        found = [(thin[place], row, _six(np.einsum("ij,ij->i", own[row], units[thin[place]])))]
-        if len(wide):
-            value = np.where(allowed[:, wide], _six(own @ units[wide].T), -np.inf)
-            least = best.least[wide]
-            fresh = np.flatnonzero(least == -np.inf)
-            if len(fresh):
-                kth = max(0, len(value) - k)
-                least[fresh] = np.partition(value[:, fresh], kth, axis=0)[kth]
-            row, place = np.nonzero((value >= least[None, :]) & (value > -np.inf))
-            found.append((wide[place], row, value[row, place]))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        left_out = np.array(sorted(out), np.int64)
+        for rows, queries in groups:
+            rows = rows[fits[rows]]
+            step = max(1, CELLS // len(queries))
+            for part in (rows[at : at + step] for at in range(0, len(rows), step)):
+                value = _six(own[part] @ units[queries].T)
+                for at in np.flatnonzero(np.isin(part, left_out)) if len(left_out) else ():
+                    value[at, np.isin(queries, out[int(part[at])])] = -np.inf
+                least = best.least[queries]
+                fresh = np.flatnonzero(least == -np.inf)
+                if len(fresh) and len(value) > k:
+                    kth = len(value) - k
+                    least[fresh] = np.partition(value[:, fresh], kth, axis=0)[kth]
+                row, place = np.nonzero((value >= least[None, :]) & (value > -np.inf))
+                yield queries[place], part[row], value[row, place]
 
     return score
 
@@ -253,8 +292,48 @@ def first_relevant(rows: DataFrame, queries: DataFrame, relevant: dict[str, str]
 
     Nothing is ranked: the best relevant row is found first, then the rows before it are counted.
     """
-    best = vector_ranks(rows, queries, 1, id_col, vec_col, Filters(equal=relevant, leave_out=leave_out)).select("qid", F.col("score").alias("best_score"), F.col(id_col).alias("best_id"))
-    asked = queries.join(best, "qid")
+    best = vector_ranks(rows, queries, 1, id_col, vec_col, Filters(equal=relevant, leave_out=leave_out))
+    return _rank_of(best, rows, queries, id_col, vec_col, leave_out)
+
+
+def _close_rows(apart: float):
+    def score(prepared: tuple, batch: pa.RecordBatch, groups: Iterator, best: _Best, out: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        units, levels, owner = prepared
+        own, fits = _row_units(units.shape[1], batch)
+        value = np.abs(batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False))
+        low, high = np.searchsorted(levels, value - 2 * apart), np.searchsorted(levels, value + 2 * apart, "right")
+        count = np.where(fits & ~np.isnan(value), high - low, 0)
+        row = np.repeat(np.arange(len(value)), count)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + low[row]
+        near = np.abs(value[row] - levels[place]) < apart
+        pair = np.unique(row[near] * len(units) + owner[place[near]])
+        row, query = pair // len(units), pair % len(units)
+        yield query, row, _six(np.einsum("ij,ij->i", own[row], units[query]))
+
+    return score
+
+
+def _levels(targets: str):
+    """The queries' vectors, and all their target values in order with the query of each."""
+
+    def prepare(asked: dict[str, list]) -> tuple:
+        values = [(v, place) for place, own in enumerate(asked[targets]) for v in own or []]
+        values.sort()
+        return _unit(asked["qvec"]), np.array([v for v, _ in values]), np.array([p for _, p in values], np.int64)
+
+    return prepare
+
+
+def first_close(rows: DataFrame, queries: DataFrame, value: str, targets: str, id_col: str = "id", vec_col: str = "embedding", apart: float = 0.01) -> DataFrame:
+    """(qid, rank) over all rows: the rank of the best row whose value, sign aside, is within apart of one of the query's targets (an array)."""
+    kept = rows.where(F.col(vec_col).isNotNull())
+    best = _scan(kept, [vec_col, value], 1, queries.where("qvec is not null"), ["qvec", targets], Filters(), _levels(targets), _close_rows(apart), id_col)
+    return _rank_of(best, rows, queries, id_col, vec_col)
+
+
+def _rank_of(best: DataFrame, rows: DataFrame, queries: DataFrame, id_col: str, vec_col: str, leave_out: str | None = None) -> DataFrame:
+    """(qid, rank) of one hit of each query (qid, id, score) among all rows: those before it are counted; null without a hit."""
+    asked = queries.join(best.select("qid", F.col("score").alias("best_score"), F.col(id_col).alias("best_id")), "qid")
     kind = queries.schema["qid"].dataType
     source = rows.where(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), vec_col)
     found = None
@@ -266,10 +345,13 @@ def first_relevant(rows: DataFrame, queries: DataFrame, relevant: dict[str, str]
             level = np.array([NO_SCORE if x is None else x for x in block["best_score"]])
             place = np.array(block["best_id"], object)
             before = np.zeros(len(units), np.int64)
+            own = np.array(block[leave_out], object) if leave_out else None
             for batch in _slices(batches, len(units)):
                 if batch.num_rows:
                     ids = batch.column(0).to_numpy(zero_copy_only=False)
-                    score = np.where(Filters(leave_out=leave_out).mask(batch.column(0), [], block), _cosines(units, batch), -np.inf)
+                    score = _cosines(units, batch)
+                    if own is not None:
+                        score[ids[:, None] == own[None, :]] = -np.inf
                     before += ((score > level) | ((score == level) & (ids[:, None] < place[None, :]))).sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(block["qid"], to_arrow_type(kind)), pa.array(before)], ["qid", "before"])
 
@@ -299,27 +381,30 @@ def _terms_of(asked: dict[str, list]) -> tuple[dict[str, np.ndarray], np.ndarray
     return {t: np.array(q) for t, q in found.items()}, np.array([len(t) for t in asked["terms"]], float)
 
 
-def _matching_rows(prepared: tuple, batch: pa.RecordBatch, allowed: np.ndarray, best: _Best) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _matching_rows(prepared: tuple, batch: pa.RecordBatch, groups: Iterator, best: _Best, out: dict[int, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     wanted, n_terms = prepared
     weights = _saturated(64)
-    query, row, value = [], [], []
-    for place, text in enumerate(batch.column(1).to_pylist()):
-        if not text or not allowed[place].any():
-            continue
-        counts = Counter(w for w in WORDS.findall(text.lower()) if w in wanted)
-        if counts:
-            if (most := max(counts.values())) >= len(weights):
-                weights = _saturated(2 * most)
-            total = np.zeros(len(n_terms))
-            for term, tf in counts.items():
-                total[wanted[term]] += weights[tf]
-            own = np.flatnonzero((total > 0) & allowed[place])
-            query.append(own)
-            row.append(np.full(len(own), place))
-            value.append(np.round(total[own] / n_terms[own], 6))
-    if not query:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(query), np.concatenate(row), np.concatenate(value)
+    for rows, queries in groups:
+        texts = batch.column(1).take(pa.array(rows)).to_pylist()
+        may = np.zeros(len(n_terms), bool)
+        may[queries] = True
+        query, row, value = [], [], []
+        for place, text in zip(rows.tolist(), texts, strict=True):
+            counts = Counter(w for w in WORDS.findall(text.lower()) if w in wanted) if text else None
+            if counts:
+                if (most := max(counts.values())) >= len(weights):
+                    weights = _saturated(2 * most)
+                total = np.zeros(len(n_terms))
+                for term, tf in counts.items():
+                    total[wanted[term]] += weights[tf]
+                if place in out:
+                    total[out[place]] = 0
+                own = np.flatnonzero((total > 0) & may)
+                query.append(own)
+                row.append(np.full(len(own), place))
+                value.append(np.round(total[own] / n_terms[own], 6))
+        if query:
+            yield np.concatenate(query), np.concatenate(row), np.concatenate(value)
 
 
 def lexical_ranks(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", text_col: str = "text", limit: int = 12, filters: Filters | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse
-from ..operators.grounding import REFUSAL, problems
+from ..operators.grounding import REFUSAL, problem_lists
 
 HEADING_CHARS, PASSAGE_CHARS = 70, 700
 
@@ -41,20 +42,22 @@ def within_budget(hits: DataFrame, questions: DataFrame, budget: str) -> DataFra
 
 
 def generate(prompted: DataFrame, model: Callable[[str], str]) -> DataFrame:
-    """Answers by a text model; a prompt on which it fails gets an error and no answer, the others go on."""
+    """Answers by a text model with the seconds that each took; a prompt on which it fails gets an error and no answer, the others go on."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for qid, prompt in zip(batch["qid"], batch["prompt"], strict=True):
+                began, said, failed = time.perf_counter(), None, None
                 try:
-                    rows.append((qid, model(prompt), None))
+                    said = model(prompt)
                 except Exception as error:  # one question's failure is a result of its own
-                    rows.append((qid, None, repr(error)))
-            yield pd.DataFrame(rows, columns=["qid", "answer", "error"])
+                    failed = repr(error)
+                rows.append((qid, said, failed, time.perf_counter() - began))
+            yield pd.DataFrame(rows, columns=["qid", "answer", "error", "seconds"])
 
     kind = prompted.schema["qid"].dataType.simpleString()
-    return prompted.select("qid", "prompt").mapInPandas(run, f"qid {kind}, answer string, error string")
+    return prompted.select("qid", "prompt").mapInPandas(run, f"qid {kind}, answer string, error string, seconds double")
 
 
 def first_line_model(prompt: str) -> str:
@@ -66,7 +69,7 @@ def first_line_model(prompt: str) -> str:
 
 def checked(answers: DataFrame, context: DataFrame) -> DataFrame:
     """Answers (qid, answer) with their problems, given context (qid, ids, supplied)."""
-    found = problems(answers.join(context, "qid")).groupBy("qid").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "problem", "detail"))).alias("problems"))
+    found = problem_lists(answers.join(context, "qid")).select("qid", F.transform("found", lambda p: F.concat_ws(": ", p["problem"], p["detail"])).alias("problems"))
     return answers.join(found, "qid", "left")
 
 

@@ -139,7 +139,7 @@ SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT I
 ORACLE["embedding_cache"] = "SELECT doc_id, CASE WHEN text IN (SELECT text FROM documents WHERE doc_id % 2 = 0) THEN -1.0::DOUBLE ELSE length(text)::DOUBLE END AS v FROM documents"
 ORACLE["page_blobs"] = r"WITH b AS (SELECT conv_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn), '\s+', ' ', 'g')) AS blob FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(length(blob) AS INTEGER) AS chars, md5(blob) AS digest FROM b"
 ORACLE["evidence_page"] = f"""WITH e AS (SELECT page_id AS e_id, {_TOKENS.format('url')} AS t FROM pages), wanted AS (SELECT e_id, len(t) AS n, unnest(t) AS token FROM e), held AS (SELECT page_id, unnest({_TOKENS.format('html')}) AS token FROM pages),
-shares AS (SELECT e_id, page_id, round(count(*) / any_value(n), 6) AS share FROM held JOIN wanted USING (token) GROUP BY e_id, page_id), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY e_id ORDER BY share DESC, page_id DESC) AS INTEGER) AS place FROM shares WHERE share >= 0.3) SELECT * FROM placed WHERE place <= 3"""
+shares AS (SELECT e_id, page_id, round(count(*) / any_value(n), 6) AS share FROM held JOIN wanted USING (token) GROUP BY e_id, page_id), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY e_id ORDER BY share DESC, page_id DESC) AS INTEGER) AS place FROM shares) SELECT * FROM placed WHERE place <= 3"""
 ORACLE["table_fragments"] = "WITH t AS (SELECT conv_id AS doc_id, turn AS page, length(text) % 3 AS num_cols, role = 'user' AS has_header FROM conversations) SELECT a.doc_id, a.page, b.page AS continues FROM t a JOIN t b ON a.doc_id = b.doc_id AND b.page = a.page - 1 AND a.num_cols = b.num_cols WHERE NOT a.has_header AND b.has_header"
 ORACLE["scale_marker_location"] = "WITH marked AS (SELECT DISTINCT source FROM documents WHERE regexp_matches(text, '(?i)licensed under (the apache|cc)')) SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM marked) AND NOT regexp_matches(text, '(?i)licensed under (the apache|cc)')"
 ORACLE["text_contains"] = "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'license')"
@@ -166,14 +166,14 @@ _FTABLE = """ftable AS (SELECT *, company || ' · ' || row_label || ' · ' || co
   SELECT fact_id, l_orderkey AS doc_id, CAST(l_linenumber % 2 AS INTEGER) AS table_ordinal, (['Total current assets', 'Total current liabilities', 'Net income', 'Net sales', 'Cash and cash equivalents', 'Accounts receivable - net', 'Segment net sales', 'NET INCOME (LOSS)'])[l_partkey % 8 + 1] AS row_label,
   'Dec 31, ' || (fiscal_year - CASE WHEN l_quantity > 40 THEN 1 ELSE 0 END) AS column_label, CASE WHEN l_tax = 0 AND l_discount < 0.03 THEN 0.0::DOUBLE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS signed, CASE WHEN l_linestatus = 'F' THEN 'millions' END AS scale,
   l_linenumber AS page, company, fiscal_year, doc_name FROM lines JOIN filings ON l_orderkey = doc_id)),
-fvec AS (SELECT f.*, embedding::DOUBLE[] AS emb FROM ftable f JOIN embeddings ON vec_id = fact_id % 500)"""
-_CTABLE = """cvec AS (SELECT c.*, company, fiscal_year, doc_name FROM (SELECT doc_id AS chunk_id, doc_id * 37 % 1500 AS doc, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'prose' END AS kind, 'Item ' || (doc_id % 9) AS item_section, CASE WHEN doc_id % 4 <> 0 THEN source END AS context,
-  CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 50 AS INTEGER) END AS page_start, text, embedding::DOUBLE[] AS emb FROM documents JOIN embeddings ON vec_id = doc_id % 500) c JOIN filings ON doc = filings.doc_id)"""
+fvec AS (SELECT f.*, embedding::DOUBLE[] AS emb FROM ftable f JOIN embeddings ON vec_id = fact_id % (SELECT count(*) FROM embeddings))"""
+_CTABLE = """cvec AS (SELECT c.*, company, fiscal_year, doc_name FROM (SELECT doc_id AS chunk_id, doc_id * 37 % (SELECT count(*) FROM orders) AS doc, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'prose' END AS kind, 'Item ' || (doc_id % 9) AS item_section, CASE WHEN doc_id % 4 <> 0 THEN source END AS context,
+  CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 50 AS INTEGER) END AS page_start, text, embedding::DOUBLE[] AS emb FROM documents JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)) c JOIN filings ON doc = filings.doc_id)"""
 _ASKED = """stated AS (SELECT f.doc_id AS qid, (['What was the current ratio', 'Describe the segments', 'What is the net margin', 'Explain capex and R&D', 'How much was the working capital', 'Who leads the company'])[k % 6 + 1] || ' of '
   || CASE k % 4 WHEN 0 THEN 'the group' WHEN 1 THEN replace(company, 'NATION_', 'N.T.N. ') ELSE company END || CASE k % 5 WHEN 0 THEN '' WHEN 1 THEN ' in FY' || (fiscal_year + 40) ELSE ' in FY' || fiscal_year END || '?' AS question,
-  CASE k % 3 WHEN 0 THEN 'Because the market grew' WHEN 1 THEN 'It was ' || coalesce(top, 'none') ELSE '0.4711' END AS answer, CASE WHEN k % 3 = 0 THEN d.text[1:400] ELSE coalesce(figures, '') END AS evidence_text, doc_name AS oracle_doc, e.embedding::DOUBLE[] AS qvec
+  CASE k % 3 WHEN 0 THEN 'Because the market grew' WHEN 1 THEN 'It was ' || coalesce(top, 'none') ELSE '0.4711' END AS answer, CASE WHEN k % 3 = 0 THEN d.text ELSE coalesce(figures, '') END AS evidence_text, doc_name AS oracle_doc, e.embedding::DOUBLE[] AS qvec
   FROM (SELECT *, CAST(doc_id // 100 AS BIGINT) AS k FROM filings WHERE doc_id % 100 = 0) f LEFT JOIN (SELECT doc_id, string_agg(printf('%.2f', abs(signed)), ' ' ORDER BY printf('%.2f', abs(signed))) AS figures, printf('%.2f', max(abs(signed))) AS top FROM ftable GROUP BY doc_id) g ON f.doc_id = g.doc_id
-  JOIN embeddings e ON e.vec_id = k % 500 JOIN documents d ON d.doc_id = k % 200)"""
+  JOIN embeddings e ON e.vec_id = k % (SELECT count(*) FROM embeddings) JOIN documents d ON d.doc_id = k % (SELECT count(*) FROM documents))"""
 _ROUTED = f"""names AS (SELECT n_name, regexp_replace(upper(n_name), '[^A-Z0-9]', '', 'g') AS name, replace(n_name, 'NATION_', 'NTN') AS alias FROM nation WHERE n_name IN (SELECT company FROM filings)),
 squashed AS (SELECT qid, regexp_replace(upper(question), '[^A-Z0-9]', '', 'g') AS q FROM stated),
 named AS (SELECT qid, arg_max(n_name, (length(name), name)) AS company FROM squashed JOIN names ON contains(q, name) GROUP BY qid), aliased AS (SELECT qid, arg_max(n_name, (length(alias), alias)) AS company FROM squashed JOIN names ON contains(q, alias) GROUP BY qid),
@@ -193,7 +193,7 @@ _RETRIEVED = f"{_BASE}, {_ASKED}, {_ROUTED}, {_FOUND}"
 ORACLE["search_filtered"] = f"""WITH {_BASE}, q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS qvec, vec_id // 100 % 5 AS w, n_name FROM embeddings JOIN nation ON n_nationkey = vec_id // 100 % 25 WHERE vec_id % 100 = 0),
 fits AS (SELECT qid, chunk_id, {_COS} AS score, doc_name, kind, item_section, page_start, context FROM q JOIN cvec ON (w NOT IN (0, 4) OR company ILIKE '%' || lower(n_name) || '%') AND (w NOT IN (1, 4) OR kind = 'prose') AND (w <> 2 OR item_section = 'Item 3') AND (w <> 3 OR fiscal_year = 1997)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM fits) SELECT qid, rank, chunk_id, score, doc_name, kind, item_section, page_start, context FROM ranked WHERE rank <= 5"""
-ORACLE["search_facts_filtered"] = f"""WITH {_BASE}, q AS (SELECT doc_id AS qid, doc_name AS q_name, fiscal_year AS q_year, doc_id // 100 % 2 AS w, embedding::DOUBLE[] AS qvec FROM filings JOIN embeddings ON vec_id = doc_id // 100 % 500 WHERE doc_id % 100 = 0),
+ORACLE["search_facts_filtered"] = f"""WITH {_BASE}, q AS (SELECT doc_id AS qid, doc_name AS q_name, fiscal_year AS q_year, doc_id // 100 % 2 AS w, embedding::DOUBLE[] AS qvec FROM filings JOIN embeddings ON vec_id = doc_id // 100 % (SELECT count(*) FROM embeddings) WHERE doc_id % 100 = 0),
 fits AS (SELECT qid, fact_id, {_COS} AS score, fact_text, signed, scale, page, doc_name FROM q JOIN fvec ON CASE w WHEN 0 THEN doc_name = q_name ELSE fiscal_year = q_year END),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, fact_id) AS INTEGER) AS rank FROM fits) SELECT qid, rank, fact_id, score, fact_text, signed, scale, page, doc_name FROM ranked WHERE rank <= 3"""
 ORACLE["lexical_filtered"] = f"""WITH {_BASE}, q AS (SELECT item_id AS qid, text AS question, CASE WHEN item_id % 2 = 0 THEN 'table' END AS q_kind, CASE WHEN item_id % 3 = 0 THEN 1998 END AS q_year FROM benchmark), lexical_queries AS (SELECT qid, question FROM q), {_LEXICAL},
@@ -275,7 +275,7 @@ ORACLE["evaluation_inputs"] = f"""WITH {_EVALUATED} SELECT count(*) AS n, round(
 ORACLE["question_subset"] = f"""WITH {_BASE}, {_ASKED}, labelled AS (SELECT *, answer AS label FROM stated), grouped AS (SELECT qid, {_CLASS} AS grp FROM labelled) SELECT qid, grp AS "group" FROM grouped WHERE grp = 'narrative' ORDER BY qid LIMIT 20 OFFSET 2"""
 ORACLE["table_selector"] = f"WITH {_LINES}, {_FILINGS}, {_FTABLE} SELECT fact_id, doc_id, row_label FROM ftable WHERE table_ordinal = 1"
 ORACLE["fact_rank"] = f"""WITH {_BASE}, {_ASKED}, ranked AS (SELECT qid, abs(signed) AS v, {_NUMBERS.format('answer')} AS targets, row_number() OVER (PARTITION BY qid ORDER BY {_COS} DESC, fact_id) AS rank FROM stated, fvec)
-SELECT qid, CAST(min(CASE WHEN rank <= 200 AND len(list_filter(targets, lambda t: abs(v - t) < 0.01)) > 0 THEN rank END) AS INTEGER) AS rank FROM ranked GROUP BY qid"""
+SELECT qid, CAST(min(CASE WHEN len(list_filter(targets, lambda t: abs(v - t) < 0.01)) > 0 THEN rank END) AS INTEGER) AS rank FROM ranked GROUP BY qid"""
 _VALUE = "TRY_CAST(replace({0}, ',', '') AS DOUBLE)"
 ORACLE["evidence_report"] = f"""WITH e AS (SELECT page_id AS e_id, {_TOKENS.format("url || ' 1,234.5 77'")} AS t, list_distinct(list_transform({_TOKENS.format('url')}, lambda x: {_VALUE.format('x')})) AS said FROM pages), p AS (SELECT page_id, {_TOKENS.format('html')} AS held FROM pages),
 wanted AS (SELECT e_id, unnest(t) AS token FROM e), hits AS (SELECT page_id, unnest(held) AS token FROM p), shares AS (SELECT e_id, page_id, count(*) AS c FROM wanted JOIN hits USING (token) GROUP BY e_id, page_id),
@@ -289,14 +289,14 @@ ORACLE["table_overview"] = r"""WITH t AS (SELECT conv_id AS doc_id, turn, role =
 SELECT doc_id, count(*) AS n_tables, count(*) FILTER (NOT head) AS n_headless, max(CASE WHEN bottom <> 0 THEN bottom END) AS lowest, count(*) FILTER (marked) AS n_marked, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (marked), '') AS marked FROM t GROUP BY doc_id"""
 ORACLE["tables_by_page"] = "SELECT l_orderkey AS doc_id, l_linenumber AS page, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_partkey) AS tables FROM lineitem GROUP BY l_orderkey, l_linenumber"
 ORACLE["page_blobs_with_cells"] = r"WITH b AS (SELECT conv_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY role <> 'user', turn), '\s+', ' ', 'g')) AS blob FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(length(blob) AS INTEGER) AS chars, md5(blob) AS digest FROM b"
-ORACLE["kind_counts"] = "SELECT doc_id * 37 % 1500 AS doc_id, count(*) FILTER (doc_id % 3 <> 0) AS prose, count(*) FILTER (doc_id % 3 = 0) AS tables FROM documents GROUP BY 1"
+ORACLE["kind_counts"] = "SELECT doc_id * 37 % (SELECT count(*) FROM orders) AS doc_id, count(*) FILTER (doc_id % 3 <> 0) AS prose, count(*) FILTER (doc_id % 3 = 0) AS tables FROM documents GROUP BY 1"
 ORACLE["scale_markers"] = "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'millions' WHEN 1 THEN 'thousands' WHEN 3 THEN 'billions' END AS scale FROM part"
 ORACLE["token_values"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN round(o_totalprice, 2) END AS value FROM orders"
 ORACLE["evidence_numbers"] = "WITH n AS (SELECT l_orderkey, CAST(CAST(l_quantity AS INTEGER) AS DOUBLE) AS v FROM lineitem UNION SELECT l_orderkey, round(l_extendedprice, 2) FROM lineitem) SELECT l_orderkey, CAST(count(*) AS INTEGER) AS n, round(sum(v), 2) AS total FROM n GROUP BY l_orderkey"
 ORACLE["chunk_union"] = "SELECT doc_id AS chunk_id, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'prose' END AS kind, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 5 AS INTEGER) END AS table_ordinal FROM documents"
 ORACLE["delete_cascade"] = f"WITH {_LINES}, {_FILINGS}, {_FTABLE} SELECT fact_id, doc_id FROM ftable WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')"
 ORACLE["chunk_set_null"] = f"WITH {_LINES} SELECT fact_id, CASE WHEN l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) THEN NULL ELSE l_partkey END AS chunk_id FROM lines"
-ORACLE["load_facts"] = f"""WITH {_LINES}, {_FILINGS}, {_FTABLE}, c AS (SELECT doc_id * 37 % 1500 AS doc, CAST(doc_id % 2 AS INTEGER) AS t, max(doc_id) AS chunk_id, arg_max(source, doc_id) AS context FROM documents WHERE doc_id % 4 <> 1 GROUP BY 1, 2),
+ORACLE["load_facts"] = f"""WITH {_LINES}, {_FILINGS}, {_FTABLE}, c AS (SELECT doc_id * 37 % (SELECT count(*) FROM orders) AS doc, CAST(doc_id % 2 AS INTEGER) AS t, max(doc_id) AS chunk_id, arg_max(source, doc_id) AS context FROM documents WHERE doc_id % 4 <> 1 GROUP BY 1, 2),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, table_ordinal, row_label, column_label ORDER BY fact_id) AS place FROM ftable)
 SELECT fact_id, doc_id, chunk_id, company || CASE WHEN context IS NULL THEN '' ELSE ' · ' || context END || ' · ' || row_label || ' · ' || column_label || ' · ' || CAST(signed AS VARCHAR) || CASE WHEN scale IS NULL THEN '' ELSE ' ' || scale END AS fact_text FROM f LEFT JOIN c ON doc = doc_id AND t = table_ordinal WHERE place = 1"""
 ORACLE["greedy_cover"] = """WITH RECURSIVE sets AS (SELECT l_partkey AS qid, list(DISTINCT CAST(l_suppkey AS VARCHAR)) AS docs FROM lineitem GROUP BY l_partkey),
@@ -310,3 +310,37 @@ SELECT CAST(place AS INTEGER) AS place, doc, gain, named FROM steps WHERE place
 ORACLE["facts_cited"] = f"WITH {_LINES}, {_FILINGS}, {_FTABLE} SELECT fact_id, doc_name, company, fiscal_year, row_label, column_label, CAST(signed AS VARCHAR) AS value_raw, signed, scale, 'USD' AS unit, page, fact_text FROM ftable"
 
 ORACLE |= oracle_english.ORACLE | {"lexical_stemmed": oracle_english.lexical(_terms("text"))}
+
+_CHAT = rf"""spoken AS (SELECT conv_id, turn, trim(CASE turn // 2 % 4 WHEN 0 THEN 'What was the current ratio of NATION_' || (conv_id % 25) || ' in FY' || (1992 + conv_id % 6) || '?' WHEN 1 THEN 'and in FY' || (1993 + conv_id % 6) || '?'
+  WHEN 2 THEN CASE WHEN conv_id % 3 = 0 THEN '/reset' ELSE '  What about the net margin? ' END ELSE 'Describe the segments' END) AS question FROM conversations WHERE role = 'user'),
+parted AS (SELECT *, count(*) FILTER (question = '/reset') OVER (PARTITION BY conv_id ORDER BY turn) AS part FROM spoken), lines_said AS (SELECT * FROM parted WHERE question <> '/reset'),
+own_scope AS (SELECT *, (SELECT arg_max(n_name, (length(n_name), n_name)) FROM nation WHERE contains(regexp_replace(upper(question), '[^A-Z0-9]', '', 'g'), replace(n_name, '_', ''))) AS own_company, CAST(nullif(regexp_extract(question, 'FY(\d{{4}})', 1), '') AS INTEGER) AS own_year FROM lines_said),
+filled AS (SELECT conv_id, turn, conv_id || '/' || turn AS qid, question, last_value(own_company IGNORE NULLS) OVER w AS r_company, last_value(own_year IGNORE NULLS) OVER w AS r_year, lag(question) OVER w AS previous FROM own_scope WINDOW w AS (PARTITION BY conv_id, part ORDER BY turn)),
+followed AS (SELECT *, CASE WHEN len(string_split(question, ' ')) <= 6 AND previous IS NOT NULL THEN previous || ' ' || question ELSE question END AS typed FROM filled),
+scoped AS (SELECT f.*, '' AS answer, '' AS evidence_text, {_expanded('typed')} AS search_text, CASE WHEN regexp_matches(question, '(?i)\b(what was|ratio|margin)\b') THEN 'numeric' ELSE 'narrative' END AS kind, CASE WHEN regexp_matches(question, '(?i)\b(what was|ratio|margin)\b') THEN 10 ELSE 4 END AS k_facts,
+  CASE WHEN regexp_matches(question, '(?i)\b(what was|ratio|margin)\b') THEN 3 ELSE 10 END AS k_chunks, nullif(regexp_extract(lower({_expanded('typed')}), '(current ratio|net margin)', 1), '') AS metric, embedding::DOUBLE[] AS qvec FROM followed f JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings))"""
+ORACLE["chat_turns"] = f"WITH {_CHAT} SELECT conv_id, turn, r_company AS company, r_year AS fiscal_year, kind, metric, search_text FROM scoped"
+ORACLE["chat_answers"] = f"WITH {_BASE}, {_CHAT}, {_FOUND}, {_FIRST} SELECT s.conv_id, s.turn, a.r_company AS company, a.used_year AS fiscal_year, n_facts, n_chunks, said AS answer, 0 AS n_problems FROM answered a JOIN scoped s ON a.qid = s.qid"
+ORACLE["figure_band_join"] = f"""WITH {_LINES}, tops AS (SELECT l_orderkey, max(l_extendedprice) AS top FROM lineitem GROUP BY l_orderkey), asked AS (SELECT DISTINCT o_orderkey AS qid, unnest(list_filter([o_totalprice, top / 1000], lambda x: x IS NOT NULL)) AS target FROM orders LEFT JOIN tops ON o_orderkey = l_orderkey),
+held AS (SELECT abs(l_extendedprice) AS v, count(*) AS n, min(fact_id) AS first FROM lines GROUP BY 1), levels AS (SELECT DISTINCT target, unnest([target, target * 1000, target / 1000]) AS level FROM asked),
+near AS (SELECT DISTINCT target, v, n, first FROM levels JOIN held ON v > level - 0.02 AND v < level + 0.02 WHERE {_SAME.format('target', 'v')}), found AS (SELECT target, CAST(sum(n) AS BIGINT) AS n_facts, min(first) AS first_fact FROM near GROUP BY target)
+SELECT qid, round(a.target, 6) AS target, coalesce(n_facts, 0) AS n_facts, first_fact FROM asked a LEFT JOIN found f ON a.target = f.target"""
+_PASSAGES = "(SELECT doc_id AS chunk_id, doc_id * 37 % (SELECT count(*) FROM orders) AS doc, CASE WHEN doc_id % 3 = 0 THEN 'table' ELSE 'prose' END AS kind, CASE WHEN doc_id % 11 <> 0 THEN CAST(doc_id % 50 AS INTEGER) END AS page_start, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 5 AS INTEGER) END AS t, text FROM documents)"
+ORACLE["load_all"] = f"""WITH {_LINES}, {_FILINGS}, {_FTABLE}, passages AS {_PASSAGES},
+fresh AS (SELECT doc_id, table_ordinal, row_label, column_label, arg_min(CASE WHEN signed < 0 THEN signed - 1 ELSE signed + 1 END, fact_id) AS signed FROM ftable WHERE doc_id % 3 = 0 GROUP BY doc_id, table_ordinal, row_label, column_label),
+kept AS (SELECT doc_id, signed FROM ftable WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0), linked AS (SELECT DISTINCT doc, t FROM passages WHERE t IS NOT NULL AND trim(text, ' ') <> ''),
+fact_sums AS (SELECT doc_id, count(*) AS n_facts, round(sum(signed), 2) AS total, count(t) AS n_linked, count(e) AS n_embedded FROM (SELECT doc_id, signed, t, 1 AS e FROM fresh LEFT JOIN linked ON doc = doc_id AND t = table_ordinal UNION ALL SELECT doc_id, signed, NULL, NULL FROM kept) GROUP BY doc_id),
+new_chunks AS (SELECT doc, length(text) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc, kind, t, page_start, text ORDER BY chunk_id) AS place FROM passages WHERE doc % 3 = 0 AND trim(text, ' ') <> '') WHERE t IS NULL OR place = 1),
+chunk_sums AS (SELECT doc, count(*) AS n_chunks, round(sum(chars)::DOUBLE, 2) AS chars FROM (SELECT doc, chars FROM new_chunks UNION ALL SELECT doc, NULL FROM passages WHERE doc % 2 = 0 AND doc % 3 <> 0) GROUP BY doc)
+SELECT doc_name, n_facts, total, n_linked, n_embedded, n_chunks, chars FROM filings f LEFT JOIN fact_sums s ON f.doc_id = s.doc_id LEFT JOIN chunk_sums c ON f.doc_id = c.doc WHERE f.doc_id % 2 = 0 OR f.doc_id % 3 = 0"""
+ORACLE["constraint_violations"] = f"""WITH {_LINES}, {_FILINGS}, {_FTABLE}, docs AS (SELECT doc_id, CASE WHEN doc_id % 97 <> 1 THEN doc_name END AS doc_name FROM filings), all_docs AS (SELECT * FROM docs UNION ALL SELECT -doc_id, doc_name FROM docs WHERE doc_id % 89 = 2),
+parts AS (SELECT chunk_id, CASE WHEN chunk_id % 40 = 3 THEN -7 ELSE doc END AS doc_id, CASE WHEN chunk_id % 50 <> 7 THEN kind END AS kind, t, page_start, CASE WHEN chunk_id % 60 <> 5 THEN text END AS text FROM {_PASSAGES}),
+nums AS (SELECT count(*) AS np FROM documents), refs AS (SELECT fact_id, CASE WHEN fact_id % 11 = 4 THEN np + 1 WHEN fact_id % 11 <> 5 THEN fact_id % np END AS chunk_id FROM ftable, nums)
+SELECT 'documents' AS "table", 'doc_name is null' AS rule, CAST(doc_id AS VARCHAR) AS key, count(*) AS n FROM all_docs WHERE doc_name IS NULL GROUP BY doc_id
+UNION ALL SELECT 'documents', 'doc_name repeated', doc_name, count(*) FROM all_docs WHERE doc_name IS NOT NULL GROUP BY doc_name HAVING count(*) > 1
+UNION ALL SELECT 'documents', 'doc_id repeated', CAST(doc_id AS VARCHAR), count(*) FROM all_docs GROUP BY doc_id HAVING count(*) > 1
+UNION ALL SELECT 'chunks', 'text is null', CAST(chunk_id AS VARCHAR), 1 FROM parts WHERE text IS NULL UNION ALL SELECT 'chunks', 'kind unknown', CAST(chunk_id AS VARCHAR), 1 FROM parts WHERE kind IS NULL
+UNION ALL SELECT 'chunks', 'doc_id unknown', CAST(doc_id AS VARCHAR), count(*) FROM parts WHERE doc_id NOT IN (SELECT doc_id FROM all_docs) GROUP BY doc_id
+UNION ALL SELECT 'chunks', 'doc_id, kind, table_ordinal, page_start, text_md5 repeated', doc_id || '/' || kind || '/' || t || '/' || page_start || '/' || md5(text), count(*) FROM parts WHERE kind IS NOT NULL AND t IS NOT NULL AND page_start IS NOT NULL AND text IS NOT NULL GROUP BY doc_id, kind, t, page_start, text HAVING count(*) > 1
+UNION ALL SELECT 'facts', 'doc_id, table_ordinal, row_label, column_label repeated', doc_id || '/' || table_ordinal || '/' || row_label || '/' || column_label, count(*) FROM ftable GROUP BY doc_id, table_ordinal, row_label, column_label HAVING count(*) > 1
+UNION ALL SELECT 'facts', 'chunk_id unknown', CAST(chunk_id AS VARCHAR), count(*) FROM refs WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM parts) GROUP BY chunk_id"""

@@ -490,12 +490,17 @@ def event_json(spark: SparkSession, d: str) -> DataFrame:
 # Filings with documents, facts and passages as sources.schemas has them, made from the tables at hand.
 
 LABELS = ("Total current assets", "Total current liabilities", "Net income", "Net sales", "Cash and cash equivalents", "Accounts receivable - net", "Segment net sales", "NET INCOME (LOSS)")
-VECTORS, ORDERS = 500, 1500
+
+
+def _rows(spark: SparkSession, d: str, table: str) -> int:
+    """How many rows a table has; its keys run from 0."""
+    return max(1, read_table(spark, d, table).count())
 
 
 def _with_vector(spark: SparkSession, d: str, rows: DataFrame, key: str, name: str = "embedding") -> DataFrame:
-    vectors = _vectors(spark, d).where(F.col("id") < VECTORS).select(F.col("id").alias("__vec"), F.col("embedding").alias(name))
-    return rows.join(F.broadcast(vectors), F.col(key) % VECTORS == F.col("__vec")).drop("__vec")
+    """rows with the vector at their key, counted through the whole table again and again."""
+    vectors = _vectors(spark, d).select(F.col("id").alias("__vec"), F.col("embedding").alias(name))
+    return rows.join(vectors, F.col(key) % _rows(spark, d, "embeddings") == F.col("__vec")).drop("__vec")
 
 
 def _fact_table(spark: SparkSession, d: str, vectors: bool = True) -> DataFrame:
@@ -509,13 +514,16 @@ def _fact_table(spark: SparkSession, d: str, vectors: bool = True) -> DataFrame:
     return _with_vector(spark, d, made, "fact_id") if vectors else made
 
 
-def _chunk_table(spark: SparkSession, d: str) -> DataFrame:
+def _chunk_rows(spark: SparkSession, d: str) -> DataFrame:
     key = F.col("doc_id")
-    made = read_table(spark, d, "documents").select(
-        key.alias("chunk_id"), (key * 37 % ORDERS).alias("doc_id"), F.when(key % 3 == 0, "table").otherwise("prose").alias("kind"), F.concat(F.lit("Item "), (key % 9).cast("string")).alias("item_section"), F.when(key % 4 != 0, F.array("lang", "source")).alias("heading_trail"),
+    return read_table(spark, d, "documents").select(
+        key.alias("chunk_id"), (key * 37 % _rows(spark, d, "orders")).alias("doc_id"), F.when(key % 3 == 0, "table").otherwise("prose").alias("kind"), F.concat(F.lit("Item "), (key % 9).cast("string")).alias("item_section"), F.when(key % 4 != 0, F.array("lang", "source")).alias("heading_trail"),
         F.when(key % 11 != 0, (key % 50).cast("int")).alias("page_start"), F.when(key % 3 == 0, (key % 5).cast("int")).alias("table_ordinal"), "text",
     )
-    return _with_vector(spark, d, made, "chunk_id")
+
+
+def _chunk_table(spark: SparkSession, d: str) -> DataFrame:
+    return _with_vector(spark, d, _chunk_rows(spark, d), "chunk_id")
 
 
 def _aliases(spark: SparkSession, d: str) -> DataFrame:
@@ -533,8 +541,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     when = F.when(key % 5 == 0, F.lit("")).when(key % 5 == 1, F.concat(F.lit(" in FY"), (F.col("fiscal_year") + 40).cast("string"))).otherwise(F.concat(F.lit(" in FY"), F.col("fiscal_year").cast("string")))
     asked = _filings(spark, d).where(F.col("doc_id") % 100 == 0)
     facts = _fact_table(spark, d, vectors=False).where(F.col("doc_id") % 100 == 0).groupBy("doc_id").agg(F.concat_ws(" ", F.array_sort(F.collect_list(F.format_string("%.2f", F.abs("signed"))))).alias("figures"), F.format_string("%.2f", F.max(F.abs("signed"))).alias("top"))
-    passage = read_table(spark, d, "documents").select(F.col("doc_id").alias("__chunk"), F.substring("text", 1, 400).alias("passage"))
-    joined = asked.join(facts, "doc_id", "left").withColumn("key", key).withColumn("__want", key % 200).join(F.broadcast(passage.where("__chunk < 200")), F.col("__want") == F.col("__chunk"))
+    passage = read_table(spark, d, "documents").select(F.col("doc_id").alias("__chunk"), F.col("text").alias("passage"))
+    joined = asked.join(facts, "doc_id", "left").withColumn("key", key).withColumn("__want", key % _rows(spark, d, "documents")).join(passage, F.col("__want") == F.col("__chunk"))
     said = F.when(key % 3 == 0, F.lit("Because the market grew")).when(key % 3 == 1, F.concat(F.lit("It was "), F.coalesce("top", F.lit("none")))).otherwise(F.lit("0.4711"))
     evidence = F.when(key % 3 == 0, F.col("passage")).otherwise(F.coalesce("figures", F.lit("")))
     made = joined.select(F.col("doc_id").alias("qid"), "key", F.concat(F.array(*[F.lit(t) for t in topics])[(key % 6).cast("int")], F.lit(" of "), who, when, F.lit("?")).alias("question"), said.alias("answer"), evidence.alias("evidence_text"), F.col("doc_name").alias("oracle_doc"))
@@ -725,9 +733,7 @@ def fact_rank(spark: SparkSession, d: str) -> DataFrame:
     """The rank of the first fact with a known value, and how many rank among all facts: the fact-granularity experiment."""
     facts = _fact_table(spark, d)
     asked = _asked(spark, d).select("qid", "qvec", text.numbers(F.col("answer")).alias("targets"))
-    hits = search.vector_ranks(facts, asked, 200, "fact_id").join(facts.select("fact_id", "signed"), "fact_id").join(asked.select("qid", "targets"), "qid")
-    right = F.exists("targets", lambda t: F.abs(F.abs(F.col("signed")) - t) < 0.01)
-    return evaluation.first_rank(hits, right)
+    return search.first_close(facts, asked, "signed", "targets", "fact_id").select("qid", F.col("rank").cast("int"))
 
 
 @query
@@ -818,10 +824,10 @@ def chunk_set_null(spark: SparkSession, d: str) -> DataFrame:
 @query
 def load_facts(spark: SparkSession, d: str) -> DataFrame:
     """Facts as a load makes them: one of each cell, with the chunk and the text."""
-    chunks = read_table(spark, d, "documents").where("doc_id % 4 <> 1").select((F.col("doc_id") * 37 % ORDERS).alias("doc_id"), F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 2).cast("int").alias("table_ordinal"), F.array("lang", F.concat("source", F.lit(":"))).alias("heading_trail"))
+    chunks = read_table(spark, d, "documents").where("doc_id % 4 <> 1").select((F.col("doc_id") * 37 % _rows(spark, d, "orders")).alias("doc_id"), F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 2).cast("int").alias("table_ordinal"), F.array("lang", F.concat("source", F.lit(":"))).alias("heading_trail"))
     facts = _fact_table(spark, d, vectors=False).withColumn("value_raw", F.col("signed").cast("string")).drop("fact_text")
     made = ingest.load_facts(_documents(spark, d), chunks, facts)
     return made.select("fact_id", "doc_id", "chunk_id", "fact_text")
 
 
-from . import text_queries  # noqa: E402, F401  registers its queries
+from . import flow_queries, text_queries  # noqa: E402, F401  register their queries

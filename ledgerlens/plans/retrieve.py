@@ -26,9 +26,13 @@ def alias_table(documents: DataFrame) -> DataFrame:
     return documents.sparkSession.createDataFrame(list(COMPANY_ALIASES.items()), "alias string, company string")
 
 
-def routed(questions: DataFrame, documents: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """questions (qid, question, qvec) with company, fiscal_year, kind, k_facts, k_chunks, the search text and the metric named in it."""
+def routed(questions: DataFrame, documents: DataFrame, aliases: DataFrame | None = None, k_facts: int | None = None, k_chunks: int | None = None) -> DataFrame:
+    """questions (qid, question, qvec) with company, fiscal_year, kind, k_facts, k_chunks, the search text and the metric named in it.
+
+    k_facts and k_chunks, where given, take the place of the budget of each kind of question; 0 is none.
+    """
     found = scope.route(scope.resolve_scope(questions, documents.select("company").where("company is not null").distinct(), alias_table(documents) if aliases is None else aliases))
+    found = found.withColumns({name: F.lit(k) for name, k in (("k_facts", k_facts), ("k_chunks", k_chunks)) if k is not None})
     found = found.withColumn("search_text", expand_terms(F.col("question")))
     return found.withColumn("metric", detect(F.col("search_text")))
 
@@ -61,7 +65,7 @@ def retrieve(asked: DataFrame, documents: DataFrame, facts: DataFrame, chunks: D
     asked = asked.persist()  # a row per question
     facts, chunks = search.with_filing(facts, documents), search.with_filing(chunks, documents)
     first = asked.withColumns({"q_company": F.col("company"), "q_fiscal_year": F.col("fiscal_year")})
-    fact_hits, chunk_hits = _search_both(first, facts, chunks, mode)
+    fact_hits, chunk_hits = (x.persist() for x in _search_both(first, facts, chunks, mode))  # within the questions' budgets
     some = fact_hits.select("qid").union(chunk_hits.select("qid")).distinct()
     empty = first.where("company is not null or fiscal_year is not null").join(some, "qid", "left_anti").withColumn("q_fiscal_year", F.lit(None).cast("int")).persist()
     more_facts, more_chunks = _search_both(empty, facts, chunks, mode)
@@ -144,13 +148,14 @@ def page_text(rows: DataFrame) -> DataFrame:
 
 
 def answer_rows(answered: DataFrame, labels: DataFrame) -> DataFrame:
-    """answers with their outcome, given labels (qid, group, answer): qid, group, outcome, company, fiscal_year, n_facts, n_chunks, expected, answer, problems.
+    """answers with their outcome, given labels (qid, group, answer and, if there, oracle_doc): qid, group, outcome, note, company, fiscal_year, oracle_doc, n_facts, n_chunks, seconds, expected, answer, problems.
 
     Texts are cut as the result file has them; an answer that could not be made is an error.
     """
-    known = labels.select("qid", "group", F.col("answer").alias("label"))
-    rows = grounding.outcome(answered.join(known, "qid").withColumn("expected", numbers(F.col("label"))))
-    return rows.select("qid", "group", "outcome", "company", "fiscal_year", "n_facts", "n_chunks", F.substring("label", 1, 120).alias("expected"), F.substring(collapse("answer"), 1, 300).alias("answer"), F.substring(F.array_join("problems", "; "), 1, 200).alias("problems"))
+    oracle = F.col("oracle_doc") if "oracle_doc" in labels.columns else F.lit(None).cast("string")
+    known = labels.select("qid", "group", F.col("answer").alias("label"), oracle.alias("oracle_doc"))
+    rows = grounding.with_note(grounding.outcome(answered.join(known, "qid").withColumn("expected", numbers(F.col("label")))))
+    return rows.select("qid", "group", "outcome", "note", "company", "fiscal_year", "oracle_doc", "n_facts", "n_chunks", F.round("seconds", 1).alias("seconds"), F.substring("label", 1, 120).alias("expected"), F.substring(collapse("answer"), 1, 300).alias("answer"), F.substring(F.array_join("problems", "; "), 1, 200).alias("problems"))
 
 
 def evaluate(questions: DataFrame, documents: DataFrame, facts: DataFrame, chunks: DataFrame, k: int = 20, aliases: DataFrame | None = None) -> DataFrame:

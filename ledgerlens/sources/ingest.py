@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fact_text, scrub
+from . import versions
 
 
 def upsert_documents(existing: DataFrame, incoming: DataFrame, key: str, refreshed: str) -> DataFrame:
@@ -48,35 +48,17 @@ def detach_chunks(facts: DataFrame, gone: DataFrame, key: str = "chunk_id") -> D
     return joined.select(*[F.when(F.col("__gone").isNull(), F.col(c)).alias(c) if c == key else F.col(c) for c in facts.columns])
 
 
-def commit_together(tables: dict[str, DataFrame], folder: str) -> str:
-    """Writes the tables as one new version under folder and makes it the current one by one rename; returns its name.
+def commit_together(tables: dict[str, DataFrame], folder: str) -> int:
+    """Writes the tables as one commit after the last one under folder; returns its number. See sources.versions.
 
-    Readers (read_current) see either all tables of a version or none of them, and a run that fails before the rename leaves
-    the current version as it was.
+    Readers (read_current) see either all tables of a commit or none of them, and a run that fails leaves all as it was.
     """
-    spark = next(iter(tables.values())).sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    for name, rows in tables.items():
-        rows.write.parquet(f"{folder}/{version}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = files.create(path(f"{folder}/{version}/_new"), True)
-    out.write(bytearray(version.encode()))
-    out.close()
-    # A rename is the commit: pointers are numbered, and the largest number counts.
-    number = max([int(f.getPath().getName().rpartition("-")[2]) for f in files.globStatus(path(f"{folder}/current-*")) or []], default=0) + 1
-    if not files.rename(path(f"{folder}/{version}/_new"), path(f"{folder}/current-{number:09d}")):
-        raise RuntimeError("another writer committed at the same time")
-    return version
+    return versions.commit(next(iter(tables.values())).sparkSession, folder, tables)
 
 
 def read_current(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table of the version that was committed last."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    pointers = sorted(str(f.getPath()) for f in files.globStatus(path(f"{folder}/current-*")) or [])
-    version = spark.read.text(pointers[-1]).first()[0]
-    return spark.read.parquet(f"{folder}/{version}/{name}")
+    """A table as it was committed last."""
+    return versions.read(spark, folder, name)
 
 
 def write_by_document(rows: DataFrame, path: str, partition: str) -> None:
