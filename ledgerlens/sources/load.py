@@ -66,10 +66,11 @@ def plan(current: dict[str, DataFrame], documents: DataFrame, chunks: DataFrame,
     named = named.withColumn("doc_id", F.coalesce("old_id", "new_id")).drop("old_id", "new_id")
     ids = named.select("doc_name", "doc_id")
 
-    new_chunks = number(clean_chunks(_scrubbed(chunks, "item_section")).withColumn("heading_trail", F.transform("heading_trail", scrub)).join(ids, "doc_name").drop("doc_name"), "chunk_id", _highest(current["chunks"], "chunk_id"))
-    new_chunks = unique_chunks(new_chunks)
-    new_facts = number(_scrubbed(facts, "row_label", "column_label", "value_raw").join(ids, "doc_name").drop("doc_name"), "fact_id", _highest(current["facts"], "fact_id"))
-    new_facts = load_facts(named, new_chunks, new_facts).withColumn("signed", F.when(F.col("parenthesized"), -F.col("value")).otherwise(F.col("value")))
+    # Numbered as they come, before any shuffle: the first of a key is the first to arrive.
+    new_chunks = number(chunks, "chunk_id", _highest(current["chunks"], "chunk_id")).join(ids, "doc_name").drop("doc_name")
+    new_chunks = unique_chunks(clean_chunks(_scrubbed(new_chunks, "item_section")).withColumn("heading_trail", F.transform("heading_trail", scrub)))
+    new_facts = number(facts, "fact_id", _highest(current["facts"], "fact_id")).join(ids, "doc_name").drop("doc_name")
+    new_facts = load_facts(named, new_chunks, _scrubbed(new_facts, "row_label", "column_label", "value_raw")).withColumn("signed", F.when(F.col("parenthesized"), -F.col("value")).otherwise(F.col("value")))
 
     texts = new_chunks.select("text").unionByName(new_facts.select(F.col("fact_text").alias("text"))).where("text is not null").distinct()
     _, cache = embed_missing(texts, current["cache"], embed)
