@@ -38,9 +38,12 @@ def rank_metrics(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ranks.groupBy(*(by or [])).agg(F.count("*").alias("n"), *recall, mrr)
 
 
-def overlaps(evidence: DataFrame, passages: DataFrame, e_id: str, p_id: str, e_text: str = "text", p_text: str = "text") -> DataFrame:
+def overlaps(evidence: DataFrame, passages: DataFrame, e_id: str, p_id: str, e_text: str = "text", p_text: str = "text", threshold: float = 0.0, best_only: bool = False) -> DataFrame:
     """(e_id, p_id, overlap): the share of the evidence's trigrams in the passage, for pairs with one in common.
 
+    Tasks give only pairs whose share reaches the threshold; with best_only each gives no more than the best pair of each
+    evidence (the smallest p_id of equals), which is enough for best_overlap.
+
     The evidence is a small table: it is broadcast in blocks of BLOCK_EVIDENCE as an index of its trigrams, and passages are
     looked up where they stand, so no trigram of theirs is shuffled.
     """
@@ -56,15 +59,24 @@ def overlaps(evidence: DataFrame, passages: DataFrame, e_id: str, p_id: str, e_t
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index, names, sizes = shared.value
+            types = [to_arrow_type(kinds["e"]), to_arrow_type(kinds["p"]), pa.int64(), pa.int64()]
+            made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["e", "p", "common", "n"])
+            best: dict[int, tuple] = {}
             for batch in batches:
                 ids, rows = batch.column(0).to_pylist(), []
                 for key, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                     words = WORDS.findall((text or "").lower())
                     common = Counter(e for gram in {f"{a} {b} {c}" for a, b, c in zip(words, words[1:], words[2:], strict=False)} if gram in index for e in index[gram])
-                    rows += [(names[e], key, n, sizes[e]) for e, n in common.items()]
+                    for e, n in common.items():
+                        if round(n / sizes[e], 6) >= threshold:
+                            if not best_only:
+                                rows.append((names[e], key, n, sizes[e]))
+                            elif e not in best or (-n, key) < best[e]:
+                                best[e] = (-n, key)
                 if rows:
-                    types = [to_arrow_type(kinds["e"]), to_arrow_type(kinds["p"]), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], ["e", "p", "common", "n"])
+                    yield made(rows)
+            if best:
+                yield made([(names[e], key, -n, sizes[e]) for e, (n, key) in best.items()])
 
         pairs = source.mapInArrow(run, f"e {kinds['e'].simpleString()}, p {kinds['p'].simpleString()}, common long, n long")
         found = pairs if found is None else found.unionByName(pairs)

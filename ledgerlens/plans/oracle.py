@@ -67,7 +67,10 @@ ORACLE["condition_grid"] = f"""WITH {_VECTOR_QUERIES}, asked AS (SELECT qid, qve
 scored AS (SELECT q.qid, condition, qlabel, label, e.vec_id AS id, {_COSINE} AS score FROM embeddings e, asked q WHERE e.vec_id <> q.qid AND (only_label IS NULL OR only_label = label)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid, condition ORDER BY score DESC, id) AS rank FROM scored),
 firsts AS (SELECT qid, condition, min(CASE WHEN label = qlabel THEN rank END) AS rank FROM ranked WHERE rank <= 20 GROUP BY qid, condition) SELECT condition, {_METRICS} FROM firsts GROUP BY condition"""
-ORACLE["query_terms"] = f"SELECT doc_id, array_to_string({_terms('text')}, ' OR ') AS terms FROM documents"
+_ALL_TERMS = _TERMS.format("text").replace("{{", "{").replace("}}", "}")
+ORACLE["query_terms"] = f"""WITH each AS (SELECT doc_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM (SELECT doc_id, {_ALL_TERMS} AS terms FROM documents)), firsts AS (SELECT doc_id, term, min(i) AS i FROM each GROUP BY doc_id, term),
+placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS place FROM firsts), joined AS (SELECT doc_id, string_agg(term, ' OR ' ORDER BY i) AS terms FROM placed WHERE place <= 12 GROUP BY doc_id)
+SELECT d.doc_id, coalesce(terms, '') AS terms FROM documents d LEFT JOIN joined USING (doc_id)"""
 ORACLE["lexical_topk"] = f"WITH lexical_queries AS (SELECT item_id AS qid, text AS question FROM benchmark), {_LEXICAL} SELECT qid, id, score, rank FROM lexical_ranked WHERE rank <= 10"
 ORACLE["hybrid_rrf"] = f"""WITH {_VECTOR_QUERIES}, lexical_queries AS (SELECT q.qid, d.text AS question FROM queries q JOIN documents d ON d.doc_id = q.qid), {_LEXICAL},
 known AS (SELECT doc_id FROM documents), vectors AS (SELECT q.qid, e.vec_id AS id, {_COSINE} AS score FROM embeddings e JOIN known ON doc_id = e.vec_id, queries q WHERE q.qid IN (SELECT doc_id FROM known)),

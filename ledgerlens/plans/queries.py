@@ -129,13 +129,12 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def trigram_overlap(spark: SparkSession, d: str) -> DataFrame:
-    pairs = evaluation.overlaps(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"), "item_id", "doc_id")
-    return pairs.where("overlap >= 0.25")
+    return evaluation.overlaps(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"), "item_id", "doc_id", threshold=0.25)
 
 
 @query
 def overlap_best(spark: SparkSession, d: str) -> DataFrame:
-    pairs = evaluation.overlaps(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"), "item_id", "doc_id")
+    pairs = evaluation.overlaps(read_table(spark, d, "benchmark"), read_table(spark, d, "documents"), "item_id", "doc_id", best_only=True)
     return evaluation.best_overlap(pairs, "item_id", "doc_id")
 
 

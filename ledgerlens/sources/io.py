@@ -64,8 +64,13 @@ def write_table_csv(grid: DataFrame, width: int, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, fields: list[str], path: str, mode: str = "overwrite") -> None:
-    """The fields only, under a header; mode append keeps the results of earlier batches."""
-    rows.select(*fields).write.mode(mode).option("header", True).csv(path)
+    """The fields only, under a header; mode append keeps the results of earlier batches. Quotes in a field are doubled."""
+    rows.select(*fields).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
+    """What write_csv wrote; a field may hold line breaks."""
+    return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
 def write_csv_in_parts(rows: DataFrame, key: str, fields: list[str], path: str, run: Callable[[DataFrame], DataFrame], parts: int) -> DataFrame:
@@ -79,9 +84,9 @@ def write_csv_in_parts(rows: DataFrame, key: str, fields: list[str], path: str,
     for part in range(parts):
         there = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop(path))
         own = rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == part)
-        own = own.join(spark.read.schema(schema).option("header", True).csv(path).select(key), key, "left_anti") if there else own
+        own = own.join(read_csv(spark, path, schema).select(key), key, "left_anti") if there else own
         write_csv(run(own), fields, path, "append")
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return read_csv(spark, path, schema)
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -163,3 +163,22 @@ def test_a_document_may_come_in_several_batches_of_one_version(spark, tmp_path):
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         load_stream(spark, source, target, state, schema, version_col="version").awaitTermination()
     assert sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(target).collect()) == [(1, "more"), (1, "one"), (2, "newer")]
+
+
+def test_results_with_line_breaks_are_read_back_as_they_were(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 'a\nb "c", d'), (2, "e"), (3, None)], "id int, text string")
+    path = str(tmp_path / "out")
+    for _ in range(2):  # a rerun adds nothing
+        found = io.write_csv_in_parts(rows, "id", ["id", "text"], path, lambda part: part, 2)
+    assert sorted(tuple(r) for r in found.collect()) == [(1, 'a\nb "c", d'), (2, "e"), (3, None)]
+
+
+def test_a_stream_keeps_few_folders_and_nothing_aside(spark, tmp_path):
+    schema = "chunk_id long, doc_id long, page_start int, text string"
+    source, target, state = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")
+    for part in ([(k, k // 2, 1, f"t{k}") for k in range(40)], [(100, 3, 1, "new")]):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(source)
+        load_stream(spark, source, target, state, schema, buckets=4).awaitTermination()
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(target).collect()]
+    assert sorted(rows) == sorted([(k // 2, f"t{k}") for k in range(40) if k // 2 != 3] + [(3, "new")])
+    assert len(list((tmp_path / "out").glob("bucket=*"))) == 4 and not list((tmp_path / "state" / "aside").glob("*"))
