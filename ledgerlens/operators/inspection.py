@@ -111,6 +111,32 @@ def overview(texts: DataFrame, by: str, page: str, headed: Column) -> DataFrame:
     return texts.groupBy(by).agg(F.count("*").alias("n_texts"), F.count_distinct(page).alias("n_pages"), F.count_if(~headed).alias("n_headless"), F.max(page).alias("last_page"))
 
 
+def document_overview(tables: DataFrame, texts: DataFrame, pages: DataFrame, shown: int = 20) -> DataFrame:
+    """One row per document: how many pages, tables and texts it has, and what its tables lack.
+
+    tables: doc_id, table_ordinal, page, num_cols, has_header, cells_text, bottom (share of the page's height or null); texts:
+    doc_id, page, text; pages: doc_id. Columns: doc_id, n_pages, n_tables, n_texts, n_headless and the first of them, fragments
+    (pairs of a table with a header and one without that goes on from it a page later, as wide as it), lowest, n_marked and the
+    first tables with a scale in their cells, and the first that have it only elsewhere on their page (marked_elsewhere).
+    """
+    marked = F.regexp_like(F.coalesce("cells_text", F.lit("")), F.lit(SCALE))
+    first = lambda test: F.slice(F.array_sort(F.collect_list(F.when(test, F.col("table_ordinal")))), 1, shown)
+    counted = tables.groupBy("doc_id").agg(
+        F.count("*").alias("n_tables"), F.count_if(~F.col("has_header")).alias("n_headless"), first(~F.col("has_header")).alias("headless"),
+        F.max(F.when(F.col("bottom") != 0, F.col("bottom"))).alias("lowest"), F.count_if(marked).alias("n_marked"), first(marked).alias("marked"),
+    )
+    heads = tables.where("has_header").select("doc_id", (F.col("page") + 1).alias("page"), "num_cols", F.col("table_ordinal").alias("from"))
+    pairs = tables.where("not has_header").join(heads, ["doc_id", "page", "num_cols"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("from"), F.col("table_ordinal").alias("to")))).alias("fragments"))
+    elsewhere = marked_elsewhere(tables.withColumn("cells_text", F.coalesce("cells_text", F.lit(""))), texts.withColumn("text", F.coalesce("text", F.lit(""))), ["doc_id", "page"], SCALE, "cells_text")
+    elsewhere = elsewhere.groupBy("doc_id").agg(first(F.lit(True)).alias("marked_elsewhere"))
+    out = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))
+    for more in (counted, texts.groupBy("doc_id").agg(F.count("*").alias("n_texts")), pairs, elsewhere):
+        out = out.join(more, "doc_id", "left")
+    none = {c: F.coalesce(c, F.lit(0)) for c in ("n_tables", "n_headless", "n_marked", "n_texts")}
+    kinds = dict(out.dtypes)
+    return out.withColumns(none | {c: F.coalesce(c, F.array().cast(kinds[c])) for c in ("headless", "marked", "fragments", "marked_elsewhere")})
+
+
 def table_overview(tables: DataFrame, by: str = "doc_id") -> DataFrame:
     """Tables of each document: how many, how many without a header, the lowest bottom, and which carry a scale marker themselves.
 

@@ -347,3 +347,17 @@ UNION ALL SELECT 'chunks', 'doc_id unknown', CAST(doc_id AS VARCHAR), count(*) F
 UNION ALL SELECT 'chunks', 'doc_id, kind, table_ordinal, page_start, text_md5 repeated', doc_id || '/' || kind || '/' || t || '/' || page_start || '/' || md5(text), count(*) FROM parts WHERE kind IS NOT NULL AND t IS NOT NULL AND page_start IS NOT NULL AND text IS NOT NULL GROUP BY doc_id, kind, t, page_start, text HAVING count(*) > 1
 UNION ALL SELECT 'facts', 'doc_id, table_ordinal, row_label, column_label repeated', doc_id || '/' || table_ordinal || '/' || row_label || '/' || column_label, count(*) FROM ftable GROUP BY doc_id, table_ordinal, row_label, column_label HAVING count(*) > 1
 UNION ALL SELECT 'facts', 'chunk_id unknown', CAST(chunk_id AS VARCHAR), count(*) FROM refs WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT chunk_id FROM parts) GROUP BY chunk_id"""
+
+ORACLE["answer_summary"] = f"""WITH {_RETRIEVED}, {_FIRST}, {_JUDGED}, timed AS (SELECT j.*, round(o_totalprice / 1000, 1) AS seconds FROM judged j JOIN orders ON o_orderkey = qid)
+SELECT "group", outcome, count(*) AS n, round(median(seconds), 6) AS median_seconds, round(sum(seconds) / 3600, 6) AS hours FROM timed GROUP BY GROUPING SETS (("group", outcome), ("group"), ())"""
+_RATES = ", ".join([f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0 END), 6) AS r{k}" for k in (1, 5, 10, 20)])
+ORACLE["retrieval_summary"] = f"""WITH {_EVALUATED}, kinds AS (SELECT *, CASE WHEN answer_words >= 4 THEN 'sentence' ELSE 'figure' END AS answer FROM results)
+SELECT "group", condition, answer, count(*) AS n, {_RATES}, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 6) AS mrr, {_ANY}, round(avg(coalesce(cov20, 0)), 6) AS mean20, round(median(best_overlap), 6) AS median_overlap,
+(list(best_overlap ORDER BY best_overlap) FILTER (best_overlap IS NOT NULL))[CAST(floor(0.9 * (count(best_overlap) - 1)) AS INTEGER) + 1] AS p90_overlap, count(*) FILTER (n_inputs > 0) AS n_with_inputs, round(median(n_inputs) FILTER (n_inputs > 0), 6) AS median_inputs,
+max(n_inputs) FILTER (n_inputs > 0) AS most_inputs, count(*) FILTER (n_inputs > 20) AS over_k FROM kinds GROUP BY GROUPING SETS (("group", condition), ("group", condition, answer))"""
+ORACLE["document_overview"] = r"""WITH t AS (SELECT conv_id, turn, role = 'user' AS head, length(text) % 3 AS cols, round(length(text) / 4000, 6) AS bottom, regexp_matches(text || CASE WHEN turn % 3 = 0 THEN ' (In Millions) ' ELSE '' END, '(?i)\((?:in\s+)?(millions|thousands|billions)\)') AS inside,
+regexp_matches(text || CASE WHEN turn % 4 = 1 THEN ' (thousands)' ELSE '' END, '(?i)\((?:in\s+)?(millions|thousands|billions)\)') AS beside FROM conversations),
+f AS (SELECT a.conv_id, string_agg(b.turn || '>' || a.turn, ',' ORDER BY b.turn, a.turn) AS fragments FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1 AND a.cols = b.cols WHERE NOT a.head AND b.head GROUP BY a.conv_id),
+c AS (SELECT conv_id AS doc_id, count(*) AS n_pages, count(*) AS n_tables, count(*) AS n_texts, count(*) FILTER (NOT head) AS n_headless, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (NOT head), '') AS headless, max(bottom) FILTER (bottom <> 0) AS lowest,
+count(*) FILTER (inside) AS n_marked, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (inside), '') AS marked, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (beside AND NOT inside), '') AS marked_elsewhere FROM t GROUP BY conv_id)
+SELECT c.*, coalesce(fragments, '') AS fragments FROM c LEFT JOIN f ON f.conv_id = doc_id"""
