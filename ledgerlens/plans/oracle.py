@@ -361,3 +361,5 @@ f AS (SELECT a.conv_id, string_agg(b.turn || '>' || a.turn, ',' ORDER BY b.turn,
 c AS (SELECT conv_id AS doc_id, count(*) AS n_pages, count(*) AS n_tables, count(*) AS n_texts, count(*) FILTER (NOT head) AS n_headless, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (NOT head), '') AS headless, max(bottom) FILTER (bottom <> 0) AS lowest,
 count(*) FILTER (inside) AS n_marked, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (inside), '') AS marked, coalesce(string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) FILTER (beside AND NOT inside), '') AS marked_elsewhere FROM t GROUP BY conv_id)
 SELECT c.*, coalesce(fragments, '') AS fragments FROM c LEFT JOIN f ON f.conv_id = doc_id"""
+_ENGLISH = f"""{_RETRIEVED}, fact_src AS (SELECT fact_id AS id, fact_text AS text FROM ftable), asked_terms AS (SELECT qid, {_terms('search_text')} AS terms FROM scoped), {oracle_english.any_ranked("fact_src", "asked_terms")}, lexical AS (SELECT * FROM english),"""
+ORACLE["retrieve_english"] = f"WITH {_ENGLISH} {_HYBRID[_HYBRID.index('eligible AS') :]} SELECT qid, rank, id AS fact_id, rrf FROM placed WHERE rank <= k_facts"

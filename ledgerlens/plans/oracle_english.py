@@ -110,16 +110,16 @@ ORACLE["text_vectors"] = f"WITH src AS (SELECT doc_id AS id, text FROM documents
 ORACLE["page_vectors"] = f"WITH src AS (SELECT page_id AS id, html AS text FROM pages), {vectors('src')} {_SHOWN.format('page_id')}"
 
 
-def _any_ranked(source: str, asked: str) -> str:
+def any_ranked(source: str, asked: str) -> str:
     """CTEs that end in english(qid, id, score), for queries asked(qid, terms) of words any of which will do, each a token of its own."""
     return f"""{vectors(source, "SELECT 0 AS id, array_to_string(flatten(list(terms)), ' ') AS text FROM " + asked)},
-asked_words AS (SELECT DISTINCT qid, CASE WHEN regexp_full_match(term, '[a-z]+') THEN stem ELSE term END AS lexeme FROM (SELECT qid, unnest(terms) AS term FROM {asked}) LEFT JOIN stems ON w0 = term WHERE NOT list_contains({_STOP}, term)),
+asked_words AS (SELECT DISTINCT qid, CASE WHEN regexp_full_match(term, '[a-z]+') THEN stem ELSE term END AS lexeme FROM (SELECT qid, unnest(flatten(list_transform(terms, lambda t: string_split(t, '&')))) AS term FROM {asked}) LEFT JOIN stems ON w0 = term WHERE NOT list_contains({_STOP}, term)),
 asked_sizes AS (SELECT qid, count(*) AS n FROM asked_words GROUP BY qid),
 english AS (SELECT qid, id, {rank_any("list(part ORDER BY lexeme)", "any_value(n)")} AS score FROM (SELECT qid, id, lexeme, n, {occurrence("len(positions)")} AS part FROM vecs JOIN asked_words USING (lexeme) JOIN asked_sizes USING (qid)) GROUP BY qid, id)"""
 
 
 def lexical(terms: str) -> str:
-    return f"""WITH src AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS qid, {terms} AS terms FROM benchmark), {_any_ranked("src", "asked")},
+    return f"""WITH src AS (SELECT doc_id AS id, text FROM documents), asked AS (SELECT item_id AS qid, {terms} AS terms FROM benchmark), {any_ranked("src", "asked")},
 placed AS (SELECT qid, id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS INTEGER) AS rank FROM english) SELECT * FROM placed WHERE rank <= 10"""
 
 

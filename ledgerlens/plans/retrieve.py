@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.finance import detect, grouped
-from ..functions.text import COMPANY_ALIASES, answer_words, collapse, expand_terms, numbers
-from ..operators import evaluation, grounding, metrics, scope, search
+from ..functions.text import COMPANY_ALIASES, answer_words, collapse, expand_terms, numbers, query_terms
+from ..operators import evaluation, fulltext, grounding, metrics, scope, search
 from . import answer
 
 HEADING_CHARS, PASSAGE_CHARS = 70, 700
@@ -42,11 +42,18 @@ def _hits(rows: DataFrame, asked: DataFrame, budget: str, mode: str, id_col: str
     filters = search.Filters(equal={"fiscal_year": "q_fiscal_year"}, contains={"company": "q_company"})
     queries = asked.select("qid", "qvec", F.col("search_text").alias("question"), "q_company", "q_fiscal_year", budget)
     most = max(1, queries.agg(F.max(budget)).first()[0] or 0)
-    if mode != "hybrid":
+    if mode not in ("vector", "hybrid", "english"):
+        raise ValueError(f"no mode {mode}")
+    if mode == "vector":
         return answer.within_budget(search.vector_ranks(rows, queries, most, id_col, filters=filters), queries, budget)
     # Each list is as deep as the question's own budget asks for.
     depth = F.greatest(2 * F.col(budget), F.lit(search.depth(1))).alias("depth")
-    lists = [search.vector_ranks(rows, queries, search.depth(most), id_col, filters=filters), search.lexical_ranks(rows, queries, search.depth(most), id_col, text_col, filters=filters)]
+    if mode == "english":
+        terms = queries.withColumn("question", fulltext.any_words(query_terms(F.col("question"))))
+        by_words = fulltext.ranked_search(fulltext.postings(rows, id_col, text_col, tuple(filters.row_columns())), terms, search.depth(most), id_col, filters)
+    else:
+        by_words = search.lexical_ranks(rows, queries, search.depth(most), id_col, text_col, filters=filters)
+    lists = [search.vector_ranks(rows, queries, search.depth(most), id_col, filters=filters), by_words]
     lists = [answer.within_budget(x, queries.select("qid", depth), "depth") for x in lists]
     return answer.within_budget(search.fuse(lists, most, id_col).withColumnRenamed("rrf", "score"), queries, budget)
 
@@ -60,7 +67,7 @@ def retrieve(asked: DataFrame, documents: DataFrame, facts: DataFrame, chunks: D
 
     Facts: qid, fact_id, rank, score and FACT; passages: qid, chunk_id, rank, score and PASSAGE; metrics: qid and what
     metrics.compute gives. A scope without any fact and passage is searched again without the year, which the scope used then
-    lacks too. mode is vector or hybrid.
+    lacks too. mode is vector, hybrid (with exact words) or english (hybrid with stems).
     """
     asked = asked.persist()  # a row per question
     facts, chunks = search.with_filing(facts, documents), search.with_filing(chunks, documents)
@@ -68,13 +75,16 @@ def retrieve(asked: DataFrame, documents: DataFrame, facts: DataFrame, chunks: D
     fact_hits, chunk_hits = (x.persist() for x in _search_both(first, facts, chunks, mode))  # within the questions' budgets
     some = fact_hits.select("qid").union(chunk_hits.select("qid")).distinct()
     empty = first.where("company is not null or fiscal_year is not null").join(some, "qid", "left_anti").withColumn("q_fiscal_year", F.lit(None).cast("int")).persist()
-    more_facts, more_chunks = _search_both(empty, facts, chunks, mode)
+    raw_facts, raw_chunks = fact_hits, chunk_hits
+    if not empty.isEmpty():
+        more_facts, more_chunks = _search_both(empty, facts, chunks, mode)
+        raw_facts, raw_chunks = fact_hits.unionByName(more_facts), chunk_hits.unionByName(more_chunks)
     used = asked.join(empty.select("qid", F.lit(True).alias("dropped")), "qid", "left")
     used = used.withColumn("fiscal_year", F.when(F.col("dropped").isNull(), F.col("fiscal_year"))).drop("dropped")
 
-    fact_hits = fact_hits.unionByName(more_facts).join(facts.select("fact_id", *FACT), "fact_id").persist()  # within the questions' budgets, as the two below
+    fact_hits = raw_facts.join(facts.select("fact_id", *FACT), "fact_id").persist()  # within the questions' budgets, as the two below
     context = F.try_element_at("heading_trail", F.lit(-1)).alias("context")
-    chunk_hits = chunk_hits.unionByName(more_chunks).join(chunks.select("chunk_id", context, *[c for c in PASSAGE if c != "context"]), "chunk_id").persist()
+    chunk_hits = raw_chunks.join(chunks.select("chunk_id", context, *[c for c in PASSAGE if c != "context"]), "chunk_id").persist()
     wanted = asked.where("metric is not null and company is not null and fiscal_year is not null").select("qid", "metric", "company", "fiscal_year")
     scoped = facts.join(search.sized(wanted.select("company", "fiscal_year").distinct()), ["company", "fiscal_year"], "left_semi")
     computed = metrics.compute(scoped).join(wanted, ["company", "fiscal_year", "metric"]).drop("company", "fiscal_year").persist()
