@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.finance import detect, grouped
 from ..functions.text import COMPANY_ALIASES, answer_words, collapse, expand_terms, numbers, query_terms
 from ..operators import evaluation, fulltext, grounding, metrics, scope, search
+from ..sources.io import settled
 from . import answer
 
 HEADING_CHARS, PASSAGE_CHARS = 70, 700
@@ -69,12 +70,12 @@ def retrieve(asked: DataFrame, documents: DataFrame, facts: DataFrame, chunks: D
     metrics.compute gives. A scope without any fact and passage is searched again without the year, which the scope used then
     lacks too. mode is vector, hybrid (with exact words) or english (hybrid with stems).
     """
-    asked = asked.persist()  # a row per question
+    asked = settled(asked)  # a row per question
     facts, chunks = search.with_filing(facts, documents), search.with_filing(chunks, documents)
     first = asked.withColumns({"q_company": F.col("company"), "q_fiscal_year": F.col("fiscal_year")})
-    fact_hits, chunk_hits = (x.persist() for x in _search_both(first, facts, chunks, mode))  # within the questions' budgets
+    fact_hits, chunk_hits = (settled(x) for x in _search_both(first, facts, chunks, mode))  # within the questions' budgets
     some = fact_hits.select("qid").union(chunk_hits.select("qid")).distinct()
-    empty = first.where("company is not null or fiscal_year is not null").join(some, "qid", "left_anti").withColumn("q_fiscal_year", F.lit(None).cast("int")).persist()
+    empty = settled(first.where("company is not null or fiscal_year is not null").join(some, "qid", "left_anti").withColumn("q_fiscal_year", F.lit(None).cast("int")))
     raw_facts, raw_chunks = fact_hits, chunk_hits
     if not empty.isEmpty():
         more_facts, more_chunks = _search_both(empty, facts, chunks, mode)
@@ -82,12 +83,13 @@ def retrieve(asked: DataFrame, documents: DataFrame, facts: DataFrame, chunks: D
     used = asked.join(empty.select("qid", F.lit(True).alias("dropped")), "qid", "left")
     used = used.withColumn("fiscal_year", F.when(F.col("dropped").isNull(), F.col("fiscal_year"))).drop("dropped")
 
-    fact_hits = raw_facts.join(facts.select("fact_id", *FACT), "fact_id").persist()  # within the questions' budgets, as the two below
+    fact_hits = settled(raw_facts.join(facts.select("fact_id", *FACT), "fact_id"))  # within the questions' budgets, as the two below
     context = F.try_element_at("heading_trail", F.lit(-1)).alias("context")
-    chunk_hits = raw_chunks.join(chunks.select("chunk_id", context, *[c for c in PASSAGE if c != "context"]), "chunk_id").persist()
+    chunk_hits = settled(raw_chunks.join(chunks.select("chunk_id", context, *[c for c in PASSAGE if c != "context"]), "chunk_id"))
     wanted = asked.where("metric is not null and company is not null and fiscal_year is not null").select("qid", "metric", "company", "fiscal_year")
     scoped = facts.join(search.sized(wanted.select("company", "fiscal_year").distinct()), ["company", "fiscal_year"], "left_semi")
-    computed = metrics.compute(scoped).join(wanted, ["company", "fiscal_year", "metric"]).drop("company", "fiscal_year").persist()
+    computed = metrics.compute(scoped).join(wanted, ["company", "fiscal_year", "metric"]).drop("company", "fiscal_year")
+    computed = settled(computed)
     return used, fact_hits, chunk_hits, computed
 
 
@@ -140,9 +142,9 @@ def first_figure_model(prompt: str) -> str:
 def answers(asked: DataFrame, documents: DataFrame, facts: DataFrame, chunks: DataFrame, model: Callable[[str], str] = first_figure_model, mode: str = "vector") -> DataFrame:
     """Routed questions answered: qid, company, fiscal_year (the scope used), kind, n_facts, n_chunks, prompt, answer, error, problems (array) and n_problems."""
     used, fact_hits, chunk_hits, computed = retrieve(asked, documents, facts, chunks, mode)
-    prompts = render(asked, fact_hits, chunk_hits, computed).persist()  # a row per question, as the two below
-    context = supplied(asked, fact_hits, chunk_hits, computed).persist()
-    said = answer.generate(prompts, model).persist()
+    prompts = settled(render(asked, fact_hits, chunk_hits, computed))  # a row per question, as the two below
+    context = settled(supplied(asked, fact_hits, chunk_hits, computed))
+    said = settled(answer.generate(prompts, model))
     found = answer.checked(said, context)
     none = F.array().cast("array<string>")
     out = used.select("qid", "question", "company", "fiscal_year", "kind").join(context.select("qid", "n_facts", "n_chunks"), "qid").join(prompts, "qid").join(found, "qid")
@@ -176,12 +178,12 @@ def evaluate(questions: DataFrame, documents: DataFrame, facts: DataFrame, chunk
     scoped = scope.resolve_scope(questions, documents.select("company").where("company is not null").distinct(), alias_table(documents) if aliases is None else aliases)
     scoped = scoped.withColumnsRenamed({"company": "routed_company", "fiscal_year": "routed_year"})
     wanted = {"group": evaluation.classify(F.col("answer"), F.col("evidence_text")), "targets": numbers(F.col("answer")), "wanted": numbers(F.col("evidence_text")), "answer_words": answer_words(F.col("answer"))}
-    asked = evaluation.conditions(scoped.withColumns(wanted)).persist()  # three rows per question
+    asked = settled(evaluation.conditions(scoped.withColumns(wanted)))  # three rows per question
     facts, chunks = search.with_filing(facts, documents), search.with_filing(chunks, documents)
     numeric, prose = asked.where("`group` <> 'narrative'"), asked.where("`group` = 'narrative'")
     columns = ("qid", "qvec", "q_doc_name", "q_company", "q_fiscal_year")
-    fact_hits = search.vector_ranks(facts, numeric.select(*columns), k, "fact_id", filters=search.BY_FILING).join(facts.select("fact_id", *FACT), "fact_id").persist()  # k rows per question and condition
-    chunk_hits = search.vector_ranks(chunks, prose.select(*columns), k, "chunk_id", filters=search.BY_FILING).join(chunks.select("chunk_id", "page_start", "doc_name", "text"), "chunk_id").persist()
+    fact_hits = settled(search.vector_ranks(facts, numeric.select(*columns), k, "fact_id", filters=search.BY_FILING).join(facts.select("fact_id", *FACT), "fact_id"))  # k rows per question and condition
+    chunk_hits = settled(search.vector_ranks(chunks, prose.select(*columns), k, "chunk_id", filters=search.BY_FILING).join(chunks.select("chunk_id", "page_start", "doc_name", "text"), "chunk_id"))
     direct = evaluation.score_direct(asked.where("`group` = 'direct'"), fact_hits)
     computed = evaluation.score_computed(asked.where("`group` = 'computed'"), fact_hits)
     narrative = evaluation.score_narrative(prose, chunk_hits)

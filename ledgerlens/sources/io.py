@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,21 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and cut off from its plan, by a checkpoint in the folder that spark.checkpoint.dir names.
+
+    Plans that use a result several times stay small so. Where the setting is missing, a single machine gets a folder of its own,
+    and on a cluster df is kept in memory instead.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and context.master != "local" and not context.master.startswith("local["):
+            return df.persist()
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="ledgerlens-"))
+    return df.checkpoint()
+
+
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines; blank lines are skipped."""
     lines = spark.read.text(path).where(F.trim("value") != "")
