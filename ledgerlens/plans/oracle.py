@@ -336,6 +336,8 @@ fact_sums AS (SELECT doc_id, count(*) AS n_facts, round(sum(signed), 2) AS total
 new_chunks AS (SELECT doc, length(text) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY doc, kind, t, page_start, text ORDER BY chunk_id) AS place FROM passages WHERE doc % 3 = 0 AND trim(text, ' ') <> '') WHERE t IS NULL OR place = 1),
 chunk_sums AS (SELECT doc, count(*) AS n_chunks, round(sum(chars)::DOUBLE, 2) AS chars FROM (SELECT doc, chars FROM new_chunks UNION ALL SELECT doc, NULL FROM passages WHERE doc % 2 = 0 AND doc % 3 <> 0) GROUP BY doc)
 SELECT doc_name, n_facts, total, n_linked, n_embedded, n_chunks, chars FROM filings f LEFT JOIN fact_sums s ON f.doc_id = s.doc_id LEFT JOIN chunk_sums c ON f.doc_id = c.doc WHERE f.doc_id % 2 = 0 OR f.doc_id % 3 = 0"""
+ORACLE["embedding_append"] = """SELECT 'document' AS kind, doc_id AS id, 0 AS turn, length(text)::DOUBLE AS v FROM documents
+UNION ALL SELECT 'turn', conv_id, turn, CASE WHEN text IN (SELECT text FROM documents WHERE text IS NOT NULL) THEN length(text) ELSE -length(text) END::DOUBLE FROM conversations"""
 ORACLE["constraint_violations"] = f"""WITH {_LINES}, {_FILINGS}, {_FTABLE}, docs AS (SELECT doc_id, CASE WHEN doc_id % 97 <> 1 THEN doc_name END AS doc_name FROM filings), all_docs AS (SELECT * FROM docs UNION ALL SELECT -doc_id, doc_name FROM docs WHERE doc_id % 89 = 2),
 parts AS (SELECT chunk_id, CASE WHEN chunk_id % 40 = 3 THEN -7 ELSE doc END AS doc_id, CASE WHEN chunk_id % 50 <> 7 THEN kind END AS kind, t, page_start, CASE WHEN chunk_id % 60 <> 5 THEN text END AS text FROM {_PASSAGES}),
 nums AS (SELECT count(*) AS np FROM documents), refs AS (SELECT fact_id, CASE WHEN fact_id % 11 = 4 THEN np + 1 WHEN fact_id % 11 <> 5 THEN fact_id % np END AS chunk_id FROM ftable, nums)

@@ -15,6 +15,14 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors see. Where it is unset, a temporary one, on a single machine only."""
+    found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not found and master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or "file://" + tempfile.mkdtemp(prefix="ledgerlens-")).rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and cut off from its plan, by a checkpoint in the folder that spark.checkpoint.dir names.
 

@@ -1,4 +1,4 @@
-"""A load in one step: converted documents become rows of documents, chunks and facts, and of the embedding cache, in one commit."""
+"""A load in one step: converted documents become rows of documents, chunks and facts in one commit; their vectors go to the cache before."""
 
 from __future__ import annotations
 
@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from ..functions.text import scrub
 from . import versions
-from .ingest import clean_chunks, embed_missing, load_facts, unique_chunks, upsert_documents
+from .embeddings import SCHEMA, EmbeddingCache, distinct_texts
+from .ingest import clean_chunks, load_facts, unique_chunks, upsert_documents
 
-TABLES = ("documents", "chunks", "facts", "cache")
+TABLES = ("documents", "chunks", "facts")
 
 
 def embedder(load_model: Callable[[], Callable[[list[str]], list]], batch_chars: int = 100_000) -> Callable[[DataFrame], DataFrame]:
-    """An embed for embed_missing: (digest, text) to (digest, embedding). The model is loaded once per task.
+    """An embed for the cache: (digest, text) to (digest, embedding). The model is loaded once per task.
 
     Texts of about a length go through the model together, batch_chars characters at once at most; a longer text goes by itself.
     """
@@ -57,8 +58,8 @@ def plan(current: dict[str, DataFrame], documents: DataFrame, chunks: DataFrame,
 
     documents: doc_name and its columns; chunks and facts name their document by doc_name. A document that is there keeps its
     number and gets its time of loading; its chunks and facts are replaced. Texts lose NUL characters before anything else,
-    blank chunks go, table chunks and facts are unique by their keys, each fact has its table's chunk and its text, and each
-    distinct text is embedded once.
+    blank chunks go, table chunks and facts are unique by their keys, and each fact has its table's chunk and its text. embed
+    is called once, with all distinct texts (digest, text), and gives (digest, embedding).
     """
     there = current["documents"]
     fresh = number(documents.join(there, "doc_name", "left_anti"), "doc_id", _highest(there, "doc_id")).select("doc_name", F.col("doc_id").alias("new_id"))
@@ -72,9 +73,7 @@ def plan(current: dict[str, DataFrame], documents: DataFrame, chunks: DataFrame,
     new_facts = number(facts, "fact_id", _highest(current["facts"], "fact_id")).join(ids, "doc_name").drop("doc_name")
     new_facts = load_facts(named, new_chunks, _scrubbed(new_facts, "row_label", "column_label", "value_raw")).withColumn("signed", F.when(F.col("parenthesized"), -F.col("value")).otherwise(F.col("value")))
 
-    texts = new_chunks.select("text").unionByName(new_facts.select(F.col("fact_text").alias("text"))).where("text is not null").distinct()
-    _, cache = embed_missing(texts, current["cache"], embed)
-    vectors = cache.select("digest", "embedding")
+    vectors = embed(distinct_texts(new_chunks.select("text").unionByName(new_facts.select(F.col("fact_text").alias("text"))))).select("digest", "embedding")
 
     def embedded(rows: DataFrame, text: Column) -> DataFrame:
         return rows.withColumn("digest", F.md5(text)).join(vectors, "digest", "left").drop("digest")
@@ -85,29 +84,37 @@ def plan(current: dict[str, DataFrame], documents: DataFrame, chunks: DataFrame,
 
     return {
         "documents": upsert_documents(there, named.withColumn("ingested_at", F.current_timestamp()).select(*there.columns), "doc_id", "ingested_at"),
-        "chunks": replaced("chunks", embedded(new_chunks, F.col("text"))), "facts": replaced("facts", embedded(new_facts, F.col("fact_text"))), "cache": cache,
+        "chunks": replaced("chunks", embedded(new_chunks, F.col("text"))), "facts": replaced("facts", embedded(new_facts, F.col("fact_text"))),
     }
 
 
 def load(spark: SparkSession, folder: str, documents: DataFrame, chunks: DataFrame, facts: DataFrame, embed: Callable[[DataFrame], DataFrame], dry_run: bool = False, facts_only: bool = False) -> dict[str, int]:
     """Loads into the tables under folder (sources.versions) in one commit; returns the rows that each table has then.
 
-    A dry run counts and writes nothing; facts_only leaves chunks and passages' texts as they are. Of two loads at once one is
-    done again on what the other has committed.
+    Vectors are kept in the cache under folder/embeddings, which grows by the texts that it lacks before the commit is tried. A
+    dry run counts, embeds and writes nothing; facts_only leaves chunks and passages' texts as they are. Of two loads at once
+    one is done again on what the other has committed, with the vectors that are there by then.
     """
-    written: dict[str, int] = {}
+    cache, texts = EmbeddingCache(spark, f"{folder}/embeddings"), []
 
-    def change(read: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
-        made = plan({name: read(name) for name in TABLES}, documents, chunks, facts, embed)
+    def filled(asked: DataFrame) -> DataFrame:
+        cache.fill(asked, embed)
+        return cache.vectors(asked)
+
+    def seen(asked: DataFrame) -> DataFrame:
+        texts.append(asked)
+        return spark.createDataFrame([], SCHEMA)
+
+    def change(read: Callable[[str], DataFrame], vectors: Callable[[DataFrame], DataFrame] = filled) -> dict[str, DataFrame]:
+        made = plan({name: read(name) for name in TABLES}, documents, chunks, facts, vectors)
         return {name: rows for name, rows in made.items() if not (facts_only and name == "chunks")}
 
     if dry_run:
         number = versions.latest(spark, folder)
-        return {name: rows.count() for name, rows in change(lambda name: versions.read(spark, folder, name, number)).items()}
+        counted = {name: rows.count() for name, rows in change(lambda name: versions.read(spark, folder, name, number), seen).items()}
+        return counted | {"cache": cache.count() + cache.missing(texts[0]).count()}
     number = versions.update(spark, folder, change)
-    for name in TABLES:
-        written[name] = versions.read(spark, folder, name, number).count()
-    return written
+    return {name: versions.read(spark, folder, name, number).count() for name in TABLES} | {"cache": cache.count()}
 
 
 def violations(documents: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:

@@ -203,7 +203,7 @@ def test_a_whole_load_in_one_commit(spark, tmp_path):
     empty = lambda schema: spark.createDataFrame([], schema)
     tables = {
         "documents": empty("doc_id long, " + doc + ", ingested_at timestamp"), "chunks": empty("chunk_id long, doc_id long, kind string, item_section string, heading_trail array<string>, page_start int, table_ordinal int, text string, embedding array<double>"),
-        "facts": empty("fact_id long, doc_id long, chunk_id long, " + fact.split(", ", 1)[1] + ", signed double, fact_text string, embedding array<double>"), "cache": empty("digest string, embedding array<double>"),
+        "facts": empty("fact_id long, doc_id long, chunk_id long, " + fact.split(", ", 1)[1] + ", signed double, fact_text string, embedding array<double>"),
     }
     versions.commit(spark, path, tables)
     documents = spark.createDataFrame([("A_2018", "A", "10K", 2018)], doc)
@@ -222,8 +222,8 @@ def test_a_whole_load_in_one_commit(spark, tmp_path):
         return encode
 
     embed = load.embedder(model, batch_chars=10)
-    assert load.load(spark, path, documents, chunks, facts, embed, dry_run=True) == {"documents": 1, "chunks": 2, "facts": 2, "cache": 4} and versions.latest(spark, path) == 1
-    assert load.load(spark, path, documents, chunks, facts, embed) == {"documents": 1, "chunks": 2, "facts": 2, "cache": 4} and versions.latest(spark, path) == 2
+    assert load.load(spark, path, documents, chunks, facts, embed, dry_run=True) == {"documents": 1, "chunks": 2, "facts": 2, "cache": 4} and versions.latest(spark, path) == 1 and texts.value == 0
+    assert load.load(spark, path, documents, chunks, facts, embed) == {"documents": 1, "chunks": 2, "facts": 2, "cache": 4} and versions.latest(spark, path) == 2 and texts.value == 4
     rows = versions.read(spark, path, "facts").orderBy("row_label").collect()
     assert rows[0]["fact_text"].startswith("A · Balance sheet · Net sales · 2018 · ") and rows[0]["chunk_id"] is not None and rows[1]["chunk_id"] is None and rows[1]["fact_text"] == "A · Other · 2018 · 7 millions"
     assert all(r["embedding"] == [float(len(r["fact_text"]))] and r["signed"] == (-r["value"] if r["parenthesized"] else r["value"]) for r in rows)
