@@ -1,16 +1,17 @@
 """Line-run dedup: repeated runs of lines keep their first copy. DataFrame functions only.
 
-Suffixes of the line sequences are grouped by prefix doubling: the class of 2**(j+1) lines at a position is the pair of the
-classes of 2**j lines there and 2**j lines on, named by the first position that has it. A class is an interval of the
-suffix array whose common prefix is at least that long; positions whose class has one member drop out, so each round has
-fewer rows than the one before. A run counts when it has min_words words or more: every run that occurs twice is covered
-by shortest windows of min_words words that start or end on its lines, and the class of a window of any length is the pair
-of the classes of the largest power of two at its two ends. Windows that occur earlier mark their lines; neighbouring
-marks with one source make a maximal run. A line has a word at least, so rounds never exceed log2(min_words).
+Suffixes of the line sequences are ordered by prefix doubling: a suffix's rank is how many suffixes come before it in the
+order of their first h lines; the pair of ranks at a position and h lines on orders it by 2h lines. Suffixes whose h lines
+occur nowhere else have no part in any interval of the array with such a common prefix, so they leave it, and each round has
+fewer rows than the one before. A run counts when it has min_words words or more: every run that occurs twice is covered by
+shortest windows of min_words words that start or end on its lines. The interval of suffixes with a common prefix of n lines
+is that of equal ranks by the largest power of two at both ends of the n lines; windows in an interval of two or more are
+copies of its first position. They mark their lines, and neighbouring marks with one source make a maximal run. A line has a
+word at least, so rounds never exceed log2(min_words).
 
 Lines are compared without white space at their ends; blank lines are not part of the sequence. Order is (id, line).
-Classes are made by grouped minima that are joined back, so a line in a third of all rows meets nowhere in one task;
-windows run within stretches of repeated lines of one document.
+Distinct keys are counted, dealt by ranges and summed up range by range, then joined back, so a line in a third of all rows
+meets nowhere in one task; windows run within the repeated lines of one document.
 
 Edge cases: null or empty text has no lines; a null id orders first; equal rows count as one; rows with the same id and
 other text are documents of their own; an empty table gives an empty result; other columns are ignored (or kept by
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import drop_table, plain_columns, small, write_table
+from .shared import Scratch, plain_columns, running_sum, shuffle_partitions, small, write_table
 
 WORD = r"[^\x20\x09-\x0D]+"
 MIN_WORDS = 50
@@ -45,27 +46,44 @@ def line_table(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return source.select("doc", "tie", F.posexplode(F.filter(lines, lambda x: x["body"] != "")).alias("seq", "x")).select("doc", "tie", "seq", "x.line", "x.body")
 
 
-def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (doc, tie, seq, *keys) whose keys occur at two positions at least, with name: the first such position."""
-    classes = rows.groupBy(*keys).agg(F.min(_position()).alias("name"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # Written first, so the join deals both sides anew and Spark can split a line that very many documents share.
-    classes, _ = write_table(classes.select(*[F.col(k).alias(f"of_{k}") for k in keys], "name"), "line-names")
-    classes = small(classes, CLASS_ROWS)
-    return rows.join(classes, [F.col(k) == F.col(f"of_{k}") for k in keys]).drop(*[f"of_{k}" for k in keys])
+def _ranked(rows: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
+    """rows (doc, tie, seq, *keys) whose keys occur at two positions at least, with rank: how many of these come before in the order of the keys."""
+    classes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    # Written as they are dealt, so a range stays what it is; the join deals both sides anew and Spark can split a hot line.
+    classes = scratch.write(classes.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).withColumn("range", F.spark_partition_id()), "line-classes")
+    few = classes.count() <= CLASS_ROWS
+    placed = running_sum(classes, [], "range", keys, "n", "upto").select(*[F.col(k).alias(f"of_{k}") for k in keys], (F.col("upto") - F.col("n")).alias("rank"))
+    return rows.join(F.broadcast(placed) if few else placed, [F.col(k) == F.col(f"of_{k}") for k in keys]).select("doc", "tie", "seq", *[c for c in rows.columns if c not in ("doc", "tie", "seq", *keys)], "rank")
+
+
+def _doubled(ranks: DataFrame, lines: int, scratch: Scratch) -> DataFrame:
+    """Ranks by 2 * lines from those by lines. A gap on the way means that some window between is unique, and so is the whole."""
+    ahead = Window.partitionBy(*DOC).orderBy("seq")
+    pairs = ranks.select("doc", "tie", "seq", F.col("rank").alias("x"), F.lead("rank", lines).over(ahead).alias("y"), F.lead("seq", lines).over(ahead).alias("at"))
+    return _ranked(pairs.where(F.col("at") == F.col("seq") + lines).drop("at"), ["x", "y"], scratch)
+
+
+def _later(windows: DataFrame, ranks: DataFrame, lines: int, scratch: Scratch) -> DataFrame:
+    """The windows (doc, tie, seq, length) that are not the first of their interval, with name: the position that is. lines <= length < 2 * lines."""
+    ends = _on(_on(windows, ranks, F.lit(0), "x"), ranks, F.col("length") - lines, "y")
+    intervals = ends.groupBy("length", "x", "y").agg(F.min(_position()).alias("name"), F.count("*").alias("n")).where("n > 1")
+    keys = ["length", "x", "y"]
+    intervals = small(scratch.write(intervals.select(*[F.col(k).alias(f"of_{k}") for k in keys], "name"), "line-intervals"), CLASS_ROWS)
+    return ends.join(intervals, [F.col(k) == F.col(f"of_{k}") for k in keys]).where(_position() != F.col("name")).select("doc", "tie", "seq", "length", "name")
 
 
 def _on(left: DataFrame, right: DataFrame, shift: Column, out: str) -> DataFrame:
-    """left with the name that right has at seq + shift of the same document."""
-    there = right.select(F.col("doc").alias("doc_r"), F.col("tie").alias("tie_r"), F.col("seq").alias("seq_r"), F.col("name").alias(out))
+    """left with the rank that right has at seq + shift of the same document."""
+    there = right.select(F.col("doc").alias("doc_r"), F.col("tie").alias("tie_r"), F.col("seq").alias("seq_r"), F.col("rank").alias(out))
     return left.join(there, F.col("doc").eqNullSafe(F.col("doc_r")) & (F.col("tie") == F.col("tie_r")) & (F.col("seq") + shift == F.col("seq_r"))).drop("doc_r", "tie_r", "seq_r")
 
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every line of a later copy: doc, tie, seq, line, words, source (position of the run's first copy) and offset."""
-    spark = documents.sparkSession
+    scratch = Scratch(documents.sparkSession)
     lines = line_table(documents, id_col, text_col)
     ids = lines.select("doc", "tie", "seq", "line", F.xxhash64("body").alias("a"), F.xxhash64(F.lit(7), "body").alias("b"), F.regexp_count("body", F.lit(WORD)).cast("long").alias("words"))
-    again = _named(ids, ["a", "b"]).drop("a", "b")
+    again = _ranked(ids, ["a", "b"], scratch)
     # Stretches of neighbouring repeated lines with enough words.
     by_doc = Window.partitionBy(*DOC).orderBy("seq")
     again = again.withColumn("stretch", F.col("seq") - F.row_number().over(by_doc))
@@ -80,23 +98,19 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS, id_col: str
     found = again.select("doc", "tie", "seq", F.when(last - F.col("before") >= min_words, forward).alias("ahead"), F.when(F.col("upto") >= min_words, backward).alias("back"))
     windows = found.where("ahead is not null").select("doc", "tie", "seq", F.col("ahead").alias("length"))
     windows = windows.union(found.where("back is not null").select("doc", "tie", (F.col("seq") - F.col("back") + 1).alias("seq"), F.col("back").alias("length"))).distinct()
-    windows, _ = write_table(windows, "line-windows")
+    windows = scratch.write(windows, "line-windows")
     longest = windows.agg(F.max("length")).first()[0] or 0
 
-    level, classes, copies, paths = 1, again.select("doc", "tie", "seq", "name"), None, []
-    while level <= longest:
-        own = windows.where((F.col("length") >= level) & (F.col("length") < 2 * level))
-        ends = _on(_on(own, classes, F.lit(0), "x"), classes, F.col("length") - level, "y")
-        later = _named(ends, ["length", "x", "y"]).where(_position() != F.col("name")).select("doc", "tie", "seq", "length", "name")
+    lines, ranks, copies = 1, again.select("doc", "tie", "seq", "rank"), None
+    while lines <= longest:
+        later = _later(windows.where((F.col("length") >= lines) & (F.col("length") < 2 * lines)), ranks, lines, scratch)
         copies = later if copies is None else copies.unionByName(later)
-        if 2 * level <= longest:
-            twice = _on(classes.withColumnRenamed("name", "x"), classes, F.lit(level), "y")
-            classes, path = write_table(_named(twice, ["x", "y"]).drop("x", "y"), "line-classes")
-            paths.append(path)
-        level *= 2
-    schema = again.select("doc", "tie", "seq", F.lit(0).alias("length"), "name")
-    copies, _ = write_table(copies if copies is not None else schema.limit(0), "line-copies")
-    drop_table(spark, *paths)
+        if 2 * lines <= longest:
+            ranks = scratch.write(_doubled(ranks, lines, scratch), "line-ranks")
+        lines *= 2
+    none = again.select("doc", "tie", "seq", F.lit(0).alias("length"), _position().alias("name")).limit(0)
+    copies, _ = write_table(none if copies is None else copies, "line-copies")
+    scratch.drop()
 
     marks = copies.select("doc", "tie", F.explode(F.sequence(F.col("seq").cast("int"), (F.col("seq") + F.col("length") - 1).cast("int"))).alias("at"), F.struct(F.col("name.doc").alias("doc"), F.col("name.tie").alias("tie"), (F.col("name.seq") - F.col("seq")).alias("offset")).alias("source"))
     marks = marks.groupBy(*DOC, "at").agg(F.min("source").alias("source"))

@@ -1,10 +1,13 @@
 import random
+from bisect import bisect_left
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import line_dedup
 from ledgerlens.llm.oracle import OP8
+from ledgerlens.llm.shared import Scratch
 
 from ..oracle_check import assert_same
 from . import brute
@@ -29,6 +32,22 @@ def test_equals_brute_force(spark, seed, min_words):
     assert marked(spark, rows, min_words) == brute.line_runs(rows, min_words)
 
 
+def test_ranks_are_places_in_the_suffix_array(spark):
+    """By 1, 2 and 4 lines: of the suffixes that another shares so many lines with, in the order of these lines."""
+    docs = spark.createDataFrame(corpus(5, 40), SCHEMA)
+    scratch = Scratch(spark)
+    ids = line_dedup.line_table(docs, "doc_id", "text").select("doc", "tie", "seq", F.xxhash64("body").alias("a"))
+    order = {tuple(r[:3]): r[3] for r in ids.collect()}
+    ranks = line_dedup._ranked(ids, ["a"], scratch)
+    for n in (1, 2, 4):
+        keys = {(d, t, s): tuple(order[d, t, s + k] for k in range(n)) for d, t, s in order if (d, t, s + n - 1) in order}
+        counts = Counter(keys.values())
+        kept = sorted(k for k in keys.values() if counts[k] > 1)
+        assert {tuple(r[:3]): r[3] for r in ranks.select("doc", "tie", "seq", "rank").collect()} == {p: bisect_left(kept, k) for p, k in keys.items() if counts[k] > 1}
+        ranks = line_dedup._doubled(ranks, n, scratch)
+    scratch.drop()
+
+
 def test_query_equals_its_oracle(spark):
     rows = [(k, t + "\n" + "\n".join(["one two three four five six seven"] * (k % 9))) for k, t in corpus(4, 60)]
     docs = spark.createDataFrame(rows, SCHEMA)
