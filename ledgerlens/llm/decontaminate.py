@@ -204,8 +204,8 @@ def _scan(index_of, step: int, threshold: float, overlap: float):
                     shares = []
                     for size, grams in (index.question[i], index.answer[i]):
                         shares.append(len(np.intersect1d(grams, _grams(own, size))) / len(grams) if len(grams) else 1.0)
-                    if min(shares) >= overlap and s > best.get((t, owner[i]), (0,))[0]:
-                        best[t, owner[i]] = (s, *shares)
+                    if min(shares) >= overlap:  # scores are sums in any order: equal ones differ in their last digits
+                        best[t, owner[i]] = max(best.get((t, owner[i]), ()), (round(s, 9), *shares))
                 if best:
                     rows = sorted(best)
                     yield pa.RecordBatch.from_arrays(
@@ -249,7 +249,7 @@ def _leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, overl
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, threshold: float = 0.5, overlap: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", shard_postings: int = SHARD_POSTINGS) -> DataFrame:
-    """id, item, score, question_overlap and answer_overlap (shares of the best passage): one row per document and item found."""
+    """id, item, score, question_overlap and answer_overlap (shares of the best passage, of equal scores that with the larger shares): one row per document and item found."""
     return _leaks(documents, items.where(F.col(item_col).isNotNull()), threshold, overlap, id_col, text_col, item_col, item_text_col, shard_postings)
 
 

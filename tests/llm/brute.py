@@ -1,8 +1,10 @@
 """Plain-Python versions of the operators, for small tables."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,6 +65,32 @@ def line_runs(docs, min_words):
     return found
 
 
+def leaks(docs, items, threshold, overlap, split, gram=3, k1=1.2, b=0.75):
+    """{(doc, item): (score, question share, answer share)} of each document's best passage for an item; every item is scored whole."""
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    items = {i: (words(t), *map(words, split(t))) for i, t in items if words(t)}
+    mean = sum(len(w) for w, _, _ in items.values()) / len(items)
+    df = Counter(x for w, _, _ in items.values() for x in set(w))
+    weights = {i: {x: math.log(1 + (len(items) - df[x] + 0.5) / (df[x] + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(w) / mean)) for x, tf in Counter(w).items()} for i, (w, _, _) in items.items()}
+    step, found = max(32, max(len(w) for w, _, _ in items.values())), {}
+
+    def share(part, own):
+        size = max(1, min(gram, len(part)))
+        grams = lambda w: {tuple(w[k : k + size]) for k in range(len(w) - size + 1)}
+        return len(grams(part) & grams(own)) / len(grams(part)) if grams(part) else 1.0
+
+    for d, t in docs:
+        text = words(t)
+        for at in range(0, len(text), step):
+            own = text[at : at + 2 * step]
+            for i, (_, question, answer) in items.items():
+                score = sum(v for x, v in weights[i].items() if x in set(own)) / sum(weights[i].values())
+                shares = share(question, own), share(answer, own)
+                if score >= threshold - 1e-9 and min(shares) >= overlap:
+                    found[d, i] = max(found.get((d, i), ()), (round(score, 9), *shares))
+    return {k: tuple(round(x, 6) for x in v) for k, v in found.items()}
+
+
 def base32_sha1(payload):
     import base64
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import decontaminate
 
+from . import brute
+
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 
 
@@ -68,6 +70,42 @@ def test_block_max_retrieval_equals_scoring_everything():
         assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def damaged(seed):
+    """Items of a small vocabulary, and documents that hold parts of them: whole, with words left out or changed, one half, in another order."""
+    rng = random.Random(seed)
+    word = lambda: f"w{min(int(rng.paretovariate(0.6)), 400)}"
+    items = [(k, " ".join([*(word() for _ in range(rng.randrange(6, 20))), "end?", *(word() for _ in range(rng.randrange(3, 9)))])) for k in range(24)]
+    docs = []
+    for k in range(120):
+        own = rng.choice(items)[1].split()
+        how, kept = k % 6, rng.random()
+        if how == 1:
+            own = [w for w in own if rng.random() < kept]
+        elif how == 2:
+            own = [w if rng.random() < kept else word() for w in own]
+        elif how == 3:
+            own = own[: own.index("end?") + 1] if rng.random() < 0.5 else own[own.index("end?") + 1 :]
+        elif how == 4:
+            at = rng.randrange(len(own))
+            own = own[at:] + own[:at]
+        elif how == 5:
+            own = []
+        text = [word() for _ in range(rng.randrange(0, 150))]
+        at = rng.randrange(len(text) + 1)
+        docs.append((k, " ".join([*text[:at], *own, *text[at:]])))
+    return docs, items
+
+
+@pytest.mark.parametrize(("seed", "threshold", "overlap"), [(0, 0.5, 0.5), (1, 0.3, 0.2), (2, 0.8, 0.7), (3, 0.5, 0.0), (4, 0.5, 0.0)])
+def test_the_whole_query_equals_brute_force(spark, seed, threshold, overlap):
+    docs, items = damaged(seed)
+    out = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), threshold, overlap, shard_postings=150).collect()
+    got = {(r["doc_id"], r["item_id"]): tuple(r)[2:] for r in out}
+    want = brute.leaks(docs, items, threshold, overlap, decontaminate.split_item)
+    assert len(out) == len(got) > 10 and set(got) == set(want)
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got)
+
+
 def test_half_of_an_item_is_no_leak_but_both_its_parts_are(spark):
     item = [(1, "what is the tallest mountain of the northern range near the old border town? it is called the grey summit")]
     docs = [(1, "he asked what is the tallest mountain of the northern range near the old border town? nobody knew"), (2, "x " * 300 + item[0][1] + " y" * 300), (3, "it is called the grey summit"), (4, item[0][1].title().replace(" ", ",\n"))]

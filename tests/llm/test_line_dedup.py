@@ -74,6 +74,14 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([(1, "x")], SCHEMA)).first()["text"] == "x"
 
 
+def test_very_long_texts(spark):
+    """Thousands of lines that all repeat, of one and of many kinds, and a line of a megabyte."""
+    many = "\n".join(f"line number {k} of a long text" for k in range(5000))
+    rows = [(1, many), (2, many + "\nend"), (3, "word\n" * 3000), (4, "w " * 500_000 + "\nx"), (5, "y\n" + "w " * 500_000)]
+    out = {(r["doc_id"], r["start_line"]): (r["n_lines"], r["source_doc_id"], r["source_start_line"]) for r in line_dedup.repeated_runs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(n for (d, _), (n, _, _) in out.items() if d == 3) == 2999 and out[2, 0] == (5000, 1, 0) and out[5, 1] == (1, 4, 0) and {d for d, _ in out} == {2, 3, 5}
+
+
 def test_no_python_in_the_plan(spark):
     plan = line_dedup.repeated_runs(spark.createDataFrame(corpus(1), SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan

@@ -62,3 +62,10 @@ def test_the_mix_takes_rows_with_null_and_repeated_ids_as_often_as_it_counts_the
     taken = mixing.mix_sources(docs).toPandas()
     for of, own in (("null", taken["doc_id"].isna()), ("7", taken["doc_id"] == 7), ("8", taken["doc_id"] == 8)):
         assert sum(words(r[1]) for r in out if str(r[0]).replace("None", "null") == of) == taken[own]["taken"].sum()
+
+
+def test_a_very_long_text_among_short_ones(spark):
+    docs = spark.createDataFrame([*rows_of(300), (999, "word " * 1_500_000, "s1"), (1000, "x" * 3_000_000, None)], SCHEMA).withColumns({"a.b": F.lit("clash"), "size": F.lit(3), "taken": F.lit(1)})
+    out = {r["doc_id"]: r for r in mixing.mix_sources(docs).collect()}
+    assert len(out) == 302 and (out[999]["size"], out[1000]["size"]) == (1_500_000, 1) and all(r["taken"] <= 2 * r["size"] for r in out.values())
+    assert out[999]["source_size"] == 1_500_000 + sum(len(t.split()) for _, t, s in rows_of(300) if s == "s1")
