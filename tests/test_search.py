@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from ledgerlens.operators import search
+from ledgerlens.operators import evaluation, search
 
 
 def test_a_label_of_0_is_a_label_and_null_is_none(spark):
@@ -37,3 +37,11 @@ def test_search_as_by_brute_force(spark):
     found = search.vector_ranks(table, queries, 5, filters=search.BY_FILING).collect()
     shown = lambda rows: sorted((q, k, i, s is None or round(s, 5)) for q, i, s, k in rows)
     assert shown((r["qid"], r["id"], r["score"], r["rank"]) for r in found) == shown(want)
+
+
+def test_figures_of_all_answers_are_not_broadcast(spark):
+    facts = spark.createDataFrame([(n, float(n)) for n in range(50)], "fact_id long, value double")
+    asked = spark.createDataFrame([(1, [3.0, 7000.0]), (2, [0.5])], "qid long, targets array<double>")
+    found = evaluation.figure_matches(asked, facts)
+    assert sorted((r["qid"], r["target"], r["n_facts"], r["first_fact"]) for r in found.collect()) == [(1, 3.0, 1, 3), (1, 7000.0, 1, 7), (2, 0.5, 0, None)]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
