@@ -45,3 +45,12 @@ def test_figures_of_all_answers_are_not_broadcast(spark):
     found = evaluation.figure_matches(asked, facts)
     assert sorted((r["qid"], r["target"], r["n_facts"], r["first_fact"]) for r in found.collect()) == [(1, 3.0, 1, 3), (1, 7000.0, 1, 7), (2, 0.5, 0, None)]
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_narrative_hits_are_scored_in_tasks(spark):
+    """The evidence's trigrams are made once for all of its hits, not once for each."""
+    asked = spark.createDataFrame([(1, "a b c d"), (2, None), (3, "x y")], "qid long, evidence_text string")
+    hits = spark.createDataFrame([(1, 1, "A b c!", 7, "d"), (1, 2, "z a b c d", 8, "e"), (1, 3, "a b c d", 9, "f"), (2, 1, "a b c", 1, "d"), (3, 1, None, 1, "d")], "qid long, rank int, text string, page_start int, doc_name string")
+    found = evaluation.score_narrative(asked, hits)
+    assert sorted(map(tuple, found.collect())) == [(1, 1.0, 2, 8, "e"), (2, 0.0, None, None, None), (3, 0.0, None, None, None)]
+    assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
