@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from ledgerlens.operators import evaluation, search
+from ledgerlens.operators import evaluation, fulltext, search
 
 
 def test_a_label_of_0_is_a_label_and_null_is_none(spark):
@@ -54,3 +54,23 @@ def test_narrative_hits_are_scored_in_tasks(spark):
     found = evaluation.score_narrative(asked, hits)
     assert sorted(map(tuple, found.collect())) == [(1, 1.0, 2, 8, "e"), (2, 0.0, None, None, None), (3, 0.0, None, None, None)]
     assert "array_intersect" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_positions_are_looked_up(monkeypatch):
+    """The rank of words together is that of the plain formula, without its work for each pair."""
+
+    def plain(held):
+        total = None
+        for k, own in enumerate(held):
+            for a, b in ((a, b) for other in held[:k] for a in own for b in other if a != b):
+                near = np.float32(1e-30) if abs(a - b) > 100 else np.float32(1.0 / (1.005 + 0.05 * np.exp(float(np.float32(abs(a - b))) / 1.5 - 2)))
+                one = np.float32(np.sqrt(float(np.float32(np.float32(fulltext.WEIGHT * fulltext.WEIGHT) * near))))
+                total = one if total is None else np.float32(1.0 - (1.0 - float(total)) * (1.0 - float(one)))
+        return float(np.float32(1e-20) if total is None else total)
+
+    rng = random.Random(3)
+    cases = [[sorted(rng.randrange(1, top) for _ in range(rng.randrange(1, 30))) for _ in range(n)] for top in (5, 60, 16383) for n in (1, 2, 3) for _ in range(5)]
+    want = [plain(c) for c in cases]
+    fulltext.pair_scores()
+    monkeypatch.setattr(fulltext.math, "exp", None)
+    assert [fulltext.rank_all(c) for c in cases] == want
