@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import evaluation, fulltext, search
 
@@ -74,3 +75,10 @@ def test_pairs_of_positions_are_looked_up(monkeypatch):
     fulltext.pair_scores()
     monkeypatch.setattr(fulltext.math, "exp", None)
     assert [fulltext.rank_all(c) for c in cases] == want
+
+
+def test_texts_of_one_partition_are_dealt_to_many_tasks(spark):
+    rows = spark.createDataFrame([(n, f"net sales of {n} companies") for n in range(60)], "id long, text string").coalesce(1)
+    found = fulltext.postings(rows)
+    assert found.groupBy("lexeme").count().where("lexeme = 'sale'").first()["count"] == 60
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 6
