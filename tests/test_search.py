@@ -40,6 +40,21 @@ def test_search_as_by_brute_force(spark):
     assert shown((r["qid"], r["id"], r["score"], r["rank"]) for r in found) == shown(want)
 
 
+def test_rows_that_name_their_vector_are_found_alike_and_each_vector_is_scored_once(spark):
+    rng = random.Random(6)
+    vectors = [[rng.gauss(0, 1) for _ in range(4)] for _ in range(40)] + [[0.0] * 4, None]
+    rows = [(n, vectors[rng.randrange(42)], f"d{n % 30}", f"Nation_{n % 4}", 2000 + n % 3 if n % 9 else None) for n in range(3000)]
+    table = spark.createDataFrame(rows, "id long, embedding array<float>, doc_name string, company string, fiscal_year int").repartition(6, "id")
+    asked = spark.createDataFrame([(q, vectors[q], f"d{q}" if q % 4 == 0 else None, "nation_1" if q % 3 == 0 else None, 2001 if q % 2 else 0) for q in range(24)], "qid long, qvec array<double>, q_doc_name string, q_company string, q_fiscal_year int")
+    named, held = search.numbered(table)
+    assert held.count() == 41 and "embedding" not in named.columns
+    shown = lambda found: sorted((r["qid"], r["rank"], r["id"], r["score"] is None or round(r["score"], 5)) for r in found.collect())
+    assert shown(search.vector_ranks(named, asked, 5, filters=search.BY_FILING, vectors=held)) == shown(search.vector_ranks(table, asked, 5, filters=search.BY_FILING))
+    # Rows come in order of their vectors, so no vector is in two tasks.
+    seen = search.with_vectors(named.select("id", search.NUMBER), held).withColumn("task", F.spark_partition_id()).groupBy("embedding").agg(F.count_distinct("task").alias("n"))
+    assert seen.where("n > 1").count() == 0
+
+
 def test_figures_of_all_answers_are_not_broadcast(spark):
     facts = spark.createDataFrame([(n, float(n)) for n in range(50)], "fact_id long, value double")
     asked = spark.createDataFrame([(1, [3.0, 7000.0]), (2, [0.5])], "qid long, targets array<double>")
