@@ -53,6 +53,8 @@ def test_rows_that_name_their_vector_are_found_alike_and_each_vector_is_scored_o
     # Rows come in order of their vectors, so no vector is in two tasks.
     seen = search.with_vectors(named.select("id", search.NUMBER), held).withColumn("task", F.spark_partition_id()).groupBy("embedding").agg(F.count_distinct("task").alias("n"))
     assert seen.where("n > 1").count() == 0
+    many = named.select("id", search.NUMBER).repartition(200, "id")
+    assert search.with_vectors(many, held.repartition(200, search.NUMBER)).rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
 
 
 def test_figures_of_all_answers_are_not_broadcast(spark):
