@@ -77,6 +77,13 @@ def test_cover_in_rounds_of_any_size_is_the_greedy_one(spark, monkeypatch):
     assert corpus.greedy_cover(table, 5) == want[:5]
 
 
+def test_texts_are_taken_up_by_small_chunks():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array(["x" * 1000] * 64)], ["id", "text"])
+    chunks = list(search._chunks(iter([batch, batch.slice(0, 0), batch]), 10_000))
+    assert [i for c in chunks for i in c.column(0).to_pylist()] == [*range(64)] * 2
+    assert max(c.nbytes for c in chunks) < 21_000 and search.TEXT_BYTES <= 8 << 20
+
+
 def test_figures_of_all_answers_are_not_broadcast(spark):
     facts = spark.createDataFrame([(n, float(n)) for n in range(50)], "fact_id long, value double")
     asked = spark.createDataFrame([(1, [3.0, 7000.0]), (2, [0.5])], "qid long, targets array<double>")
