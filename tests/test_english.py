@@ -77,6 +77,21 @@ def test_search_equals_trying_every_text(spark, tmp_path):
     assert sorted(map(tuple, found.select("qid", "id", "score", "rank").collect())) == rows_by_hand(docs, queries, 7)
 
 
+def test_a_scan_gives_what_postings_give_and_shuffles_no_pairs(spark):
+    draw = random.Random(6)
+    words = ["apple", "apples", "margin", "net", "r&d", "r", "d", "sales", "2018", "the"]
+    docs = [(k, " ".join(draw.choice(words) for _ in range(draw.randint(0, 9))), draw.choice(["Big", None, "Other"])) for k in range(200)]
+    asked = [(1, "margin OR apples OR r&d", None), (2, "r&d OR 2018", "big"), (3, "apple", "oth"), (4, "net sales", None), (5, "r&d", None), (6, "the", None), (7, "d OR r&d OR net", None), (8, "d OR r&d OR net", None)]
+    rows, queries = spark.createDataFrame(docs, "id long, text string, company string"), spark.createDataFrame(asked, "qid long, question string, q_company string")
+    wanted = search.Filters(contains={"company": "q_company"})
+    want = fulltext.ranked_search(fulltext.postings(rows, keep=("company",)), queries, 9, filters=wanted)
+    found = fulltext.scanned_search(rows, queries, 9, filters=wanted)
+    order = ["qid", "id", "score", "rank"]
+    assert sorted(map(tuple, found.select(order).collect())) == sorted(map(tuple, want.select(order).collect()))
+    plan = fulltext.scanned_search(rows, queries.where("qid <> 4 and qid <> 5"), 9, filters=wanted)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "collect_list" not in plan
+
+
 def test_postings_keep_columns_that_filters_ask_for(spark):
     rows = spark.createDataFrame([(1, "net sales", "Big Co", 2018), (2, "net sale", "Other", 2018), (3, "sales", "big co", 2019), (4, "sales", None, None)], "id long, text string, company string, `fiscal_year` int")
     made = fulltext.postings(rows, keep=("company", "fiscal_year"))
