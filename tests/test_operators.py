@@ -52,6 +52,13 @@ def test_ratio_needs_one_table(spark):
     assert [(i["key"], i["fact_id"], i["page"]) for i in found[0]["inputs"]] == [("current_assets", 3, 3), ("current_liabilities", 4, 4)]
 
 
+def test_only_facts_of_whole_tables_are_chosen_from(spark):
+    rows = [fact(1, 1, 0, "Total current assets", "2018", 10.0), fact(2, 1, 1, "Total current liabilities", "2018", 5.0), fact(3, 2, 0, "TOTAL CURRENT ASSETS", "2018", 12.0), fact(4, 2, 0, "Total current liabilities", "2018", 4.0), fact(5, 2, 0, None, "2018", 4.0)]
+    wanted = {key: metrics.LINE_ITEMS[key] for key in ("current_assets", "current_liabilities")}
+    kept = metrics.in_whole_tables(spark.createDataFrame(rows, FACTS), ("current ratio",), wanted, ["doc_id", "table_ordinal"])
+    assert sorted(r["fact_id"] for r in kept.collect()) == [3, 4, 5]
+
+
 def test_losses_stay_negative_and_a_zero_divisor_gives_nothing(spark):
     loss = [fact(1, 1, 0, "Net income", "2018", -50.0), fact(2, 1, 0, "Net sales", "2018", 200.0)]
     assert metrics.compute(spark.createDataFrame(loss, FACTS), ("net margin",)).first()["shown"] == "-25.0%"
