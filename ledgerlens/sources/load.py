@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,39 +118,42 @@ def load(spark: SparkSession, folder: str, documents: DataFrame, chunks: DataFra
     return {name: versions.read(spark, folder, name, number).count() for name in TABLES} | {"cache": cache.count()}
 
 
-def violations(documents: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
+def violations(documents: DataFrame, chunks: DataFrame, facts: DataFrame, parts: int | None = None) -> DataFrame:
     """What the tables' constraints forbid: (table, rule, key, n), a row for each key that breaks a rule and how many rows do.
 
     Rules: columns that must not be null, unique keys (a key with a null is never a repeat), kinds of chunks, and documents and
     chunks that rows refer to. Repeats are counted by grouped sums, so a key with very many rows meets in no task.
+    Rules on single rows are one pass over a table. parts: into how many parts keys are dealt, for tables whose keys would take too much memory otherwise.
     """
     text = lambda *c: F.concat_ws("/", *[F.coalesce(F.col(x).cast("string"), F.lit("null")) for x in c])
+    dealt = lambda rows, *c: rows.repartition(parts, *c) if parts else rows
     found = []
 
-    def add(name: str, rule: str, rows: DataFrame, key: Column) -> None:
-        found.append(rows.groupBy(key.alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), F.lit(rule).alias("rule"), "key", "n"))
+    def rowwise(name: str, rows: DataFrame, key: str, rules: dict[str, Column]) -> None:
+        broken = rows.where(reduce(Column.__or__, rules.values())).select(text(key).alias("key"), F.explode(F.array(*[F.when(test, F.lit(rule)) for rule, test in rules.items()])).alias("rule")).where("rule is not null")
+        found.append(broken.groupBy("rule", "key").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "rule", "key", "n"))
 
-    def nulls(name: str, rows: DataFrame, key: str, columns: tuple[str, ...]) -> None:
-        for c in columns:
-            add(name, f"{c} is null", rows.where(F.col(c).isNull()), text(key))
+    def nulls(*columns: str) -> dict[str, Column]:
+        return {f"{c} is null": F.col(c).isNull() for c in columns}
 
     def unique(name: str, rows: DataFrame, columns: tuple[str, ...]) -> None:
-        whole = rows.dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
+        whole = dealt(rows.dropna(subset=list(columns)).select(*columns), columns[0]).groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
         found.append(whole.select(F.lit(name).alias("table"), F.lit(f"{', '.join(columns)} repeated").alias("rule"), text(*columns).alias("key"), "n"))
 
     def refers(name: str, rows: DataFrame, column: str, to: DataFrame) -> None:
-        add(name, f"{column} unknown", rows.where(F.col(column).isNotNull()).join(to.select(column).distinct(), column, "left_anti"), text(column))
+        counted = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
+        unknown = counted.join(to.select(column).distinct(), column, "left_anti")
+        found.append(unknown.select(F.lit(name).alias("table"), F.lit(f"{column} unknown").alias("rule"), text(column).alias("key"), "n"))
 
-    nulls("documents", documents, "doc_id", ("doc_name", "company", "doc_type"))
-    nulls("chunks", chunks, "chunk_id", ("doc_id", "text"))
-    nulls("facts", facts, "fact_id", ("doc_id", "table_ordinal", "row_label", "column_label", "value_raw", "value", "page"))
+    rowwise("documents", documents, "doc_id", nulls("doc_name", "company", "doc_type"))
+    rowwise("chunks", chunks, "chunk_id", nulls("doc_id", "text") | {"kind unknown": ~F.coalesce(F.col("kind").isin("prose", "table"), F.lit(False))})
+    rowwise("facts", facts, "fact_id", nulls("doc_id", "table_ordinal", "row_label", "column_label", "value_raw", "value", "page"))
     unique("documents", documents, ("doc_id",))
     unique("documents", documents, ("doc_name",))
     unique("chunks", chunks, ("chunk_id",))
     unique("chunks", chunks.withColumn("text_md5", F.md5("text")), ("doc_id", "kind", "table_ordinal", "page_start", "text_md5"))
     unique("facts", facts, ("fact_id",))
     unique("facts", facts, ("doc_id", "table_ordinal", "row_label", "column_label"))
-    add("chunks", "kind unknown", chunks.where(~F.coalesce(F.col("kind").isin("prose", "table"), F.lit(False))), text("chunk_id"))
     refers("chunks", chunks, "doc_id", documents)
     refers("facts", facts, "doc_id", documents)
     refers("facts", facts, "chunk_id", chunks)
