@@ -87,8 +87,10 @@ def clean_chunks(chunks: DataFrame) -> DataFrame:
 def with_heading(facts: DataFrame, chunks: DataFrame, left: str = "left") -> DataFrame:
     """facts with their table's chunk and the last heading above it; the last chunk of a table counts."""
     tables = chunks.where("table_ordinal is not null").groupBy("doc_id", "table_ordinal").agg(F.max_by(F.struct("chunk_id", "heading_trail"), "chunk_id").alias("c"))
-    named = tables.select("doc_id", "table_ordinal", F.col("c.chunk_id"), F.try_element_at("c.heading_trail", F.lit(-1)).alias("context"))
-    return facts.join(named, ["doc_id", "table_ordinal"], left)
+    named = tables.select(F.col("doc_id").alias("__doc"), F.col("table_ordinal").alias("__table"), F.col("c.chunk_id"), F.try_element_at("c.heading_trail", F.lit(-1)).alias("context"))
+    # The table is no key of the join: facts that lie by document stay where they are, and meet their document's tables there.
+    own = (F.col("doc_id") == F.col("__doc")) & (F.col("table_ordinal") <= F.col("__table")) & (F.col("table_ordinal") >= F.col("__table"))
+    return facts.join(named, own, left).select("doc_id", "table_ordinal", *[c for c in facts.columns if c not in ("doc_id", "table_ordinal")], "chunk_id", "context")
 
 
 def load_facts(documents: DataFrame, chunks: DataFrame, facts: DataFrame) -> DataFrame:
@@ -98,7 +100,7 @@ def load_facts(documents: DataFrame, chunks: DataFrame, facts: DataFrame) -> Dat
     row_label, column_label, value_raw, scale. The first fact by id stays.
     """
     first = first_of(facts, ["doc_id", "table_ordinal", "row_label", "column_label"], ["fact_id"])
-    placed = with_heading(first, chunks).join(documents.select("doc_id", "company"), "doc_id")
+    placed = with_heading(first.join(documents.select("doc_id", "company"), "doc_id"), chunks)
     text = fact_text(F.col("company"), F.col("context"), F.col("row_label"), F.col("column_label"), F.col("value_raw"), F.col("scale"))
     return placed.withColumn("fact_text", text).drop("company", "context")
 

@@ -1,5 +1,7 @@
 import json
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.sources import ingest, io, schemas
@@ -182,3 +184,29 @@ def test_a_stream_keeps_few_folders_and_nothing_aside(spark, tmp_path):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(target).collect()]
     assert sorted(rows) == sorted([(k // 2, f"t{k}") for k in range(40) if k // 2 != 3] + [(3, "new")])
     assert len(list((tmp_path / "out").glob("bucket=*"))) == 4 and not list((tmp_path / "state" / "aside").glob("*"))
+
+
+def test_facts_meet_their_tables_where_their_document_lies(spark):
+    facts = spark.createDataFrame([(1, 7, 0), (2, 7, 1), (3, 7, None), (4, 8, 0)], "fact_id long, doc_id long, table_ordinal int").repartition(3, "doc_id")
+    chunks = spark.createDataFrame([(10, 7, 0, ["a"]), (11, 7, 0, ["b", "c"]), (12, 8, 1, ["d"]), (13, 7, None, ["e"])], "chunk_id long, doc_id long, table_ordinal int, heading_trail array<string>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = ingest.with_heading(facts, chunks)
+        assert re.search(r"SortMergeJoin \[doc_id#\d+L\], \[__doc#\d+L\]", made._jdf.queryExecution().executedPlan().toString())
+        assert sorted(map(tuple, made.select("fact_id", "chunk_id", "context").collect())) == [(1, 11, "c"), (2, None, None), (3, None, None), (4, None, None)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("name", ["constraint_violations", "load_facts"])
+def test_line_items_in_parts_give_the_same(spark, monkeypatch, name):
+    from ledgerlens.plans import flow_queries, queries  # noqa: F401
+    from ledgerlens.plans.oracle import ORACLE
+
+    from .oracle_check import assert_same
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(queries, "PART_ROWS", 500)
+    assert queries._parts(spark, folder) == 12 and queries._lines(spark, folder).rdd.getNumPartitions() == 12
+    assert_same(queries.QUERIES[name](spark, folder), ORACLE[name], folder)
