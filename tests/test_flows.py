@@ -244,3 +244,18 @@ def test_a_whole_load_in_one_commit(spark, tmp_path):
     assert again["facts"] == 1 and again["documents"] == 1 and texts.value == before  # every text was known
     assert load.load(spark, path, documents, chunks.limit(0), facts, embed, facts_only=True)["chunks"] == 2
     assert load.violations(*[versions.read(spark, path, n) for n in ("documents", "chunks", "facts")]).count() == 0
+
+
+def test_scopes_of_a_year_without_rows_go_with_the_first_search(spark, monkeypatch):
+    documents = spark.createDataFrame([(1, "a1", "A_ONE", 2020), (2, "b1", "B", 2021)], "doc_id long, doc_name string, company string, fiscal_year int")
+    facts = spark.createDataFrame([(n, doc, 0, "Net sales", "2020", 1.0, None, n, f"f{n}", v) for n, doc, v in ((1, 1, [1.0, 0.0]), (2, 1, [0.0, 1.0]), (3, 2, [1.0, 1.0]))], "fact_id long, doc_id long, table_ordinal int, row_label string, column_label string, signed double, scale string, page int, fact_text string, embedding array<double>")
+    chunks = spark.createDataFrame([(1, 2, "prose", "Item 1", None, 4, "text", [1.0, 0.0])], "chunk_id long, doc_id long, kind string, item_section string, heading_trail array<string>, page_start int, text string, embedding array<double>")
+    scopes = {1: ("A_ONE", 2020), 2: ("A_ONE", 2060), 3: (None, 2060), 4: ("a%e", 2020), 5: ("B\\", 2021), 6: ("B", None), 7: ("A_ONE", 2021), 8: (None, 0)}
+    asked = spark.createDataFrame([(q, "?", [1.0, 0.0], c, y, "numeric", 2, 1, "?", None) for q, (c, y) in scopes.items()], "qid long, question string, qvec array<double>, company string, fiscal_year int, kind string, k_facts int, k_chunks int, search_text string, metric string")
+    searches, once = [], retrieve._search_both
+    monkeypatch.setattr(retrieve, "_search_both", lambda first, *rest: searches.append(sorted(r["qid"] for r in first.collect())) or once(first, *rest))
+    used, hits, passages, _ = retrieve.retrieve(asked, documents, facts, chunks)
+    assert {r["qid"]: r["fiscal_year"] for r in used.collect()} == {1: 2020, 2: None, 3: None, 4: 2020, 5: None, 6: None, 7: None, 8: 0}
+    assert sorted((r["qid"], r["rank"], r["fact_id"]) for r in hits.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 3), (4, 1, 1), (4, 2, 2), (6, 1, 3), (7, 1, 1), (7, 2, 2), (8, 1, 1), (8, 2, 3)]
+    assert sorted((r["qid"], r["chunk_id"]) for r in passages.collect()) == [(3, 1), (6, 1), (8, 1)]
+    assert searches == [[1, 2, 3, 4, 5, 6, 7, 8]]
