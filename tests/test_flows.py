@@ -259,3 +259,12 @@ def test_scopes_of_a_year_without_rows_go_with_the_first_search(spark, monkeypat
     assert sorted((r["qid"], r["rank"], r["fact_id"]) for r in hits.collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 1), (2, 2, 2), (3, 1, 1), (3, 2, 3), (4, 1, 1), (4, 2, 2), (6, 1, 3), (7, 1, 1), (7, 2, 2), (8, 1, 1), (8, 2, 3)]
     assert sorted((r["qid"], r["chunk_id"]) for r in passages.collect()) == [(3, 1), (6, 1), (8, 1)]
     assert searches == [[1, 2, 3, 4, 5, 6, 7, 8]]
+
+
+def test_facts_that_are_searched_travel_without_their_vectors(spark, monkeypatch):
+    from ledgerlens.plans import queries
+
+    joined, with_vector = [], queries._with_vector
+    monkeypatch.setattr(queries, "_with_vector", lambda s, d, rows, *a: joined.append(rows.columns) or with_vector(s, d, rows, *a))
+    assert queries.QUERIES["search_facts_filtered"](spark, "/root/testdata/sf0.01").count() > 0
+    assert joined and not any("fact_id" in columns for columns in joined)
