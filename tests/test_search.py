@@ -57,6 +57,18 @@ def test_rows_that_name_their_vector_are_found_alike_and_each_vector_is_scored_o
     assert search.with_vectors(many, held.repartition(200, search.NUMBER)).rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
 
 
+def test_equal_queries_come_to_the_driver_once_and_vectors_as_matrices(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 4)
+    asked = spark.createDataFrame([(n, [float(n % 3), 1.0]) for n in range(12)] + [(None, [0.0, 1.0])], "qid long, qvec array<float>")
+    blocks = list(search._blocks(asked, ["qvec"]))
+    assert len(blocks) > 1 and all(isinstance(b["qvec"], np.ndarray) for b in blocks) and {q for b in blocks for q in b["qid"]} == {None, *range(12)}
+    (block,) = search._blocks(search._once(asked, ["qvec"]), ["qvec"])
+    assert isinstance(block["qvec"], np.ndarray) and sorted(len(q) for q in block["qid"]) == [4, 4, 5]
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 0.0])], "id long, embedding array<float>")
+    found = {r["qid"]: r["id"] for r in search.vector_ranks(rows, asked, 1).collect()}
+    assert found == {None: 1} | {n: 2 if n % 3 == 2 else 1 for n in range(12)}  # (1, 1) is as near to both: the smaller id
+
+
 def test_cover_in_rounds_of_any_size_is_the_greedy_one(spark, monkeypatch):
     """As by brute force, with all questions on the driver (one round) and with few of them at once."""
     rng = random.Random(3)
