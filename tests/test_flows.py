@@ -268,3 +268,12 @@ def test_facts_that_are_searched_travel_without_their_vectors(spark, monkeypatch
     monkeypatch.setattr(queries, "_with_vector", lambda s, d, rows, *a: joined.append(rows.columns) or with_vector(s, d, rows, *a))
     assert queries.QUERIES["search_facts_filtered"](spark, "/root/testdata/sf0.01").count() > 0
     assert joined and not any("fact_id" in columns for columns in joined)
+
+
+def test_only_first_fits_meet_their_texts(spark, monkeypatch):
+    from ledgerlens.plans import queries
+
+    held, settled = [], retrieve.settled
+    monkeypatch.setattr(retrieve, "settled", lambda frame: held.append(set(frame.columns)) or settled(frame))
+    assert queries.QUERIES["evaluation_rows"](spark, "/root/testdata/sf0.001").count() > 0
+    assert any("signed" in columns for columns in held) and not any({"signed", "fact_text"} <= columns for columns in held)
